@@ -24,7 +24,8 @@ from slotbook.functions.naming import camel_columns
 from slotbook.functions.paging import page as take_page
 from slotbook.functions.validate import valid_id
 
-_TTL = F.expr(C.BOOKING_TTL)
+def _ttl():
+    return F.expr(C.BOOKING_TTL)
 
 
 # --- R01 / R02 -------------------------------------------------------------------
@@ -57,7 +58,7 @@ def ongoing_by_admin(booking: DataFrame, users: DataFrame, package: DataFrame,
            .join(pa, "place_id")
            .select("admin_user_id", "booking_id", "package_type_name", "member_username",
                    "package_price", "order_status",
-                   (F.col("created_at") + _TTL).alias("expires_at"), "created_at"))
+                   (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))
     return take_page(out, ["admin_user_id", "booking_id"], page, limit)
 
 
@@ -76,7 +77,7 @@ def ongoing_by_member(booking: DataFrame, package: DataFrame, place: DataFrame,
     ct = city.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"))
     out = (b.join(pk, "package_id").join(pl, "place_id").join(ct, "city_id")
            .select("member_user_id", "booking_id", "package_name", "place_name", "city_name",
-                   (F.col("created_at") + _TTL).alias("expires_at"), "created_at"))
+                   (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))
     return take_page(out, ["member_user_id", "booking_id"], page, limit)
 
 
@@ -114,7 +115,7 @@ def booking_detail(ids: DataFrame, booking: DataFrame, package: DataFrame,
     return j.select("booking_id", code.alias("reason_code"),
                     keep("package_type_name"), keep("package_name"), keep("package_price"),
                     keep("member_username"), keep("member_gender"), keep("member_email"),
-                    keep(F.col("created_at") + _TTL, "expires_at"), keep("created_at"))
+                    keep(F.col("created_at") + _ttl(), "expires_at"), keep("created_at"))
 
 
 # --- R06 ---------------------------------------------------------------------------
@@ -138,7 +139,7 @@ def booking_log(booking: DataFrame, package: DataFrame, package_type: DataFrame,
            .join(pa, "place_id")
            .select("admin_user_id", "booking_id", "member_email", "member_username",
                    "member_gender", "package_type_name", "package_name", "package_price",
-                   "order_status", (F.col("created_at") + _TTL).alias("expires_at"), "created_at"))
+                   "order_status", (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))
     return take_page(out, ["admin_user_id", "booking_id"], page, limit)
 
 
