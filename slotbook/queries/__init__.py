@@ -1,3 +1,3 @@
 """Query registrations, grouped like the plans they call."""
 
-from slotbook.queries import access, admission, places, reports  # noqa: F401
+from slotbook.queries import access, admission, places, reports, streaming  # noqa: F401

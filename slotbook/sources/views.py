@@ -93,20 +93,13 @@ class Catalog:
 
     @cached_property
     def booking(self) -> DataFrame:
-        first_part = (self.raw("lineitem").groupBy("l_orderkey")
-                      .agg(F.min("l_partkey").alias("package_id")))
-        o = self.raw("orders").filter(F.col("o_custkey") % 10 != 9)
-        status = (F.when(F.col("o_orderstatus") == "P", C.ORDER_PENDING)
-                  .when(F.col("o_orderstatus") == "F", C.ORDER_COMPLETED)
-                  .otherwise(C.ORDER_EXPIRED))
-        return (o.join(first_part, o.o_orderkey == first_part.l_orderkey, "left")
-                .select(F.col("o_orderkey").alias("id"),
-                        status.alias("order_status"),
-                        F.col("o_custkey").alias("member_user_id"),
-                        F.col("package_id"),
-                        F.when(F.col("o_orderstatus") != "P",
-                               F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("updated_at"),
-                        F.col("o_orderdate").alias("created_at")))
+        return booking_from(self.raw("orders"), self.first_part)
+
+    @cached_property
+    def first_part(self) -> DataFrame:
+        """Package of each order: its smallest part key (one row per order)."""
+        return (self.raw("lineitem").groupBy("l_orderkey")
+                .agg(F.min("l_partkey").alias("package_id")))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -181,12 +174,7 @@ class Catalog:
 
     @cached_property
     def live_booking(self) -> DataFrame:
-        return self._events("click").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("member_user_id"),
-            (F.col("event_id") % 200).alias("package_id"),
-            F.lit(C.ORDER_PENDING).alias("order_status"),
-            F.col("ts").alias("created_at"))
+        return live_booking_from(self.raw("events"))
 
     @cached_property
     def booking_request(self) -> DataFrame:
@@ -199,10 +187,7 @@ class Catalog:
 
     @cached_property
     def completion(self) -> DataFrame:
-        return self._events("view").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("member_user_id"),
-            F.col("ts").alias("completed_at"))
+        return completion_from(self.raw("events"))
 
     @cached_property
     def transition_request(self) -> DataFrame:
@@ -298,6 +283,41 @@ class Catalog:
              .otherwise(F.concat(F.lit("m"), k.cast("string"), F.lit("@example.com"))).alias("email"))
 
 
+# ---- event-shaped views, usable on batch and streaming DataFrames -------------------
+def booking_from(orders: DataFrame, first_part: DataFrame) -> DataFrame:
+    """Bookings from orders (batch or stream) and the static order -> package table."""
+    o = orders.filter(F.col("o_custkey") % 10 != 9)
+    status = (F.when(F.col("o_orderstatus") == "P", C.ORDER_PENDING)
+              .when(F.col("o_orderstatus") == "F", C.ORDER_COMPLETED)
+              .otherwise(C.ORDER_EXPIRED))
+    return (o.join(first_part, o.o_orderkey == first_part.l_orderkey, "left")
+            .select(F.col("o_orderkey").alias("id"),
+                    status.alias("order_status"),
+                    F.col("o_custkey").alias("member_user_id"),
+                    F.col("package_id"),
+                    F.when(F.col("o_orderstatus") != "P",
+                           F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("updated_at"),
+                    F.col("o_orderdate").alias("created_at")))
+
+
+def live_booking_from(events: DataFrame) -> DataFrame:
+    """A click creates a PENDING booking (batch or stream)."""
+    return events.filter(F.col("event_type") == "click").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("member_user_id"),
+        (F.col("event_id") % 200).alias("package_id"),
+        F.lit(C.ORDER_PENDING).alias("order_status"),
+        F.col("ts").alias("created_at"))
+
+
+def completion_from(events: DataFrame) -> DataFrame:
+    """A view completes the member's bookings (batch or stream)."""
+    return events.filter(F.col("event_type") == "view").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("member_user_id"),
+        F.col("ts").alias("completed_at"))
+
+
 VIEW_NAMES = ("city", "package_type", "place", "place_admin", "package", "booking", "users",
               "member_ban", "access_attempt", "live_booking", "booking_request", "completion",
               "transition_request", "package_request", "place_request", "place_update",
