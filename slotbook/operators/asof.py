@@ -12,11 +12,15 @@ buckets (``date_trunc(bucket, ts)``) and the work is done at two levels:
 2. across buckets: right rows are first folded to one summary row per
    (key, bucket) by a partial aggregate (latest payload, row count); a window
    per key over those summaries, which holds at most one row per bucket,
-   carries the latest payload / cumulative count from earlier buckets.
+   yields a "carry" row per left bucket (latest payload / count of all
+   earlier buckets).  The carry rows join the level-1 union and sort first in
+   their bucket, so no join back is needed.
 
-The left rows get ``coalesce(in_bucket, carry)``; no pairs are formed and the
-largest group is one key's rows within one bucket, which the bucket width
-bounds.  All steps are built-in window and aggregate operators.
+Right rows cross the network once (in the level-1 shuffle); the level-2
+inputs are partial aggregates.
+
+No pairs are formed and the largest group is one key's rows within one
+bucket, which the bucket width bounds.  All steps are built-in window and aggregate operators.
 """
 
 from __future__ import annotations
@@ -55,13 +59,23 @@ def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     return by, left_cols, r, lt
 
 
-def _carry(r: DataFrame, lt: DataFrame, by: list[str], order: Sequence[str],
-           want_latest: bool, want_count: bool) -> DataFrame:
-    """Per (key, bucket) of the left side: latest payload / row count of earlier buckets."""
+def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusive,
+         want_latest, want_count):
+    by, left_cols, r, lt = _prep(left, right, by, left_time, right_time, payload, order,
+                                 bucket, inclusive)
+    right_side = 0 if inclusive else 1
+    o_cols = [f"__o{i}" for i in range(len(order))]
+
+    # Level 2 first, on small data: one summary row per (key, bucket) of the
+    # right side (partial aggregate, so a hot key is folded map-side) and one
+    # row per (key, bucket) that holds left rows; a window per key over these
+    # (at most one row per bucket) gives each left bucket what earlier buckets
+    # hold.  Left buckets sort before the right summary of the same bucket, so
+    # the frame "up to the previous row" sees earlier buckets only.
     aggs = []
     if want_latest:
-        rank = F.struct(F.col(_T), *[F.col(f"__o{i}") for i in range(len(order))])
-        aggs.append(F.max_by(F.col(_PAY), rank).alias(_PAY))
+        aggs.append(F.max_by(F.col(_PAY), F.struct(F.col(_T), *[F.col(c) for c in o_cols]))
+                    .alias(_PAY))
     if want_count:
         aggs.append(F.count(F.lit(1)).alias("__n"))
     summary = r.groupBy(*by, _B).agg(*aggs).withColumn("__k", F.lit(1))
@@ -70,48 +84,46 @@ def _carry(r: DataFrame, lt: DataFrame, by: list[str], order: Sequence[str],
         buckets = buckets.withColumn(_PAY, F.lit(None).cast(summary.schema[_PAY].dataType))
     if want_count:
         buckets = buckets.withColumn("__n", F.lit(None).cast("long"))
-    w = (Window.partitionBy(*by).orderBy(_B, "__k")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    both = summary.unionByName(buckets)
-    outs = []
-    if want_latest:
-        outs.append(F.last(_PAY, ignorenulls=True).over(w).alias("__carry_pay"))
-    if want_count:
-        outs.append(F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__carry_n"))
-    return both.select(*by, _B, "__k", *outs).filter(F.col("__k") == 0).drop("__k")
-
-
-def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusive,
-         want_latest, want_count):
-    by, left_cols, r, lt = _prep(left, right, by, left_time, right_time, payload, order,
-                                 bucket, inclusive)
-    u = r.unionByName(lt)
-    w = (Window.partitionBy(*by, _B)
-         .orderBy(_T, _SIDE, *[f"__o{i}" for i in range(len(order))])
+    wk = Window.partitionBy(*by).orderBy(_B, "__k").rowsBetween(Window.unboundedPreceding, -1)
+    carry_pay = (F.last(_PAY, ignorenulls=True).over(wk) if want_latest
+                 else F.lit(None).cast(r.schema[_PAY].dataType))
+    carry_n = F.coalesce(F.sum("__n").over(wk), F.lit(0)) if want_count else F.lit(0)
+    carry = (summary.unionByName(buckets)
+             .select(*by, _B, "__k", carry_pay.alias(_PAY), carry_n.alias("__c"))
+             .filter(F.col("__k") == 0)
+             .select(*by, F.lit(None).cast(r.schema[_T].dataType).alias(_T), _B,
+                     F.lit(-1).alias(_SIDE),
+                     *[F.lit(None).cast(r.schema[c].dataType).alias(c) for c in o_cols],
+                     F.lit(None).cast(r.schema[_LEFT].dataType).alias(_LEFT), _PAY, "__c"))
+
+    # Level 1: one shuffle of right rows, left rows and carry rows on
+    # (key, bucket).  The carry row sorts first in its bucket (null time,
+    # side -1), so a running last()/sum() over the bucket already includes
+    # everything before the bucket.
+    rows = (r.withColumn("__c", F.lit(1).cast("long"))
+            .unionByName(lt.withColumn("__c", F.lit(0).cast("long")))
+            .unionByName(carry))
+    w = (Window.partitionBy(*by, _B).orderBy(_T, _SIDE, *o_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cols = [*by, _B, _LEFT]
+    cols = [_LEFT]
     if want_latest:
-        cols.append(F.last(_PAY, ignorenulls=True).over(w).alias("__in_pay"))
+        cols.append(F.last(_PAY, ignorenulls=True).over(w).alias("__pay_at"))
     if want_count:
-        cols.append(F.sum(F.when(F.col(_SIDE) == (0 if inclusive else 1), 1).otherwise(0))
-                    .over(w).alias("__in_n"))
-    inb = u.select(*cols, _SIDE).filter(F.col(_LEFT).isNotNull()).drop(_SIDE)
-    carry = _carry(r, lt, by, order, want_latest, want_count)
-    # Null keys never match (equi-join semantics): right rows with a null key
-    # were dropped, and a left row with a null key finds no carry row.
-    j = inb.join(carry, [*by, _B], "left")
+        cols.append(F.sum(F.when(F.col(_SIDE) != (1 - right_side), F.col("__c")).otherwise(0))
+                    .over(w).alias("__n_at"))
+    j = rows.select(*cols, _SIDE).filter(F.col(_SIDE) == 1 - right_side)
     out = [F.col(f"{_LEFT}.{c}").alias(c) for c in left_cols]
     extra = {}
     if want_latest:
-        extra["pay"] = F.coalesce(F.col("__in_pay"), F.col("__carry_pay"))
+        extra["pay"] = F.col("__pay_at")
     if want_count:
-        extra["n"] = F.col("__in_n") + F.coalesce(F.col("__carry_n"), F.lit(0))
+        extra["n"] = F.col("__n_at")
     return j, out, extra
 
 
 def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                 right_time: str, payload: Sequence[str], *, order: Sequence[str] = (),
-                bucket: str = "day", inclusive: bool = True, prefix: str = "") -> DataFrame:
+                bucket: str = "hour", inclusive: bool = True, prefix: str = "") -> DataFrame:
     """Left rows plus the payload columns of the latest matching right row.
 
     A right row matches when its ``by`` columns equal the left row's and its
@@ -127,7 +139,7 @@ def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
 
 
 def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
-               right_time: str, *, name: str = "asof_count", bucket: str = "day",
+               right_time: str, *, name: str = "asof_count", bucket: str = "hour",
                inclusive: bool = True) -> DataFrame:
     """Left rows plus the number of right rows with equal key and time <= (or <) theirs."""
     j, out, extra = _run(left, right, by, left_time, right_time, None, (), bucket, inclusive,
@@ -137,7 +149,7 @@ def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
 
 def asof_latest_and_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                           right_time: str, payload: Sequence[str], *, order: Sequence[str] = (),
-                          bucket: str = "day", inclusive: bool = True, prefix: str = "",
+                          bucket: str = "hour", inclusive: bool = True, prefix: str = "",
                           count_name: str = "asof_count") -> DataFrame:
     """Both answers from one pass."""
     j, out, extra = _run(left, right, by, left_time, right_time, payload, order, bucket,
