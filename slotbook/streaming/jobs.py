@@ -20,6 +20,8 @@ its checkpoint without duplicating output.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,19 @@ EXPIRY_DELAY = "1 hour"      # watermark delay (lateness tolerated) for S01
 PROFIT_DELAY = "1 day"       # watermark delay for S02
 
 
+@contextmanager
+def utc_session(spark: SparkSession):
+    """Run with the session zone pinned to UTC (NTZ -> timestamp casts and day
+    windows are then wall-clock exact), restoring the caller's zone after."""
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _event_time(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
@@ -79,10 +94,11 @@ def run_expiry(spark: SparkSession, events_stream: DataFrame, out_path: str | No
                delay: str = EXPIRY_DELAY) -> DataFrame:
     """Run S01 until the available input is consumed; return what it emitted."""
     out = out_path or scratch_path(spark, "expiry-out")
-    q = (expiry_stream(events_stream, delay).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", scratch_path(spark, "expiry-ckpt"))
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with utc_session(spark):
+        q = (expiry_stream(events_stream, delay).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", scratch_path(spark, "expiry-ckpt"))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -101,11 +117,12 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
     # The static side is reused by every micro-batch: compute it once and cut
     # its lineage into the shared checkpoint folder.
     static_first = first_part.checkpoint(eager=True)
-    q = (profit_stream(orders_stream, static_first, package).writeStream
-         .outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", scratch_path(spark, "profit-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with utc_session(spark):
+        q = (profit_stream(orders_stream, static_first, package).writeStream
+             .outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", scratch_path(spark, "profit-ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
