@@ -58,7 +58,7 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
 # --- M01 ---------------------------------------------------------------------------
 def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                    strict_capacity: bool = False, id_kind: str = "key",
-                   bucket: str = "hour") -> DataFrame:
+                   bucket: str = "hour", mode: str = "snapshot") -> DataFrame:
     """Judge booking requests (id, member_user_id, package_id, requested_at).
 
     1019 invalid fields; 1020 unknown package; 1021 the package's PENDING count
@@ -67,7 +67,18 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
     2 h old is expired); else accepted as a new PENDING booking created at
     ``requested_at``.  State rows count only if created at or before the request.
     The capacity count includes pendings older than 2 h, as in the source.
+
+    ``mode="snapshot"`` judges every request against stored state only.
+    ``mode="strict"`` also lets requests of the batch see earlier requests of
+    the batch, conservatively: a request is 1022 when the same member has an
+    earlier (strictly earlier time) request in the batch, younger than 2 h,
+    that passed the field, package and stored-state checks; and 1021 when
+    stored pendings plus earlier surviving requests for the package reach the
+    capacity (always ``>=`` in this mode).  A later request can be refused
+    because of an earlier one that itself fails the capacity check.
     """
+    if mode not in ("snapshot", "strict"):
+        raise ValueError(f"unknown mode {mode!r}")
     pending = state.filter(F.col("order_status") == C.ORDER_PENDING)
     r = requests.withColumn("__bad", _has_errors(V.booking_create_rules(id_kind)))
     pk = package.select(F.col("id").alias("package_id"), F.col("capacity").alias("__cap"),
@@ -78,13 +89,31 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
     r = asof_latest(r, pending.select("member_user_id", F.col("created_at").alias("__mt")),
                     ["member_user_id"], "requested_at", "__mt", ["__mt"], bucket=bucket,
                     prefix="last")
-    full = (F.col("pending_count") >= F.col("__cap")) if strict_capacity \
-        else (F.col("pending_count") == F.col("__cap"))
+    ongoing = F.coalesce(F.col("last__mt") + _ttl() > F.col("requested_at"), F.lit(False))
+    if mode == "snapshot":
+        full = (F.col("pending_count") >= F.col("__cap")) if strict_capacity \
+            else (F.col("pending_count") == F.col("__cap"))
+    else:
+        # Each step below reads the previous step's output twice (as the left
+        # side and, filtered, as the right side); a reliable checkpoint in the
+        # shared checkpoint folder cuts the lineage so no step is recomputed.
+        r = r.withColumn("__e1", ~F.col("__bad") & F.col("__pk").isNotNull() & ~ongoing)
+        r = r.checkpoint(eager=True)
+        e1 = r.filter("__e1").select("member_user_id", F.col("requested_at").alias("__et"))
+        r = asof_latest(r, e1, ["member_user_id"], "requested_at", "__et", ["__et"],
+                        bucket=bucket, inclusive=False, prefix="prev")
+        batch_ongoing = F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
+        r = r.withColumn("__e2", F.col("__e1") & ~batch_ongoing).checkpoint(eager=True)
+        e2 = r.filter("__e2").select("package_id", F.col("requested_at").alias("__rt"))
+        r = asof_count(r, e2, ["package_id"], "requested_at", "__rt", name="__rank",
+                       bucket=bucket, inclusive=False)
+        full = F.col("pending_count") + F.col("__rank") >= F.col("__cap")
+        ongoing = ongoing | batch_ongoing
     code = _chain([
         (F.col("__bad"), C.BOOKING_CREATE_FIELDS),
         (F.col("__pk").isNull(), C.BOOKING_CREATE_PACKAGE_MISSING),
         (full, C.BOOKING_CREATE_PACKAGE_FULL),
-        (F.col("last__mt") + _ttl() > F.col("requested_at"), C.BOOKING_CREATE_ONGOING_EXISTS),
+        (ongoing, C.BOOKING_CREATE_ONGOING_EXISTS),
     ])
     ok = code == C.OK
     return r.select(*requests.columns, code.alias("reason_code"),

@@ -58,6 +58,48 @@ def q_bookings_after_admission(spark, sf_dir):
     return append_rows(t.live_booking, new, defaults={"order_status": F.lit(C.ORDER_PENDING)})
 
 
+STRICT_SQL = f"""
+WITH pend AS (SELECT * FROM live_booking WHERE order_status = 'PENDING'),
+r AS (SELECT q.*, p.capacity AS cap, p.id AS pk
+      FROM booking_request q LEFT JOIN package p ON p.id = q.package_id),
+c AS (SELECT r.id, count(s.id) AS n FROM r
+      LEFT JOIN pend s ON s.package_id = r.package_id AND s.created_at <= r.requested_at
+      GROUP BY r.id),
+m AS (SELECT r.id, max(s.created_at) AS last_mt FROM r
+      LEFT JOIN pend s ON s.member_user_id = r.member_user_id AND s.created_at <= r.requested_at
+      GROUP BY r.id),
+b AS (SELECT r.*, c.n, NOT {S.key('r.package_id')} AS bad,
+             coalesce(m.last_mt + INTERVAL 2 HOUR > r.requested_at, false) AS st_ongoing
+      FROM r JOIN c ON c.id = r.id JOIN m ON m.id = r.id),
+b1 AS (SELECT *, NOT bad AND pk IS NOT NULL AND NOT st_ongoing AS e1 FROM b),
+bo AS (SELECT b1.id, max(e.requested_at) AS prev FROM b1
+       LEFT JOIN b1 e ON e.e1 AND e.member_user_id = b1.member_user_id
+                     AND e.requested_at < b1.requested_at
+       GROUP BY b1.id),
+b2 AS (SELECT b1.*, coalesce(bo.prev + INTERVAL 2 HOUR > b1.requested_at, false) AS batch_ongoing
+       FROM b1 JOIN bo ON bo.id = b1.id),
+b3 AS (SELECT *, e1 AND NOT batch_ongoing AS e2 FROM b2),
+rk AS (SELECT b3.id, count(e.id) AS rnk FROM b3
+       LEFT JOIN b3 e ON e.e2 AND e.package_id = b3.package_id AND e.requested_at < b3.requested_at
+       GROUP BY b3.id),
+x AS (SELECT b3.id, b3.member_user_id, b3.package_id, b3.requested_at,
+             CASE WHEN b3.bad THEN '1019'
+                  WHEN b3.pk IS NULL THEN '1020'
+                  WHEN b3.n + rk.rnk >= b3.cap THEN '1021'
+                  WHEN b3.st_ongoing OR b3.batch_ongoing THEN '1022'
+                  ELSE '0000' END AS reason_code
+      FROM b3 JOIN rk ON rk.id = b3.id)
+SELECT *, {_uuid_if_ok('admit_bookings', 'id')} AS new_booking_id,
+       CASE WHEN reason_code = '0000' THEN 'PENDING' END AS order_status
+FROM x"""
+
+
+@register("admit_bookings_strict", STRICT_SQL)
+def q_admit_bookings_strict(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    return M.admit_bookings(t.booking_request, t.package, t.live_booking, mode="strict")
+
+
 # --- M02 + W01 -----------------------------------------------------------------------
 TRANSITION_SQL = f"""
 WITH w AS (SELECT b.id AS booking_id, pk.place_id, b.updated_at AS prev_updated
