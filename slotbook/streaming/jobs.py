@@ -34,17 +34,31 @@ EXPIRY_DELAY = "1 hour"      # watermark delay (lateness tolerated) for S01
 PROFIT_DELAY = "1 day"       # watermark delay for S02
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
 def utc_session(spark: SparkSession):
     """Run with the session zone pinned to UTC (NTZ -> timestamp casts and day
-    windows are then wall-clock exact), restoring the caller's zone after."""
-    key = "spark.sql.session.timeZone"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "UTC")
+    windows are then wall-clock exact), restoring the caller's zone after.
+
+    State of new queries goes to RocksDB (off-heap, spills to local disk and is
+    snapshotted into the checkpoint), unless the session already names a
+    provider: join state grows with the watermark delay times the event rate.
+    """
+    zone, provider = "spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"
+    before = {k: spark.conf.get(k, None) for k in (zone, provider)}
+    spark.conf.set(zone, "UTC")
+    if not before[provider] or before[provider].endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(provider, ROCKSDB_PROVIDER)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _event_time(df: DataFrame, col: str) -> DataFrame:
