@@ -28,8 +28,26 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+_CATALOGS: dict[tuple[int, str], Catalog] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(spark, sf_dir)
+    """The catalog of ``sf_dir`` for this session, defined once.
+
+    A catalog holds lazy view definitions over one listing of the table files
+    (no data is cached): queries reuse the definitions, and every run still
+    scans and computes from the files.  Call ``forget_catalogs()`` after the
+    files change.
+    """
+    key = (id(spark), sf_dir)
+    cat = _CATALOGS.get(key)
+    if cat is None or cat.spark is not spark:
+        cat = _CATALOGS[key] = Catalog(spark, sf_dir)
+    return cat
+
+
+def forget_catalogs() -> None:
+    _CATALOGS.clear()
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

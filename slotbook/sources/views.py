@@ -36,9 +36,14 @@ class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        """One reader per table and catalog: the file listing is done once, and
+        every view reading the table shares the same (lazy) scan definition."""
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     # ---- helpers shared by several views --------------------------------------
     def _supplier_count(self) -> Column:
