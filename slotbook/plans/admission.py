@@ -26,6 +26,7 @@ from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.ids import stable_uuid
 from slotbook.operators.asof import asof_count, asof_latest
+from slotbook.session import cut_lineage
 
 def _ttl():
     return F.expr(C.BOOKING_TTL)
@@ -98,12 +99,12 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
         # side and, filtered, as the right side); a reliable checkpoint in the
         # shared checkpoint folder cuts the lineage so no step is recomputed.
         r = r.withColumn("__e1", ~F.col("__bad") & F.col("__pk").isNotNull() & ~ongoing)
-        r = r.checkpoint(eager=True)
+        r = cut_lineage(r)
         e1 = r.filter("__e1").select("member_user_id", F.col("requested_at").alias("__et"))
         r = asof_latest(r, e1, ["member_user_id"], "requested_at", "__et", ["__et"],
                         bucket=bucket, inclusive=False, prefix="prev")
         batch_ongoing = F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
-        r = r.withColumn("__e2", F.col("__e1") & ~batch_ongoing).checkpoint(eager=True)
+        r = cut_lineage(r.withColumn("__e2", F.col("__e1") & ~batch_ongoing))
         e2 = r.filter("__e2").select("package_id", F.col("requested_at").alias("__rt"))
         r = asof_count(r, e2, ["package_id"], "requested_at", "__rt", name="__rank",
                        bucket=bucket, inclusive=False)

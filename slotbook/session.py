@@ -70,3 +70,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` as a reliable checkpoint under ``spark.checkpoint.dir``.
+
+    An eager checkpoint runs the plan once to materialise and once more to
+    write the files; persisting first makes the second pass read the cached
+    blocks instead of recomputing.  The returned DataFrame reads the
+    checkpoint files only (no lineage back to ``df``), so losing an executor
+    later costs a re-read, not a recomputation.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotbook import constants as C
-from slotbook.session import scratch_path
+from slotbook.session import cut_lineage, scratch_path
 from slotbook.sources.tables import RAW_SCHEMAS, table_path
 from slotbook.sources.views import booking_from, completion_from, live_booking_from
 
@@ -130,7 +130,7 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
 
     # The static side is reused by every micro-batch: compute it once and cut
     # its lineage into the shared checkpoint folder.
-    static_first = first_part.checkpoint(eager=True)
+    static_first = cut_lineage(first_part)
     with utc_session(spark):
         q = (profit_stream(orders_stream, static_first, package).writeStream
              .outputMode("complete").foreachBatch(write)
