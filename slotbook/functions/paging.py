@@ -36,3 +36,31 @@ def page(df: DataFrame, order: Sequence, page: int | None = C.DEFAULT_PAGE,
     if offset:
         ordered = ordered.offset(offset)
     return ordered.limit(limit)
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], cursor: Sequence | None,
+               limit: int = C.DEFAULT_LIMIT) -> DataFrame:
+    """Keyset paging: the ``limit`` rows that follow ``cursor`` under ``order``.
+
+    ``order`` lists ``(column, descending)`` pairs forming a total order over
+    non-null values; ``cursor`` holds the values of the last row of the
+    previous page (``None`` for the first page).  Unlike OFFSET, each task keeps
+    only ``limit`` rows whatever the page number, and the cursor predicate can
+    be pushed to the scan.
+    """
+    cols = [F.col(c) for c, _ in order]
+    if cursor is not None:
+        if len(cursor) != len(order):
+            raise ValueError("cursor needs one value per order column")
+        # (a, b, c) after (x, y, z): a > x  or  a = x and b > y  or ...
+        cond = None
+        for i, ((_c, desc), v) in enumerate(zip(order, cursor)):
+            beyond = cols[i] < F.lit(v) if desc else cols[i] > F.lit(v)
+            prefix = [cols[j] == F.lit(cursor[j]) for j in range(i)]
+            term = beyond
+            for p in prefix:
+                term = p & term
+            cond = term if cond is None else cond | term
+        df = df.filter(cond)
+    ordered = df.orderBy(*[c.desc() if d else c.asc() for c, (_n, d) in zip(cols, order)])
+    return ordered.limit(limit)

@@ -60,7 +60,7 @@ def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
 
 
 def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusive,
-         want_latest, want_count):
+         want_latest, want_count, left_keys=None):
     by, left_cols, r, lt = _prep(left, right, by, left_time, right_time, payload, order,
                                  bucket, inclusive)
     right_side = 0 if inclusive else 1
@@ -79,7 +79,15 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
     if want_count:
         aggs.append(F.count(F.lit(1)).alias("__n"))
     summary = r.groupBy(*by, _B).agg(*aggs).withColumn("__k", F.lit(1))
-    buckets = lt.select(*by, _B).distinct().withColumn("__k", F.lit(0))
+    # Buckets that hold left rows.  ``left_keys`` may supply them from a
+    # cheaper frame than ``left`` (a superset is fine: a carry row for a bucket
+    # without left rows is simply never read).
+    if left_keys is None:
+        buckets = lt.select(*by, _B)
+    else:
+        buckets = left_keys.select(*[F.col(k) for k in by],
+                                   F.date_trunc(bucket, F.col(left_time)).alias(_B))
+    buckets = buckets.distinct().withColumn("__k", F.lit(0))
     if want_latest:
         buckets = buckets.withColumn(_PAY, F.lit(None).cast(summary.schema[_PAY].dataType))
     if want_count:
@@ -123,27 +131,30 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
 
 def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                 right_time: str, payload: Sequence[str], *, order: Sequence[str] = (),
-                bucket: str = "hour", inclusive: bool = True, prefix: str = "") -> DataFrame:
+                bucket: str = "hour", inclusive: bool = True, prefix: str = "",
+                left_keys: DataFrame | None = None) -> DataFrame:
     """Left rows plus the payload columns of the latest matching right row.
 
     A right row matches when its ``by`` columns equal the left row's and its
     ``right_time`` is <= (``inclusive``) or < the left row's ``left_time``.  Ties
     on time are broken by ``order`` (the last in that order wins).  Payload
     columns are null when nothing matches.  Output columns: the left columns
-    followed by ``prefix + payload``.
+    followed by ``prefix + payload``.  ``left_keys`` (optional) is any frame
+    with the ``by`` and ``left_time`` columns covering the left rows, used
+    instead of ``left`` to list the left buckets when ``left`` is costly.
     """
     j, out, extra = _run(left, right, by, left_time, right_time, payload, order, bucket,
-                         inclusive, True, False)
+                         inclusive, True, False, left_keys)
     pay = extra["pay"]
     return j.select(*out, *[pay.getField(c).alias(prefix + c) for c in payload])
 
 
 def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                right_time: str, *, name: str = "asof_count", bucket: str = "hour",
-               inclusive: bool = True) -> DataFrame:
+               inclusive: bool = True, left_keys: DataFrame | None = None) -> DataFrame:
     """Left rows plus the number of right rows with equal key and time <= (or <) theirs."""
     j, out, extra = _run(left, right, by, left_time, right_time, None, (), bucket, inclusive,
-                         False, True)
+                         False, True, left_keys)
     return j.select(*out, extra["n"].alias(name))
 
 

@@ -89,7 +89,7 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                    ["package_id"], "requested_at", "__st", name="pending_count", bucket=bucket)
     r = asof_latest(r, pending.select("member_user_id", F.col("created_at").alias("__mt")),
                     ["member_user_id"], "requested_at", "__mt", ["__mt"], bucket=bucket,
-                    prefix="last")
+                    prefix="last", left_keys=requests)
     ongoing = F.coalesce(F.col("last__mt") + _ttl() > F.col("requested_at"), F.lit(False))
     if mode == "snapshot":
         full = (F.col("pending_count") >= F.col("__cap")) if strict_capacity \

@@ -77,3 +77,14 @@ def test_asof_keeps_left_columns_and_rows(spark):
     out = asof_latest(L, R, ["k"], "lt", "rt", ["v", "rid"], prefix="r_")
     assert out.columns == ["lid", "k", "lt", "r_v", "r_rid"]
     assert sorted(r["lid"] for r in out.collect()) == list(range(50))
+
+
+def test_left_keys_superset_gives_same_answer(spark):
+    left, right = _data(11)
+    L = spark.createDataFrame(left, LEFT)
+    R = spark.createDataFrame(right, RIGHT)
+    extra = spark.createDataFrame([(999, 5, dt.datetime(2023, 6, 1))], LEFT)
+    a = asof_latest(L, R, ["k"], "lt", "rt", ["v"], order=["rid"], prefix="x_")
+    b = asof_latest(L, R, ["k"], "lt", "rt", ["v"], order=["rid"], prefix="x_",
+                    left_keys=L.unionByName(extra))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

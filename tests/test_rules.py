@@ -292,3 +292,17 @@ def test_row_order_independence(spark, cat):
 
 def test_row_is_a_row():
     assert Row(a=1).a == 1
+
+
+def test_keyset_paging_equals_offset_paging(spark, cat):
+    from slotbook.functions.paging import page_after
+    log = R.booking_log(cat.booking, cat.package, cat.package_type, cat.place_admin, cat.users)
+    order = [("created_at", True), ("booking_id", False), ("admin_user_id", False)]
+    by_offset = [F.col("created_at").desc(), "booking_id", "admin_user_id"]
+    cursor = None
+    for n in range(1, 5):
+        want = [tuple(r) for r in page(log, by_offset, n, 15).collect()]
+        got = page_after(log, order, cursor, 15).collect()
+        assert [tuple(r) for r in got] == want
+        last = got[-1]
+        cursor = (last["created_at"], last["booking_id"], last["admin_user_id"])
