@@ -131,7 +131,7 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
 
 def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                 right_time: str, payload: Sequence[str], *, order: Sequence[str] = (),
-                bucket: str = "hour", inclusive: bool = True, prefix: str = "",
+                bucket: str = "minute", inclusive: bool = True, prefix: str = "",
                 left_keys: DataFrame | None = None) -> DataFrame:
     """Left rows plus the payload columns of the latest matching right row.
 
@@ -150,7 +150,7 @@ def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
 
 
 def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
-               right_time: str, *, name: str = "asof_count", bucket: str = "hour",
+               right_time: str, *, name: str = "asof_count", bucket: str = "minute",
                inclusive: bool = True, left_keys: DataFrame | None = None) -> DataFrame:
     """Left rows plus the number of right rows with equal key and time <= (or <) theirs."""
     j, out, extra = _run(left, right, by, left_time, right_time, None, (), bucket, inclusive,
@@ -160,7 +160,7 @@ def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
 
 def asof_latest_and_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                           right_time: str, payload: Sequence[str], *, order: Sequence[str] = (),
-                          bucket: str = "hour", inclusive: bool = True, prefix: str = "",
+                          bucket: str = "minute", inclusive: bool = True, prefix: str = "",
                           count_name: str = "asof_count") -> DataFrame:
     """Both answers from one pass."""
     j, out, extra = _run(left, right, by, left_time, right_time, payload, order, bucket,

@@ -33,14 +33,14 @@ def _is_banned() -> Column:
     return F.coalesce(F.col("latest_ban_lifted_at") > F.col("attempted_at"), F.lit(False))
 
 
-def ban_gate(attempts: DataFrame, member_ban: DataFrame, bucket: str = "hour") -> DataFrame:
+def ban_gate(attempts: DataFrame, member_ban: DataFrame, bucket: str = "minute") -> DataFrame:
     """Every attempt with its latest ban and ``reason_code`` 9998 / 0000."""
     x = _latest_ban(attempts, member_ban, bucket)
     return x.withColumn("reason_code", F.when(_is_banned(), C.ACCESS_BANNED).otherwise(C.OK))
 
 
 def role_gate(attempts: DataFrame, users: DataFrame, member_ban: DataFrame,
-              allowed: Sequence[str] | Column | None = None, bucket: str = "hour") -> DataFrame:
+              allowed: Sequence[str] | Column | None = None, bucket: str = "minute") -> DataFrame:
     """Full gate.  Unknown user 9999, banned 9998, role not allowed 9999, else 0000.
 
     ``allowed`` is a list of roles, an ``array<string>`` column, or ``None`` to
@@ -71,7 +71,7 @@ def endpoint_roles(spark: SparkSession) -> DataFrame:
 
 
 def endpoint_gate(attempts: DataFrame, users: DataFrame, member_ban: DataFrame,
-                  bucket: str = "hour") -> DataFrame:
+                  bucket: str = "minute") -> DataFrame:
     """Gate attempts that name an ``operation`` against the route table.
 
     The route table is fixed by code (one row per operation), so broadcasting

@@ -59,7 +59,7 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
 # --- M01 ---------------------------------------------------------------------------
 def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                    strict_capacity: bool = False, id_kind: str = "key",
-                   bucket: str = "hour", mode: str = "snapshot") -> DataFrame:
+                   bucket: str = "minute", mode: str = "snapshot") -> DataFrame:
     """Judge booking requests (id, member_user_id, package_id, requested_at).
 
     1019 invalid fields; 1020 unknown package; 1021 the package's PENDING count
@@ -310,7 +310,7 @@ def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
 
 # --- M08 ---------------------------------------------------------------------------
 def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFrame,
-                       id_kind: str = "key", bucket: str = "hour") -> DataFrame:
+                       id_kind: str = "key", bucket: str = "minute") -> DataFrame:
     """Judge ban requests (id, member_user_id, ban_reason, admin_user_id, requested_at).
 
     1025 invalid fields; 1026 unknown user; 1033 the user is an OWNER or ADMIN;
