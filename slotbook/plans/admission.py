@@ -26,6 +26,7 @@ from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.ids import stable_uuid
 from slotbook.operators.asof import asof_count, asof_latest
+from slotbook.operators.writes import apply_updates
 from slotbook.session import cut_lineage
 
 def _ttl():
@@ -308,6 +309,43 @@ def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
                      .alias("new_email"))
 
 
+def apply_place_admins(decisions: DataFrame, users: DataFrame,
+                       place_admin: DataFrame) -> dict[str, DataFrame]:
+    """Carry out accepted ``upsert_place_admins`` decisions.
+
+    Returns ``users`` (new version: UPDATE entries rewrite fullname, username and
+    is_active of that user (W01, one update per user or the job fails); CREATE
+    entries append ADMIN users (W02)), ``place_admin`` (new version with the
+    links of created admins) and ``admins`` (the response: updated and created
+    admins, concatenated with ``unionByName``; ids as text since created ids are
+    uuid-shaped).
+    """
+    acc = decisions.filter(F.col("reason_code") == C.OK)
+    upd = acc.filter(F.col("action") == "UPDATE").select(
+        F.col("admin_user_id").alias("id"), "place_id", "fullname", "username", "is_active")
+    new = acc.filter(F.col("action") == "CREATE").select(
+        F.col("new_user_id").alias("id"), "place_id", "fullname", "username", "is_active",
+        F.col("new_email").alias("email"))
+    users_v2 = apply_updates(users, upd.drop("place_id"), ["id"],
+                             ["fullname", "username", "is_active"], policy="error")
+    created_users = new.select(
+        "id", "fullname", F.lit(C.GENDER_MALE).alias("gender"), "username", "email",
+        F.lit(C.ROLE_ADMIN).alias("role"), F.lit(C.BAN_STATUS_ACTIVE).alias("ban_status"),
+        "is_active")
+    users_v2 = (users_v2.withColumn("id", F.col("id").cast("string"))
+                .unionByName(created_users, allowMissingColumns=True))
+    links = place_admin.withColumn("admin_user_id", F.col("admin_user_id").cast("string")) \
+        .unionByName(new.select(F.col("id").alias("admin_user_id"), "place_id"),
+                     allowMissingColumns=True)
+    updated = (upd.join(users.select("id", "role", "email"), "id")
+               .select(F.col("id").cast("string").alias("admin_user_id"), "place_id", "fullname",
+                       "username", "is_active", "role", "email", F.lit("UPDATE").alias("action")))
+    created = new.select(F.col("id").alias("admin_user_id"), "place_id", "fullname", "username",
+                         "is_active", F.lit(C.ROLE_ADMIN).alias("role"), "email",
+                         F.lit("CREATE").alias("action"))
+    return {"users": users_v2, "place_admin": links, "admins": updated.unionByName(created)}
+
+
 # --- M08 ---------------------------------------------------------------------------
 def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFrame,
                        id_kind: str = "key", bucket: str = "minute") -> DataFrame:

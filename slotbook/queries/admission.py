@@ -229,7 +229,7 @@ def q_update_places(spark, sf_dir):
 
 
 # --- M07 -------------------------------------------------------------------------------
-@register("upsert_place_admins", f"""
+UPSERT_SQL = f"""
 WITH e AS (SELECT *, NOT ({S.key('fullname')} AND {S.key('username')} AND is_active IS NOT NULL)
                    AS missing
            FROM admin_entry),
@@ -250,12 +250,30 @@ SELECT place_id, admin_user_id, fullname, username, is_active, reason_code,
             THEN {S.stable_uuid_sql('upsert_place_admins', 'place_id', 'username')} END AS new_user_id,
        CASE WHEN reason_code = '0000' AND admin_user_id IS NULL
             THEN concat(username, '@{C.ADMIN_EMAIL_DOMAIN}') END AS new_email
-FROM x""")
+FROM x"""
+
+
+@register("upsert_place_admins", UPSERT_SQL)
 def q_upsert_place_admins(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return M.upsert_place_admins(t.admin_entry, t.place_admin)
 
 
+@register("place_admins_response", "WITH d AS (" + UPSERT_SQL + """),
+acc AS (SELECT * FROM d WHERE reason_code = '0000')
+SELECT CAST(u.id AS VARCHAR) AS admin_user_id, a.place_id, a.fullname, a.username, a.is_active,
+       u.role, u.email, 'UPDATE' AS action
+FROM acc a JOIN users u ON u.id = a.admin_user_id
+WHERE a.action = 'UPDATE'
+UNION ALL
+SELECT new_user_id, place_id, fullname, username, is_active, 'ADMIN', new_email, 'CREATE'
+FROM acc WHERE action = 'CREATE'""")
+def q_place_admins_response(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    d = M.upsert_place_admins(t.admin_entry, t.place_admin)
+    return M.apply_place_admins(d, t.users, t.place_admin)["admins"]
+
+
 # --- M08 -------------------------------------------------------------------------------
 @register("admit_ban_requests", f"""
 WITH pend AS (SELECT member_user_id, created_at FROM member_ban WHERE approval_status = 'PENDING'),

@@ -306,3 +306,17 @@ def test_keyset_paging_equals_offset_paging(spark, cat):
         assert [tuple(r) for r in got] == want
         last = got[-1]
         cursor = (last["created_at"], last["booking_id"], last["admin_user_id"])
+
+
+def test_apply_place_admins_versions(spark, cat):
+    d = M.upsert_place_admins(cat.admin_entry, cat.place_admin)
+    out = M.apply_place_admins(d, cat.users, cat.place_admin)
+    acc = d.filter("reason_code = '0000'")
+    n_new = acc.filter("action = 'CREATE'").count()
+    assert out["users"].count() == cat.users.count() + n_new
+    assert out["place_admin"].count() == cat.place_admin.count() + n_new
+    upd = {r.admin_user_id: r.username for r in acc.filter("action = 'UPDATE'").collect()}
+    got = {int(r.id): r.username for r in out["users"].filter(F.col("id").isin(
+        [str(k) for k in upd])).collect()}
+    assert got == upd
+    assert "password" not in out["users"].columns
