@@ -431,3 +431,68 @@ def import_members(requests: DataFrame, users: DataFrame) -> DataFrame:
     cols = [c for c in requests.columns if c != "password"]
     return r.select(*cols, code.alias("reason_code"),
                     F.when(ok, F.lit(C.ROLE_MEMBER)).alias("role"))
+
+
+# --- table versions after the accepted decisions (W01 / W02) ------------------------
+def _text_ids(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("string"))
+    return df
+
+
+def apply_packages(decisions: DataFrame, package: DataFrame) -> DataFrame:
+    """M03 effect: package table plus the accepted packages (ids as text)."""
+    new = (decisions.filter(F.col("reason_code") == C.OK)
+           .select(F.col("new_package_id").alias("id"), "name", "capacity", "price", "place_id",
+                   "package_type_id"))
+    return _text_ids(package, "id").unionByName(new.select(*package.columns))
+
+
+def apply_place_updates(decisions: DataFrame, place: DataFrame, updated_at=None) -> DataFrame:
+    """M06 effect: new place version; two accepted updates of one place fail the job."""
+    upd = decisions.filter(F.col("reason_code") == C.OK).select("id", "name", "address",
+                                                                "max_capacity")
+    return apply_updates(place, upd, ["id"], ["name", "address", "max_capacity"], policy="error")
+
+
+def apply_ban_requests(decisions: DataFrame, member_ban: DataFrame,
+                       users: DataFrame) -> dict[str, DataFrame]:
+    """M08 effect: new PENDING ban requests (W02) and the members' ban status
+    set to PENDING (W01, keyed by the member: the intended form of K7)."""
+    acc = decisions.filter(F.col("reason_code") == C.OK)
+    new = acc.select(F.col("new_ban_id").alias("id"), "member_user_id",
+                     F.lit(C.BAN_APPROVAL_PENDING).alias("approval_status"), "ban_reason",
+                     F.lit(None).cast("timestamp_ntz").alias("ban_lifted_at"),
+                     F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+                     F.col("requested_at").alias("created_at"))
+    bans = _text_ids(member_ban, "id").unionByName(new.select(*member_ban.columns))
+    status = acc.select(F.col("member_user_id").alias("id"),
+                        F.col("user_ban_status").alias("ban_status"), "requested_at")
+    users_v2 = apply_updates(users, status, ["id"], ["ban_status"], order_by="requested_at",
+                             policy="last")
+    return {"member_ban": bans, "users": users_v2}
+
+
+def apply_ban_decisions(decisions: DataFrame, member_ban: DataFrame,
+                        users: DataFrame) -> dict[str, DataFrame]:
+    """M09 effect: decided requests get status, lift time and ``updated_at``
+    (W01, one decision per request); each member takes the status of their
+    latest accepted decision (W01, last by decision time)."""
+    acc = decisions.filter(F.col("reason_code") == C.OK)
+    users_v2 = apply_updates(
+        users, acc.select(F.col("member_user_id").alias("id"),
+                          F.col("user_ban_status").alias("ban_status"), "decided_at"),
+        ["id"], ["ban_status"], order_by="decided_at", policy="last")
+    bans_v2 = apply_updates(
+        member_ban, acc.select(F.col("ban_request_id").alias("id"), "approval_status",
+                               "ban_lifted_at", F.col("decided_at").alias("updated_at")),
+        ["id"], ["approval_status", "ban_lifted_at", "updated_at"], policy="error")
+    return {"member_ban": bans_v2, "users": users_v2}
+
+
+def apply_signups(decisions: DataFrame, users: DataFrame) -> DataFrame:
+    """M10 effect: users plus the accepted members (ids kept; role MEMBER)."""
+    new = (decisions.filter(F.col("reason_code") == C.OK)
+           .select("id", "fullname", "gender", "username", "email", "role",
+                   F.lit(C.BAN_STATUS_ACTIVE).alias("ban_status"), F.lit(True).alias("is_active")))
+    return users.unionByName(new, allowMissingColumns=True)

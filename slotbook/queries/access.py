@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from slotbook import constants as C
-from slotbook.operators.writes import apply_updates
 from slotbook.plans import access as A
 from slotbook.plans import admission as M
 from slotbook.registry import catalog, register
@@ -66,16 +63,9 @@ AS_OF = "2024-01-20 00:00:00"
 
 def decided_state(t):
     """users and member_ban after applying the accepted ban decisions (M09 + W01)."""
-    d = M.decide_ban_requests(t.ban_decision, t.member_ban).filter(F.col("reason_code") == C.OK)
-    users2 = apply_updates(
-        t.users, d.select(F.col("member_user_id").alias("id"),
-                          F.col("user_ban_status").alias("ban_status"), "decided_at"),
-        ["id"], ["ban_status"], order_by="decided_at", policy="last")
-    bans2 = apply_updates(
-        t.member_ban, d.select(F.col("ban_request_id").alias("id"), "approval_status",
-                               "ban_lifted_at", F.col("decided_at").alias("updated_at")),
-        ["id"], ["approval_status", "ban_lifted_at", "updated_at"], policy="error")
-    return users2, bans2
+    d = M.decide_ban_requests(t.ban_decision, t.member_ban)
+    out = M.apply_ban_decisions(d, t.member_ban, t.users)
+    return out["users"], out["member_ban"]
 
 
 DECIDED_SQL = """

@@ -9,7 +9,7 @@ from slotbook.functions import validate as V
 from slotbook.operators.writes import append_rows, apply_updates
 from slotbook.plans import admission as M
 from slotbook.queries import _sql as S
-from slotbook.registry import catalog, register
+from slotbook.registry import RAW_SQL, catalog, register
 
 
 def _uuid_if_ok(job: str, *keys: str) -> str:
@@ -365,3 +365,51 @@ def q_validate_signups(spark, sf_dir):
     v = V.validate_fields(t.member_signup, V.signup_rules())
     return v.select("id", F.size("errors").alias("error_count"),
                     F.array_join("errors", " | ").alias("errors_text"))
+
+
+# --- table versions after the decisions (W01 / W02) --------------------------------------
+@register("packages_after_admission", f"""
+SELECT CAST(id AS VARCHAR) AS id, name, capacity, price, place_id, package_type_id FROM package
+UNION ALL
+SELECT new_package_id, name, capacity, price, place_id, package_type_id
+FROM ({RAW_SQL['admit_packages']}) d WHERE reason_code = '0000'""")
+def q_packages_after_admission(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    d = M.admit_packages(t.package_request, t.place, t.place_admin, t.package, t.package_type)
+    return M.apply_packages(d, t.package)
+
+
+@register("places_after_update", f"""
+WITH acc AS (SELECT * FROM ({RAW_SQL['update_places']}) d WHERE reason_code = '0000')
+SELECT p.id,
+       CASE WHEN a.id IS NOT NULL THEN a.name ELSE p.name END AS name,
+       CASE WHEN a.id IS NOT NULL THEN a.max_capacity ELSE p.max_capacity END AS max_capacity,
+       CASE WHEN a.id IS NOT NULL THEN a.address ELSE p.address END AS address,
+       p.owner_user_id, p.city_id
+FROM place p LEFT JOIN acc a ON a.id = p.id""")
+def q_places_after_update(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    return M.apply_place_updates(M.update_places(t.place_update, t.place), t.place)
+
+
+@register("member_ban_after_requests", f"""
+SELECT CAST(id AS VARCHAR) AS id, member_user_id, approval_status, ban_reason, ban_lifted_at,
+       updated_at, created_at
+FROM member_ban
+UNION ALL
+SELECT new_ban_id, member_user_id, 'PENDING', ban_reason, NULL, NULL, requested_at
+FROM ({RAW_SQL['admit_ban_requests']}) d WHERE reason_code = '0000'""")
+def q_member_ban_after_requests(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    d = M.admit_ban_requests(t.ban_request, t.users, t.member_ban)
+    return M.apply_ban_requests(d, t.member_ban, t.users)["member_ban"]
+
+
+@register("users_after_signup", f"""
+SELECT * FROM users
+UNION ALL
+SELECT id, fullname, gender, username, email, role, 'ACTIVE', true, NULL
+FROM ({RAW_SQL['import_members']}) d WHERE reason_code = '0000'""")
+def q_users_after_signup(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    return M.apply_signups(M.import_members(t.member_signup, t.users), t.users)

@@ -17,12 +17,14 @@ from slotbook.sources.views import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+RAW_SQL: dict[str, str] = {}   # oracle SQL before the view CTEs are inlined
 
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
         if sql is not None:
+            RAW_SQL[key] = sql
             ORACLE[key] = with_views(sql)
         return fn
     return deco
