@@ -35,7 +35,8 @@ _B, _T, _SIDE, _LEFT, _PAY = "__b", "__t", "__side", "__left", "__pay"
 
 
 def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str,
-          payload: Sequence[str] | None, order: Sequence[str], bucket: str, inclusive: bool):
+          payload: Sequence[str] | None, order: Sequence[str], bucket: str, inclusive: bool,
+          weight: str | None = None):
     by = list(by)
     left_cols = left.columns
     # Right rows first on a time tie when the lookup is inclusive (<=).
@@ -48,21 +49,23 @@ def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                  F.lit(right_side).alias(_SIDE),
                  *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)],
                  F.lit(None).cast(left.select(F.struct(*left_cols)).schema[0].dataType).alias(_LEFT),
-                 pay.alias(_PAY)))
+                 pay.alias(_PAY),
+                 (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")))
     lt = left.select(*[F.col(k) for k in by], F.col(left_time).alias(_T),
                      F.date_trunc(bucket, F.col(left_time)).alias(_B),
                      F.lit(left_side).alias(_SIDE),
                      *[F.lit(None).cast(right.schema[o].dataType).alias(f"__o{i}")
                        for i, o in enumerate(order)],
                      F.struct(*[F.col(c) for c in left_cols]).alias(_LEFT),
-                     F.lit(None).cast(r.schema[_PAY].dataType).alias(_PAY))
+                     F.lit(None).cast(r.schema[_PAY].dataType).alias(_PAY),
+                     F.lit(0).cast("long").alias("__w"))
     return by, left_cols, r, lt
 
 
 def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusive,
-         want_latest, want_count, left_keys=None):
+         want_latest, want_count, left_keys=None, weight=None):
     by, left_cols, r, lt = _prep(left, right, by, left_time, right_time, payload, order,
-                                 bucket, inclusive)
+                                 bucket, inclusive, weight)
     right_side = 0 if inclusive else 1
     o_cols = [f"__o{i}" for i in range(len(order))]
 
@@ -77,7 +80,7 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
         aggs.append(F.max_by(F.col(_PAY), F.struct(F.col(_T), *[F.col(c) for c in o_cols]))
                     .alias(_PAY))
     if want_count:
-        aggs.append(F.count(F.lit(1)).alias("__n"))
+        aggs.append(F.sum("__w").alias("__n"))
     summary = r.groupBy(*by, _B).agg(*aggs).withColumn("__k", F.lit(1))
     # Buckets that hold left rows.  ``left_keys`` may supply them from a
     # cheaper frame than ``left`` (a superset is fine: a carry row for a bucket
@@ -108,8 +111,8 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
     # (key, bucket).  The carry row sorts first in its bucket (null time,
     # side -1), so a running last()/sum() over the bucket already includes
     # everything before the bucket.
-    rows = (r.withColumn("__c", F.lit(1).cast("long"))
-            .unionByName(lt.withColumn("__c", F.lit(0).cast("long")))
+    rows = (r.withColumnRenamed("__w", "__c")
+            .unionByName(lt.withColumnRenamed("__w", "__c"))
             .unionByName(carry))
     w = (Window.partitionBy(*by, _B).orderBy(_T, _SIDE, *o_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -151,10 +154,15 @@ def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
 
 def asof_count(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
                right_time: str, *, name: str = "asof_count", bucket: str = "minute",
-               inclusive: bool = True, left_keys: DataFrame | None = None) -> DataFrame:
-    """Left rows plus the number of right rows with equal key and time <= (or <) theirs."""
+               inclusive: bool = True, left_keys: DataFrame | None = None,
+               weight: str | None = None) -> DataFrame:
+    """Left rows plus the number of right rows with equal key and time <= (or <) theirs.
+
+    With ``weight`` (an integral column of ``right``) the rows' weights are
+    summed instead: +1 / -1 events give "how many were open at that time".
+    """
     j, out, extra = _run(left, right, by, left_time, right_time, None, (), bucket, inclusive,
-                         False, True, left_keys)
+                         False, True, left_keys, weight)
     return j.select(*out, extra["n"].alias(name))
 
 

@@ -352,16 +352,24 @@ def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFr
     """Judge ban requests (id, member_user_id, ban_reason, admin_user_id, requested_at).
 
     1025 invalid fields; 1026 unknown user; 1033 the user is an OWNER or ADMIN;
-    1027 a PENDING ban request for the member exists at request time; else a new
-    PENDING request, and the member's ban_status becomes PENDING.
+    1027 a ban request for the member was pending at request time (created at
+    or before it and not decided by then); else a new PENDING request, and the
+    member's ban_status becomes PENDING.
     """
     u = users.select(F.col("id").alias("member_user_id"), F.col("role").alias("__role"))
-    pend = (member_ban.filter(F.col("approval_status") == C.BAN_APPROVAL_PENDING)
-            .select("member_user_id", F.col("created_at").alias("__bt")))
+    # Every ban request was PENDING from its creation until its decision
+    # (updated_at of a decided request): +1 at creation, -1 at decision, and the
+    # running sum at request time is the number of requests pending then.
+    decided = (F.col("approval_status") != C.BAN_APPROVAL_PENDING) & F.col("updated_at").isNotNull()
+    known = member_ban.filter((F.col("approval_status") == C.BAN_APPROVAL_PENDING) | decided)
+    opened = known.select("member_user_id", F.col("created_at").alias("__bt"),
+                          F.lit(1).alias("__sign"))
+    closed = member_ban.filter(decided).select("member_user_id", F.col("updated_at").alias("__bt"),
+                                               F.lit(-1).alias("__sign"))
     r = (requests.withColumn("__bad", _has_errors(V.ban_request_rules(id_kind)))
          .join(u, "member_user_id", "left"))
-    r = asof_count(r, pend, ["member_user_id"], "requested_at", "__bt", name="__npend",
-                   bucket=bucket)
+    r = asof_count(r, opened.unionByName(closed), ["member_user_id"], "requested_at", "__bt",
+                   name="__npend", bucket=bucket, weight="__sign")
     code = _chain([
         (F.col("__bad"), C.BAN_REQUEST_FIELDS),
         (F.col("__role").isNull(), C.BAN_REQUEST_USER_MISSING),

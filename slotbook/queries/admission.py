@@ -276,10 +276,14 @@ def q_place_admins_response(spark, sf_dir):
 
 # --- M08 -------------------------------------------------------------------------------
 @register("admit_ban_requests", f"""
-WITH pend AS (SELECT member_user_id, created_at FROM member_ban WHERE approval_status = 'PENDING'),
+WITH pend AS (SELECT member_user_id, created_at,
+                     CASE WHEN approval_status <> 'PENDING' THEN updated_at END AS decided_at
+              FROM member_ban
+              WHERE approval_status = 'PENDING' OR updated_at IS NOT NULL),
 r AS (SELECT q.*, u.role FROM ban_request q LEFT JOIN users u ON u.id = q.member_user_id),
 c AS (SELECT r.id, count(p.created_at) AS n FROM r
       LEFT JOIN pend p ON p.member_user_id = r.member_user_id AND p.created_at <= r.requested_at
+                      AND (p.decided_at IS NULL OR p.decided_at > r.requested_at)
       GROUP BY r.id),
 x AS (SELECT r.id, r.member_user_id, r.ban_reason, r.admin_user_id, r.requested_at,
              CASE WHEN {S.any_bad(S.key('r.member_user_id'), S.alpha('r.ban_reason'))} THEN '1025'

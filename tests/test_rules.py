@@ -320,3 +320,28 @@ def test_apply_place_admins_versions(spark, cat):
         [str(k) for k in upd])).collect()}
     assert got == upd
     assert "password" not in out["users"].columns
+
+
+def test_ban_request_pending_only_until_decided(spark):
+    users = df(spark, [(7, "MEMBER")], "id bigint, role string")
+    bans = df(spark, [(1, 7, "BANNED", ts(hours=2), T0)],     # pending from T0 to T0+2h
+              "id bigint, member_user_id bigint, approval_status string, updated_at timestamp_ntz, "
+              "created_at timestamp_ntz")
+    req = df(spark, [(10, 7, "late show", 1, ts(hours=1)),    # while pending -> 1027
+                     (11, 7, "late show", 1, ts(hours=2)),    # decided at that instant -> ok
+                     (12, 7, "late show", 1, ts(hours=-1))],  # before it was filed -> ok
+             "id bigint, member_user_id bigint, ban_reason string, admin_user_id bigint, "
+             "requested_at timestamp_ntz")
+    assert codes(M.admit_ban_requests(req, users, bans)) == {
+        10: C.BAN_REQUEST_EXISTS, 11: C.OK, 12: C.OK}
+
+
+def test_asof_weighted_sum(spark):
+    from slotbook.operators.asof import asof_count
+    events = df(spark, [(1, T0, 1), (1, ts(hours=1), 1), (1, ts(hours=2), -1), (1, ts(days=3), -1)],
+                "k bigint, at timestamp_ntz, w int")
+    probe = df(spark, [(i, 1, ts(hours=h)) for i, h in enumerate([-1, 0, 1.5, 2, 80])],
+               "id int, k bigint, t timestamp_ntz")
+    got = {r.id: r.open for r in asof_count(probe, events, ["k"], "t", "at", name="open",
+                                             weight="w").collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 0}
