@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from slotbook import constants as C
@@ -290,10 +289,6 @@ def test_row_order_independence(spark, cat):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_row_is_a_row():
-    assert Row(a=1).a == 1
-
-
 def test_keyset_paging_equals_offset_paging(spark, cat):
     from slotbook.functions.paging import page_after
     log = R.booking_log(cat.booking, cat.package, cat.package_type, cat.place_admin, cat.users)
@@ -345,3 +340,31 @@ def test_asof_weighted_sum(spark):
     got = {r.id: r.open for r in asof_count(probe, events, ["k"], "t", "at", name="open",
                                              weight="w").collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 0}
+
+
+def test_place_detail_options(spark, cat):
+    ids = cat.place.select(F.col("id").alias("place_id"))
+    flat = P.place_detail_owner(cat.place, cat.place_admin, cat.users, ids)
+    nested = P.place_detail_owner(cat.place, cat.place_admin, cat.users, ids, nested=True)
+    assert nested.count() == ids.count()
+    rows = {r.place_id: r for r in nested.collect()}
+    for r in flat.filter("reason_code = '0000'").collect():
+        assert r.admin_id in [a.admin_id for a in rows[r.place_id].admins]
+    for r in rows.values():
+        if r.admins:
+            assert [a.admin_id for a in r.admins] == sorted(a.admin_id for a in r.admins)
+        else:
+            assert r.reason_code == "1012"
+    strict = P.place_detail_member(cat.place, cat.package, cat.booking, cat.city, ids)
+    loose = P.place_detail_member(cat.place, cat.package, cat.booking, cat.city, ids,
+                                  keep_empty=True)
+    assert (loose.filter("reason_code = '1012'").count()
+            <= strict.filter("reason_code = '1012'").count())
+
+
+def test_listing_page_first(spark, cat):
+    full = P.places_owner_view(cat.place, cat.place_admin)
+    first = P.places_owner_view(cat.place, cat.place_admin, page=1, limit=4, page_first=True)
+    # page the place table by id first, then drop places without admins
+    ids = [r.id for r in cat.place.orderBy("id").limit(4).collect()]
+    assert {r.id for r in first.collect()} == {r.id for r in full.collect() if r.id in ids}
