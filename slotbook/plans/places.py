@@ -52,15 +52,17 @@ def _pending_capacity_per_place(package: DataFrame, booking: DataFrame) -> DataF
 # --- R10 ---------------------------------------------------------------------------
 def places_owner_view(place: DataFrame, place_admin: DataFrame,
                       city_patterns: Sequence[str] | None = None, page: int | None = None,
-                      limit: int = C.DEFAULT_LIMIT, page_first: bool = False) -> DataFrame:
+                      limit: int = C.DEFAULT_LIMIT, page_first: bool = False,
+                      owner_id=None) -> DataFrame:
     """Places in the matching cities with their admin count; places without admins drop out.
 
     ``page_first=True`` reproduces the source's "page the place table, then
     join and filter" order (pages over place id); the default filters first.
+    ``owner_id`` narrows the list to one owner's places (the source lists all).
     """
-    p = place
+    p = place if owner_id is None else place.filter(F.col("owner_user_id") == F.lit(owner_id))
     if page_first and page is not None:
-        p = take_page(place, ["id"], page, limit)
+        p = take_page(p, ["id"], page, limit)
     out = (p.filter(city_filter(F.col("city_id"), city_patterns))
            .join(_admin_counts(place_admin).withColumnRenamed("place_id", "id"), "id")
            .select("id", "name", "max_capacity", "admin_count", "address"))
@@ -91,7 +93,7 @@ def places_member_view(place: DataFrame, package: DataFrame, booking: DataFrame,
 
 # --- R12 ---------------------------------------------------------------------------
 def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFrame,
-                       place_ids: DataFrame, nested: bool = False) -> DataFrame:
+                       place_ids: DataFrame, nested: bool = False, admin_id=None) -> DataFrame:
     """Header (as R10) of each requested place (column ``place_id``) plus its admins.
 
     Flat form (default): one row per (place, admin), header repeated; a place
@@ -99,7 +101,12 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
     form is a join, so a place with very many admins is spread over tasks.
     ``nested=True`` returns one row per place with an ``admins`` array sorted by
     id; use it for scoped requests, it gathers each place's admins in one row.
+    ``admin_id`` gives an admin the detail of the place they manage only
+    (other requested places are "not found").
     """
+    if admin_id is not None:
+        managed = place_admin.filter(F.col("admin_user_id") == F.lit(admin_id)).select("place_id")
+        place = place.join(managed.withColumnRenamed("place_id", "id"), "id", "left_semi")
     header = (place.join(_admin_counts(place_admin).withColumnRenamed("place_id", "id"), "id")
               .select(F.col("id").alias("place_id"), "name", "max_capacity", "admin_count",
                       "address", F.lit(True).alias("_found")))

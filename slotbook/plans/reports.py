@@ -83,13 +83,23 @@ def ongoing_by_member(booking: DataFrame, package: DataFrame, place: DataFrame,
 
 # --- R05 ---------------------------------------------------------------------------
 def booking_detail(ids: DataFrame, booking: DataFrame, package: DataFrame,
-                   package_type: DataFrame, users: DataFrame, id_kind: str = "key") -> DataFrame:
+                   package_type: DataFrame, users: DataFrame, id_kind: str = "key",
+                   admin_id=None, place_admin: DataFrame | None = None) -> DataFrame:
     """Detail of every requested booking id (column ``booking_id``), with a reason code.
 
     1023 malformed id, 1024 no such booking, 1000 the booking exists but its
     package, type or member is missing (the source application fails the
     request there), 0000 found.  No status filter, as in the source.
+    ``admin_id`` (with ``place_admin``) limits the lookup to bookings at the
+    admin's place (others are 1024); the source does not check this.
     """
+    if admin_id is not None:
+        if place_admin is None:
+            raise ValueError("admin_id needs the place_admin table")
+        mine = place_admin.filter(F.col("admin_user_id") == F.lit(admin_id)).select("place_id")
+        package = package.join(mine, "place_id", "left_semi")
+        booking = booking.join(package.select(F.col("id").alias("package_id")), "package_id",
+                               "left_semi")
     b = booking.select(F.col("id").alias("booking_id"), F.col("id").alias("_found"),
                        "member_user_id", "package_id", "created_at")
     pk = package.select(F.col("id").alias("package_id"), F.col("id").alias("_pk"),
@@ -145,14 +155,23 @@ def booking_log(booking: DataFrame, package: DataFrame, package_type: DataFrame,
 
 # --- R07 ---------------------------------------------------------------------------
 def profit_by_day(booking: DataFrame, package: DataFrame, page: int | None = None,
-                  limit: int = C.DEFAULT_LIMIT) -> DataFrame:
+                  limit: int = C.DEFAULT_LIMIT, place: DataFrame | None = None,
+                  owner_id=None) -> DataFrame:
     """Sum of package price over COMPLETED bookings per calendar day of creation.
 
     The day is returned as text under the name ``created_at``; the sum is cast
     to int and overflows with an error, as ``::int`` does.  Bookings are first
     counted per (package, day): the map-side partial aggregate folds a hot
     package, and only one row per (package, day) meets the package table.
+    ``owner_id`` (with ``place``) restricts the report to that owner's places;
+    the source reports over all places.
     """
+    if owner_id is not None:
+        if place is None:
+            raise ValueError("owner_id needs the place table")
+        owned = place.filter(F.col("owner_user_id") == F.lit(owner_id)).select(
+            F.col("id").alias("place_id"))
+        package = package.join(owned, "place_id", "left_semi")
     per_pkg_day = (booking.filter(F.col("order_status") == C.ORDER_COMPLETED)
                    .groupBy("package_id", F.to_date("created_at").alias("day"))
                    .agg(F.count(F.lit(1)).alias("n")))

@@ -368,3 +368,28 @@ def test_listing_page_first(spark, cat):
     # page the place table by id first, then drop places without admins
     ids = [r.id for r in cat.place.orderBy("id").limit(4).collect()]
     assert {r.id for r in first.collect()} == {r.id for r in full.collect() if r.id in ids}
+
+
+def test_caller_scopes(spark, cat):
+    owner = 2000001
+    mine = {r.id for r in cat.place.filter(F.col("owner_user_id") == owner).collect()}
+    listed = {r.id for r in P.places_owner_view(cat.place, cat.place_admin, owner_id=owner).collect()}
+    assert listed and listed <= mine
+    total = sum(r.profit for r in R.profit_by_day(cat.booking, cat.package).collect())
+    parts = sum(sum(r.profit for r in R.profit_by_day(cat.booking, cat.package, place=cat.place,
+                                                      owner_id=o).collect())
+                for o in (2000000, 2000001, 2000002))
+    assert parts == total
+    admin = cat.place_admin.first()
+    ids = cat.place.select(F.col("id").alias("place_id"))
+    got = P.place_detail_owner(cat.place, cat.place_admin, cat.users, ids,
+                               admin_id=admin.admin_user_id).filter("reason_code = '0000'")
+    assert {r.place_id for r in got.collect()} == {admin.place_id}
+    ids = cat.booking.select(F.col("id").alias("booking_id"))
+    d = R.booking_detail(ids, cat.booking, cat.package, cat.package_type, cat.users,
+                         admin_id=admin.admin_user_id, place_admin=cat.place_admin)
+    found = {r.booking_id for r in d.filter("reason_code = '0000'").collect()}
+    log = {r.booking_id for r in R.booking_log(cat.booking, cat.package, cat.package_type,
+                                               cat.place_admin, cat.users,
+                                               admin_id=admin.admin_user_id).collect()}
+    assert found == log
