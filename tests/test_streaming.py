@@ -52,3 +52,31 @@ def test_profit_stream_equals_report(spark, cat):
     got = jobs.run_profit(spark, stream, cat.first_part, cat.package)
     want = profit_by_day(cat.booking, cat.package)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_expiry_drops_rows_behind_the_watermark(spark, cat):
+    import datetime as dt
+    landing = scratch_path(spark, "landing-late")
+    events = cat.raw("events")
+    events.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(landing)
+    out = scratch_path(spark, "late-out")
+    with jobs.utc_session(spark):
+        q = (jobs.expiry_stream(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", scratch_path(spark, "late-ckpt"))
+             .outputMode("append").start())
+        try:
+            q.processAllAvailable()
+            q.processAllAvailable()
+            before = spark.read.parquet(out).count()
+            # a click far behind the watermark: late, dropped by the join
+            late = spark.createDataFrame(
+                [(999999, dt.datetime(2024, 1, 2), 3, "click", 1.0, "{}")], RAW_SCHEMAS["events"])
+            late.coalesce(1).write.mode("append").parquet(landing)
+            q.processAllAvailable()
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    got = spark.read.parquet(out)
+    assert got.count() == before
+    assert got.filter("booking_id = 999999").count() == 0
