@@ -42,7 +42,8 @@ def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     # Right rows first on a time tie when the lookup is inclusive (<=).
     right_side, left_side = (0, 1) if inclusive else (1, 0)
     pay = F.struct(*[F.col(c) for c in payload]) if payload else F.lit(None)
-    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
+    # Null keys and null times match nothing (equi-join / comparison semantics).
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*by, right_time]])
     r = (right.filter(has_key)
          .select(*[F.col(k) for k in by], F.col(right_time).alias(_T),
                  F.date_trunc(bucket, F.col(right_time)).alias(_B),

@@ -88,3 +88,11 @@ def test_left_keys_superset_gives_same_answer(spark):
     b = asof_latest(L, R, ["k"], "lt", "rt", ["v"], order=["rid"], prefix="x_",
                     left_keys=L.unionByName(extra))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_null_times_match_nothing(spark):
+    L = spark.createDataFrame([(1, 1, None), (2, 1, dt.datetime(2024, 1, 2))], LEFT)
+    R = spark.createDataFrame([(1, 1, None, "a"), (2, 1, dt.datetime(2024, 1, 1), "b")], RIGHT)
+    got = {r.lid: (r.x_v, r.n) for r in asof_latest_and_count(
+        L, R, ["k"], "lt", "rt", ["v"], prefix="x_", count_name="n").collect()}
+    assert got == {1: (None, 0), 2: ("b", 1)}
