@@ -89,3 +89,21 @@ def cut_lineage(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist(blocking=False)
+
+
+def scale_conf(largest_shuffle_bytes: int, partition_bytes: int = 256 << 20,
+               max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings that size partitions for a given data volume.
+
+    ``largest_shuffle_bytes`` is the expected size of the biggest shuffle (for
+    the booking jobs: the booking or event table after column pruning).  The
+    shuffle gets enough partitions for ``partition_bytes`` each, and AQE
+    coalesces the ones that turn out small; scans split at the same size.
+    """
+    parts = max(1, min(max_partitions, -(-largest_shuffle_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
