@@ -30,6 +30,10 @@ def _fanout(n: Column) -> Column:
     return F.array_repeat(F.lit(0), F.greatest(n.cast("int"), F.lit(0)))
 
 
+STATE_TABLES = ("city", "package_type", "place", "place_admin", "package", "booking", "users",
+                "member_ban")
+
+
 class Catalog:
     """Lazily built domain views for one scale-factor directory."""
 
@@ -38,6 +42,24 @@ class Catalog:
         self.sf_dir = sf_dir
         self._raw: dict[str, DataFrame] = {}
 
+    def materialize(self, path: str, names=STATE_TABLES) -> "StoredCatalog":
+        """Write the named views as parquet tables under ``path`` and return a
+        catalog that reads them.
+
+        The views stand in for stored tables; materialising them once lets a
+        batch of jobs share one derivation, and ``booking`` is partitioned by
+        creation day so date filters prune whole partitions.  ``path`` must be
+        on shared storage (use ``session.scratch_path``).
+        """
+        for name in names:
+            df = getattr(self, name)
+            w = df.write.mode("overwrite")
+            if name == "booking":
+                df = df.withColumn("created_day", F.to_date("created_at"))
+                w = df.repartition("created_day").write.mode("overwrite").partitionBy("created_day")
+            w.parquet(f"{path.rstrip('/')}/{name}")
+        return StoredCatalog(self, path, names)
+
     def raw(self, name: str) -> DataFrame:
         """One reader per table and catalog: the file listing is done once, and
         every view reading the table shares the same (lazy) scan definition."""
@@ -288,6 +310,26 @@ class Catalog:
              .otherwise(F.concat(F.lit("m"), k.cast("string"), F.lit("@example.com"))).alias("email"))
 
 
+class StoredCatalog:
+    """A catalog whose state tables are read from materialised parquet tables;
+    every other view falls through to the source catalog."""
+
+    def __init__(self, source: Catalog, path: str, names):
+        self._source, self._path, self._names = source, path.rstrip("/"), set(names)
+        self.spark, self.sf_dir = source.spark, source.sf_dir
+        self._cache: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._names:
+            return getattr(self._source, name)
+        if name not in self._cache:
+            df = self.spark.read.parquet(f"{self._path}/{name}")
+            if name == "booking":
+                df = df.select(*self._source.booking.columns, "created_day")
+            self._cache[name] = df
+        return self._cache[name]
+
+
 # ---- event-shaped views, usable on batch and streaming DataFrames -------------------
 def booking_from(orders: DataFrame, first_part: DataFrame) -> DataFrame:
     """Bookings from orders (batch or stream) and the static order -> package table."""

@@ -393,3 +393,15 @@ def test_caller_scopes(spark, cat):
                                                cat.place_admin, cat.users,
                                                admin_id=admin.admin_user_id).collect()}
     assert found == log
+
+
+def test_materialized_catalog_same_results_and_pruning(spark, cat):
+    from slotbook.session import scratch_path
+    stored = cat.materialize(scratch_path(spark, "stored"))
+    a = R.profit_by_day(cat.booking, cat.package)
+    b = R.profit_by_day(stored.booking.drop("created_day"), stored.package)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    day = stored.booking.filter(F.col("created_day") == F.lit("1995-03-01").cast("date"))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_day" in plan
+    assert stored.live_booking.count() == cat.live_booking.count()   # falls through
