@@ -309,6 +309,44 @@ def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
                      .alias("new_email"))
 
 
+def upsert_place_admins_nested(requests: DataFrame, place_admin: DataFrame,
+                               id_kind: str = "key") -> DataFrame:
+    """M07 on requests in the source's shape: one row per place with an
+    ``admins`` array of structs (admin_user_id or null, fullname, username,
+    is_active).  The per-place checks are array expressions (``size``,
+    ``forall``) on the request row itself; accepted and refused requests are
+    then flattened with ``inline`` into the same output as
+    ``upsert_place_admins``.
+    """
+    admins = F.col("admins")
+
+    def missing(a: Column) -> Column:
+        return (~V.passes(V.not_empty(a["fullname"])) | ~V.passes(V.not_empty(a["username"]))
+                | a["is_active"].isNull())
+
+    code = _chain([
+        (~V.passes(V.valid_id(F.col("place_id"), id_kind)), C.PLACE_ADMINS_BAD_ID),
+        (admins.isNull() | ~F.size(admins).between(C.ARRAY_MIN_ITEMS, C.ARRAY_MAX_ITEMS),
+         C.PLACE_ADMINS_FIELDS),
+        (~F.forall(admins, lambda a: ~missing(a)), C.PLACE_ADMINS_INVALID_ENTRY),
+    ])
+    flat = (requests.withColumn("reason_code", code)
+            .select("place_id", "reason_code", F.inline_outer("admins")))
+    pa = place_admin.select("admin_user_id", "place_id", F.lit(True).alias("__m"))
+    r = flat.join(pa, ["admin_user_id", "place_id"], "left")
+    ok = F.col("reason_code") == C.OK
+    create = F.col("admin_user_id").isNull()
+    return r.select("place_id", "admin_user_id", "fullname", "username", "is_active",
+                    "reason_code",
+                    F.when(ok, F.when(create, "CREATE").otherwise("UPDATE")).alias("action"),
+                    F.col("__m").isNotNull().alias("managed"),
+                    F.when(ok & create, stable_uuid("upsert_place_admins", F.col("place_id"),
+                                                    F.col("username"))).alias("new_user_id"),
+                    F.when(ok & create, F.concat(F.col("username"),
+                                                 F.lit("@" + C.ADMIN_EMAIL_DOMAIN)))
+                     .alias("new_email"))
+
+
 def apply_place_admins(decisions: DataFrame, users: DataFrame,
                        place_admin: DataFrame) -> dict[str, DataFrame]:
     """Carry out accepted ``upsert_place_admins`` decisions.

@@ -405,3 +405,20 @@ def test_materialized_catalog_same_results_and_pruning(spark, cat):
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_day" in plan
     assert stored.live_booking.count() == cat.live_booking.count()   # falls through
+
+
+def test_nested_admin_requests_equal_flat(spark, cat):
+    flat = M.upsert_place_admins(cat.admin_entry, cat.place_admin)
+    nested_req = (cat.admin_entry.groupBy("place_id")
+                  .agg(F.collect_list(F.struct("admin_user_id", "fullname", "username",
+                                               "is_active")).alias("admins")))
+    nested = M.upsert_place_admins_nested(nested_req, cat.place_admin)
+    assert (sorted(map(tuple, nested.collect()), key=repr)
+            == sorted(map(tuple, flat.select(*nested.columns).collect()), key=repr))
+    too_many = spark.createDataFrame(
+        [(5, [(None, f"Ann {chr(97 + i)}", f"u{i}", True) for i in range(11)]), (6, [])],
+        "place_id bigint, admins array<struct<admin_user_id:bigint,fullname:string,"
+        "username:string,is_active:boolean>>")
+    got = {(r.place_id, r.reason_code) for r in
+           M.upsert_place_admins_nested(too_many, cat.place_admin).collect()}
+    assert got == {(5, C.PLACE_ADMINS_FIELDS), (6, C.PLACE_ADMINS_FIELDS)}
