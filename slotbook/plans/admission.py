@@ -463,14 +463,23 @@ def import_members(requests: DataFrame, users: DataFrame) -> DataFrame:
     """
     has_pw = "password" in requests.columns
     r = requests.withColumn("__bad", _has_errors(V.signup_rules(with_password=has_pw)))
-    taken_u = users.groupBy(F.col("username")).agg(F.lit(True).alias("__tu"))
-    taken_e = users.groupBy(F.col("email")).agg(F.lit(True).alias("__te"))
-    valid = ~F.col("__bad")
-    first_u = (r.filter(valid).groupBy("username").agg(F.min("id").alias("__fu")))
-    first_e = (r.filter(valid).groupBy("email").agg(F.min("id").alias("__fe")))
-    r = (r.join(taken_u, "username", "left").join(taken_e, "email", "left")
-         .join(first_u, "username", "left").join(first_e, "email", "left"))
-    dup = (F.col("__tu").isNotNull() | F.col("__te").isNotNull()
+    valid_ids = r.filter(~F.col("__bad"))
+    id_type = requests.schema["id"].dataType
+
+    def per_key(key: str, tag: str) -> DataFrame:
+        # One row per username (e-mail): taken by a stored user?  lowest id of
+        # a valid request in the batch?  Stored and requested occurrences are
+        # folded by one aggregate, so each key costs one join.
+        stored = users.select(F.col(key), F.lit(True).alias("__t"),
+                              F.lit(None).cast(id_type).alias("__id"))
+        batch = valid_ids.select(F.col(key), F.lit(None).cast("boolean").alias("__t"),
+                                 F.col("id").alias("__id"))
+        return (stored.unionByName(batch).groupBy(key)
+                .agg(F.max("__t").alias(f"__t{tag}"), F.min("__id").alias(f"__f{tag}")))
+
+    r = r.join(per_key("username", "u"), "username", "left").join(per_key("email", "e"), "email",
+                                                                  "left")
+    dup = (F.coalesce(F.col("__tu"), F.lit(False)) | F.coalesce(F.col("__te"), F.lit(False))
            | (F.col("__fu") != F.col("id")) | (F.col("__fe") != F.col("id")))
     code = _chain([(F.col("__bad"), C.SIGNUP_FIELDS), (dup, C.SIGNUP_DUPLICATE)])
     ok = code == C.OK
