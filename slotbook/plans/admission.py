@@ -503,7 +503,7 @@ def apply_packages(decisions: DataFrame, package: DataFrame) -> DataFrame:
     return _text_ids(package, "id").unionByName(new.select(*package.columns))
 
 
-def apply_place_updates(decisions: DataFrame, place: DataFrame, updated_at=None) -> DataFrame:
+def apply_place_updates(decisions: DataFrame, place: DataFrame) -> DataFrame:
     """M06 effect: new place version; two accepted updates of one place fail the job."""
     upd = decisions.filter(F.col("reason_code") == C.OK).select("id", "name", "address",
                                                                 "max_capacity")
