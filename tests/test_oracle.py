@@ -34,3 +34,30 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["created_at", "profit"]
     assert df.count() > 0
+
+
+SMJ_KEYS = ["booking_log", "admit_bookings", "transition_bookings", "import_members",
+            "place_detail_owner", "effective_ban_status", "ban_gate", "places_member_view"]
+
+
+@pytest.mark.parametrize("key", SMJ_KEYS)
+def test_matches_oracle_without_broadcast(spark, con, key):
+    """The plan shapes of a large cluster: every join sort-merge (no broadcast)."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = E.queries()[key](spark, SMOKE_DIR)
+        rows = [tuple(r) for r in df.collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    res = con.execute(E.oracle_sql()[key])
+    dcols = [d[0] for d in res.description]
+    assert digest(df.columns, rows) == digest(dcols, res.fetchall())
+    assert "SortMergeJoin" in plan
