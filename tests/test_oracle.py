@@ -60,4 +60,4 @@ def test_matches_oracle_without_broadcast(spark, con, key):
     res = con.execute(E.oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     assert digest(df.columns, rows) == digest(dcols, res.fetchall())
-    assert "SortMergeJoin" in plan
+    assert "BroadcastHashJoin" not in plan
