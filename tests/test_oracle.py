@@ -61,3 +61,14 @@ def test_matches_oracle_without_broadcast(spark, con, key):
     dcols = [d[0] for d in res.description]
     assert digest(df.columns, rows) == digest(dcols, res.fetchall())
     assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("view", __import__("slotbook.sources.views", fromlist=["VIEW_NAMES"]).VIEW_NAMES)
+def test_view_matches_oracle_view(spark, con, view):
+    from slotbook.oracle_views import with_views
+    from slotbook.sources.views import Catalog
+    df = getattr(Catalog(spark, SMOKE_DIR), view)
+    res = con.execute(with_views(f"SELECT * FROM {view}"))
+    dcols = [d[0] for d in res.description]
+    assert df.columns == dcols
+    assert digest(df.columns, [tuple(r) for r in df.collect()]) == digest(dcols, res.fetchall())
