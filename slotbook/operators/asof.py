@@ -30,8 +30,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _B, _T, _SIDE, _LEFT, _PAY = "__b", "__t", "__side", "__left", "__pay"
+_FIXED_WIDTH = (T.TimestampNTZType, T.TimestampType, T.DateType, T.LongType, T.IntegerType,
+                T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType)
 
 
 def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str,
@@ -77,12 +80,23 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
     # hold.  Left buckets sort before the right summary of the same bucket, so
     # the frame "up to the previous row" sees earlier buckets only.
     aggs = []
-    if want_latest:
+    pay_fields = r.schema[_PAY].dataType.fields if want_latest else []
+    hashable = (want_latest and not o_cols and len(pay_fields) == 1
+                and isinstance(pay_fields[0].dataType, _FIXED_WIDTH))
+    if hashable:
+        # One fixed-width payload column and no tie-break: max_by over plain
+        # columns keeps a fixed-width buffer, so Spark plans a hash aggregate
+        # instead of sorting every right row.
+        f = pay_fields[0].name
+        aggs.append(F.max_by(F.col(f"{_PAY}.{f}"), F.col(_T)).alias("__p"))
+    elif want_latest:
         aggs.append(F.max_by(F.col(_PAY), F.struct(F.col(_T), *[F.col(c) for c in o_cols]))
                     .alias(_PAY))
     if want_count:
         aggs.append(F.sum("__w").alias("__n"))
     summary = r.groupBy(*by, _B).agg(*aggs).withColumn("__k", F.lit(1))
+    if hashable:
+        summary = summary.withColumn(_PAY, F.struct(F.col("__p").alias(f))).drop("__p")
     # Buckets that hold left rows.  ``left_keys`` may supply them from a
     # cheaper frame than ``left`` (a superset is fine: a carry row for a bucket
     # without left rows is simply never read).

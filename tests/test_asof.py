@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotbook.operators.asof import asof_count, asof_latest, asof_latest_and_count
@@ -96,3 +97,19 @@ def test_null_times_match_nothing(spark):
     got = {r.lid: (r.x_v, r.n) for r in asof_latest_and_count(
         L, R, ["k"], "lt", "rt", ["v"], prefix="x_", count_name="n").collect()}
     assert got == {1: (None, 0), 2: ("b", 1)}
+
+
+@pytest.mark.parametrize("seed,inclusive", [(21, True), (22, False)])
+def test_single_fixed_width_payload_path(spark, seed, inclusive):
+    left, right = _data(seed)
+    L = spark.createDataFrame(left, LEFT)
+    R = spark.createDataFrame(right, RIGHT)
+    out = asof_latest(L, R.select("k", "rt", F.col("rt").alias("seen")), ["k"], "lt", "rt",
+                      ["seen"], inclusive=inclusive, prefix="last_")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    got = {r.lid: r.last_seen for r in out.collect()}
+    for lid, k, lt in left:
+        times = [rt for _, rk, rt, _ in right
+                 if k is not None and rk == k and (rt <= lt if inclusive else rt < lt)]
+        assert got[lid] == (max(times) if times else None)
