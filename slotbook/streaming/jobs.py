@@ -129,7 +129,10 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
          .write.mode("overwrite").parquet(out))
 
     # The static side is reused by every micro-batch: compute it once and cut
-    # its lineage into the shared checkpoint folder.
+    # its lineage into the shared checkpoint folder.  (It maps an order to its
+    # package only because the test data stores bookings as TPC-H orders; a
+    # booking event that carries its package id needs just the package price
+    # table, which AQE broadcasts when it is small.)
     static_first = cut_lineage(first_part)
     with utc_session(spark):
         q = (profit_stream(orders_stream, static_first, package).writeStream
