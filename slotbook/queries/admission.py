@@ -417,3 +417,47 @@ FROM ({RAW_SQL['import_members']}) d WHERE reason_code = '0000'""")
 def q_users_after_signup(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return M.apply_signups(M.import_members(t.member_signup, t.users), t.users)
+
+
+# --- V01 on the other request tables ------------------------------------------------------
+def _errors_sql(pairs) -> tuple[str, str]:
+    lst = ", ".join(f"CASE WHEN NOT {o} THEN {S.msg(m)} END" for m, o in pairs)
+    cnt = " + ".join(f"CASE WHEN NOT {o} THEN 1 ELSE 0 END" for _, o in pairs)
+    return lst, cnt
+
+
+_PACKAGE_OKS = [(C.MSG_PACKAGE_NAME, S.alpha("name")), (C.MSG_PACKAGE_CAPACITY, S.numeric("capacity")),
+                (C.MSG_PACKAGE_PRICE, S.numeric("price")), (C.MSG_PACKAGE_TYPE_ID, S.key("package_type_id"))]
+_PLACE_OKS = [(C.MSG_PLACE_NAME, S.alpha("name")), (C.MSG_PLACE_MAX_CAPACITY, S.numeric("max_capacity")),
+              (C.MSG_PLACE_ADDRESS, S.key("address")), (C.MSG_PLACE_CITY_ID, S.key("city_id")),
+              (C.MSG_PLACE_ADMIN_NAMES,
+               S.ok("string_split(admin_names, ';') IS NOT NULL "
+                    "AND len(string_split(admin_names, ';')) BETWEEN 1 AND 10"))]
+
+
+def _validated(df, rules):
+    v = V.validate_fields(df, rules)
+    return v.select("id", F.size("errors").alias("error_count"),
+                    F.array_join("errors", " | ").alias("errors_text"))
+
+
+_l, _c = _errors_sql(_PACKAGE_OKS)
+
+
+@register("validate_package_requests", f"""
+SELECT id, CAST({_c} AS INT) AS error_count, concat_ws(' | ', {_l}) AS errors_text
+FROM package_request""")
+def q_validate_package_requests(spark, sf_dir):
+    return _validated(catalog(spark, sf_dir).package_request, V.package_create_rules())
+
+
+_l, _c = _errors_sql(_PLACE_OKS)
+
+
+@register("validate_place_requests", f"""
+SELECT id, CAST({_c} AS INT) AS error_count, concat_ws(' | ', {_l}) AS errors_text
+FROM place_request""")
+def q_validate_place_requests(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    req = t.place_request.withColumn("admin_name_list", F.split("admin_names", ";"))
+    return _validated(req, V.place_create_rules())
