@@ -422,3 +422,26 @@ def test_nested_admin_requests_equal_flat(spark, cat):
     got = {(r.place_id, r.reason_code) for r in
            M.upsert_place_admins_nested(too_many, cat.place_admin).collect()}
     assert got == {(5, C.PLACE_ADMINS_FIELDS), (6, C.PLACE_ADMINS_FIELDS)}
+
+
+def test_bucketed_tables_join_without_shuffle(spark, cat):
+    from slotbook.session import scratch_path
+    stored = cat.materialize(scratch_path(spark, "bucketed"), names=("booking", "package"),
+                             buckets=4)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        j = stored.booking.join(stored.package.withColumnRenamed("id", "package_id"), "package_id")
+        n = j.count()
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == cat.booking.join(cat.package.withColumnRenamed("id", "package_id"),
+                                 "package_id").count()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    a = R.profit_by_day(cat.booking, cat.package)
+    b = R.profit_by_day(stored.booking, stored.package)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
