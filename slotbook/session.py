@@ -35,6 +35,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("SLOTBOOK_DRIVER_MEMORY", "16g")
+    # keep table metadata of local runs out of the working directory
+    conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="slotbook-wh-")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
