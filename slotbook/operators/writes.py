@@ -92,3 +92,16 @@ def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Append new rows to a parquet table (the sink form of W02).
+
+    Appending is not idempotent on its own: a job that may be retried should
+    append rows with deterministic ids and deduplicate on read, or write a new
+    version with ``write_version`` instead.
+    """
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)

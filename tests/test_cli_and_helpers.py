@@ -30,3 +30,11 @@ def test_scale_conf():
     c = scale_conf(1 << 30, partition_bytes=128 << 20)
     assert c["spark.sql.shuffle.partitions"] == "8"
     assert c["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+
+
+def test_write_append(spark, cat):
+    from slotbook.operators.writes import write_append
+    out = scratch_path(spark, "append")
+    write_append(cat.live_booking, out)
+    write_append(cat.live_booking.limit(3), out)
+    assert spark.read.parquet(out).count() == cat.live_booking.count() + 3
