@@ -87,11 +87,22 @@ class Catalog:
         return self._raw[name]
 
     # ---- helpers shared by several views --------------------------------------
+    # Two fixture formulas divide by a table's row count.  The count is taken
+    # once per catalog (a scalar action on a small table) rather than as a
+    # scalar subquery, which would run as an extra job inside every query.
+    @cached_property
+    def _n_suppliers(self) -> int:
+        return self.raw("supplier").count()
+
+    @cached_property
+    def _n_customers(self) -> int:
+        return self.raw("customer").count()
+
     def _supplier_count(self) -> Column:
-        return self.raw("supplier").select(F.count(F.lit(1))).scalar()
+        return F.lit(self._n_suppliers).cast("bigint")
 
     def _customer_count(self) -> Column:
-        return self.raw("customer").select(F.count(F.lit(1))).scalar()
+        return F.lit(self._n_customers).cast("bigint")
 
     def _admin_ids(self) -> DataFrame:
         s = self.raw("supplier")
