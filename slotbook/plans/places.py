@@ -128,9 +128,11 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
                       "admin_created_at"))).alias("admins")))
         return req.join(packed, "place_id", "left").withColumn(
             "admins", F.when(F.col("reason_code") == C.OK, F.col("admins")))
-    found = req.filter(F.col("reason_code") == C.OK).join(admins, "place_id")
-    missing = req.filter(F.col("reason_code") != C.OK)
-    return found.unionByName(missing, allowMissingColumns=True)
+    # One pass: a found place has at least one admin (its header needs one),
+    # and a missing place keeps its single row through the outer join.
+    a = admins.withColumnRenamed("place_id", "__pid")
+    j = req.join(a, (F.col("place_id") == F.col("__pid")) & (F.col("reason_code") == C.OK), "left")
+    return j.drop("__pid")
 
 
 # --- R13 ---------------------------------------------------------------------------
@@ -154,9 +156,9 @@ def place_detail_member(place: DataFrame, package: DataFrame, booking: DataFrame
     req = place_ids.select("place_id").join(hdr, "place_id", "left")
     req = req.withColumn("reason_code", F.when(F.col("_found").isNull(), C.PLACE_DETAIL_NOT_FOUND)
                          .otherwise(C.OK)).drop("_found")
-    found = req.filter(F.col("reason_code") == C.OK).join(pk, "place_id", "left")
-    missing = req.filter(F.col("reason_code") != C.OK)
-    return found.unionByName(missing, allowMissingColumns=True)
+    p = pk.withColumnRenamed("place_id", "__pid")
+    j = req.join(p, (F.col("place_id") == F.col("__pid")) & (F.col("reason_code") == C.OK), "left")
+    return j.drop("__pid")
 
 
 # --- M04 ---------------------------------------------------------------------------
