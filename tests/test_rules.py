@@ -405,6 +405,9 @@ def test_materialized_catalog_same_results_and_pruning(spark, cat):
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_day" in plan
     assert stored.live_booking.count() == cat.live_booking.count()   # falls through
+    pending = stored.booking.filter(F.col("order_status") == "PENDING")
+    plan = pending._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(order_status,PENDING)" in plan                     # stored column: pushed down
 
 
 def test_nested_admin_requests_equal_flat(spark, cat):
