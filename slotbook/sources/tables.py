@@ -39,9 +39,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one raw table; known tables get their declared schema."""
+def check_schema(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """Compare the files' schema (parquet footers only) with the declared one.
+
+    Every declared column must exist with the declared type; extra columns in
+    the files are allowed (they are never read).
+    """
+    found = {f.name: f.dataType for f in spark.read.parquet(table_path(sf_dir, name)).schema}
+    bad = [(f.name, f.dataType.simpleString(),
+            found[f.name].simpleString() if f.name in found else "missing")
+           for f in RAW_SCHEMAS[name] if found.get(f.name) != f.dataType]
+    if bad:
+        raise ValueError(f"table {name!r} does not match its declared schema: {bad}")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, check: bool = False) -> DataFrame:
+    """Read one raw table; known tables get their declared schema (``check``
+    first verifies the files against it)."""
     reader = spark.read
     if name in RAW_SCHEMAS:
+        if check:
+            check_schema(spark, sf_dir, name)
         reader = reader.schema(RAW_SCHEMAS[name])
     return reader.parquet(table_path(sf_dir, name))

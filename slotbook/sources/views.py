@@ -83,7 +83,7 @@ class Catalog:
         """One reader per table and catalog: the file listing is done once, and
         every view reading the table shares the same (lazy) scan definition."""
         if name not in self._raw:
-            self._raw[name] = read_table(self.spark, self.sf_dir, name)
+            self._raw[name] = read_table(self.spark, self.sf_dir, name, check=True)
         return self._raw[name]
 
     # ---- helpers shared by several views --------------------------------------

@@ -38,3 +38,14 @@ def test_write_append(spark, cat):
     write_append(cat.live_booking, out)
     write_append(cat.live_booking.limit(3), out)
     assert spark.read.parquet(out).count() == cat.live_booking.count() + 3
+
+
+def test_schema_drift_is_reported(spark):
+    import pytest
+    from slotbook.sources.tables import read_table
+    bad_dir = scratch_path(spark, "drift")
+    spark.createDataFrame([(1, "x", 3)], "n_nationkey bigint, n_name string, n_regionkey int") \
+        .write.parquet(f"{bad_dir}/nation.parquet")
+    with pytest.raises(ValueError, match="n_nationkey"):
+        read_table(spark, bad_dir, "nation", check=True)
+    assert read_table(spark, SMOKE_DIR, "nation", check=True).count() == 25
