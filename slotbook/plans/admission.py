@@ -57,6 +57,21 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
             .drop("__first")
 
 
+def _batch_unique(r: DataFrame, code: Column, key, order, clash: str,
+                  mode: str) -> tuple[DataFrame, Column]:
+    """Strict mode: among rows that pass (``code`` is 0000) and share ``key``,
+    keep the first by ``order``; the others get ``clash``.  A min aggregate per
+    key joined back (``first_in_batch``), so a hot key is folded map-side."""
+    if mode == "snapshot":
+        return r, code
+    if mode != "strict":
+        raise ValueError(f"unknown mode {mode!r}")
+    r = first_in_batch(r.withColumn("__pre", code), list(key), list(order),
+                       F.col("__pre") == C.OK, name="__first_in_batch")
+    return r, (F.when((F.col("__pre") == C.OK) & ~F.col("__first_in_batch"), clash)
+               .otherwise(F.col("__pre")))
+
+
 # --- M01 ---------------------------------------------------------------------------
 def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                    strict_capacity: bool = False, id_kind: str = "key",
@@ -204,14 +219,16 @@ def derive_admin_accounts(place_name: Column, fullname: Column, position: Column
 
 
 def admit_places(requests: DataFrame, city: DataFrame, place: DataFrame,
-                 id_kind: str = "key") -> dict[str, DataFrame]:
+                 id_kind: str = "key", mode: str = "snapshot") -> dict[str, DataFrame]:
     """Judge new places (id, name, address, max_capacity, city_id, admin_names, owner_user_id).
 
     ``admin_names`` is an array of names or a ';'-joined string.  1006 invalid
     fields; 1007 duplicate admin names; 1041 unknown city; 1009 a place with the
     same name, address and city exists.  Returns ``decisions`` (one row per
     request), and for accepted requests ``places``, ``admins`` (one generated
-    admin account per name) and ``links`` (admin -> place).
+    admin account per name) and ``links`` (admin -> place).  ``mode="strict"``:
+    of several accepted requests for the same name, address and city in one
+    batch only the lowest id is accepted, the others get 1009.
     """
     names = F.col("admin_names")
     if dict(requests.dtypes)["admin_names"] == "string":
@@ -229,6 +246,8 @@ def admit_places(requests: DataFrame, city: DataFrame, place: DataFrame,
         (F.col("__city").isNull(), C.PLACE_CREATE_CITY_MISSING),
         (F.col("__dup").isNotNull(), C.PLACE_CREATE_EXISTS),
     ])
+    r, code = _batch_unique(r, code, ["name", "address", "city_id"], ["id"],
+                            C.PLACE_CREATE_EXISTS, mode)
     ok = code == C.OK
     decisions = r.select(*requests.columns, "admin_name_list", code.alias("reason_code"),
                          F.when(ok, stable_uuid("admit_places", F.col("id"))).alias("new_place_id"))
@@ -249,12 +268,16 @@ def admit_places(requests: DataFrame, city: DataFrame, place: DataFrame,
 
 
 # --- M06 ---------------------------------------------------------------------------
-def update_places(requests: DataFrame, place: DataFrame, id_kind: str = "key") -> DataFrame:
+def update_places(requests: DataFrame, place: DataFrame, id_kind: str = "key",
+                  mode: str = "snapshot") -> DataFrame:
     """Judge place updates (id, name, address, max_capacity).
 
     1044 malformed id; 1011 invalid fields; 1013 unknown place; 1014 the new max
     capacity is below the current one (the intended check); 1015 another place
     already has this name and address (city is not compared); else update.
+    ``mode="strict"``: of several accepted updates giving different places the
+    same name and address in one batch only the lowest id is accepted, the
+    others get 1015.
     """
     cur = place.select("id", F.col("max_capacity").alias("__cur_max"), F.lit(True).alias("__pl"))
     by_name = (place.groupBy("name", "address")
@@ -271,6 +294,7 @@ def update_places(requests: DataFrame, place: DataFrame, id_kind: str = "key") -
         (F.col("max_capacity") < F.col("__cur_max"), C.PLACE_UPDATE_MAX_CAPACITY),
         (conflict, C.PLACE_UPDATE_CONFLICT),
     ])
+    r, code = _batch_unique(r, code, ["name", "address"], ["id"], C.PLACE_UPDATE_CONFLICT, mode)
     return r.select(*requests.columns, code.alias("reason_code"))
 
 
@@ -386,13 +410,16 @@ def apply_place_admins(decisions: DataFrame, users: DataFrame,
 
 # --- M08 ---------------------------------------------------------------------------
 def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFrame,
-                       id_kind: str = "key", bucket: str = "minute") -> DataFrame:
+                       id_kind: str = "key", bucket: str = "minute",
+                       mode: str = "snapshot") -> DataFrame:
     """Judge ban requests (id, member_user_id, ban_reason, admin_user_id, requested_at).
 
     1025 invalid fields; 1026 unknown user; 1033 the user is an OWNER or ADMIN;
     1027 a ban request for the member was pending at request time (created at
     or before it and not decided by then); else a new PENDING request, and the
-    member's ban_status becomes PENDING.
+    member's ban_status becomes PENDING.  ``mode="strict"``: a request also
+    gets 1027 when an earlier request of the same batch for the member passed
+    every other check (it would be pending by then).
     """
     u = users.select(F.col("id").alias("member_user_id"), F.col("role").alias("__role"))
     # Every ban request was PENDING from its creation until its decision
@@ -414,6 +441,8 @@ def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFr
         (F.col("__role").isin(C.ROLE_OWNER, C.ROLE_ADMIN), C.BAN_REQUEST_BAD_ROLE),
         (F.col("__npend") > 0, C.BAN_REQUEST_EXISTS),
     ])
+    r, code = _batch_unique(r, code, ["member_user_id"], ["requested_at", "id"],
+                            C.BAN_REQUEST_EXISTS, mode)
     ok = code == C.OK
     return r.select(*requests.columns, code.alias("reason_code"),
                     F.when(ok, stable_uuid("admit_ban_requests", F.col("id"))).alias("new_ban_id"),

@@ -461,3 +461,18 @@ def q_validate_place_requests(spark, sf_dir):
     t = catalog(spark, sf_dir)
     req = t.place_request.withColumn("admin_name_list", F.split("admin_names", ";"))
     return _validated(req, V.place_create_rules())
+
+
+@register("admit_ban_requests_strict", f"""
+WITH d AS ({RAW_SQL['admit_ban_requests']}),
+f AS (SELECT *, row_number() OVER (PARTITION BY member_user_id, reason_code = '0000'
+                                   ORDER BY requested_at, id) AS rn FROM d),
+x AS (SELECT id, member_user_id, ban_reason, admin_user_id, requested_at,
+             CASE WHEN reason_code = '0000' AND rn > 1 THEN '1027' ELSE reason_code END AS reason_code
+      FROM f)
+SELECT *, {_uuid_if_ok('admit_ban_requests', 'id')} AS new_ban_id,
+       CASE WHEN reason_code = '0000' THEN 'PENDING' END AS user_ban_status
+FROM x""")
+def q_admit_ban_requests_strict(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    return M.admit_ban_requests(t.ban_request, t.users, t.member_ban, mode="strict")

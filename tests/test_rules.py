@@ -448,3 +448,33 @@ def test_bucketed_tables_join_without_shuffle(spark, cat):
     a = R.profit_by_day(cat.booking, cat.package)
     b = R.profit_by_day(stored.booking, stored.package)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_strict_modes_for_batch_conflicts(spark, cat):
+    # Two valid requests for one member in a batch
+    users = df(spark, [(7, "MEMBER")], "id bigint, role string")
+    bans = df(spark, [], "id bigint, member_user_id bigint, approval_status string, "
+                         "updated_at timestamp_ntz, created_at timestamp_ntz")
+    req = df(spark, [(10, 7, "late show", 1, ts(hours=1)), (11, 7, "late show", 1, ts(hours=2))],
+             "id bigint, member_user_id bigint, ban_reason string, admin_user_id bigint, "
+             "requested_at timestamp_ntz")
+    assert codes(M.admit_ban_requests(req, users, bans)) == {10: C.OK, 11: C.OK}
+    assert codes(M.admit_ban_requests(req, users, bans, mode="strict")) == {
+        10: C.OK, 11: C.BAN_REQUEST_EXISTS}
+    # Two requests for the same new place
+    city = df(spark, [(1, "c")], "id int, name string")
+    place = df(spark, [], "id bigint, name string, address string, city_id int")
+    preq = df(spark, [(1, "Nice Place", "Road 1", 100, 1, "Ann;Bo", 9),
+                      (2, "Nice Place", "Road 1", 100, 1, "Cy", 9)],
+              "id bigint, name string, address string, max_capacity int, city_id int, "
+              "admin_names string, owner_user_id bigint")
+    got = codes(M.admit_places(preq, city, place, mode="strict")["decisions"])
+    assert got == {1: C.OK, 2: C.PLACE_CREATE_EXISTS}
+    assert codes(M.admit_places(preq, city, place)["decisions"]) == {1: C.OK, 2: C.OK}
+    # Two places renamed to the same name and address
+    place = df(spark, [(1, "A", 10, "x"), (2, "B", 10, "y")],
+               "id bigint, name string, max_capacity int, address string")
+    upd = df(spark, [(1, "Same", 20, "z"), (2, "Same", 20, "z")],
+             "id bigint, name string, max_capacity int, address string")
+    assert codes(M.update_places(upd, place, mode="strict")) == {1: C.OK, 2: C.PLACE_UPDATE_CONFLICT}
+    assert codes(M.update_places(upd, place)) == {1: C.OK, 2: C.OK}
