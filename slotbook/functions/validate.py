@@ -87,11 +87,27 @@ def passes(rule: Column) -> Column:
 
 
 def collect_errors(rules: Iterable[tuple[str, Column]]) -> Column:
-    """Distinct messages of the failing rules, in the order given."""
-    msgs = [F.when(~passes(rule), F.lit(msg)) for msg, rule in rules]
-    if not msgs:
-        return F.array().cast(T.ArrayType(T.StringType()))
-    return F.array_distinct(F.array_compact(F.array(*msgs)))
+    """Distinct messages of the failing rules, in the order given.
+
+    Built from ``flatten`` of one- or zero-element arrays rather than a lambda
+    ``filter``, so the expression stays inside whole-stage codegen.
+    """
+    empty = F.array().cast(T.ArrayType(T.StringType()))
+    parts = [F.when(passes(rule), empty).otherwise(F.array(F.lit(msg))) for msg, rule in rules]
+    if not parts:
+        return empty
+    return F.array_distinct(F.flatten(F.array(*parts)))
+
+
+def all_pass(rules: Iterable[tuple[str, Column]]) -> Column:
+    """True when every rule passes (what the jobs need: no message array)."""
+    ok = [passes(rule) for _, rule in rules]
+    if not ok:
+        return F.lit(True)
+    out = ok[0]
+    for c in ok[1:]:
+        out = out & c
+    return out
 
 
 def validate_fields(df: DataFrame, rules: Iterable[tuple[str, Column]],

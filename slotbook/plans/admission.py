@@ -43,7 +43,7 @@ def _chain(checks: Sequence[tuple[Column, str]]) -> Column:
 
 
 def _has_errors(rules) -> Column:
-    return F.size(V.collect_errors(rules)) > 0
+    return ~V.all_pass(rules)
 
 
 def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
