@@ -158,3 +158,19 @@ def q_paged_bookings(spark, sf_dir):
 def q_camel_bookings(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return R.camel_ongoing_by_admin(t.booking, t.users, t.package, t.package_type, t.place_admin)
+
+
+@register("member_order_counts_page", """
+SELECT u.id AS member_user_id, u.username AS member_username, u.email AS member_email,
+       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'EXPIRED') AS INT) AS expired_order_count,
+       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'COMPLETED') AS INT) AS completed_order_count,
+       u.ban_status AS member_ban_status, u.created_at AS member_created_at
+FROM users u LEFT JOIN booking b ON b.member_user_id = u.id
+WHERE u.role = 'MEMBER'
+GROUP BY u.id, u.username, u.email, b.order_status, u.ban_status, u.created_at
+ORDER BY u.created_at DESC NULLS FIRST, u.id, b.order_status NULLS FIRST
+LIMIT 15""")
+def q_member_order_counts_page(spark, sf_dir):
+    """R08 as the source serves it: page 1 of 15, newest member first (nulls first)."""
+    t = catalog(spark, sf_dir)
+    return R.member_order_counts(t.users, t.booking, page=1, limit=15)
