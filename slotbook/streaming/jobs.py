@@ -150,6 +150,6 @@ def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered S02: the orders table of ``sf_dir`` read as a stream."""
-    from slotbook.sources.views import Catalog
-    t = Catalog(spark, sf_dir)
+    from slotbook.registry import catalog
+    t = catalog(spark, sf_dir)
     return run_profit(spark, _read_stream(spark, sf_dir, "orders"), t.first_part, t.package)
