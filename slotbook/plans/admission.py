@@ -53,7 +53,7 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
     rank = F.struct(*[F.col(c) for c in order])
     firsts = (df.filter(eligible).groupBy(*key).agg(F.min(rank).alias("__first")))
     j = df.join(firsts, list(key), "left")
-    return j.withColumn(name, F.coalesce(eligible & (rank == F.col("__first")), F.lit(False))) \
+    return j.withColumn(name, F.coalesce(eligible & rank.eqNullSafe(F.col("__first")), F.lit(False))) \
             .drop("__first")
 
 

@@ -478,3 +478,10 @@ def test_strict_modes_for_batch_conflicts(spark, cat):
              "id bigint, name string, max_capacity int, address string")
     assert codes(M.update_places(upd, place, mode="strict")) == {1: C.OK, 2: C.PLACE_UPDATE_CONFLICT}
     assert codes(M.update_places(upd, place)) == {1: C.OK, 2: C.OK}
+
+
+def test_first_in_batch_with_null_order_values(spark):
+    d = df(spark, [(1, None, 5), (1, None, 7), (2, 3, 1)], "k int, a int, b int")
+    got = {(r.k, r.b): r.is_first for r in
+           M.first_in_batch(d, ["k"], ["a", "b"], F.lit(True)).collect()}
+    assert got == {(1, 5): True, (1, 7): False, (2, 1): True}
