@@ -37,6 +37,22 @@ _FIXED_WIDTH = (T.TimestampNTZType, T.TimestampType, T.DateType, T.LongType, T.I
                 T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType)
 
 
+_INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _unique_rank(time_type, order_col: str):
+    """(time, integral tie-break) packed into one decimal(38,0), ordered like
+    the pair: microseconds * 10^20 + (tie-break + 2^63).  Zone-free for both
+    timestamp types."""
+    if isinstance(time_type, T.TimestampNTZType):
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {_T})")
+    else:
+        micros = F.unix_micros(F.col(_T))
+    dec = "decimal(38,0)"
+    return (micros.cast(dec) * F.expr(f"CAST({10 ** 20} AS DECIMAL(38,0))")
+            + (F.col(order_col).cast(dec) + F.expr(f"CAST({2 ** 63} AS DECIMAL(38,0))"))).cast(dec)
+
+
 def _prep(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str,
           payload: Sequence[str] | None, order: Sequence[str], bucket: str, inclusive: bool,
           weight: str | None = None):
@@ -81,14 +97,23 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
     # the frame "up to the previous row" sees earlier buckets only.
     aggs = []
     pay_fields = r.schema[_PAY].dataType.fields if want_latest else []
-    hashable = (want_latest and not o_cols and len(pay_fields) == 1
-                and isinstance(pay_fields[0].dataType, _FIXED_WIDTH))
+    fixed = bool(pay_fields) and all(isinstance(f.dataType, _FIXED_WIDTH) for f in pay_fields)
+    rank = None
+    if want_latest and fixed and not o_cols and len(pay_fields) == 1:
+        rank = F.col(_T)
+    elif (want_latest and fixed and len(o_cols) == 1
+          and isinstance(r.schema[o_cols[0]].dataType, _INTEGRAL)
+          and isinstance(r.schema[_T].dataType, (T.TimestampNTZType, T.TimestampType))):
+        rank = _unique_rank(r.schema[_T].dataType, o_cols[0])
+    hashable = rank is not None
     if hashable:
-        # One fixed-width payload column and no tie-break: max_by over plain
-        # columns keeps a fixed-width buffer, so Spark plans a hash aggregate
-        # instead of sorting every right row.
-        f = pay_fields[0].name
-        aggs.append(F.max_by(F.col(f"{_PAY}.{f}"), F.col(_T)).alias("__p"))
+        # Fixed-width payload columns and a fixed-width rank that is unique per
+        # row (time, or time and integral tie-break packed in one decimal):
+        # max_by per column then picks the same row for every column, and the
+        # buffers are fixed-width, so Spark plans a hash aggregate instead of
+        # sorting every right row.
+        for f in pay_fields:
+            aggs.append(F.max_by(F.col(f"{_PAY}.{f.name}"), rank).alias(f"__p_{f.name}"))
     elif want_latest:
         aggs.append(F.max_by(F.col(_PAY), F.struct(F.col(_T), *[F.col(c) for c in o_cols]))
                     .alias(_PAY))
@@ -96,7 +121,9 @@ def _run(left, right, by, left_time, right_time, payload, order, bucket, inclusi
         aggs.append(F.sum("__w").alias("__n"))
     summary = r.groupBy(*by, _B).agg(*aggs).withColumn("__k", F.lit(1))
     if hashable:
-        summary = summary.withColumn(_PAY, F.struct(F.col("__p").alias(f))).drop("__p")
+        summary = (summary.withColumn(_PAY, F.struct(*[F.col(f"__p_{f.name}").alias(f.name)
+                                                        for f in pay_fields]))
+                   .drop(*[f"__p_{f.name}" for f in pay_fields]))
     # Buckets that hold left rows.  ``left_keys`` may supply them from a
     # cheaper frame than ``left`` (a superset is fine: a carry row for a bucket
     # without left rows is simply never read).

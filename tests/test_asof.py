@@ -113,3 +113,17 @@ def test_single_fixed_width_payload_path(spark, seed, inclusive):
         times = [rt for _, rk, rt, _ in right
                  if k is not None and rk == k and (rt <= lt if inclusive else rt < lt)]
         assert got[lid] == (max(times) if times else None)
+
+
+def test_fixed_width_payload_with_tiebreak_is_hash_aggregated(spark):
+    left, right = _data(31)
+    L = spark.createDataFrame(left, LEFT)
+    R = spark.createDataFrame(right, RIGHT).withColumn("neg", -F.col("rid"))
+    out = asof_latest(L, R, ["k"], "lt", "rt", ["rid", "rt"], order=["neg"], prefix="x_")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    got = {r.lid: (r.x_rid, r.x_rt) for r in out.collect()}
+    for lid, k, lt in left:
+        m = [(rt, -rid, rid) for rid, rk, rt, _ in right if k is not None and rk == k and rt <= lt]
+        best = max(m) if m else None
+        assert got[lid] == ((best[2], best[0]) if best else (None, None))
