@@ -40,14 +40,20 @@ _FIXED_WIDTH = (T.TimestampNTZType, T.TimestampType, T.DateType, T.LongType, T.I
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
 
-def _unique_rank(time_type, order_col: str):
+def unique_rank(time_type, order_col: str, time_col: str):
+    """Public form of the packed (time, integral id) rank, for ``max_by``."""
+    return _unique_rank(time_type, order_col, time_col)
+
+
+def _unique_rank(time_type, order_col: str, time_col: str = _T):
     """(time, integral tie-break) packed into one decimal(38,0), ordered like
     the pair: microseconds * 10^20 + (tie-break + 2^63).  Zone-free for both
     timestamp types."""
     if isinstance(time_type, T.TimestampNTZType):
-        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {_T})")
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                        f"`{time_col}`)")
     else:
-        micros = F.unix_micros(F.col(_T))
+        micros = F.unix_micros(F.col(time_col))
     dec = "decimal(38,0)"
     return (micros.cast(dec) * F.expr(f"CAST({10 ** 20} AS DECIMAL(38,0))")
             + (F.col(order_col).cast(dec) + F.expr(f"CAST({2 ** 63} AS DECIMAL(38,0))"))).cast(dec)

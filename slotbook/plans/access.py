@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotbook import constants as C
-from slotbook.operators.asof import asof_latest
+from slotbook.operators.asof import asof_latest, unique_rank
 
 
 def _latest_ban(attempts: DataFrame, member_ban: DataFrame, bucket: str) -> DataFrame:
@@ -101,9 +101,13 @@ def effective_ban_status(users: DataFrame, member_ban: DataFrame, as_of) -> Data
     latest = (member_ban.filter((F.col("approval_status") == C.BAN_APPROVAL_BANNED)
                                 & (F.col("created_at") <= t))
               .select(F.col("member_user_id").alias("id"), F.col("id").alias("ban_id"),
-                      "created_at", "ban_lifted_at")
-              .groupBy("id")
-              .agg(F.max_by("ban_lifted_at", F.struct("created_at", "ban_id")).alias("ban_lifted_at")))
+                      "created_at", "ban_lifted_at"))
+    # latest by (created_at, ban id): a packed decimal rank keeps the
+    # aggregate buffer fixed-width, so this is a hash aggregate
+    rank = unique_rank(latest.schema["created_at"].dataType, "ban_id", "created_at") \
+        if isinstance(latest.schema["ban_id"].dataType, (T.LongType, T.IntegerType)) \
+        else F.struct("created_at", "ban_id")
+    latest = latest.groupBy("id").agg(F.max_by("ban_lifted_at", rank).alias("ban_lifted_at"))
     lifted = (F.col("ban_status") == C.BAN_STATUS_BANNED) & (F.col("ban_lifted_at") <= t)
     return (users.select("id", "role", "ban_status").join(latest, "id", "left")
             .withColumn("effective_ban_status",
