@@ -21,11 +21,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.ids import stable_uuid
-from slotbook.operators.asof import asof_count, asof_latest
+from slotbook.operators.asof import asof_count, asof_latest, unique_rank
 from slotbook.operators.writes import apply_updates
 from slotbook.session import cut_lineage
 
@@ -50,7 +51,15 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
                    eligible: Column, name: str = "is_first") -> DataFrame:
     """Flag the first eligible row per key by ``order`` (a min aggregate + join,
     so a key with very many rows is folded map-side instead of windowed)."""
-    rank = F.struct(*[F.col(c) for c in order])
+    types = [df.schema[c].dataType for c in order]
+    integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if len(order) == 1 and isinstance(types[0], integral):
+        rank = F.col(order[0])                     # fixed-width: hash aggregate
+    elif (len(order) == 2 and isinstance(types[0], (T.TimestampNTZType, T.TimestampType))
+          and isinstance(types[1], integral)):
+        rank = unique_rank(types[0], order[1], order[0])   # packed, still fixed-width
+    else:
+        rank = F.struct(*[F.col(c) for c in order])
     firsts = (df.filter(eligible).groupBy(*key).agg(F.min(rank).alias("__first")))
     j = df.join(firsts, list(key), "left")
     return j.withColumn(name, F.coalesce(eligible & rank.eqNullSafe(F.col("__first")), F.lit(False))) \
