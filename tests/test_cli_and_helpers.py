@@ -49,3 +49,20 @@ def test_schema_drift_is_reported(spark):
     with pytest.raises(ValueError, match="n_nationkey"):
         read_table(spark, bad_dir, "nation", check=True)
     assert read_table(spark, SMOKE_DIR, "nation", check=True).count() == 25
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SMOKE_DIR, BENCH_RUNS="1", BENCH_CPUS="2",
+               BENCH_KEYS="list_cities,profit_by_day")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py")], env=env, cwd=root,
+                         capture_output=True, text=True, timeout=600)
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1, out.stdout + out.stderr[-2000:]
+    d = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
+    assert d["unit"] == "sec" and set(d["queries"]) == {"list_cities", "profit_by_day"}
