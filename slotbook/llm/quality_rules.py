@@ -45,32 +45,24 @@ def _cover(at: np.ndarray, size, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def suffix_array(rank: np.ndarray, at: np.ndarray, row_end: np.ndarray, step: int) -> np.ndarray:
-    """``at`` in suffix order, by prefix doubling; ``rank`` orders the first ``step``
-    words of every suffix (equal rank: equal words of one row)."""
-    sa = at[np.argsort(rank[at], kind="stable")]
-    rank = rank.copy()
-    top = int(rank.max()) + 1
-    live = np.arange(len(sa))  # places in sa that share their rank
+def suffix_array(sa: np.ndarray, rank: np.ndarray, row_end: np.ndarray, step: int) -> np.ndarray:
+    """Sort suffixes by prefix doubling.  ``sa`` is ordered by its first ``step``
+    words; ``rank[p]`` is the place in ``sa`` of the first suffix equal so far (for
+    other positions a number no other has).  Only undecided places are sorted."""
+    sa, rank = sa.copy(), rank.copy()
+    same = np.zeros(len(sa) + 1, bool)
+    same[1:-1] = rank[sa[1:]] == rank[sa[:-1]]
+    live = np.flatnonzero(same[1:] | same[:-1])
     while len(live):
         p = sa[live]
         nxt = np.where(p + step < row_end[p], rank[np.minimum(p + step, len(rank) - 1)], -1)
         order = np.lexsort((nxt, rank[p]))
         p, r, nxt = p[order], rank[p][order], nxt[order]
         sa[live] = p
-        new_group = np.ones(len(p), bool)
-        new_group[1:] = r[1:] != r[:-1]
-        new = new_group.copy()
-        new[1:] |= nxt[1:] != nxt[:-1]
-        # members keep their group's order among all: the old rank, then the place in the group
-        group = np.maximum.accumulate(np.where(new_group, np.arange(len(p)), 0))
-        mine = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-        scaled = rank * top
-        scaled[p] += np.minimum(mine - group, top - 1)
-        _, rank = np.unique(scaled, return_inverse=True)
-        top = int(rank.max()) + 1
-        alone = new & np.append(new[1:], True)
-        live = live[~alone]
+        new = np.ones(len(p) + 1, bool)
+        new[1:-1] = (r[1:] != r[:-1]) | (nxt[1:] != nxt[:-1])
+        rank[p] = live[np.maximum.accumulate(np.where(new[:-1], np.arange(len(p)), 0))]
+        live = live[~(new[:-1] & new[1:])]
         step *= 2
     return sa
 
@@ -104,15 +96,18 @@ def repeats(h: np.ndarray, word_off: np.ndarray):
     sorted_key = key[order]
     same = np.zeros(len(at) + 1, bool)
     same[1:-1] = sorted_key[1:] == sorted_key[:-1]
-    twice = at[order[same[1:] | same[:-1]]]  # grouped by key already
-    in_window = _cover(twice, GRAM, n) if len(twice) else np.zeros(n, bool)
+    twice = at[order[same[1:] | same[:-1]]]  # grouped by their first words
     if not len(twice):
-        return in_window, longest
-    # suffix order inside each group of equal first words, and neighbours' common prefix
-    row_end = np.repeat(word_off[1:], np.diff(word_off))
-    sa = _ordered(prefix, h, twice, key, at, row_end)
+        return np.zeros(n, bool), longest
+    in_window = _cover(twice, GRAM, n)
     gram = np.zeros(n, W.U)
     gram[at] = key
+    new = np.ones(len(twice), bool)
+    new[1:] = gram[twice[1:]] != gram[twice[:-1]]
+    rank = len(twice) + np.arange(n)
+    rank[twice] = np.maximum.accumulate(np.where(new, np.arange(len(twice)), 0))
+    row_end = np.repeat(word_off[1:], np.diff(word_off))
+    sa = suffix_array(twice, rank, row_end, GRAM)
     p, q = sa[:-1], sa[1:]
     near = np.flatnonzero(gram[p] == gram[q])
     lcp = common_prefix(prefix, p[near], q[near], row_end, GRAM)
@@ -121,15 +116,6 @@ def repeats(h: np.ndarray, word_off: np.ndarray):
     return in_window, longest
 
 
-def _ordered(prefix, h, twice, key, at, row_end):
-    """The suffix array of the places ``twice``."""
-    rank = np.full(len(h), -1, np.int64)
-    rank[at] = np.unique(key, return_inverse=True)[1]
-    tail = np.flatnonzero(rank < 0)  # the last words of a row: each a suffix of its own
-    rank[tail] = rank.max() + 1 + np.arange(len(tail))
-    return suffix_array(rank, twice, row_end, GRAM)
-
-
 def _lines(text: bytes) -> int:
     seen, n = set(), 0
     for line in text.split(b"\n"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotbook.llm import near_dedup, substring_dedup
+from slotbook.llm import decontaminate, html_extract, near_dedup, quality_classifier, quality_rules, substring_dedup
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -18,9 +18,30 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_html_extract(spark, sf_dir):
+    return html_extract.main_texts(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_html_extract": op10_html_extract,
 }
 
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -53,5 +74,21 @@ u as (select a, b from l union select b, a from l),
 r as (select doc_id as a, doc_id as b from n union select r.a, u.b from r join u on r.b = u.a)
 select doc_id, n as n_shingles, min(b) as component_id, doc_id = min(b) as kept
 from n join r on r.a = doc_id group by doc_id, n
+""",
+    "op6_decontaminate": r"""
+with b as (select row_number() over () as r, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select r, item_id, least(len(w), 13) as z, unnest(range(len(w) - least(len(w), 13) + 1)) as k, w from b where len(w) > 0),
+x as (select distinct r, item_id, z, md5(array_to_string(w[k + 1:k + z], ' ')) as h from i),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+z as (select distinct z from x),
+p as (select doc_id, z, unnest(range(len(w) - z + 1)) as k, w from d, z where len(w) >= z),
+g as (select doc_id, z, k, md5(array_to_string(w[k + 1:k + z], ' ')) as h from p),
+o as (select g.doc_id, g.k, g.z, x.r, x.item_id from g join x on g.z = x.z and g.h = x.h),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, k + unnest(range(z)) as j from o) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids
+      from (select distinct doc_id, r, cast(item_id as varchar) as s from o) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
 """,
 }
