@@ -52,13 +52,13 @@ with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) as w
 p as (select doc_id, unnest(range(len(w) - 49)) as i, w from d where len(w) >= 50),
 g as (select doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) as k from p),
 f as (select k, min(doc_id) as first from g group by k),
-x as (select g.doc_id, list(i) as at from g join f using (k) where g.doc_id > f.first group by g.doc_id),
-r as (select distinct doc_id, i + unnest(range(50)) as j from (select doc_id, unnest(at) as i from x)),
-q as (select doc_id, list(j) as gone from r group by doc_id),
-k as (select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
-             array_to_string([w[j + 1] for j in range(len(w)) if gone is null or not list_contains(gone, j)], ' ') as kept
-      from d left join q using (doc_id))
-select doc_id, n_words, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k
+x as (select distinct g.doc_id, i + unnest(range(50)) as j from g join f using (k) where g.doc_id > f.first),
+e as (select doc_id, unnest(w) as t, unnest(range(len(w))) as j from d),
+k as (select e.doc_id, count(*) as n, string_agg(t, ' ' order by e.j) as kept
+      from e anti join x on e.doc_id = x.doc_id and e.j = x.j group by e.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
 """,
     "op2_near_dedup": rf"""
 with recursive d as (
