@@ -238,3 +238,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk
     found = (spark.read.parquet(*held).dropDuplicates(["doc_id", "version", "hit", "items"]).groupBy("doc_id")
              .agg(F.collect_list(F.struct("version", "hit", "items", "longest")).alias("found")))
     return texts.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_merged, _OUT_DDL)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document is not contaminated."""
+    gone = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")

@@ -203,3 +203,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out("doc_id", 5).alias("held_out"))
             .mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier does not reject."""
+    held, net = train(docs, labels)
+
+    def keep(batches):
+        for rows, buf, off in W.slices(batches, "text"):
+            yield rows.filter(pa.array(net.score(pooled(buf, off, held.value)) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)

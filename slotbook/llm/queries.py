@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from slotbook.llm import decontaminate, html_extract, near_dedup, quality_classifier, quality_rules, substring_dedup
+import corpus_pipeline
+from slotbook.llm import (
+    decontaminate,
+    html_extract,
+    license_scan,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -18,6 +30,19 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.source_labels(docs))
+
+
+def op4_license_scan(spark, sf_dir):
+    return license_scan.license_scan(_read(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -31,6 +56,11 @@ def op8_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "starts", "ends")
+
+
 def op10_html_extract(spark, sf_dir):
     return html_extract.main_texts(_read(spark, sf_dir, "pages"))
 
@@ -38,10 +68,15 @@ def op10_html_extract(spark, sf_dir):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_html_extract": op10_html_extract,
+    "pipeline": corpus_pipeline.run,
 }
 
 _SPACED = r"'[^\x20\x09-\x0D]+'"

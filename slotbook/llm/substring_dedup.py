@@ -234,3 +234,40 @@ def dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFra
     spans = copied(docs, size).groupBy("doc_id").agg(F.collect_list(F.struct("version", "place")).alias("spans"))
     return (texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
             .mapInArrow(_apply(size, with_text), _ddl(_OUT)))
+
+
+def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with the duplicate spans cut out of ``text`` (all other characters
+    stay as they are) and, if there is such a column, ``n_chars`` counted anew."""
+    names = docs.columns
+    at = names.index("text")
+    spans = (copied(docs, size).groupBy(F.col("doc_id").alias("span_of"))
+             .agg(F.collect_list(F.struct("version", "place")).alias("span_list")))
+    left = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    joined = left.join(spans, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("span_of"), "left").drop("span_of")
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, listed in enumerate(batch.column(len(names)).to_pylist()):
+                if not listed or not texts[i]:
+                    continue
+                raw = texts[i].encode()
+                buf = np.frombuffer(raw, np.uint8)
+                starts, ends, word_off = W.spans(buf, np.array([0, len(buf)]))
+                h = W.hashes(buf, starts, ends)
+                version = W.signed(W.Prefix(h, 1).window(word_off[:1], word_off[1:]))[0]
+                place = np.array([x["place"] for x in listed if x["version"] == version], np.int64)
+                if not len(place):
+                    continue
+                kept, last = [], 0
+                for a, b in factor_spans(place, size):
+                    kept.append(raw[last:starts[a]])
+                    last = starts[b] if b < len(starts) else len(raw)
+                texts[i] = b"".join([*kept, raw[last:]]).decode()
+            out = list(batch.columns[:len(names)])
+            out[at] = pa.array(texts, out[at].type)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:len(names)])
+
+    out = joined.mapInArrow(cut, left.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
