@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership, DataFrame operations only.
 
 1. A table of labelled documents (doc_id, domain) trains a classifier: hashed word
-   counts a domain, smoothed (at most ``MAX_LABELLED`` labelled documents, by hash;
+   counts a domain, drawn towards the counts of all domains (at most ``MAX_LABELLED`` labelled documents, by hash;
    domains beyond the ``MAX_DOMAINS`` - 1 largest are one domain, ``*``).
 2. Every document's words are looked up in that table (``BUCKETS`` rows); the sums a
    document give its log-likelihoods, which together with the domains' shares give
@@ -35,7 +35,8 @@ from slotbook.session import scratch_path
 BUCKETS = 1024
 MAX_LABELLED = 10_000
 MAX_DOMAINS = 64
-EVIDENCE = 100
+EVIDENCE = 25
+SHRINK = 50_000  # tokens by which a domain's counts are drawn to those of all domains
 STEPS = 24
 FLATTEN = 0.5  # default targets: shares of tokens to this power
 SPACE = r"[ \t-\r]+"
@@ -80,7 +81,9 @@ class Classifier:
         for d, b, n in folded.groupBy("domain", "bucket").agg(F.sum("n")).collect():  # MAX_DOMAINS * BUCKETS
             table[b][at[d]] += n
         counts.unpersist()
-        self.table = [tuple(math.log((n + 1) / (size + BUCKETS)) for n, size in zip(row, sizes)) for row in table]
+        common = [(sum(row) + 1) / (self.total + BUCKETS) for row in table]
+        self.table = [tuple(math.log((n + SHRINK * c) / (size + SHRINK)) for n, size in zip(row, sizes))
+                      for row, c in zip(table, common)]
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, p0, p1, ...) a doc_id."""
