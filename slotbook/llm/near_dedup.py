@@ -11,10 +11,11 @@ sets overlap.
    doc_id, the representative, goes on, so exact copies cost one row each.
 2. ``BANDS`` bands of ``ROWS`` registers key representatives into buckets.  At the
    lowest linked similarity a pair shares no bucket with probability below 1e-6.
-3. Pairs of a bucket are first taken from its centres (its smallest member, then
-   a pseudo-random one a round) to its members of other components, then, for
-   members still apart, from every component to every other.  A pair inside one
-   component can add nothing and is never formed.
+3. Pairs of a bucket are taken from its centre (its smallest member, then a
+   pseudo-random one a round) to its members of other components.  A pair inside
+   one component can add nothing and is never formed.  Members of a bucket that
+   are still apart then meet where they share one of their rarest shingles, as any
+   linked pair does; so a large bucket of unlinked texts costs no pair each.
 4. Each pair's registers give the likelihood of every similarity, jointly with
    both set sizes; pairs for which the threshold is out of reach are dropped.
 5. What remains is decided on the full sets.  Links are contracted into
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotbook.session import scratch_path
@@ -204,7 +205,6 @@ class _Reps:
     """Representatives with what pair checks need."""
 
     def __init__(self, docs: DataFrame, sketches: DataFrame, reps: DataFrame):
-        spark = docs.sparkSession
         self.sketch = _saved(sketches.join(reps, ["set_a", "set_b", "n_shingles"])
                              .filter("doc_id = rep").dropDuplicates(["rep"])
                              .select("rep", "n_shingles", "registers", "bands"), "reps")
@@ -215,7 +215,6 @@ class _Reps:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.sets = _saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                            .mapInArrow(_set_rows, "doc_id long, members binary"), "sets")
-        self.spark: SparkSession = spark
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
@@ -236,6 +235,41 @@ class _Reps:
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         return rows.join(mixed.select("key"), "key")
 
+    def sharing_rare_shingles(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of texts (rep, label) of different labels that could be linked.
+
+        Two linked sets of n and m shingles share at least ``o = need(n, m)`` of them.  In
+        one common order, rarest shingle first, the first one that they share then has
+        at least o - 1 others behind it in either set.  So only pairs that share a
+        shingle so early are linked, whatever their bucket; copies with many edits
+        of their own share none.  Nothing is lost by it.
+        """
+        tokens = _saved(self.sets.join(rows, F.col("doc_id") == F.col("rep")).select("rep", "label", "members")
+                        .mapInArrow(_shingle_rows, "rep long, label long, n long, token long"), "tokens")
+        counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+        early = (tokens.join(counts, "token").groupBy("rep", "label", "n")
+                 .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+                 .select("rep", "label", "n", F.posexplode(F.slice(
+                     "order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))).alias("pos", "at"))
+                 .filter("at.df > 1").select("rep", "label", "n", F.col("at.token").alias("token"), "pos"))
+        early = _saved(early, "early")
+        mixed = early.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        early = early.join(mixed.select("token"), "token")
+        other = early.select("token", *[F.col(c).alias(f"{c}_2") for c in ("rep", "label", "n", "pos")])
+        need = F.ceil((F.col("n") + F.col("n_2")) * NUM / (NUM + DEN))
+        return (early.join(other, "token").filter("label < label_2")
+                .filter((F.col("n") - F.col("pos") >= need) & (F.col("n_2") - F.col("pos_2") >= need))
+                .select(*_ordered(F.col("rep"), F.col("rep_2"))))
+
+
+def _shingle_rows(batches):
+    schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+    for batch in batches:
+        for rep, label, members in zip(*(c.to_pylist() for c in batch.columns)):
+            h = np.frombuffer(members, np.int64)
+            yield W.table(schema, rep=np.full(len(h), rep), label=np.full(len(h), label),
+                          n=np.full(len(h), len(h)), token=h)
+
 
 def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -255,9 +289,7 @@ def link_components(reps: _Reps) -> DataFrame:
                   .select("key", F.col("rep").alias("x"), F.col("label").alias("x_label")))
             pairs = rows.join(at, "key").filter("label <> x_label").select(*_ordered(F.col("x"), F.col("rep")))
         else:
-            # every component against every other of its bucket
-            x = rows.select("key", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-            pairs = rows.join(x, "key").filter("label < x_label").select(*_ordered(F.col("x"), F.col("rep")))
+            pairs = reps.sharing_rare_shingles(rows.select("rep", "label").distinct())
         pairs = _saved(pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn:
@@ -287,3 +319,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return rows.select("doc_id", "n_shingles", "component_id",
                        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component; one row if
+    rows repeat a doc_id.  Rows without a doc_id belong to no component and stay."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    return rows.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
