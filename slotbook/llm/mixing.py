@@ -37,7 +37,7 @@ MAX_LABELLED = 10_000
 MAX_DOMAINS = 64
 EVIDENCE = 25
 SHRINK = 50_000  # tokens by which a domain's counts are drawn to those of all domains
-STEPS = 24
+STEPS = 16
 FLATTEN = 0.5  # default targets: shares of tokens to this power
 SPACE = r"[ \t-\r]+"
 
