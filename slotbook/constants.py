@@ -117,8 +117,9 @@ MSG_BOOKING_STATUS = 'Field "orderStatus" value must be either "COMPLETED" or "E
 # --- fixed values: validation patterns (Java regex, also valid for DuckDB) ----
 RE_ALPHA_SPACES = r"^[A-Za-z ]+$"
 RE_ALPHANUMERIC = r"^[A-Za-z0-9]+$"
-RE_NUMERIC = r"^[+-]?([0-9]*[.])?[0-9]+$"
-RE_UUID_ANY = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+RE_NUMERIC = r"^[+-]?[0-9]+$"
+RE_UUID_ANY = (r"^([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[1-8][0-9A-Fa-f]{3}-[89ABab][0-9A-Fa-f]{3}-[0-9A-Fa-f]{12}"
+               r"|0{8}-0{4}-0{4}-0{4}-0{12}|[Ff]{8}-[Ff]{4}-[Ff]{4}-[Ff]{4}-[Ff]{12})$")
 RE_UUID_V4 = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-4[0-9A-Fa-f]{3}-[89ABab][0-9A-Fa-f]{3}-[0-9A-Fa-f]{12}$"
 RE_EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 RE_LOWER = r"[a-z]"

@@ -1,7 +1,8 @@
 """snake_case -> camelCase column names for API-shaped output.
 
-A name without '_' is kept as is; any other name is lower-cased and each
-'_x' / '-x' (x a letter) becomes 'X'.  Two columns mapping to one name is an
+A name without '_' is kept as is.  Any other name is split at '_' and '-'; its
+parts are lower-cased and each but the first is capitalised (a part that does
+not begin with a letter keeps an '_' before it).  Two columns mapping to one name is an
 error rather than a silent overwrite.
 """
 
@@ -11,13 +12,12 @@ import re
 
 from pyspark.sql import DataFrame
 
-_FOLD = re.compile(r"[-_][a-z]")
-
 
 def camel_name(name: str) -> str:
     if "_" not in name:
         return name
-    return _FOLD.sub(lambda m: m.group(0)[1].upper(), name.lower())
+    head, *rest = re.split("[_-]", name.lower())
+    return head + "".join(p.capitalize() if p[:1].isalpha() else f"_{p}" for p in rest)
 
 
 def camel_columns(df: DataFrame) -> DataFrame:

@@ -50,7 +50,13 @@ def _has_errors(rules) -> Column:
 def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
                    eligible: Column, name: str = "is_first") -> DataFrame:
     """Flag the first eligible row per key by ``order`` (a min aggregate + join,
-    so a key with very many rows is folded map-side instead of windowed)."""
+    so a key with very many rows is folded map-side instead of windowed).
+
+    A ``request_id`` column, where there is one, orders requests that are equal
+    otherwise, so that exactly one of them is first.
+    """
+    if "request_id" in df.columns and "request_id" not in order:
+        order = [*order, "request_id"]
     types = [df.schema[c].dataType for c in order]
     integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
     if len(order) == 1 and isinstance(types[0], integral):
@@ -209,7 +215,7 @@ def admit_packages(requests: DataFrame, place: DataFrame, place_admin: DataFrame
         (F.col("__bad"), C.PACKAGE_CREATE_FIELDS),
         (F.col("__pl").isNull(), C.PACKAGE_CREATE_PLACE_MISSING),
         (F.col("__adm").isNull(), C.PACKAGE_CREATE_NOT_ADMIN),
-        (F.coalesce(F.col("__used"), F.lit(0)) + F.col("capacity") > F.col("__max"),
+        (F.coalesce(F.col("__used"), F.lit(0)) + F.col("capacity").try_cast("int") > F.col("__max"),
          C.PACKAGE_CREATE_OVER_CAPACITY),
         (F.col("__pt").isNull(), C.PACKAGE_CREATE_TYPE_MISSING),
     ])
@@ -496,29 +502,19 @@ def import_members(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Judge sign-ups (id, fullname, gender, username, email [, password]).
 
     1001 invalid fields; 1002 the username or e-mail is taken by a stored user
-    or by a valid request with a lower id in the same batch; else a MEMBER.
-    Passwords are never carried into the output.
+    or, in the same batch, by a request with a lower id that is valid and clashes
+    with no stored user; else a MEMBER.  Passwords are never carried into the output.
     """
     has_pw = "password" in requests.columns
     r = requests.withColumn("__bad", _has_errors(V.signup_rules(with_password=has_pw)))
-    valid_ids = r.filter(~F.col("__bad"))
-    id_type = requests.schema["id"].dataType
-
-    def per_key(key: str, tag: str) -> DataFrame:
-        # One row per username (e-mail): taken by a stored user?  lowest id of
-        # a valid request in the batch?  Stored and requested occurrences are
-        # folded by one aggregate, so each key costs one join.
-        stored = users.select(F.col(key), F.lit(True).alias("__t"),
-                              F.lit(None).cast(id_type).alias("__id"))
-        batch = valid_ids.select(F.col(key), F.lit(None).cast("boolean").alias("__t"),
-                                 F.col("id").alias("__id"))
-        return (stored.unionByName(batch).groupBy(key)
-                .agg(F.max("__t").alias(f"__t{tag}"), F.min("__id").alias(f"__f{tag}")))
-
-    r = r.join(per_key("username", "u"), "username", "left").join(per_key("email", "e"), "email",
-                                                                  "left")
-    dup = (F.coalesce(F.col("__tu"), F.lit(False)) | F.coalesce(F.col("__te"), F.lit(False))
-           | (F.col("__fu") != F.col("id")) | (F.col("__fe") != F.col("id")))
+    for key, tag in (("username", "u"), ("email", "e")):
+        stored = users.select(key).distinct().withColumn(f"__t{tag}", F.lit(True))
+        r = r.join(stored, key, "left")
+    stored = F.coalesce(F.col("__tu"), F.lit(False)) | F.coalesce(F.col("__te"), F.lit(False))
+    eligible = r.filter(~F.col("__bad") & ~stored)
+    for key, tag in (("username", "u"), ("email", "e")):
+        r = r.join(eligible.groupBy(key).agg(F.min("id").alias(f"__f{tag}")), key, "left")
+    dup = stored | (F.col("__fu") != F.col("id")) | (F.col("__fe") != F.col("id"))
     code = _chain([(F.col("__bad"), C.SIGNUP_FIELDS), (dup, C.SIGNUP_DUPLICATE)])
     ok = code == C.OK
     cols = [c for c in requests.columns if c != "password"]

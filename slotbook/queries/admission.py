@@ -340,8 +340,10 @@ _SIGNUP_OKS = [
 
 @register("import_members", f"""
 WITH r AS (SELECT *, {S.any_bad(*[o for _, o in _SIGNUP_OKS])} AS bad FROM member_signup),
-fu AS (SELECT username, min(id) AS fu FROM r WHERE NOT bad GROUP BY username),
-fe AS (SELECT email, min(id) AS fe FROM r WHERE NOT bad GROUP BY email),
+free AS (SELECT * FROM r WHERE NOT bad AND username NOT IN (SELECT username FROM users WHERE username IS NOT NULL)
+         AND email NOT IN (SELECT email FROM users WHERE email IS NOT NULL)),
+fu AS (SELECT username, min(id) AS fu FROM free GROUP BY username),
+fe AS (SELECT email, min(id) AS fe FROM free GROUP BY email),
 tu AS (SELECT DISTINCT username FROM users),
 te AS (SELECT DISTINCT email FROM users),
 x AS (SELECT r.id, r.fullname, r.gender, r.username, r.email,

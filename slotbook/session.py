@@ -8,6 +8,7 @@ tests, the bench and the driver entry point.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,7 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always used as is.
-    Only when it is unset (tests, local runs) do we set a private folder.
+    Only when it is unset and the master is local (tests, local runs) do we set
+    a private folder; elsewhere a machine-local folder would lose data, so an
+    unset folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -67,6 +70,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "") if sc is None else sc.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to storage that all executors share")
         configured = tempfile.mkdtemp(prefix="slotbook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:

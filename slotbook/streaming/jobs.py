@@ -105,28 +105,39 @@ def _read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
 
 
 def run_expiry(spark: SparkSession, events_stream: DataFrame, out_path: str | None = None,
-               delay: str = EXPIRY_DELAY) -> DataFrame:
-    """Run S01 until the available input is consumed; return what it emitted."""
+               delay: str = EXPIRY_DELAY, checkpoint: str | None = None) -> DataFrame:
+    """Run S01 until the available input is consumed; return what it emitted.
+
+    A later call with the same ``out_path`` (and ``checkpoint``, by default a
+    folder named after it) goes on where the last one ended.
+    """
     out = out_path or scratch_path(spark, "expiry-out")
+    checkpoint = checkpoint or f"{out.rstrip('/')}-checkpoint"
     with utc_session(spark):
         q = (expiry_stream(events_stream, delay).writeStream.format("parquet")
-             .option("path", out).option("checkpointLocation", scratch_path(spark, "expiry-ckpt"))
+             .option("path", out).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
     return spark.read.parquet(out)
 
 
 def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFrame,
-               package: DataFrame, out_path: str | None = None) -> DataFrame:
-    """Run S02 until the available input is consumed; return the latest full result."""
+               package: DataFrame, out_path: str | None = None,
+               checkpoint: str | None = None) -> DataFrame:
+    """Run S02 until the available input is consumed; return the latest full result.
+
+    A later call with the same ``out_path`` goes on where the last one ended.
+    """
     out = out_path or scratch_path(spark, "profit-out")
+    checkpoint = checkpoint or f"{out.rstrip('/')}-checkpoint"
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        # Complete mode hands over the whole (small: one row per day) result;
-        # overwriting makes a replayed batch idempotent.
+    def write(batch: DataFrame, epoch: int) -> None:
+        # Complete mode hands over the whole (small: one row per day) result.  Each
+        # epoch has its own folder: a replay overwrites only its own, and a
+        # crash leaves the last complete result as it was.
         (batch.select(F.to_date(F.col("window.start")).cast("string").alias("created_at"),
                       F.col("profit").cast("int").alias("profit"))
-         .write.mode("overwrite").parquet(out))
+         .write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
 
     # The static side is reused by every micro-batch: compute it once and cut
     # its lineage into the shared checkpoint folder.  (It maps an order to its
@@ -137,10 +148,11 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
     with utc_session(spark):
         q = (profit_stream(orders_stream, static_first, package).writeStream
              .outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", scratch_path(spark, "profit-ckpt"))
+             .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
-    return spark.read.parquet(out)
+    got = spark.read.parquet(out)
+    return got.filter(F.col("epoch") == got.agg(F.max("epoch")).first()[0]).drop("epoch")
 
 
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:

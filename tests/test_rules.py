@@ -180,7 +180,7 @@ def test_validation_rules(spark):
                    V.passes(V.alphanumeric(F.col("user"))).alias("us"),
                    V.passes(V.numeric(F.col("num"))).alias("nu")).collect()
     assert [tuple(r) for r in got] == [(True, True, True, True, True, True),
-                                       (False, False, False, False, False, True),
+                                       (False, False, False, False, False, False),
                                        (False, False, False, False, False, False)]
     errs = d.select(V.collect_errors([("m1", F.col("pw").isNotNull()), ("m2", F.lit(False)),
                                       ("m1", F.lit(False))]).alias("e")).collect()

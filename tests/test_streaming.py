@@ -80,3 +80,29 @@ def test_expiry_drops_rows_behind_the_watermark(spark, cat):
     got = spark.read.parquet(out)
     assert got.count() == before
     assert got.filter("booking_id = 999999").count() == 0
+
+
+def test_expiry_resumes_from_its_checkpoint(spark, cat):
+    landing, out = scratch_path(spark, "landing-resume"), scratch_path(spark, "expiry-resume")
+    events = cat.raw("events")
+    split = events.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    counts = []
+    for part in (events.filter(F.col("ts") < split), events.filter(F.col("ts") >= split)):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(landing)
+        counts.append(jobs.run_expiry(spark, stream, out).count())
+    got = [r.booking_id for r in spark.read.parquet(out).select("booking_id").collect()]
+    assert 0 < counts[0] < counts[1] == len(got) == len(set(got))
+    assert set(got) == _batch_expired(cat)
+
+
+def test_profit_resumes_from_its_checkpoint(spark, cat):
+    from slotbook.plans.reports import profit_by_day
+    landing, out = scratch_path(spark, "landing-profit"), scratch_path(spark, "profit-resume")
+    orders = cat.raw("orders")
+    for part in (orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1")):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(RAW_SCHEMAS["orders"]).parquet(landing)
+        got = jobs.run_profit(spark, stream, cat.first_part, cat.package, out)
+    want = profit_by_day(cat.booking, cat.package)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
