@@ -235,9 +235,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk
             held.append(at)
     if chunks == 1:
         return texts.mapInArrow(_whole(spark.sparkContext.broadcast(held[0])), _OUT_DDL)
-    found = (spark.read.parquet(*held).dropDuplicates(["doc_id", "version", "hit", "items"]).groupBy("doc_id")
+    found = (spark.read.parquet(*held).dropDuplicates(["doc_id", "version", "hit", "items"])
+             .groupBy(F.col("doc_id").alias("of"))
              .agg(F.collect_list(F.struct("version", "hit", "items", "longest")).alias("found")))
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_merged, _OUT_DDL)
+    return (texts.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "found")
+            .mapInArrow(_merged, _OUT_DDL))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
