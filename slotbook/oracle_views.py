@@ -32,8 +32,7 @@ VIEW_SQL = {
         o.o_orderdate AS created_at
       FROM orders o
       LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS package_id FROM lineitem GROUP BY l_orderkey) l
-        ON l.l_orderkey = o.o_orderkey
-      WHERE o.o_custkey % 10 <> 9""",
+        ON l.l_orderkey = o.o_orderkey""",
     "users": """SELECT c.c_custkey AS id,
         concat('Member ', translate(CAST(c.c_custkey AS VARCHAR), '0123456789', 'abcdefghij')) AS fullname,
         CASE WHEN c.c_custkey % 2 = 0 THEN 'MALE' ELSE 'FEMALE' END AS gender,
@@ -57,7 +56,12 @@ VIEW_SQL = {
       UNION ALL
       SELECT w.id, concat('Owner ', CAST(w.id AS VARCHAR)), 'FEMALE', concat('owner', CAST(w.id AS VARCHAR)),
         concat('owner', CAST(w.id AS VARCHAR), '@example.com'), 'OWNER', 'ACTIVE', true, NULL
-      FROM (SELECT DISTINCT 2000000 + s_suppkey % 3 AS id FROM supplier) w""",
+      FROM (SELECT DISTINCT 2000000 + s_suppkey % 3 AS id FROM supplier) w
+      UNION ALL
+      SELECT -10 - s_suppkey, concat('Idle ', CAST(-10 - s_suppkey AS VARCHAR)), 'FEMALE',
+        concat('idle', CAST(-10 - s_suppkey AS VARCHAR)),
+        concat('idle', CAST(-10 - s_suppkey AS VARCHAR), '@example.com'), 'MEMBER', 'ACTIVE', true, NULL
+      FROM supplier""",
     "member_ban": """SELECT event_id AS id, user_id AS member_user_id,
         CASE event_id % 3 WHEN 0 THEN 'BANNED' WHEN 1 THEN 'REVOKED' ELSE 'PENDING' END AS approval_status,
         concat('reason ', CAST(event_id % 7 AS VARCHAR)) AS ban_reason,
@@ -69,11 +73,12 @@ VIEW_SQL = {
         CASE WHEN event_id % 4 = 0 THEN 'ADMIN' ELSE 'MEMBER' END AS required_role,
         ts AS attempted_at
       FROM events WHERE event_type IN ('view', 'click')""",
-    "live_booking": """SELECT event_id AS id, user_id AS member_user_id, event_id % 200 AS package_id,
-        'PENDING' AS order_status, ts AS created_at
+    "live_booking": """SELECT event_id AS id, user_id AS member_user_id,
+        event_id % (SELECT count(*) FROM part) AS package_id, 'PENDING' AS order_status, ts AS created_at
       FROM events WHERE event_type = 'click'""",
     "booking_request": """SELECT event_id AS id, user_id AS member_user_id,
-        CASE WHEN event_id % 11 = 0 THEN -1 ELSE event_id % 200 END AS package_id, ts AS requested_at
+        CASE WHEN event_id % 11 = 0 THEN -1 ELSE event_id % (SELECT count(*) FROM part) END AS package_id,
+        ts AS requested_at
       FROM events WHERE event_type = 'purchase'""",
     "completion": """SELECT event_id AS id, user_id AS member_user_id, ts AS completed_at
       FROM events WHERE event_type = 'view'""",
@@ -82,7 +87,7 @@ VIEW_SQL = {
         CASE WHEN b.id % 7 = 0 THEN 1000000
              ELSE 1000000 + (b.package_id % (SELECT count(*) FROM supplier)) * 3 END AS admin_user_id,
         b.created_at + INTERVAL 2 HOURS AS requested_at
-      FROM booking b WHERE b.id % 5 = 0""",
+      FROM booking b""",
     "package_request": """SELECT p_partkey AS id, p_partkey % (SELECT count(*) + 2 FROM supplier) AS place_id,
         CASE WHEN p_partkey % 9 = 0 THEN 'new 9' ELSE p_name END AS name,
         p_size AS capacity, CAST(floor(p_retailprice) AS INT) AS price,

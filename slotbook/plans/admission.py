@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +103,7 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
     ``mode="snapshot"`` judges every request against stored state only.
     ``mode="strict"`` also lets requests of the batch see earlier requests of
     the batch, conservatively: a request is 1022 when the same member has an
-    earlier (strictly earlier time) request in the batch, younger than 2 h,
+    earlier (by time, then id) request in the batch, younger than 2 h,
     that passed the field, package and stored-state checks; and 1021 when
     stored pendings plus earlier surviving requests for the package reach the
     capacity (always ``>=`` in this mode).  A later request can be refused
@@ -134,11 +134,18 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
         e1 = r.filter("__e1").select("member_user_id", F.col("requested_at").alias("__et"))
         r = asof_latest(r, e1, ["member_user_id"], "requested_at", "__et", ["__et"],
                         bucket=bucket, inclusive=False, prefix="prev")
-        batch_ongoing = F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
+        # of a member's requests at one instant the lowest id is first
+        r = first_in_batch(r, ["member_user_id", "requested_at"], ["id"], F.col("__e1"), "__member_first")
+        batch_ongoing = (F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
+                         | (F.col("__e1") & ~F.col("__member_first")))
         r = cut_lineage(r.withColumn("__e2", F.col("__e1") & ~batch_ongoing))
         e2 = r.filter("__e2").select("package_id", F.col("requested_at").alias("__rt"))
         r = asof_count(r, e2, ["package_id"], "requested_at", "__rt", name="__rank",
                        bucket=bucket, inclusive=False)
+        instant = (Window.partitionBy("package_id", "requested_at").orderBy("id")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        same = F.coalesce(F.sum(F.col("__e2").cast("int")).over(instant), F.lit(0))
+        r = r.withColumn("__rank", F.col("__rank") + same)
         full = F.col("pending_count") + F.col("__rank") >= F.col("__cap")
         ongoing = ongoing | batch_ongoing
     code = _chain([
@@ -163,16 +170,17 @@ def transition_bookings(requests: DataFrame, booking: DataFrame, package: DataFr
     of the batch updates it); else the booking gets the new status, the admin
     and ``updated_at = requested_at``.
     """
-    where = (booking.select(F.col("id").alias("booking_id"), F.col("package_id"),
-                            F.col("updated_at").alias("__prev_updated"))
-             .join(package.select(F.col("id").alias("package_id"), "place_id"), "package_id")
-             .join(place.select(F.col("id").alias("place_id")), "place_id")
-             .select("booking_id", "place_id", "__prev_updated"))
-    pa = place_admin.select("admin_user_id", "place_id", F.lit(True).alias("__managed"))
+    # Requests meet their booking first; only those bookings go on to the packages and their admins.
+    b = booking.select(F.col("id").alias("booking_id"), F.col("package_id").alias("__package"),
+                       F.col("updated_at").alias("__prev_updated"))
+    managed = (package.select(F.col("id").alias("__package"), "place_id")
+               .join(place.select(F.col("id").alias("place_id")), "place_id")
+               .join(place_admin.select("admin_user_id", "place_id"), "place_id")
+               .select("__package", "admin_user_id", F.lit(True).alias("__managed")).distinct())
     r = (requests.withColumn("__bad_id", ~V.passes(V.valid_id(F.col("booking_id"), id_kind)))
          .withColumn("__bad", _has_errors(V.booking_status_rules()))
-         .join(where, "booking_id", "left")
-         .join(pa, ["admin_user_id", "place_id"], "left"))
+         .join(b, "booking_id", "left")
+         .join(managed, ["__package", "admin_user_id"], "left"))
     pre = _chain([
         (F.col("__bad_id"), C.BOOKING_UPDATE_BAD_ID),
         (F.col("__bad"), C.BOOKING_UPDATE_FIELDS),

@@ -9,7 +9,9 @@ Shapes chosen for scale:
 * facts are pre-aggregated on their join key before they meet a dimension
   (profit, member counts), so the shuffle carries one row per key, not one row
   per booking, and a hot key is folded by the map-side partial aggregate;
-* the row-multiplying join (booking x admins of its place) is done last;
+* package, type, place, city and place admins are joined among themselves first, so
+  a booking crosses the network once by member and once by package, and the
+  row-multiplying join (booking x admins of its place) comes last;
 * no explicit broadcast: AQE turns a join into a broadcast only when the
   runtime size of a side is under ``spark.sql.autoBroadcastJoinThreshold``.
 """
@@ -54,8 +56,8 @@ def ongoing_by_admin(booking: DataFrame, users: DataFrame, package: DataFrame,
     pa = place_admin.select("admin_user_id", "place_id")
     if admin_id is not None:
         pa = pa.filter(F.col("admin_user_id") == F.lit(admin_id))
-    out = (b.join(pk, "package_id").join(pt, "package_type_id").join(u, "member_user_id")
-           .join(pa, "place_id")
+    out = (b.join(u, "member_user_id")
+           .join(pk.join(pt, "package_type_id").join(pa, "place_id"), "package_id")
            .select("admin_user_id", "booking_id", "package_type_name", "member_username",
                    "package_price", "order_status",
                    (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))
@@ -75,7 +77,7 @@ def ongoing_by_member(booking: DataFrame, package: DataFrame, place: DataFrame,
                         "place_id")
     pl = place.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"), "city_id")
     ct = city.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"))
-    out = (b.join(pk, "package_id").join(pl, "place_id").join(ct, "city_id")
+    out = (b.join(pk.join(pl.join(ct, "city_id"), "place_id"), "package_id")
            .select("member_user_id", "booking_id", "package_name", "place_name", "city_name",
                    (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))
     return take_page(out, ["member_user_id", "booking_id"], page, limit)
@@ -111,7 +113,7 @@ def booking_detail(ids: DataFrame, booking: DataFrame, package: DataFrame,
                      F.col("username").alias("member_username"),
                      F.col("gender").alias("member_gender"), F.col("email").alias("member_email"))
     j = (ids.select("booking_id").join(b, "booking_id", "left")
-         .join(pk, "package_id", "left").join(pt, "package_type_id", "left")
+         .join(pk.join(pt, "package_type_id", "left"), "package_id", "left")
          .join(u, "member_user_id", "left"))
     complete = F.col("_pk").isNotNull() & F.col("_pt").isNotNull() & F.col("_u").isNotNull()
     code = (F.when(~valid_id(F.col("booking_id"), id_kind), C.BOOKING_DETAIL_BAD_ID)
@@ -145,8 +147,8 @@ def booking_log(booking: DataFrame, package: DataFrame, package_type: DataFrame,
     pa = place_admin.select("admin_user_id", "place_id")
     if admin_id is not None:
         pa = pa.filter(F.col("admin_user_id") == F.lit(admin_id))
-    out = (b.join(pk, "package_id").join(pt, "package_type_id").join(u, "member_user_id")
-           .join(pa, "place_id")
+    out = (b.join(u, "member_user_id")
+           .join(pk.join(pt, "package_type_id").join(pa, "place_id"), "package_id")
            .select("admin_user_id", "booking_id", "member_email", "member_username",
                    "member_gender", "package_type_name", "package_name", "package_price",
                    "order_status", (F.col("created_at") + _ttl()).alias("expires_at"), "created_at"))

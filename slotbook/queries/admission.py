@@ -74,13 +74,14 @@ b AS (SELECT r.*, c.n, NOT {S.key('r.package_id')} AS bad,
 b1 AS (SELECT *, NOT bad AND pk IS NOT NULL AND NOT st_ongoing AS e1 FROM b),
 bo AS (SELECT b1.id, max(e.requested_at) AS prev FROM b1
        LEFT JOIN b1 e ON e.e1 AND e.member_user_id = b1.member_user_id
-                     AND e.requested_at < b1.requested_at
+                     AND (e.requested_at, e.id) < (b1.requested_at, b1.id)
        GROUP BY b1.id),
 b2 AS (SELECT b1.*, coalesce(bo.prev + INTERVAL 2 HOUR > b1.requested_at, false) AS batch_ongoing
        FROM b1 JOIN bo ON bo.id = b1.id),
 b3 AS (SELECT *, e1 AND NOT batch_ongoing AS e2 FROM b2),
 rk AS (SELECT b3.id, count(e.id) AS rnk FROM b3
-       LEFT JOIN b3 e ON e.e2 AND e.package_id = b3.package_id AND e.requested_at < b3.requested_at
+       LEFT JOIN b3 e ON e.e2 AND e.package_id = b3.package_id
+                     AND (e.requested_at, e.id) < (b3.requested_at, b3.id)
        GROUP BY b3.id),
 x AS (SELECT b3.id, b3.member_user_id, b3.package_id, b3.requested_at,
              CASE WHEN b3.bad THEN '1019'

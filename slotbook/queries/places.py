@@ -9,8 +9,14 @@ from slotbook.registry import catalog, register
 CITY_PATTERNS = ["1%", "2_", "7"]
 _LIKE = " OR ".join(f"CAST(p.city_id AS VARCHAR) LIKE '{p}'" for p in CITY_PATTERNS)
 
-_ADMIN_COUNT = """(SELECT count(admin_user_id) AS admin_count, place_id
-                   FROM place_admin GROUP BY place_id)"""
+_ADMIN_COUNT = """(SELECT DISTINCT place_id, count(*) OVER (PARTITION BY place_id) AS admin_count
+                   FROM place_admin)"""
+
+# Bookings per package first, then capacity taken per place; places with a booking only.
+_TAKEN = """waiting AS (SELECT package_id, count(*) AS n_all, sum(CAST(order_status = 'PENDING' AS INT)) AS n
+            FROM booking GROUP BY package_id),
+taken AS (SELECT pk.place_id, CAST(sum(pk.capacity * w.n) AS INT) AS capacity
+          FROM waiting w JOIN package pk ON pk.id = w.package_id GROUP BY pk.place_id)"""
 
 
 @register("places_owner_view", f"""
@@ -23,16 +29,10 @@ def q_places_owner_view(spark, sf_dir):
 
 
 @register("places_member_view", f"""
-SELECT p.id, p.name,
-       COALESCE(CAST(SUM(pk.capacity * CASE b.order_status WHEN 'PENDING' THEN 1 ELSE 0 END) AS INT), 0)
-         AS current_capacity,
-       p.max_capacity, c.name AS city_name, p.address
-FROM place p
-LEFT JOIN package pk ON pk.place_id = p.id
-LEFT JOIN booking b ON b.package_id = pk.id
-JOIN city c ON p.city_id = c.id
-WHERE {_LIKE}
-GROUP BY p.id, p.name, p.max_capacity, c.name, p.address""")
+WITH {_TAKEN}
+SELECT p.id, p.name, COALESCE(s.capacity, 0) AS current_capacity, p.max_capacity, c.name AS city_name, p.address
+FROM city c JOIN place p ON p.city_id = c.id LEFT JOIN taken s ON s.place_id = p.id
+WHERE {_LIKE}""")
 def q_places_member_view(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return P.places_member_view(t.place, t.package, t.booking, t.city, CITY_PATTERNS)
@@ -61,17 +61,11 @@ def q_place_detail_owner(spark, sf_dir):
     return P.place_detail_owner(t.place, t.place_admin, t.users, _place_requests(t))
 
 
-@register("place_detail_member", """
+@register("place_detail_member", f"""
 WITH req AS (SELECT DISTINCT place_id FROM package_request),
-hdr AS (SELECT p.id AS place_id, p.name,
-               COALESCE(CAST(SUM(pk.capacity * CASE b.order_status WHEN 'PENDING' THEN 1 ELSE 0 END) AS INT), 0)
-                 AS current_capacity,
-               p.max_capacity, c.name AS city_name, p.address
-        FROM place p
-        JOIN package pk ON pk.place_id = p.id
-        JOIN booking b ON b.package_id = pk.id
-        JOIN city c ON p.city_id = c.id
-        GROUP BY p.id, p.name, p.max_capacity, c.name, p.address)
+{_TAKEN},
+hdr AS (SELECT s.place_id, p.name, s.capacity AS current_capacity, p.max_capacity, c.name AS city_name, p.address
+        FROM taken s JOIN place p ON p.id = s.place_id JOIN city c ON c.id = p.city_id)
 SELECT r.place_id, h.name, h.current_capacity, h.max_capacity, h.city_name, h.address,
        CASE WHEN h.place_id IS NULL THEN '1012' ELSE '0000' END AS reason_code,
        pk.id AS package_id, pk.name AS package_name, pk.capacity AS package_capacity,

@@ -115,26 +115,30 @@ def q_profit_by_day(spark, sf_dir):
 
 
 @register("member_order_counts", """
-SELECT u.id AS member_user_id, u.username AS member_username, u.email AS member_email,
-       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'EXPIRED') AS INT) AS expired_order_count,
-       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'COMPLETED') AS INT) AS completed_order_count,
-       u.ban_status AS member_ban_status, u.created_at AS member_created_at
-FROM users u LEFT JOIN booking b ON b.member_user_id = u.id
-WHERE u.role = 'MEMBER'
-GROUP BY u.id, u.username, u.email, b.order_status, u.ban_status, u.created_at""")
+WITH grain AS (SELECT member_user_id, order_status, CAST(count(*) AS INT) AS n
+               FROM booking GROUP BY ALL),
+members AS (SELECT * FROM users WHERE role = 'MEMBER')
+SELECT m.id AS member_user_id, m.username AS member_username, m.email AS member_email,
+       CAST(if(g.order_status = 'EXPIRED', g.n, 0) AS INT) AS expired_order_count,
+       CAST(if(g.order_status = 'COMPLETED', g.n, 0) AS INT) AS completed_order_count,
+       m.ban_status AS member_ban_status, m.created_at AS member_created_at
+FROM members m LEFT JOIN grain g ON g.member_user_id = m.id""")
 def q_member_order_counts(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return R.member_order_counts(t.users, t.booking)
 
 
 @register("member_order_rollup", """
+WITH expired AS (SELECT member_user_id, count(*) AS n FROM booking WHERE order_status = 'EXPIRED' GROUP BY ALL),
+completed AS (SELECT member_user_id, count(*) AS n FROM booking WHERE order_status = 'COMPLETED' GROUP BY ALL)
 SELECT u.id AS member_user_id, u.username AS member_username, u.email AS member_email,
-       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'EXPIRED') AS INT) AS expired_order_count,
-       CAST(count(b.order_status) FILTER (WHERE b.order_status = 'COMPLETED') AS INT) AS completed_order_count,
+       CAST(COALESCE(e.n, 0) AS INT) AS expired_order_count,
+       CAST(COALESCE(d.n, 0) AS INT) AS completed_order_count,
        u.ban_status AS member_ban_status, u.created_at AS member_created_at
-FROM users u LEFT JOIN booking b ON b.member_user_id = u.id
-WHERE u.role = 'MEMBER'
-GROUP BY u.id, u.username, u.email, u.ban_status, u.created_at""")
+FROM users u
+LEFT JOIN expired e ON e.member_user_id = u.id
+LEFT JOIN completed d ON d.member_user_id = u.id
+WHERE u.role = 'MEMBER'""")
 def q_member_order_rollup(spark, sf_dir):
     t = catalog(spark, sf_dir)
     return R.member_order_rollup(t.users, t.booking)

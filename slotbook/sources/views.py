@@ -87,7 +87,7 @@ class Catalog:
         return self._raw[name]
 
     # ---- helpers shared by several views --------------------------------------
-    # Two fixture formulas divide by a table's row count.  The count is taken
+    # Three fixture formulas divide by a table's row count.  The count is taken
     # once per catalog (a scalar action on a small table) rather than as a
     # scalar subquery, which would run as an extra job inside every query.
     @cached_property
@@ -98,6 +98,10 @@ class Catalog:
     def _n_customers(self) -> int:
         return self.raw("customer").count()
 
+    @cached_property
+    def _n_parts(self) -> int:
+        return self.raw("part").count()
+
     def _supplier_count(self) -> Column:
         return F.lit(self._n_suppliers).cast("bigint")
 
@@ -198,7 +202,10 @@ class Catalog:
                        "Admin", C.GENDER_MALE, "admin", C.ROLE_ADMIN)
         owners = staff(self.raw("supplier").select((F.lit(2000000) + F.col("s_suppkey") % 3).alias("id"))
                        .distinct(), "Owner", C.GENDER_FEMALE, "owner", C.ROLE_OWNER)
-        return members.unionByName(admins).unionByName(owners)
+        # members who never booked
+        idle = staff(self.raw("supplier").select((F.lit(-10) - F.col("s_suppkey")).alias("id")),
+                     "Idle", C.GENDER_FEMALE, "idle", C.ROLE_MEMBER)
+        return members.unionByName(admins).unionByName(owners).unionByName(idle)
 
     @cached_property
     def member_ban(self) -> DataFrame:
@@ -231,7 +238,11 @@ class Catalog:
 
     @cached_property
     def live_booking(self) -> DataFrame:
-        return live_booking_from(self.raw("events"))
+        return self.live_booking_of(self.raw("events"))
+
+    def live_booking_of(self, events: DataFrame) -> DataFrame:
+        """``live_booking`` over an events DataFrame, batch or stream."""
+        return live_booking_from(events, self._n_parts)
 
     @cached_property
     def booking_request(self) -> DataFrame:
@@ -239,7 +250,7 @@ class Catalog:
             F.col("event_id").alias("id"),
             F.col("user_id").alias("member_user_id"),
             F.when(F.col("event_id") % 11 == 0, F.lit(-1).cast("bigint"))
-             .otherwise(F.col("event_id") % 200).alias("package_id"),
+             .otherwise(F.col("event_id") % F.lit(self._n_parts).cast("bigint")).alias("package_id"),
             F.col("ts").alias("requested_at"))
 
     @cached_property
@@ -248,8 +259,7 @@ class Catalog:
 
     @cached_property
     def transition_request(self) -> DataFrame:
-        b = self.booking.filter(F.col("id") % 5 == 0)
-        return b.select(
+        return self.booking.select(
             F.col("id").alias("booking_id"),
             F.when(F.col("id") % 13 == 0, "CANCELLED").when(F.col("id") % 2 == 0, C.ORDER_COMPLETED)
              .otherwise(C.ORDER_EXPIRED).alias("new_status"),
@@ -367,7 +377,7 @@ class StoredCatalog:
 # ---- event-shaped views, usable on batch and streaming DataFrames -------------------
 def booking_from(orders: DataFrame, first_part: DataFrame) -> DataFrame:
     """Bookings from orders (batch or stream) and the static order -> package table."""
-    o = orders.filter(F.col("o_custkey") % 10 != 9)
+    o = orders
     status = (F.when(F.col("o_orderstatus") == "P", C.ORDER_PENDING)
               .when(F.col("o_orderstatus") == "F", C.ORDER_COMPLETED)
               .otherwise(C.ORDER_EXPIRED))
@@ -381,12 +391,12 @@ def booking_from(orders: DataFrame, first_part: DataFrame) -> DataFrame:
                     F.col("o_orderdate").alias("created_at")))
 
 
-def live_booking_from(events: DataFrame) -> DataFrame:
-    """A click creates a PENDING booking (batch or stream)."""
+def live_booking_from(events: DataFrame, packages: int) -> DataFrame:
+    """A click creates a PENDING booking of one of ``packages`` packages (batch or stream)."""
     return events.filter(F.col("event_type") == "click").select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("member_user_id"),
-        (F.col("event_id") % 200).alias("package_id"),
+        (F.col("event_id") % F.lit(packages).cast("bigint")).alias("package_id"),
         F.lit(C.ORDER_PENDING).alias("order_status"),
         F.col("ts").alias("created_at"))
 

@@ -2,8 +2,8 @@
 
 S01 ``expiry_stream``: a booking with no completion within 2 hours is emitted
 EXPIRED.  Stream-stream *left outer* join of bookings and completions on the
-member, with the time range ``created_at <= completed_at < created_at + 2h``
-and a watermark on both sides.  A booking is emitted once the watermark shows
+member and a 2-hour slot, with the time range
+``created_at <= completed_at < created_at + 2h`` and a watermark on both sides.  A booking is emitted once the watermark shows
 no completion can still arrive for it; the join state is bounded by the
 watermark, so it stays constant-size however long the stream runs.
 
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from slotbook import constants as C
 from slotbook.session import cut_lineage, scratch_path
 from slotbook.sources.tables import RAW_SCHEMAS, table_path
-from slotbook.sources.views import booking_from, completion_from, live_booking_from
+from slotbook.sources.views import booking_from, completion_from
 
 EXPIRY_DELAY = "1 hour"      # watermark delay (lateness tolerated) for S01
 PROFIT_DELAY = "1 day"       # watermark delay for S02
+TTL_SECONDS = 7200           # C.BOOKING_TTL
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,14 +66,25 @@ def _event_time(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def expiry_stream(events: DataFrame, delay: str = EXPIRY_DELAY) -> DataFrame:
-    """S01 on a streaming events DataFrame: EXPIRED bookings (append mode)."""
-    b = _event_time(live_booking_from(events), "created_at").withWatermark("created_at", delay)
-    c = (_event_time(completion_from(events), "completed_at")
+def _slot(time):
+    return F.floor(time.cast("long") / TTL_SECONDS)
+
+
+def expiry_stream(bookings: DataFrame, completions: DataFrame, delay: str = EXPIRY_DELAY) -> DataFrame:
+    """S01 on streams of bookings and completions: EXPIRED bookings (append mode).
+
+    The join key is the member and a slot as long as a booking lives.  A completion can
+    end a booking of its own slot or of the one before, so it is put in both, and
+    a member with very many bookings is spread over tasks by time.
+    """
+    b = (_event_time(bookings, "created_at").withColumn("b_slot", _slot(F.col("created_at")))
+         .withWatermark("created_at", delay))
+    at = _slot(F.col("completed_at"))
+    c = (_event_time(completions, "completed_at")
          .select(F.col("id").alias("completion_id"), F.col("member_user_id").alias("c_member"),
-                 "completed_at")
+                 "completed_at", F.explode(F.array(at, at - 1)).alias("c_slot"))
          .withWatermark("completed_at", delay))
-    cond = ((F.col("c_member") == F.col("member_user_id"))
+    cond = ((F.col("c_member") == F.col("member_user_id")) & (F.col("c_slot") == F.col("b_slot"))
             & (F.col("completed_at") >= F.col("created_at"))
             & (F.col("completed_at") < F.col("created_at") + F.expr(C.BOOKING_TTL)))
     j = b.join(c, cond, "leftOuter")
@@ -104,8 +116,8 @@ def _read_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int |
     return r.parquet(table_path(sf_dir, table).rsplit("/", 1)[0])
 
 
-def run_expiry(spark: SparkSession, events_stream: DataFrame, out_path: str | None = None,
-               delay: str = EXPIRY_DELAY, checkpoint: str | None = None) -> DataFrame:
+def run_expiry(spark: SparkSession, bookings: DataFrame, completions: DataFrame,
+               out_path: str | None = None, delay: str = EXPIRY_DELAY, checkpoint: str | None = None) -> DataFrame:
     """Run S01 until the available input is consumed; return what it emitted.
 
     A later call with the same ``out_path`` (and ``checkpoint``, by default a
@@ -114,7 +126,7 @@ def run_expiry(spark: SparkSession, events_stream: DataFrame, out_path: str | No
     out = out_path or scratch_path(spark, "expiry-out")
     checkpoint = checkpoint or f"{out.rstrip('/')}-checkpoint"
     with utc_session(spark):
-        q = (expiry_stream(events_stream, delay).writeStream.format("parquet")
+        q = (expiry_stream(bookings, completions, delay).writeStream.format("parquet")
              .option("path", out).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -157,7 +169,9 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
 
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered S01: the events table of ``sf_dir`` read as a stream."""
-    return run_expiry(spark, _read_stream(spark, sf_dir, "events"))
+    from slotbook.registry import catalog
+    events = _read_stream(spark, sf_dir, "events")
+    return run_expiry(spark, catalog(spark, sf_dir).live_booking_of(events), completion_from(events))
 
 
 def stream_profit(spark: SparkSession, sf_dir: str) -> DataFrame:

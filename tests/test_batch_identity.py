@@ -23,6 +23,16 @@ def test_refused_sign_up_takes_no_name(spark):
     assert codes == {1: "1002", 2: "0000", 3: "1002"}
 
 
+def test_strict_admission_orders_requests_of_one_instant(spark):
+    req = spark.sql("""SELECT id, member_user_id, package_id, timestamp_ntz'2024-01-05 10:00:00' AS requested_at
+        FROM VALUES (1L, 11L, 1L), (2L, 12L, 1L), (3L, 13L, 1L), (4L, 14L, 2L), (5L, 14L, 3L)
+        AS t(id, member_user_id, package_id)""")
+    package = spark.createDataFrame([(1, 1), (2, 9), (3, 9)], "id long, capacity int")
+    state = spark.createDataFrame([], "id long, member_user_id long, package_id long, order_status string, created_at timestamp_ntz")
+    codes = {r.id: r.reason_code for r in M.admit_bookings(req, package, state, mode="strict").collect()}
+    assert codes == {1: "0000", 2: "1021", 3: "1021", 4: "0000", 5: "1022"}
+
+
 @pytest.mark.parametrize("value, ok", [("12", True), ("-3", True), ("1.5", False), (".5", False), ("", False)])
 def test_numbers_are_integers(spark, value, ok):
     assert spark.range(1).select(V.numeric(F.lit(value)).alias("x")).first().x is ok

@@ -5,9 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from slotbook.registry import all_queries
 from tests.conftest import SMOKE_DIR
 
-BATCH_KEYS = sorted(k for k in E.queries() if not k.startswith("stream_"))
+BATCH_KEYS = sorted(k for k in all_queries() if not k.startswith("stream_"))
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "PythonUDF", "FlatMapGroupsInPandas")
 

@@ -67,6 +67,7 @@ import duckdb  # noqa: E402
 import pytest  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
+from slotbook.registry import all_queries  # noqa: E402
 from slotbook.session import scratch_path  # noqa: E402
 from slotbook.sources.tables import read_table  # noqa: E402
 from tests.conftest import SMOKE_DIR  # noqa: E402
@@ -103,7 +104,7 @@ def skewed_con(skewed_dir):
     return con
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if not k.startswith("stream_")))
+@pytest.mark.parametrize("key", sorted(k for k in all_queries() if not k.startswith("stream_")))
 def test_parity_on_skewed_tables(spark, skewed_dir, skewed_con, key):
     df = E.queries()[key](spark, skewed_dir)
     rows = [tuple(r) for r in df.collect()]

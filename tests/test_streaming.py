@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from slotbook.session import scratch_path
 from slotbook.sources.tables import RAW_SCHEMAS
+from slotbook.sources.views import completion_from
 from slotbook.streaming import jobs
 from tests.conftest import SMOKE_DIR
 
@@ -29,7 +30,7 @@ def test_expiry_incremental_equals_batch(spark, cat):
     events.filter(F.col("ts") < split).coalesce(1).write.mode("append").parquet(landing)
     stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(landing)
     out = scratch_path(spark, "expiry-test-out")
-    q = (jobs.expiry_stream(stream).writeStream.format("parquet").option("path", out)
+    q = (jobs.expiry_stream(cat.live_booking_of(stream), completion_from(stream)).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "expiry-test-ckpt"))
          .outputMode("append").start())
     try:
@@ -62,7 +63,8 @@ def test_expiry_drops_rows_behind_the_watermark(spark, cat):
     stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(landing)
     out = scratch_path(spark, "late-out")
     with jobs.utc_session(spark):
-        q = (jobs.expiry_stream(stream).writeStream.format("parquet").option("path", out)
+        q = (jobs.expiry_stream(cat.live_booking_of(stream), completion_from(stream))
+             .writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", scratch_path(spark, "late-ckpt"))
              .outputMode("append").start())
         try:
@@ -90,7 +92,7 @@ def test_expiry_resumes_from_its_checkpoint(spark, cat):
     for part in (events.filter(F.col("ts") < split), events.filter(F.col("ts") >= split)):
         part.coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(RAW_SCHEMAS["events"]).parquet(landing)
-        counts.append(jobs.run_expiry(spark, stream, out).count())
+        counts.append(jobs.run_expiry(spark, cat.live_booking_of(stream), completion_from(stream), out).count())
     got = [r.booking_id for r in spark.read.parquet(out).select("booking_id").collect()]
     assert 0 < counts[0] < counts[1] == len(got) == len(set(got))
     assert set(got) == _batch_expired(cat)
