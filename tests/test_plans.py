@@ -51,6 +51,28 @@ def test_profit_aggregates_before_the_price_join(spark):
     assert join_at != -1 and agg_at > join_at   # the aggregate sits under the join in the tree
 
 
+@pytest.mark.parametrize("key", ["booking_log", "ongoing_by_admin", "ongoing_by_member", "booking_detail"])
+def test_bookings_cross_the_network_by_member_and_package_only(spark, key):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = E.queries()[key](spark, SMOKE_DIR)
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    depth = [re.search(r"[A-Za-z]", x + "z").start() for x in lines]
+    seen = 0
+    for i, x in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\((package_type_id|place_id|city_id)", x):
+            seen += 1
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("o_orderkey" in y for y in lines[i:end])
+    assert seen
+
+
 def test_only_fixed_size_broadcast_hint(spark):
     # the route table is the only explicit broadcast; everything else is AQE's call
     _, optimized = _plans(spark, "endpoint_roles")

@@ -12,8 +12,8 @@ from slotbook.sources.views import Catalog
 SF01 = "/root/testdata/sf0.01"
 
 EXPECTED = {
-    "admit_bookings": {"0000": 1696, "1020": 193, "1021": 42, "1022": 50},
-    "transition_bookings": {"0000": 530, "1029": 200, "1034": 915, "1035": 1041},
+    "admit_bookings": {"0000": 1721, "1020": 193, "1021": 14, "1022": 53},
+    "transition_bookings": {"0000": 2979, "1029": 1154, "1034": 5059, "1035": 5808},
     "admit_packages": {"0000": 544, "1036": 223, "1037": 38, "1038": 432, "1039": 727, "1040": 36},
     "admit_ban_requests": {"0000": 1279, "1025": 240, "1026": 191, "1027": 117, "1033": 190},
     "decide_ban_requests": {"0000": 521, "1028": 290, "1031": 176, "1032": 1027},
