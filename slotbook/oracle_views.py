@@ -153,6 +153,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{v} AS (\n{VIEW_SQL[v]}\n)" for v in _ORDER if v in needed)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

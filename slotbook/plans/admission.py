@@ -200,12 +200,16 @@ def transition_bookings(requests: DataFrame, booking: DataFrame, package: DataFr
 
 # --- M03 ---------------------------------------------------------------------------
 def admit_packages(requests: DataFrame, place: DataFrame, place_admin: DataFrame,
-                   package: DataFrame, package_type: DataFrame, id_kind: str = "key") -> DataFrame:
+                   package: DataFrame, package_type: DataFrame, id_kind: str = "key",
+                   mode: str = "snapshot") -> DataFrame:
     """Judge new packages (id, place_id, name, capacity, price, package_type_id, admin_user_id).
 
     1042 malformed place id; 1036 invalid fields; 1037 unknown place; 1038 the
     admin does not manage the place; 1039 existing capacity of the place plus
     the new one exceeds max_capacity (the intended check); 1040 unknown type.
+    ``mode="strict"``: requests that pass all this are taken one after another
+    by id, and one that no longer fits beside those accepted before it gets
+    1039.  A capacity of 0 or less takes and frees nothing in the batch.
     """
     used = package.groupBy("place_id").agg(F.sum("capacity").alias("__used"))
     pl = (place.select(F.col("id").alias("place_id"), F.col("max_capacity").alias("__max"),
@@ -227,11 +231,51 @@ def admit_packages(requests: DataFrame, place: DataFrame, place_admin: DataFrame
          C.PACKAGE_CREATE_OVER_CAPACITY),
         (F.col("__pt").isNull(), C.PACKAGE_CREATE_TYPE_MISSING),
     ])
-    ok = code == C.OK
-    return r.select(*requests.columns, code.alias("reason_code"),
+    r = r.withColumn("reason_code", code)
+    if mode == "strict":
+        size = F.col("capacity").try_cast("int").cast("long")
+        # Read twice below (to settle, and to look up): judged once.
+        r = cut_lineage(r.withColumn("__size", size)
+                        .withColumn("__room", F.col("__max") - F.coalesce(F.col("__used"), F.lit(0))))
+        fits = _fitting(r.filter((F.col("reason_code") == C.OK) & (F.col("__size") > 0))
+                        .select("id", "place_id", "__size", "__room")).withColumn("__fits", F.lit(True))
+        late = (F.col("reason_code") == C.OK) & (F.col("__size") > 0) & F.col("__fits").isNull()
+        r = (r.join(fits, ["place_id", "id"], "left")
+             .withColumn("reason_code", F.when(late, C.PACKAGE_CREATE_OVER_CAPACITY).otherwise(F.col("reason_code"))))
+    elif mode != "snapshot":
+        raise ValueError(f"unknown mode {mode!r}")
+    ok = F.col("reason_code") == C.OK
+    return r.select(*requests.columns, "reason_code",
                     F.when(ok, stable_uuid("admit_packages", F.col("id"))).alias("new_package_id"))
 
 
+def _fitting(requests: DataFrame, salts: int = 64) -> DataFrame:
+    """(place_id, id) of the requests that fit when taken by id (id, place_id, __size, __room).
+
+    Room only shrinks, so once a size is refused at a place it stays refused: the
+    accepted requests of one size are its first ones, at most ``__room / __size``
+    of them.  Only those go into the fold, whose length is so bounded by the
+    place's room, not by the batch; a hot place is thinned over ``salts`` tasks first.
+    """
+    first = F.row_number()
+    size_key = ["place_id", "__size"]
+    salted = requests.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    for key in ([*size_key, "__salt"], size_key):
+        salted = (salted.withColumn("__rank", first.over(Window.partitionBy(*key).orderBy("id")))
+                  .filter(F.col("__rank") * F.col("__size") <= F.col("__room")))
+    queue = salted.groupBy("place_id").agg(
+        F.min("__room").alias("room"), F.array_sort(F.collect_list(F.struct("id", "__size"))).alias("queue"))
+    none = F.array().cast(T.ArrayType(requests.schema["id"].dataType))
+
+    def take(acc, x):
+        return F.when(x["__size"] <= acc["room"], F.struct(
+            (acc["room"] - x["__size"]).alias("room"),
+            F.concat(acc["got"], F.array(x["id"])).alias("got"))).otherwise(acc)
+
+    start = F.struct(F.col("room").cast("long").alias("room"), none.alias("got"))
+    return queue.select("place_id", F.explode(F.aggregate("queue", start, take)["got"]).alias("id"))
+
+
 # --- M05 / N01 -----------------------------------------------------------------------
 def derive_admin_accounts(place_name: Column, fullname: Column, position: Column,
                           domain: str = C.ADMIN_EMAIL_DOMAIN) -> tuple[Column, Column]:
@@ -331,14 +375,22 @@ def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
     lacks fullname, username (null or '') or is_active (null).  Accepted entries
     with an id are updates of that user, the others create an admin user linked
     to the place.  ``managed`` tells whether an updated admin belongs to the
-    place (the source does not check it).
+    place (the source does not check it).  Where entries carry a ``request_id``,
+    the checks are per request and place; ``request_id`` and ``position`` (of the
+    entry in its list), where present, keep the new ids of equal usernames apart.
     """
+    request = [c for c in ("request_id",) if c in entries.columns]
+    entry = [c for c in ("request_id", "position") if c in entries.columns]
     missing = (~V.passes(V.not_empty(F.col("fullname"))) | ~V.passes(V.not_empty(F.col("username")))
                | F.col("is_active").isNull())
-    per_place = (entries.groupBy("place_id")
+    per_place = (entries.groupBy("place_id", *request)
                  .agg(F.count(F.lit(1)).alias("__n"), F.bool_or(missing).alias("__invalid")))
     pa = place_admin.select("admin_user_id", "place_id", F.lit(True).alias("__m"))
-    r = (entries.join(per_place, "place_id", "left")
+    per_place = per_place.toDF("__place", *[f"__{c}" for c in request], "__n", "__invalid")
+    same = F.col("place_id").eqNullSafe(F.col("__place"))
+    for c in request:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    r = (entries.join(per_place, same, "left")
          .join(pa, ["admin_user_id", "place_id"], "left"))
     code = _chain([
         (~V.passes(V.valid_id(F.col("place_id"), id_kind)), C.PLACE_ADMINS_BAD_ID),
@@ -350,8 +402,8 @@ def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
     return r.select(*entries.columns, code.alias("reason_code"),
                     F.when(ok, F.when(create, "CREATE").otherwise("UPDATE")).alias("action"),
                     F.col("__m").isNotNull().alias("managed"),
-                    F.when(ok & create, stable_uuid("upsert_place_admins", F.col("place_id"),
-                                                    F.col("username"))).alias("new_user_id"),
+                    F.when(ok & create, stable_uuid("upsert_place_admins", F.col("place_id"), F.col("username"),
+                                                    *[F.col(c) for c in entry])).alias("new_user_id"),
                     F.when(ok & create, F.concat(F.col("username"), F.lit("@" + C.ADMIN_EMAIL_DOMAIN)))
                      .alias("new_email"))
 
@@ -464,6 +516,9 @@ def admit_ban_requests(requests: DataFrame, users: DataFrame, member_ban: DataFr
         (F.col("__role").isin(C.ROLE_OWNER, C.ROLE_ADMIN), C.BAN_REQUEST_BAD_ROLE),
         (F.col("__npend") > 0, C.BAN_REQUEST_EXISTS),
     ])
+    if mode == "strict":  # the settling of the batch reads its input twice: judged once
+        r = cut_lineage(r.select(*requests.columns, code.alias("__snapshot")))
+        code = F.col("__snapshot")
     r, code = _batch_unique(r, code, ["member_user_id"], ["requested_at", "id"],
                             C.BAN_REQUEST_EXISTS, mode)
     ok = code == C.OK

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotbook import constants as C
+from slotbook.functions import validate as V
 from slotbook.functions.paging import page as take_page
 
 
@@ -91,9 +92,15 @@ def places_member_view(place: DataFrame, package: DataFrame, booking: DataFrame,
     return out if page_first else take_page(out, ["id"], page, limit)
 
 
+def _detail_code(id_kind: str) -> Column:
+    return (F.when(~V.passes(V.valid_id(F.col("place_id"), id_kind)), C.PLACE_DETAIL_BAD_ID)
+            .when(F.col("_found").isNull(), C.PLACE_DETAIL_NOT_FOUND).otherwise(C.OK))
+
+
 # --- R12 ---------------------------------------------------------------------------
 def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFrame,
-                       place_ids: DataFrame, nested: bool = False, admin_id=None) -> DataFrame:
+                       place_ids: DataFrame, nested: bool = False, admin_id=None,
+                       id_kind: str = "key") -> DataFrame:
     """Header (as R10) of each requested place (column ``place_id``) plus its admins.
 
     Flat form (default): one row per (place, admin), header repeated; a place
@@ -102,7 +109,7 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
     ``nested=True`` returns one row per place with an ``admins`` array sorted by
     id; use it for scoped requests, it gathers each place's admins in one row.
     ``admin_id`` gives an admin the detail of the place they manage only
-    (other requested places are "not found").
+    (other requested places are "not found").  A malformed place id gives 1043.
     """
     if admin_id is not None:
         managed = place_admin.filter(F.col("admin_user_id") == F.lit(admin_id)).select("place_id")
@@ -119,8 +126,7 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
                       F.col("is_active").alias("admin_is_active"),
                       F.col("created_at").alias("admin_created_at")))
     req = place_ids.select("place_id").join(header, "place_id", "left")
-    code = F.when(F.col("_found").isNull(), C.PLACE_DETAIL_NOT_FOUND).otherwise(C.OK)
-    req = req.withColumn("reason_code", code).drop("_found")
+    req = req.withColumn("reason_code", _detail_code(id_kind)).drop("_found")
     if nested:
         packed = (admins.groupBy("place_id")
                   .agg(F.sort_array(F.collect_list(F.struct(
@@ -137,11 +143,13 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
 
 # --- R13 ---------------------------------------------------------------------------
 def place_detail_member(place: DataFrame, package: DataFrame, booking: DataFrame, city: DataFrame,
-                        place_ids: DataFrame, keep_empty: bool = False) -> DataFrame:
+                        place_ids: DataFrame, keep_empty: bool = False,
+                        id_kind: str = "key") -> DataFrame:
     """Header (as R11) of each requested place plus its packages, one row per package.
 
     Faithful: the header uses inner joins, so a place none of whose packages has
-    a booking is "not found" (1012); ``keep_empty=True`` keeps it with 0.
+    a booking is "not found" (1012); ``keep_empty=True`` keeps it with 0.  A
+    malformed place id gives 1043.
     """
     occ = _pending_capacity_per_place(package, booking)
     ct = city.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"))
@@ -154,8 +162,7 @@ def place_detail_member(place: DataFrame, package: DataFrame, booking: DataFrame
                         F.col("name").alias("package_name"), F.col("capacity").alias("package_capacity"),
                         F.col("price").alias("package_price"), "package_type_id")
     req = place_ids.select("place_id").join(hdr, "place_id", "left")
-    req = req.withColumn("reason_code", F.when(F.col("_found").isNull(), C.PLACE_DETAIL_NOT_FOUND)
-                         .otherwise(C.OK)).drop("_found")
+    req = req.withColumn("reason_code", _detail_code(id_kind)).drop("_found")
     p = pk.withColumnRenamed("place_id", "__pid")
     j = req.join(p, (F.col("place_id") == F.col("__pid")) & (F.col("reason_code") == C.OK), "left")
     return j.drop("__pid")

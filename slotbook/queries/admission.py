@@ -133,14 +133,15 @@ def q_transition_bookings(spark, sf_dir):
 SELECT b.id, CASE WHEN y.booking_id IS NOT NULL THEN y.order_status ELSE b.order_status END AS order_status,
        b.member_user_id, b.package_id,
        CASE WHEN y.booking_id IS NOT NULL THEN y.updated_at ELSE b.updated_at END AS updated_at,
-       b.created_at
+       b.created_at, y.admin_user_id
 FROM booking b LEFT JOIN (SELECT * FROM y WHERE reason_code = '0000') y ON y.booking_id = b.id""")
 def q_bookings_after_transitions(spark, sf_dir):
     t = catalog(spark, sf_dir)
     d = M.transition_bookings(t.transition_request, t.booking, t.package, t.place, t.place_admin)
     upd = (d.filter(F.col("reason_code") == C.OK)
-           .select(F.col("booking_id").alias("id"), "order_status", "updated_at"))
-    return apply_updates(t.booking, upd, ["id"], ["order_status", "updated_at"], policy="error")
+           .select(F.col("booking_id").alias("id"), "order_status", "updated_at", "admin_user_id"))
+    booking = t.booking.withColumn("admin_user_id", F.lit(None).cast("long"))  # who settled it
+    return apply_updates(booking, upd, ["id"], ["order_status", "updated_at", "admin_user_id"], policy="error")
 
 
 # --- M03 -------------------------------------------------------------------------------

@@ -39,17 +39,17 @@ def q_places_member_view(spark, sf_dir):
 
 
 def _place_requests(t):
-    """Requested place ids: every place id named by the package requests (some unknown)."""
-    return t.package_request.select("place_id").distinct()
+    """Requested place ids: every place id named by the package requests (some unknown), and none."""
+    return t.package_request.select("place_id").union(t.spark.sql("SELECT CAST(NULL AS BIGINT)")).distinct()
 
 
 @register("place_detail_owner", f"""
-WITH req AS (SELECT DISTINCT place_id FROM package_request),
+WITH req AS (SELECT place_id FROM package_request UNION SELECT NULL),
 hdr AS (SELECT p.id AS place_id, p.name, p.max_capacity, CAST(a.admin_count AS INT) AS admin_count,
                p.address
         FROM place p JOIN {_ADMIN_COUNT} a ON a.place_id = p.id)
 SELECT r.place_id, h.name, h.max_capacity, h.admin_count, h.address,
-       CASE WHEN h.place_id IS NULL THEN '1012' ELSE '0000' END AS reason_code,
+       CASE WHEN r.place_id IS NULL THEN '1043' WHEN h.place_id IS NULL THEN '1012' ELSE '0000' END AS reason_code,
        u.id AS admin_id, u.fullname AS admin_fullname, u.username AS admin_username,
        u.is_active AS admin_is_active, u.created_at AS admin_created_at
 FROM req r
@@ -62,12 +62,12 @@ def q_place_detail_owner(spark, sf_dir):
 
 
 @register("place_detail_member", f"""
-WITH req AS (SELECT DISTINCT place_id FROM package_request),
+WITH req AS (SELECT place_id FROM package_request UNION SELECT NULL),
 {_TAKEN},
 hdr AS (SELECT s.place_id, p.name, s.capacity AS current_capacity, p.max_capacity, c.name AS city_name, p.address
         FROM taken s JOIN place p ON p.id = s.place_id JOIN city c ON c.id = p.city_id)
 SELECT r.place_id, h.name, h.current_capacity, h.max_capacity, h.city_name, h.address,
-       CASE WHEN h.place_id IS NULL THEN '1012' ELSE '0000' END AS reason_code,
+       CASE WHEN r.place_id IS NULL THEN '1043' WHEN h.place_id IS NULL THEN '1012' ELSE '0000' END AS reason_code,
        pk.id AS package_id, pk.name AS package_name, pk.capacity AS package_capacity,
        pk.price AS package_price, pk.package_type_id
 FROM req r

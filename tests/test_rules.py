@@ -1,6 +1,7 @@
 """Boundary cases of the rule-checked jobs, the gate and the helpers, on tiny frames."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -485,3 +486,57 @@ def test_first_in_batch_with_null_order_values(spark):
     got = {(r.k, r.b): r.is_first for r in
            M.first_in_batch(d, ["k"], ["a", "b"], F.lit(True)).collect()}
     assert got == {(1, 5): True, (1, 7): False, (2, 1): True}
+
+
+def test_packages_strict_takes_requests_one_after_another(spark):
+    """Against a plain loop per place; one place holds most requests."""
+    rng = random.Random(7)
+    place = df(spark, [(p, 40 + 7 * p) for p in range(6)], "id bigint, max_capacity int")
+    admins = df(spark, [("a", p) for p in range(6)], "admin_user_id string, place_id bigint")
+    package = df(spark, [(0, 10), (1, 46), (2, 60)], "place_id bigint, capacity int")
+    ptype = df(spark, [("t",)], "id string")
+    rows = []
+    for i in range(600):
+        p = rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 9])
+        rows.append((i, p, "Nice", rng.choice(["1", "2", "7", "13", "30", "0", "-4", "1.5", "900", "", None]), "5",
+                     rng.choice(["t", "t", "t", "?"]), "a"))
+    req = df(spark, rows, "id int, place_id bigint, name string, capacity string, price string, "
+                          "package_type_id string, admin_user_id string")
+    snap = codes(M.admit_packages(req, place, admins, package, ptype))
+    got = codes(M.admit_packages(req, place, admins, package, ptype, mode="strict"))
+    room = {p: 40 + 7 * p for p in range(6)}
+    for p, c in ((0, 10), (1, 46), (2, 60)):
+        room[p] -= c
+    want = {}
+    for i, p, _, cap, *_ in rows:
+        want[i] = snap[i]
+        if snap[i] == C.OK and int(cap) > 0:
+            if int(cap) <= room[p]:
+                room[p] -= int(cap)
+            else:
+                want[i] = C.PACKAGE_CREATE_OVER_CAPACITY
+    assert got == want
+    assert sum(got[i] != snap[i] for i in got) > 50
+    empty = M.admit_packages(req.limit(0), place, admins, package, ptype, mode="strict")
+    assert empty.count() == 0
+
+
+def test_place_detail_malformed_id(spark):
+    place = df(spark, [(U4, "A", 10, "x", 1)], "id string, name string, max_capacity int, address string, city_id int")
+    pa = df(spark, [(1, U4)], "admin_user_id bigint, place_id string")
+    users = df(spark, [(1, "Ann", "ann", True, None)],
+               "id bigint, fullname string, username string, is_active boolean, created_at timestamp_ntz")
+    asked = df(spark, [(U4,), ("no uuid",), (None,)], "place_id string")
+    got = {r.place_id: r.reason_code for r in
+           P.place_detail_owner(place, pa, users, asked, id_kind="uuid").collect()}
+    assert got == {U4: C.OK, "no uuid": C.PLACE_DETAIL_BAD_ID, None: C.PLACE_DETAIL_BAD_ID}
+
+
+def test_place_admin_entries_per_request_have_ids_of_their_own(spark):
+    entries = df(spark, [(r, i, 5, None, "Ann", "ann", True) for r in (1, 2) for i in range(6)] + [(3, 0, 5, None, "Ann", "", True)],
+                 "request_id int, position int, place_id bigint, admin_user_id bigint, fullname string, "
+                 "username string, is_active boolean")
+    pa = df(spark, [(1, 6)], "admin_user_id bigint, place_id bigint")
+    got = M.upsert_place_admins(entries, pa).collect()
+    assert [r.reason_code for r in sorted(got, key=lambda r: r.request_id)] == [C.OK] * 12 + [C.PLACE_ADMINS_INVALID_ENTRY]
+    assert len({r.new_user_id for r in got if r.reason_code == C.OK}) == 12
