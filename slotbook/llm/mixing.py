@@ -8,9 +8,14 @@
    its posterior.  Evidence counts as at most ``EVIDENCE`` words, so that long
    texts stay soft.
 3. With rate r of each document, domain d is expected to get sum(r * tokens *
-   posterior[d]) tokens.  Accelerated projected gradient steps fit rates r >= 0 to the
-   target totals by least squares.  A step is one aggregate of all documents to one
-   number a domain; only those numbers reach the driver.
+   posterior[d]) tokens.  Of all rates r >= 0 that meet the target totals those nearest
+   to 1 are taken (by least squares over tokens): r = max(0, 1 + pull . posterior), with one
+   pull a domain.  Damped Newton steps on the pulls go on until every domain's share of
+   tokens is within ``TOLERANCE`` of its target; where targets cannot be met they end at the
+   nearest reachable totals (at most ``STEPS`` steps).  A step is one aggregate of
+   all documents to one number a domain and pair of domains; only those numbers reach the
+   driver and nothing else is kept between steps.  The reached shares are logged, as a
+   warning if a target is missed.
 4. A document is taken floor(rate) times, and once more if a hash of its doc_id falls under
    the rest.
 
@@ -24,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark import StorageLevel
@@ -37,9 +43,12 @@ MAX_LABELLED = 10_000
 MAX_DOMAINS = 64
 EVIDENCE = 25
 SHRINK = 50_000  # tokens by which a domain's counts are drawn to those of all domains
-STEPS = 16
+STEPS = 100  # at most; a handful meets reachable targets
+TOLERANCE = 1e-6  # largest miss of a domain's share of tokens
+RIDGE = 1e-9  # weight of the pulls themselves, which keeps them finite where targets cannot be met
 FLATTEN = 0.5  # default targets: shares of tokens to this power
 SPACE = r"[ \t-\r]+"
+_LOG = logging.getLogger(__name__)
 
 
 def _bucket(word):
@@ -107,14 +116,19 @@ def _dot(numbers, k):
     return sum((F.col(f"p{i}") * float(numbers[i]) for i in range(1, k)), F.col("p0") * float(numbers[0]))
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    size = 1.0
-    for _ in range(50):
-        v = [sum(a * b for a, b in zip(row, v)) for row in m]
-        size = math.sqrt(sum(x * x for x in v)) or 1.0
-        v = [x / size for x in v]
-    return size
+def _solved(m: list[list[float]], right: list[float]) -> list[float]:
+    """x of m x = right, by elimination; m is symmetric and positive."""
+    k, rows = len(m), [[*row, r] for row, r in zip(m, right)]
+    for i in range(k):
+        top = max(range(i, k), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for j in range(i + 1, k):
+            by = rows[j][i] / rows[i][i]
+            rows[j] = [x - by * y for x, y in zip(rows[j], rows[i])]
+    x = [0.0] * k
+    for i in reversed(range(k)):
+        x[i] = (rows[i][k] - sum(rows[i][j] * x[j] for j in range(i + 1, k))) / rows[i][i]
+    return x
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
@@ -123,27 +137,44 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> Data
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return rows.withColumn("rate", F.lit(1.0))
-    weight = F.col("n_tokens") / float(total)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = rows.agg(*[F.sum(weight * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first()
-    gram = [[0.0] * k for _ in range(k)]
-    for (i, j), x in zip(pairs, got):
-        gram[i][j] = gram[j][i] = x
-    step = 1 / (1.01 * _largest_eigenvalue(gram))
-    state = rows.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    held, momentum = [], 1.0
-    for _ in range(steps):
-        reached = state.agg(*[F.sum(weight * F.col("ahead") * F.col(f"p{i}")) for i in range(k)]).first()
-        miss = [reached[i] - targets[i] for i in range(k)]
-        grown = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        push, momentum = (momentum - 1) / grown, grown
-        state = (state.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - step * _dot(miss, k)))
-                 .withColumn("ahead", F.col("next") + push * (F.col("next") - F.col("rate")))
-                 .withColumn("rate", F.col("next")).drop("next").persist(StorageLevel.MEMORY_AND_DISK))
-        held.append(state)
-        if len(held) > 2:
-            held.pop(0).unpersist()
-    return state.drop("ahead")
+
+    def rate(pull):
+        return F.greatest(F.lit(0.0), 1 + _dot(pull, k))
+
+    def measured(pull):
+        """Height of the dual at ``pull``, its slope, its curvature, and the reached shares."""
+        own = rows.select((F.col("n_tokens") / float(total)).alias("w"), rate(pull).alias("r"), *[f"p{i}" for i in range(k)])
+        live = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
+        got = list(own.agg(F.sum(F.col("w") * F.col("r") * F.col("r")),
+                           *[F.sum(F.col("w") * F.col("r") * F.col(f"p{i}")) for i in range(k)],
+                           *[F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first())
+        height = got[0] / 2 + sum(RIDGE * x * x / 2 - t * x for x, t in zip(pull, targets))
+        reached = got[1:k + 1]
+        curve = [[0.0] * k for _ in range(k)]
+        for (i, j), x in zip(pairs, got[k + 1:]):
+            curve[i][j] = curve[j][i] = x + RIDGE * (i == j)
+        return height, [r - t + RIDGE * x for r, t, x in zip(reached, targets, pull)], curve, reached
+
+    pull = [0.0] * k
+    height, slope, curve, reached = measured(pull)
+    step, size, way = 0, 1.0, None
+    while step < steps and max(abs(r - t) for r, t in zip(reached, targets)) >= TOLERANCE:
+        way = way or _solved(curve, [-x for x in slope])
+        fall = sum(x * y for x, y in zip(slope, way))
+        if fall > -1e-15 or size < 1e-9:  # nothing left to gain: the targets cannot be met more closely
+            break
+        ahead = [x + size * y for x, y in zip(pull, way)]
+        found = measured(ahead)
+        step += 1
+        if found[0] <= height + 1e-4 * size * fall + 1e-15:
+            pull, (height, slope, curve, reached), size, way = ahead, found, 1.0, None
+        else:
+            size /= 2
+    miss = max(abs(r - t) for r, t in zip(reached, targets))
+    _LOG.log(logging.INFO if miss < TOLERANCE else logging.WARNING, "source mix: largest miss %.2g after %d steps; targets %s, reached %s",
+             miss, step, [round(t, 6) for t in targets], [round(r, 6) for r in reached])
+    return rows.withColumn("rate", rate(pull))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

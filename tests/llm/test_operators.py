@@ -4,6 +4,7 @@ texts, ties, repeated rows and clashing column names; and on empty tables."""
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -140,6 +141,33 @@ def test_rates_meet_targets(spark):
     assert max(abs(x - 0.5) for x in reached) < 0.01
 
 
+@pytest.mark.parametrize("hot", [1, 60])
+def test_mix_meets_targets_per_domain(spark, monkeypatch, hot):
+    """The production call, with a third to nearly all of the documents of one source."""
+    monkeypatch.setattr(mixing, "SHRINK", 50)  # few documents here: else all look alike and targets are out of reach
+    rng = random.Random(4)
+    words = {d: [f"{d}{i}" for i in range(30)] + [f"all{i}" for i in range(300)] for d in "abcde"}
+    rows = [(i, d, " ".join(rng.choice(words[d]) for _ in range(40)))
+            for i, d in enumerate(("abcde" + "a" * hot) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    labels = mixing.source_labels(docs)
+    model = mixing.Classifier(docs, labels)
+    k = len(model.domains)
+    wanted = [s**mixing.FLATTEN for s in model.shares]
+    both = mixing.mix(docs, labels).join(model.posteriors(docs).drop("n_tokens"), "doc_id").collect()
+    total = sum(r.n_tokens for r in both)
+    reached = [sum(r.rate * r.n_tokens * r[f"p{i}"] for r in both) / total for i in range(k)]
+    assert k == 5 and max(abs(x - w / sum(wanted)) for x, w in zip(reached, wanted)) < 1e-5
+
+
+def test_rates_of_unreachable_targets(spark):
+    rows = spark.createDataFrame([(i, 10, 0.5, 0.5) for i in range(20)] + [(99, 20, 0.4, 0.6)], "doc_id long, n_tokens long, p0 double, p1 double")
+    got = mixing.fit_rates(rows, [0.9, 0.1]).collect()
+    reached = [sum(r.rate * r.n_tokens * p for r, p in zip(got, ps)) / 220 for ps in ([r.p0 for r in got], [r.p1 for r in got])]
+    # nearest point of the cone between (0.5, 0.5) and (0.4, 0.6) to (0.9, 0.1)
+    assert max(abs(x - 0.5) for x in reached) < 1e-3
+
+
 def test_license_scan(spark, nothing):
     rows = [(1, "Plain words here.\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License. And more words of text."),
             (3, "It was a plain day."), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3."),
