@@ -1,8 +1,11 @@
 """Mixing sources to target weights by soft membership, DataFrame operations only.
 
-1. A table of labelled documents (doc_id, domain) trains a classifier: hashed word
-   counts a domain, drawn towards the counts of all domains (at most ``MAX_LABELLED`` labelled documents, by hash;
-   domains beyond the ``MAX_DOMAINS`` - 1 largest are one domain, ``*``).
+1. A table of labelled documents (doc_id, domain) gives the domains and their shares of
+   tokens (prior and default targets), counted over all labelled documents.  Domains beyond the
+   ``MAX_DOMAINS`` - 1 largest are one domain, ``*``, with one share and one target;
+   domains with a target of the caller stay apart.  Hashed word counts a domain, drawn
+   towards the counts of all domains, make a classifier; only these word counts come from at
+   most ``MAX_LABELLED`` labelled documents, by hash.
 2. Every document's words are looked up in that table (``BUCKETS`` rows); the sums a
    document give its log-likelihoods, which together with the domains' shares give
    its posterior.  Evidence counts as at most ``EVIDENCE`` words, so that long
@@ -22,7 +25,9 @@
 Defined results: null or blank texts have 0 tokens, the domains' shares as posterior and
 their rate by it; a null domain is a domain of its own (``?``) like any other;
 rows that share a doc_id are one document of their joint tokens and get one
-rate each (null doc_ids likewise); missing targets are 0 and all are scaled to sum 1; without labels
+rate each (null doc_ids likewise); a doc_id with several labels has the least; missing targets are 0
+and all are scaled to sum 1; a target of a domain without tokens, or ``MAX_DOMAINS`` targets
+or more, is an error; a domain without a sampled document has the common word counts; without labels
 there is one domain, ``*``; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -64,34 +69,51 @@ def source_labels(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("?")).alias("domain"))
 
 
+def domain_tokens(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(domain, n): tokens of all labelled documents a domain; words are counted before the shuffle."""
+    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
+    rows = docs.select("doc_id", n.alias("n"), F.lit(None).cast("string").alias("domain"))
+    rows = rows.unionByName(labels.select("doc_id", F.lit(0).cast("long").alias("n"), F.coalesce("domain", F.lit("?")).alias("domain")))
+    return (rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("domain").alias("domain"))
+            .filter("n > 0 and domain is not null").groupBy("domain").agg(F.sum("n").alias("n")))
+
+
 class Classifier:
-    """Domains, their shares of labelled tokens, and log P(bucket | domain)."""
+    """Domains, their shares of labelled tokens, and log P(bucket | domain).  Domains of
+    ``targets`` are kept before larger ones."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None):
+        asked = [d for d, t in (targets or {}).items() if t > 0 and d != "*"]
+        if len(asked) >= MAX_DOMAINS:
+            raise ValueError(f"{len(asked)} targets; at most {MAX_DOMAINS - 1} domains can have one")
+        own = domain_tokens(docs, labels).persist(StorageLevel.MEMORY_AND_DISK)
+        all_tokens = own.agg(F.sum("n")).first()[0] or 0
+        by = (own.filter("domain <> '*'").orderBy(F.desc(F.col("domain").isin(asked)), F.desc("n"), "domain")
+              .limit(MAX_DOMAINS - 1).collect())
+        own.unpersist()
+        by.sort(key=lambda r: (-r.n, r.domain))
+        self.domains = [r.domain for r in by]
+        sizes = [r.n for r in by]
+        if all_tokens > sum(sizes) or not by:
+            self.domains.append("*")
+            sizes.append(all_tokens - sum(sizes))
+        lost = [d for d, t in (targets or {}).items() if t > 0 and d not in self.domains]
+        if all_tokens and lost:
+            raise ValueError(f"targets of domains without any tokens: {sorted(lost)}")
+        self.shares = [n / all_tokens if all_tokens else 1.0 for n in sizes]
 
-    def __init__(self, docs: DataFrame, labels: DataFrame):
-        sample = (labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+        sample = (labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("domain", F.lit("?"))).alias("domain"))
                   .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
         rows = docs.join(F.broadcast(sample), "doc_id").select("domain", "text")  # MAX_LABELLED pairs
-        counts = (_exploded(rows, "domain").groupBy("domain", _bucket(F.col("word")).alias("bucket"))
-                  .agg(F.count("*").alias("n")))
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-        by = counts.groupBy("domain").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()
-        self.total = counts.agg(F.sum("n")).first()[0] or 0
-        self.domains = [r[0] for r in by[:MAX_DOMAINS - 1]]
-        sizes = [r[1] for r in by[:MAX_DOMAINS - 1]]
-        if len(by) == MAX_DOMAINS or not by:
-            self.domains.append("*")
-            sizes.append(self.total - sum(sizes))
-        self.shares = [max(n, 1) / max(1, self.total) for n in sizes]
-        scale = sum(self.shares)
-        self.shares = [s / scale for s in self.shares]
+        counts = (_exploded(rows, "domain").withColumn("domain", F.when(F.col("domain").isin(self.domains), F.col("domain")).otherwise("*"))
+                  .groupBy("domain", _bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")))
         at = {d: i for i, d in enumerate(self.domains)}
-        table = [[0] * len(sizes) for _ in range(BUCKETS)]
-        folded = counts.withColumn("domain", F.when(F.col("domain").isin(self.domains), F.col("domain")).otherwise("*"))
-        for d, b, n in folded.groupBy("domain", "bucket").agg(F.sum("n")).collect():  # MAX_DOMAINS * BUCKETS
-            table[b][at[d]] += n
-        counts.unpersist()
-        common = [(sum(row) + 1) / (self.total + BUCKETS) for row in table]
-        self.table = [tuple(math.log((n + SHRINK * c) / (size + SHRINK)) for n, size in zip(row, sizes))
+        table = [[0] * len(self.domains) for _ in range(BUCKETS)]
+        for d, b, n in counts.collect():  # MAX_DOMAINS * BUCKETS
+            table[b][at[d]] = n
+        seen = [sum(column) for column in zip(*table)]
+        common = [(sum(row) + 1) / (sum(seen) + BUCKETS) for row in table]
+        self.table = [tuple(math.log((n + SHRINK * c) / (size + SHRINK)) for n, size in zip(row, seen))
                       for row, c in zip(table, common)]
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
@@ -181,7 +203,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """One row a doc_id: doc_id, n_tokens, domain (likeliest), posterior (its
     probability), rate, copies."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    model = Classifier(texts, labels)
+    model = Classifier(texts, labels, targets)
     k = len(model.domains)
     if targets is None:
         wanted = [s**FLATTEN for s in model.shares]

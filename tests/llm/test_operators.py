@@ -160,6 +160,26 @@ def test_mix_meets_targets_per_domain(spark, monkeypatch, hot):
     assert k == 5 and max(abs(x - w / sum(wanted)) for x, w in zip(reached, wanted)) < 1e-5
 
 
+def test_mix_domains_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_LABELLED", 3)
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 5)
+    rows = [(i, "abcdefg"[i % 7], f" {'word ' * (10 + i % 7)}\n") for i in range(70)] + [(1000, "tiny", "word"), (None, "g", "word word")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    labels = mixing.source_labels(docs)
+    size = collections.Counter()
+    for _, d, t in rows:
+        size[d] += len(t.split())
+    total = sum(size.values())
+    model = mixing.Classifier(docs, labels)
+    assert model.domains == ["g", "f", "e", "d", "*"]
+    want = [size[d] / total for d in "gfed"]
+    assert np.allclose(model.shares, [*want, 1 - sum(want)])
+    assert mixing.Classifier(docs, labels, {"tiny": 1, "*": 2}).domains == ["g", "f", "e", "tiny", "*"]
+    for targets in ({"absent": 1}, dict.fromkeys("abcde", 1)):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, labels, targets)
+
+
 def test_rates_of_unreachable_targets(spark):
     rows = spark.createDataFrame([(i, 10, 0.5, 0.5) for i in range(20)] + [(99, 20, 0.4, 0.6)], "doc_id long, n_tokens long, p0 double, p1 double")
     got = mixing.fit_rates(rows, [0.9, 0.1]).collect()
