@@ -160,13 +160,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def labelled(labels: DataFrame, column: str, limit: int) -> DataFrame:
-    """(doc_id, label): at most ``limit`` usable labels outside the held-out fold, by hash."""
+def usable(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label): all usable labels outside the held-out fold."""
     return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
             .filter("doc_id is not null and label in (0, 1)").filter(~held_out("doc_id", 5))
             .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
-            .filter("label = most").select("doc_id", "label")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+            .filter("label = most").select("doc_id", "label"))
+
+
+def labelled(labels: DataFrame, column: str, limit: int) -> DataFrame:
+    """At most ``limit`` of the ``usable`` labels, by hash."""
+    return usable(labels, column).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def train(docs: DataFrame, labels: DataFrame):

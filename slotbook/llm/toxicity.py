@@ -5,10 +5,12 @@ toxic or not.
 
 1. ``labels.toxic`` marks documents; a training token is labelled toxic if its
    document is and its word is one that toxic documents hold far too often to be
-   chance (a likelihood-ratio test on document counts over all usable labels).
+   chance (a likelihood-ratio test on document counts over all usable labels,
+   whatever their number).
 2. The field has hashed features of the word, its beginning and end, and its neighbours, and
    transition weights.  Tasks run stochastic gradient steps on their part of at
-   most ``MAX_TRAIN`` labelled documents; Spark averages each weight over the tasks
+   most ``MAX_TRAIN`` labelled documents, chosen by hash (toxic ones first up to a tenth of
+   them, or up to their share of all; of the others one in ``PLAIN_PART``); Spark averages each weight over the tasks
    that met it, and the next round goes on from there.
 3. Every text is scored by forward-backward; a token's marginal is its probability
    to be toxic.  A document's score is the probability that some token is, over
@@ -32,11 +34,12 @@ from pyspark.sql import functions as F
 from slotbook.session import scratch_path
 
 from . import words as W
-from .quality_classifier import held_out, labelled
+from .quality_classifier import held_out, usable
 
 HASHED = 1 << 16
 KINDS = 5               # word, first letters, last letters, word before, word after
 MAX_TRAIN = 20_000      # documents
+PLAIN_PART = 5          # one in so many of the sampled documents without the label is trained on
 MAX_LEXICON = 20_000    # words
 SIGNIFICANT = 10.0      # log-likelihood ratio of a word's document counts
 ROUNDS, PARTS, PASSES = 2, 12, 4
@@ -135,7 +138,7 @@ class Field:
 
 
 def _lexicon_rows(batches):
-    schema = pa.schema([("word", pa.int64()), ("label", pa.int32())])
+    schema = pa.schema([("word", pa.int64()), ("df", pa.int64()), ("tox", pa.int64())])
     for rows, buf, off in W.slices(batches, "text"):
         text = Text(buf, off)
         row = np.repeat(np.arange(len(rows)), np.diff(text.word_off))
@@ -143,41 +146,57 @@ def _lexicon_rows(batches):
         h, row = text.h[order], row[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        label = rows.column(2).to_numpy()
-        yield W.table(schema, word=W.signed(h[new]), label=label[row[new]])
+        word, which = np.unique(h[new], return_inverse=True)
+        label = rows.column(1).to_numpy()[row[new]]
+        yield W.table(schema, word=W.signed(word), df=np.bincount(which, minlength=len(word)),
+                      tox=np.bincount(which, label, len(word)).astype(np.int64))
 
 
-def lexicon(sample: DataFrame) -> np.ndarray:
-    """Sorted hashes of words that toxic documents of ``sample`` hold too often."""
-    n = sample.agg(F.count("*"), F.sum("label")).first()
-    total, toxic = n[0], n[1] or 0
+def lexicon(rows: DataFrame, total: int, toxic: int) -> np.ndarray:
+    """Sorted hashes of words that toxic documents of ``rows`` (text, label) hold too often;
+    ``toxic`` of ``total`` rows are."""
     if not 0 < toxic < total:
         return np.zeros(0, W.U)
     share = toxic / total
     df, tox = F.col("df"), F.col("tox")
     p = tox / df
     ratio = (tox * F.log(p / share) + F.when(tox < df, (df - tox) * F.log((1 - p) / (1 - share))).otherwise(0))
-    found = (sample.mapInArrow(_lexicon_rows, "word long, label int").groupBy("word")
-             .agg(F.count("*").alias("df"), F.sum("label").alias("tox")).filter(p > (1 + share) / 2)
+    found = (rows.select("text", "label").mapInArrow(_lexicon_rows, "word long, df long, tox long").groupBy("word")
+             .agg(F.sum("df").alias("df"), F.sum("tox").alias("tox")).filter(p > (1 + share) / 2)
              .withColumn("ratio", ratio).filter(F.col("ratio") > SIGNIFICANT)
              .orderBy(F.desc("ratio"), "word").limit(MAX_LEXICON).select("word").collect())
     return np.sort(np.array([r[0] for r in found], np.int64).view(W.U))
 
 
+def training_labels(labels: DataFrame, total: int, toxic: int) -> DataFrame:
+    """At most MAX_TRAIN of ``labels`` by hash: toxic ones as often as in all of them, but
+    the first tenth of the sample is theirs if there are so many."""
+    taken = min(toxic, max(MAX_TRAIN // 10, round(MAX_TRAIN * toxic / max(1, total))))
+
+    def some(label, n):
+        return labels.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    return some(1, taken).unionByName(some(0, MAX_TRAIN - taken))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The trained field, or None without toxic labels."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = scratch_path(spark, "toxic-sample")
-    (texts.join(F.broadcast(labelled(labels, "toxic", MAX_TRAIN)), "doc_id").select("doc_id", "text", "label")
-     .write.parquet(at))
-    sample = spark.read.parquet(at)
-    toxic_words = lexicon(sample)
+    at = scratch_path(spark, "toxic-labels")
+    usable(labels, "toxic").write.parquet(at)
+    known = spark.read.parquet(at)
+    n = texts.select("doc_id").join(known, "doc_id").agg(F.count("*"), F.sum("label")).first()
+    total, toxic = n[0], n[1] or 0
+    toxic_words = lexicon(texts.join(known, "doc_id"), total, toxic)
     if not len(toxic_words):
         return None
-    # a fifth of the documents without the label is enough to tell the rest
+    at = scratch_path(spark, "toxic-sample")
+    (texts.join(F.broadcast(training_labels(known, total, toxic)), "doc_id").select("doc_id", "text", "label")
+     .write.parquet(at))  # MAX_TRAIN rows
+    sample = spark.read.parquet(at)
     schema = pa.schema([("cell", pa.int32()), ("weight", pa.float64())])
-    part = sample.filter((F.col("label") == 1) | (F.xxhash64("doc_id") % 5 == 0)).repartition(PARTS, "doc_id")
+    part = sample.filter((F.col("label") == 1) | (F.xxhash64("doc_id") % PLAIN_PART == 0)).repartition(PARTS, "doc_id")
     weights = Field().w
     for turn in range(ROUNDS):
         def fit(batches, start=weights, rate=0.5 / (1 + turn)):

@@ -317,6 +317,22 @@ def test_toxicity_held_out(spark, nothing):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_rare_label(spark, monkeypatch):
+    """Words are counted over all labels and rare toxic documents are trained on, though the sample is small."""
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 100)
+    rows = [(i, f"the town n{i % 50} walks home" + (" clown" if i % 200 == 7 else "")) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 200 == 7)) for i, _ in rows], LABELS)
+    known = toxicity.usable(labels, "toxic")
+    toxic = known.filter("label = 1").count()
+    got = toxicity.training_labels(known, known.count(), toxic).collect()
+    assert len(got) == 100 and sum(r.label for r in got) == min(toxic, 10)
+    joined = docs.join(known, "doc_id")
+    buf = np.frombuffer(b"clown", np.uint8)
+    assert toxicity.lexicon(joined, joined.count(), toxic).tolist() == toxicity.Text(buf, np.array([0, 5])).h.tolist()
+    assert toxicity.train(docs, labels) is not None
+
+
 def test_crf_marginals_are_exact():
     buf = np.frombuffer(b"a b c d e f g", np.uint8)
     text = toxicity.Text(buf, np.array([0, len(buf)]))
