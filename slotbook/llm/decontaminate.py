@@ -9,12 +9,14 @@ go on along one diagonal are one longer match.  A window is ``size`` consecutive
 item words, or the whole item if it has fewer.
 
 The benchmark reaches the tasks in chunks of at most ``CHUNK_CHARS`` characters
-(an item is never split), whatever its size; with one chunk the documents are
+(an item is never split; a longer one is a chunk of its own), whatever its size and
+whichever rows share an item_id; with one chunk the documents are
 scanned once and nothing is shuffled, with more each chunk's finds are
 written and merged per document.
 
 Defined results: null, empty or wordless texts have no words and are not
-contaminated; wordless items have no window; equal items all count; repeated
+contaminated; wordless items have no window; equal items all count, as do rows that share an
+item_id, each by its own row; repeated
 document rows each get a row; an empty benchmark leaves every document clean; an
 empty document table gives an empty result; other columns are ignored.
 """
@@ -25,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ SHARE = 20  # contaminated if SHARE * n_hit >= n_words
 class Tests:
     """The distinct windows of some benchmark items, ready for the search."""
 
-    def __init__(self, items: list[tuple], size: int):
+    def __init__(self, items: list[tuple], size: int, rows: list[int] | None = None):
         self.size = size
         raw = [("" if t is None else t).encode() for _, t in items]
         buf = W.LOWER[np.frombuffer(b"".join(raw), np.uint8)]
@@ -60,6 +63,7 @@ class Tests:
         self.items = item[order]  # items of window w: items[item_off[w]:item_off[w + 1]]
         self.item_off = np.searchsorted(which[order], np.arange(len(first) + 1))
         self.ids = [str(i) for i, _ in items]
+        self.rows = rows or list(range(len(items)))  # numbers of the benchmark rows
         self.leads = {}  # words of lead -> sorted hashes of such leads
         lead = np.minimum(self.length, LEAD)
         for k in range(1, LEAD + 1):
@@ -151,8 +155,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.
 _OUT_DDL = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
             "longest_match long, items array<string>")
 _FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("hit", pa.list_(pa.int64())),
-                    ("items", pa.list_(pa.string())), ("longest", pa.int64())])
-_FOUND_DDL = "doc_id long, version long, hit array<long>, items array<string>, longest long"
+                    ("items", pa.list_(pa.string())), ("item_rows", pa.list_(pa.int64())), ("longest", pa.int64())])
+_FOUND_DDL = "doc_id long, version long, hit array<long>, items array<string>, item_rows array<long>, longest long"
 
 
 def _parsed(buf, off):
@@ -161,8 +165,8 @@ def _parsed(buf, off):
     return W.hashes(buf, starts, ends), word_off
 
 
-def _by_row(n: int, rows: np.ndarray, items: np.ndarray, ids: list[str]) -> list[list[str]]:
-    out: list[list[str]] = [[] for _ in range(n)]
+def _by_row(n: int, rows: np.ndarray, items: np.ndarray, ids: list) -> list[list]:
+    out: list[list] = [[] for _ in range(n)]
     for r, i in zip(rows.tolist(), items.tolist()):
         out[r].append(ids[i])
     return [sorted(x) for x in out]
@@ -193,11 +197,12 @@ def _found(tests):
             version = W.signed(W.Prefix(words, 1).window(word_off[:-1], word_off[1:]))
             some = np.unique(r)
             if len(some):
-                items = _by_row(len(rows), r, i, tests.value.ids)
+                items = _by_row(len(rows), r, i, list(zip(tests.value.ids, tests.value.rows)))
                 ids = rows.column(0).to_pylist()
                 yield W.table(_FOUND, doc_id=[ids[k] for k in some], version=version[some],
                               hit=[np.flatnonzero(mask[word_off[k]:word_off[k + 1]]) for k in some],
-                              items=[items[k] for k in some], longest=longest[some])
+                              items=[[x for x, _ in items[k]] for k in some],
+                              item_rows=[[x for _, x in items[k]] for k in some], longest=longest[some])
     return run
 
 
@@ -210,10 +215,48 @@ def _merged(batches):
             for k, found in enumerate(rows.column(2).to_pylist()):
                 own = [x for x in found or [] if x["version"] == version[k]]
                 hit.append(len(set().union(*(x["hit"] for x in own))))
-                items.append(sorted({(n, i) for n, x in enumerate(own) for i in x["items"]}, key=lambda x: x[1]))
+                items.append(sorted({pair for x in own for pair in zip(x["items"], x["item_rows"])}))
                 longest.append(max([0, *(x["longest"] for x in own)]))
             yield _result(rows.column(0), np.diff(word_off), np.array(hit, np.int64),
-                          [[i for _, i in x] for x in items], longest)
+                          [[i for i, _ in x] for x in items], longest)
+
+
+def _pieces(chunk_chars: int):
+    """Benchmark rows, numbered, in pieces of at most ``chunk_chars`` characters (or one row)."""
+    schema = pa.schema([("piece", pa.int64()), ("row", pa.int64()), ("item", pa.string()), ("text", pa.string()), ("chars", pa.int64())])
+
+    def run(batches):
+        first, piece, n, held = TaskContext.get().partitionId() << 40, 0, 0, 0
+        for batch in batches:
+            chars = [len(t) + 1 for t in batch.column(1).to_pylist()]
+            pieces = []
+            for c in chars:
+                if held and held + c > chunk_chars:
+                    piece, held = piece + 1, 0
+                held += c
+                pieces.append(first + piece)
+            yield W.table(schema, piece=pieces, row=np.arange(n, n + len(chars)) + first, item=[str(i) for i in batch.column(0).to_pylist()],
+                          text=batch.column(1), chars=chars)
+            n += len(chars)
+
+    return run
+
+
+def _chunks(items: DataFrame, chunk_chars: int):
+    """(item id, text) pairs and row numbers of one chunk of the benchmark after the other."""
+    at = scratch_path(items.sparkSession, "benchmark")  # written once, so the numbers hold
+    (items.mapInArrow(_pieces(chunk_chars), "piece long, row long, item string, text string, chars long").write.parquet(at))
+    rows = items.sparkSession.read.parquet(at)
+    packs, held = [], 0
+    for piece, chars in sorted(map(tuple, rows.groupBy("piece").agg(F.sum("chars")).collect())):  # a row a piece
+        if not packs or held + chars > chunk_chars:
+            packs.append([])
+            held = 0
+        packs[-1].append(piece)
+        held += chars
+    for pack in packs:
+        got = rows.filter(F.col("piece").isin(pack)).select("row", "item", "text").collect()  # chunk_chars bounds this
+        yield [(r.item, r.text) for r in got], [r.row for r in got]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -223,21 +266,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     items = benchmark.select("item_id", "text").filter("text is not null")
     chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    chunks = max(1, -(-chars // chunk_chars))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(chunks))
+    if chars <= chunk_chars:
+        tests = Tests([tuple(r) for r in items.collect()], size)  # chunk_chars bounds this
+        return texts.mapInArrow(_whole(spark.sparkContext.broadcast(tests)), _OUT_DDL)
     held = []
-    for k in range(chunks):
-        rows = items if chunks == 1 else items.filter(part == k)
-        held.append(Tests([tuple(r) for r in rows.collect()], size))  # chunk_chars bounds this
-        if chunks > 1:
-            at = scratch_path(spark, "found")
-            texts.mapInArrow(_found(spark.sparkContext.broadcast(held.pop())), _FOUND_DDL).write.parquet(at)
-            held.append(at)
-    if chunks == 1:
-        return texts.mapInArrow(_whole(spark.sparkContext.broadcast(held[0])), _OUT_DDL)
-    found = (spark.read.parquet(*held).dropDuplicates(["doc_id", "version", "hit", "items"])
+    for some, rows in _chunks(items, chunk_chars):
+        at = scratch_path(spark, "found")
+        texts.mapInArrow(_found(spark.sparkContext.broadcast(Tests(some, size, rows))), _FOUND_DDL).write.parquet(at)
+        held.append(at)
+    found = (spark.read.parquet(*held).dropDuplicates(["doc_id", "version", "hit", "items", "item_rows"])
              .groupBy(F.col("doc_id").alias("of"))
-             .agg(F.collect_list(F.struct("version", "hit", "items", "longest")).alias("found")))
+             .agg(F.collect_list(F.struct("version", "hit", "items", "item_rows", "longest")).alias("found")))
     return (texts.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "found")
             .mapInArrow(_merged, _OUT_DDL))
 

@@ -263,6 +263,25 @@ def test_decontamination(spark, nothing, chunk):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {3, 4, 5, 8}
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 40])
+def test_repeated_benchmark_rows_all_count(spark, chunk):
+    items = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "delta words"), (2, "alpha beta gamma"), (None, "solo"), (None, "solo")] + [(7, f"filler {k}") for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(1, "x alpha beta gamma solo y delta words"), (2, "filler 3"), (2, "filler 3")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, chunk_chars=chunk).collect()}
+    assert got[1].n_items == 6 and got[1]["items"] == ["1", "1", "1", "2", "None", "None"] and got[1].n_hit == 6
+    assert got[2].n_items == 1
+
+
+def test_benchmark_chunks_are_bounded(spark):
+    items = [(1, "word " * 4 + str(k)) for k in range(50)] + [(None, "x" * 100)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    chunks = [(some, rows) for some, rows in decontaminate._chunks(bench, 90)]
+    assert sorted(r for _, rows in chunks for r in rows) == sorted({r for _, rows in chunks for r in rows})
+    assert sorted(t for some, _ in chunks for _, t in some) == sorted(t for _, t in items)
+    assert all(len(some) == 1 or sum(len(t) + 1 for _, t in some) <= 90 for some, _ in chunks)
+
+
 def test_quality_rules(corpus, nothing):
     rows, df = corpus
     got = _by_id(rows, quality_rules.quality_rules(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "longest_repeat")
