@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Each page becomes a small element tree.  Boilerplate elements (by tag, role or
-class word) are left out.  Every paragraph gets points for its length and commas and
+class word) are left out, unless one with a class word or a form wraps the article: it
+holds ``main`` or most of the page's unlinked text (``DOMINANT``).  Every paragraph gets points for its length and commas and
 passes them to its ancestors, fewer the farther up; an ancestor's points are
 discounted by the share of its text that is link text.  The best container is
 kept, with those of its siblings that look like more of the article, and its text
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text never belongs to an article
-SKIP = frozenset("script style noscript template iframe object canvas svg math form button select textarea "
+SKIP = frozenset("script style noscript template iframe object canvas svg math button select textarea "
                  "nav footer aside menu dialog head title audio video map".split())
 BLOCK = frozenset("address article blockquote body dd details div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th "
@@ -36,45 +37,52 @@ BLOCK = frozenset("address article blockquote body dd details div dl dt fieldset
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body html main td th blockquote".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 #: words of class and id names that mark boilerplate
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie "
                   "cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login menu nav "
                   "navbar navigation breadcrumb breadcrumbs sidebar footer masthead header topbar toolbar share "
                   "sharing social related recommended comment comments reply replies disqus respond widget "
                   "pagination pager skip".split())
+DOMINANT = 0.75  # share of the page's unlinked text that no boilerplate holds
+ENOUGH = 200     # characters of unlinked text of an article that stands elsewhere
 SEMANTIC = frozenset(["article", "main"])
 SCORED = frozenset("p pre td blockquote div section article main li dd h2 h3 body".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "points", "text", "linked")
+    __slots__ = ("tag", "up", "kids", "skip", "marked", "points", "text", "linked")
 
     def __init__(self, tag, up, skip):
         self.tag, self.up, self.skip = tag, up, skip
+        self.marked = False  # boilerplate by its class or id words, or a form: see _unmark
         self.kids: list = []
         self.points = 0.0
         self.text = self.linked = 0  # characters, and those inside links
 
 
-def _boilerplate(tag, attrs, up) -> bool:
+def _boilerplate(tag, attrs, up) -> tuple[bool, bool]:
+    """(surely, by its marks)"""
     if up.skip or tag in SKIP:
-        return True
+        return True, False
     if tag in ("html", "body", *SEMANTIC):
-        return False
+        return False, False
     inside = False
     while up is not None:
         inside = inside or up.tag in SEMANTIC
         up = up.up
     if tag == "header" and not inside:
-        return True
+        return True, False
     a = dict(attrs)
-    if "hidden" in a or a.get("aria-hidden") == "true" or (a.get("role") or "").lower() in ROLES:
-        return True
+    role = (a.get("role") or "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES:
+        return True, False
     if re.search(r"display\s*:\s*none", a.get("style") or ""):
-        return True
+        return True, False
+    if tag == "form" or role == "form":
+        return False, True
     marks = set(re.split(r"[^a-z0-9]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower())) & MARKS
-    return bool(marks - {"header"} if inside else marks)
+    return False, bool(marks - {"header"} if inside else marks)
 
 
 class Tree(HTMLParser):
@@ -89,7 +97,9 @@ class Tree(HTMLParser):
             self._end({"p"}, SCOPE)
         if tag in CLOSES:
             self._end(CLOSES[tag], SCOPE)
-        node = Node(tag, self.at, _boilerplate(tag, attrs, self.at))
+        skip, marked = _boilerplate(tag, attrs, self.at)
+        node = Node(tag, self.at, skip)
+        node.marked = marked
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
@@ -127,6 +137,41 @@ def _walk(node):
         todo += [k for k in node.kids if isinstance(k, Node) and not k.skip]
 
 
+def _unmark(root) -> None:
+    """Leaves out marked elements, but not those that wrap the article: those that hold
+    ``main``, or ``DOMINANT`` of the page's unlinked text (half of it with an article inside)
+    while no other article stands outside."""
+    nodes = list(_walk(root))
+    if not any(n.marked for n in nodes):
+        return
+    text, has_main, inner = {}, {}, {}  # by id: unlinked text, main inside, text of articles inside
+    linked, under = {}, {}  # inside a link, inside a marked element
+    for n in nodes:
+        up = n.up
+        linked[id(n)] = n.tag == "a" or up is not None and linked[id(up)]
+        under[id(n)] = n.marked or up is not None and under[id(up)]
+    clear = []  # articles outside marked elements
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.skip]
+        own = 0 if linked[id(n)] else sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        text[id(n)] = own + sum(text[id(k)] for k in kids)
+        has_main[id(n)] = n.tag == "main" or any(has_main[id(k)] for k in kids)
+        inner[id(n)] = n.tag in SEMANTIC or any(inner[id(k)] for k in kids)
+        if n.tag in SEMANTIC and not under[id(n)] and text[id(n)] >= ENOUGH:
+            clear.append(n)
+    whole = text[id(root)]
+    for n in nodes:
+        if not n.marked or has_main[id(n)]:
+            continue
+        above, up = set(), n.up
+        while up is not None:
+            above.add(id(up))
+            up = up.up
+        elsewhere = any(id(c) not in above for c in clear)
+        share = text[id(n)] / whole if whole else 0.0
+        n.skip = elsewhere or share < (0.5 if inner[id(n)] else DOMINANT)
+
+
 def blocks(node) -> list[str]:
     """Text blocks under ``node``, white space inside each folded."""
     out, run = [], []
@@ -194,6 +239,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _unmark(tree.root)
     nodes = _score(tree.root)
     best = max((n for n in nodes if n.text), key=lambda n: n.points, default=None)
     if best is None or best.points <= 0:

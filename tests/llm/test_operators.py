@@ -387,6 +387,22 @@ def test_html_extract(body, want):
     assert html_extract.main_text(PAGE % body) == want
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content with-sidebar'", "div id=no-sidebar", "div class=has-comments", "form method=post", "div role=form"])
+@pytest.mark.parametrize("inner", ["%s", "<article>%s</article>", "<main>%s</main>"])
+def test_html_wrappers_keep_the_article(wrapper, inner):
+    paragraphs = [f"Paragraph {k} of the article, long enough to count, with commas, and more words than most others have." for k in range(8)]
+    body = inner % "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<{wrapper}><div class=sidebar><p>Side, note.</p></div>{body}<div class=comments><p>Nice, thanks.</p></div></{wrapper.split()[0]}>"
+    assert html_extract.main_text(PAGE % page) == "\n\n".join(paragraphs)
+
+
+def test_html_long_comments_stay_out():
+    comments = "".join(f"<p>Comment {k}, which goes on, and on, for many words without end.</p>" for k in range(50))
+    article = "A paragraph, of the article, that is here to be read. " * 5
+    page = f"<article><p>{article}</p></article><div class=comments>{comments}</div>"
+    assert html_extract.main_text(PAGE % page) == article.strip()
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE % "<article><p>Text, here.</p></article>"), (2, None, None), (3, "v", ""), (4, "w", "no tags at all"),
             (5, "x", "<div><p>cut off in the mid"), (6, "y", "<p>" + "long words, " * 50_000), (1, "u", PAGE % "<article><p>Text, here.</p></article>")]
