@@ -6,6 +6,7 @@ import corpus_pipeline
 from slotbook.llm import (
     decontaminate,
     html_extract,
+    lexical_search,
     license_scan,
     lm_scoring,
     mixing,
@@ -13,8 +14,11 @@ from slotbook.llm import (
     quality_classifier,
     quality_rules,
     substring_dedup,
+    token_files,
     toxicity,
+    whitening,
 )
+from slotbook.session import scratch_path
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -65,6 +69,24 @@ def op10_html_extract(spark, sf_dir):
     return html_extract.main_texts(_read(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        content = f.read()
+    at = scratch_path(spark, "token-files")
+    token_files.write(_read(spark, sf_dir, "documents"), content, at)
+    return token_files.documents(spark, at)
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -76,6 +98,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_html_extract": op10_html_extract,
+    "op11_token_files": op11_token_files,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -125,5 +150,19 @@ t as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
 from d left join c using (doc_id) left join t using (doc_id)
+""",
+    "op12_lexical_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (select count(*) filter (len(w) > 0) as big_n, cast(sum(len(w)) as bigint) as big_l from d),
+b as (select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+a as (select q, t, count(*) as times from (select q, unnest(w) as t from b) group by q, t),
+p as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) where t in (select t from a) group by r, t),
+f as (select t, cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as weight
+      from p, s group by t, big_n),
+m as (select r, doc_id, 100 - 75 + ((75 * len(w) * big_n) // big_l) as m from d, s where len(w) > 0),
+x as (select q, r, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+      from a join f using (t) join p using (t) join m using (r) group by q, r, doc_id),
+o as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id) as k from x where score > 0)
+select item_id, cast(k as integer) as rank, doc_id, score from o join b using (q) where k <= 10
 """,
 }
