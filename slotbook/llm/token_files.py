@@ -18,7 +18,7 @@ next word and the lanes' states, so reading can begin there.  The last step is f
 ``read`` decodes all blocks side by side and checks every checksum (an error names the block);
 ``documents`` sums documents up, those that span blocks by joining the checksums of their pieces.
 
-A text is encoded word by word (``[^\\x20\\x09-\\x0D]+``), each different word of a slice once;
+A text is encoded word by word (``[^\\x20\\x09-\\x0D]+``), each different word of a slice once (``Speller``);
 that gives the ids of the whole text for every tokenizer whose pieces never cross white
 space, as is checked when it is loaded (``check_tokenizer``).  The tokenizer file's content travels with the
 tasks.
@@ -31,12 +31,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +54,7 @@ GROUP = 64               # blocks coded side by side
 PIECE_IDS = 1 << 20      # ids a row of the encoded texts; longer texts have several rows
 PART_IDS = 1 << 25       # ids a part, about; at most MAX_PARTS parts
 MAX_PARTS = 1 << 16
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 MAGIC = 0x31534E52       # "RNS1"
 HEAD = struct.Struct("<7I")
 _POINT = np.dtype([("word", "<u4"), ("state", "<u8", LANES)])
@@ -59,45 +62,165 @@ _LOW = np.uint64(1 << 31)
 _U = np.uint64
 
 
+#: Normalizer and pieces of the tokenizer files that `Speller` can cut up itself.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_PIECES = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Letters whose case, class and normal form are plain: ranges of Latin, Greek, Cyrillic, kana and ideographs.
+_RANGES = ((0xC0, 0x24F), (0x391, 0x3C9), (0x410, 0x45F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5))
+
+
+def _plain_letters() -> str:
+    """A regular expression's class of plain letters."""
+    good = [chr(c) for low, high in _RANGES for c in range(low, high + 1)]
+    good = [c for c in good if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c != "Σ"]
+    out, first = ["a-zA-Z"], 0
+    for i in range(1, len(good) + 1):
+        if i == len(good) or ord(good[i]) != ord(good[i - 1]) + 1:
+            out.append(f"{good[first]}-{good[i - 1]}")
+            first = i
+    return "".join(out)
+
+
+def _byte_names() -> np.ndarray:
+    """Code point of every byte in byte-level spelling: visible bytes stand for themselves, the others for 256 and
+    on, in order; the space, which here lies between pieces, stays."""
+    names = np.arange(256, dtype="<u4")
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    names[hidden] = 256 + np.arange(len(hidden))
+    names[32] = 32
+    return names
+
+
+class Speller:
+    """Ids of words by a tokenizer file.
+
+    Where the file's normalizer and pieces are the ones above, words of ASCII and plain letters are cut into pieces here, and only
+    different pieces are given to the file's model, many in one string; an id that ends a piece shows it in
+    its spelling.  All other words go through the whole tokenizer one by one.
+    """
+
+    CHUNK = 2000
+
+    def __init__(self, content: str):
+        from tokenizers import Tokenizer
+
+        spec = json.loads(content)
+        self.whole = Tokenizer.from_str(content)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.bare = None
+        if (spec.get("normalizer") == PLAIN_NORMALIZER and spec.get("pre_tokenizer") == PLAIN_PIECES and suffix
+                and all("<|" in t["content"] for t in spec.get("added_tokens") or [])):
+            spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            letters = _plain_letters()
+            self.strange = re.compile(rf"[^{letters}\n!-~]|<\|")
+            self.pieces = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9\n]+")
+            self.names = _byte_names()
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each); words hold no white space."""
+        if self.bare is None:
+            return self._one_by_one(words)
+        blob = "\n".join(words)
+        line_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        odd = np.unique(np.searchsorted(line_ends, [m.start() for m in self.strange.finditer(blob)], "right"))
+        rare, rare_count = self._one_by_one([words[k] for k in odd])
+        usual = np.ones(len(words), bool)
+        usual[odd] = False
+        flat, count = self._by_pieces([w for w, u in zip(words, usual) if u] if len(odd) else words)
+        if not len(odd):
+            return flat, count
+        both = np.zeros(len(words), np.int64)
+        both[usual], both[odd] = count, rare_count
+        out = np.empty(int(both.sum()), np.int64)
+        mark = np.repeat(usual, both)
+        out[mark], out[~mark] = flat, rare
+        return out, both
+
+    def _by_pieces(self, words):
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = pa.array(self.pieces.findall("\n".join(words).lower()), pa.string()).dictionary_encode()
+        spelt, which = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
+        line = spelt.index("\n") if len(words) > 1 else -1
+        flat, count = [], np.zeros(len(spelt), np.int64)
+        some = [k for k in range(len(spelt)) if k != line]
+        for i in range(0, len(some), self.CHUNK):
+            own = some[i:i + self.CHUNK]
+            ids = np.array(self._model_ids(" ".join([spelt[k] for k in own])), np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(own):
+                raise ValueError("the tokenizer's ids do not show where pieces end")
+            count[own] = np.diff(last, prepend=-1)
+            flat.append(ids)
+        flat = np.concatenate(flat)
+        at = np.cumsum(count) - count  # the line break has no ids
+        is_piece = which != line
+        word = np.cumsum(~is_piece)[is_piece]
+        used = which[is_piece]
+        return flat[W.ranges(at[used], count[used])], np.bincount(word, count[used], len(words)).astype(np.int64)
+
+    def _model_ids(self, line: str) -> list[int]:
+        if not line.isascii():
+            line = self.names[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        return self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids
+
+    def _one_by_one(self, words):
+        lists = []
+        for i in range(0, len(words), self.CHUNK):
+            lists += [e.ids for e in self.whole.encode_batch_fast(words[i:i + self.CHUNK], add_special_tokens=False)]
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for x in lists for i in x), np.int64, int(count.sum())), count
+
+
 def check_tokenizer(content: str) -> None:
     """An error unless the tokenizer's pieces never cross white space."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(content)
-    spec = json.loads(content)
-    loose = [t["content"] for t in spec.get("added_tokens") or []
+    loose = [t["content"] for t in json.loads(content).get("added_tokens") or []
              if t.get("lstrip") or t.get("rstrip") or t["content"].split() != [t["content"]]]
-    parts = ["don't", "42nd", "É!?", "x.y", "<|endoftext|>", "́e", "日本"]
+    parts = ["don't", "42nd", "É!?", "x.y", "<|endoftext|>", "\u0301e", "日本", "Straße", "ΣΑΣ", "İ", "we'LL", "\"'s\"", "\x7f", "a\xa0b"]
     whole = made.encode(" \t".join(parts), add_special_tokens=False).ids
-    if loose or whole != [i for w in parts for i in made.encode(w, add_special_tokens=False).ids]:
+    if loose or whole != Speller(content).ids(parts)[0].tolist():
         raise ValueError("this tokenizer's pieces depend on white space; its texts cannot be encoded word by word")
 
 
 # --- ids of texts ------------------------------------------------------------------------
-def _word_ids(buf, off, encode):
+def _decoded(words: pa.Array) -> list[str]:
+    """Words (without line breaks) as text; bytes that are not UTF-8 become U+FFFD."""
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(one, pa.scalar(b"\n", words.type))[0].as_py().decode("utf-8", "replace").split("\n")
+
+
+def _word_ids(buf, off, speller):
     """Ids of each row of a slice with the end id after it: (ids, offsets)."""
     inside = W.SPACED[buf]
     starts, ends, word_off = W.spans(buf, off)
     n = len(starts)
-    size = np.zeros(n, np.int64)
-    flat, at, count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size, flat, at = np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     which = np.zeros(0, np.int64)
     if n:
         place = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         spelt = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(place), pa.py_buffer(buf[inside])])
         coded = spelt.dictionary_encode()
-        lists = encode([w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()])
+        flat, count = speller.ids(_decoded(coded.dictionary))
         which = coded.indices.to_numpy()
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(count.sum()))
         at = np.cumsum(count) - count
         size = count[which]
     before = np.concatenate([[0], np.cumsum(size)])[word_off]  # ids before each row, end ids left out
     row_off = before + np.arange(len(off))
-    ids = np.full(row_off[-1], END_ID, np.int64)
+    ids = np.full(row_off[-1], END_ID, np.uint32)
     own = np.ones(len(ids), bool)
     own[row_off[1:] - 1] = False
-    ids[own] = flat[W.ranges(at[which], size)] if n else flat
+    if n:
+        ids[own] = flat.astype(np.uint32)[W.ranges(at[which], size)]
     return ids, row_off
 
 
@@ -112,18 +235,9 @@ def encoded(docs: DataFrame, content: str) -> DataFrame:
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_str(held.value)
-
-        def encode(words):
-            out = []
-            for i in range(0, len(words), 4096):
-                out += [e.ids for e in made.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
-            return out
-
+        speller = Speller(held.value)
         for rows, buf, off in W.slices(batches, "text", SLICE_BYTES):
-            ids, row_off = _word_ids(buf, off, encode)
+            ids, row_off = _word_ids(buf, off, speller)
             pieces = -(-np.diff(row_off) // PIECE_IDS)
             which = np.repeat(np.arange(len(rows)), pieces)
             seq = W.ranges(np.zeros(len(rows), np.int64), pieces)
