@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotbook import constants as C
+from slotbook.operators.prefix import with_position
 
 
 def _as_col(c) -> Column:
@@ -64,3 +65,16 @@ def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], cursor: Sequenc
         df = df.filter(cond)
     ordered = df.orderBy(*[c.desc() if d else c.asc() for c, (_n, d) in zip(cols, order)])
     return ordered.limit(limit)
+
+
+def page_numbers(df: DataFrame, order: Sequence, limit: int = C.DEFAULT_LIMIT) -> DataFrame:
+    """Every row with the ``page`` it is on and its ``line`` there (both from 1), under the total ``order``.
+
+    All pages at once: rows are dealt by range and numbered by range (``with_position``), so
+    no task sees more than its range, whatever the number of pages.
+    """
+    if limit < 1:
+        raise ValueError("a page has at least one row")
+    at = F.col("__position")
+    return (with_position(df, [_as_col(c) for c in order], "__position")
+            .select(*df.columns, (F.floor(at / limit) + 1).alias("page"), (at % limit + 1).alias("line")))

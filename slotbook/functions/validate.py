@@ -35,7 +35,8 @@ def alphanumeric(col: Column) -> Column:                   # V04
 
 
 def numeric(col: Column) -> Column:                        # V05
-    return _str(col).rlike(C.RE_NUMERIC)
+    """Digits that fit the integer columns they are written to."""
+    return _str(col).rlike(C.RE_NUMERIC) & _str(col).try_cast("int").isNotNull()
 
 
 def uuid_v4(col: Column) -> Column:                        # V06 (body ids)

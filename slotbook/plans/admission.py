@@ -27,6 +27,8 @@ from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.ids import stable_uuid
 from slotbook.operators.asof import asof_count, asof_latest, unique_rank
+from slotbook.operators.prefix import running
+from slotbook.operators.settle import settle
 from slotbook.operators.writes import apply_updates
 from slotbook.session import cut_lineage
 
@@ -48,15 +50,19 @@ def _has_errors(rules) -> Column:
 
 
 def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                   eligible: Column, name: str = "is_first") -> DataFrame:
+                   eligible: Column, name: str = "is_first", unique: bool = False) -> DataFrame:
     """Flag the first eligible row per key by ``order`` (a min aggregate + join,
     so a key with very many rows is folded map-side instead of windowed).
 
-    A ``request_id`` column, where there is one, orders requests that are equal
-    otherwise, so that exactly one of them is first.
+    Exactly one row is first, also of requests that are equal in everything: a ``request_id``
+    column, where there is one, orders them, else they get row numbers, which are written down
+    before they are compared.
     """
     if "request_id" in df.columns and "request_id" not in order:
         order = [*order, "request_id"]
+    elif not unique:
+        df = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__eligible", eligible))
+        order, eligible = [*order, "__row"], F.col("__eligible")
     types = [df.schema[c].dataType for c in order]
     integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
     if len(order) == 1 and isinstance(types[0], integral):
@@ -69,7 +75,7 @@ def first_in_batch(df: DataFrame, key: Sequence[str], order: Sequence[str],
     firsts = (df.filter(eligible).groupBy(*key).agg(F.min(rank).alias("__first")))
     j = df.join(firsts, list(key), "left")
     return j.withColumn(name, F.coalesce(eligible & rank.eqNullSafe(F.col("__first")), F.lit(False))) \
-            .drop("__first")
+            .drop("__first", "__row", "__eligible")
 
 
 def _batch_unique(r: DataFrame, code: Column, key, order, clash: str,
@@ -82,7 +88,7 @@ def _batch_unique(r: DataFrame, code: Column, key, order, clash: str,
     if mode != "strict":
         raise ValueError(f"unknown mode {mode!r}")
     r = first_in_batch(r.withColumn("__pre", code), list(key), list(order),
-                       F.col("__pre") == C.OK, name="__first_in_batch")
+                       F.col("__pre") == C.OK, name="__first_in_batch", unique=True)
     return r, (F.when((F.col("__pre") == C.OK) & ~F.col("__first_in_batch"), clash)
                .otherwise(F.col("__pre")))
 
@@ -108,8 +114,11 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
     stored pendings plus earlier surviving requests for the package reach the
     capacity (always ``>=`` in this mode).  A later request can be refused
     because of an earlier one that itself fails the capacity check.
+    ``mode="sequential"`` is exact: the result of taking the requests one by one by (time, id), so
+    a request that was refused, for whatever reason, blocks nobody (``_one_by_one``); requests
+    without a time or member are judged against stored state and keep no member from booking.
     """
-    if mode not in ("snapshot", "strict"):
+    if mode not in ("snapshot", "strict", "sequential"):
         raise ValueError(f"unknown mode {mode!r}")
     pending = state.filter(F.col("order_status") == C.ORDER_PENDING)
     r = requests.withColumn("__bad", _has_errors(V.booking_create_rules(id_kind)))
@@ -125,6 +134,10 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
     if mode == "snapshot":
         full = (F.col("pending_count") >= F.col("__cap")) if strict_capacity \
             else (F.col("pending_count") == F.col("__cap"))
+    elif mode == "sequential":
+        r = _one_by_one(r.withColumn("__stored", ongoing))
+        full = F.col("pending_count") + F.col("__earlier") >= F.col("__cap")
+        ongoing = ~F.col("__took")
     else:
         # Each step below reads the previous step's output twice (as the left
         # side and, filtered, as the right side); a reliable checkpoint in the
@@ -135,7 +148,7 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
         r = asof_latest(r, e1, ["member_user_id"], "requested_at", "__et", ["__et"],
                         bucket=bucket, inclusive=False, prefix="prev")
         # of a member's requests at one instant the lowest id is first
-        r = first_in_batch(r, ["member_user_id", "requested_at"], ["id"], F.col("__e1"), "__member_first")
+        r = first_in_batch(r, ["member_user_id", "requested_at"], ["id"], F.col("__e1"), "__member_first", unique=True)
         batch_ongoing = (F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
                          | (F.col("__e1") & ~F.col("__member_first")))
         r = cut_lineage(r.withColumn("__e2", F.col("__e1") & ~batch_ongoing))
@@ -160,6 +173,77 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                     F.when(ok, F.lit(C.ORDER_PENDING)).alias("order_status"))
 
 
+def _micros(df: DataFrame, column: str) -> Column:
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column))
+
+
+def _one_by_one(r: DataFrame) -> DataFrame:
+    """M01 taken one by one: ``r`` with ``__earlier``, the accepted requests for the package before
+    this one, and ``__took``, whether the member could book then and the package was not full.
+
+    Two rules are coupled: a package is full from some request on (its cut: stored and accepted
+    bookings only grow), and a member's accepted requests are two hours apart.  Given the cuts, each member's
+    requests are settled exactly (``_spaced``); given these, the cuts follow from running counts.
+    Both are repeated until no cut moves.  What comes before the first wrong cut is right after
+    each round, so the end is the sequential result, after as many rounds as cuts depend on
+    each other in a chain (two where no package fills up).
+    """
+    time = F.coalesce(_micros(r, "requested_at"), F.lit(0))
+    timed = F.col("requested_at").isNotNull() & F.col("member_user_id").isNotNull()
+    r = cut_lineage(r.withColumn("__t", time).withColumn("__timed", timed)
+                    .withColumn("__could", ~F.col("__bad") & F.col("__pk").isNotNull() & ~F.col("__stored")))
+    able = r.filter(F.col("__could") & (F.col("pending_count") < F.col("__cap")))
+    able = cut_lineage(able.select("id", "member_user_id", "package_id", "__t", "__timed", "__cap", "pending_count"))
+    cuts = None
+    while True:
+        open_ = able
+        if cuts is not None:
+            open_ = able.join(cuts, "package_id", "left").filter(F.col("__cut").isNull() | (F.struct("__t", "id") < F.col("__cut")))
+        took = cut_lineage(_spaced(open_.filter("__timed")).unionByName(open_.filter(~F.col("__timed")).select("id"))
+                           .withColumn("__one", F.lit(1)))
+        counted = running(able.join(took, "id", "left"), ["package_id"], ["__t", "id"], "__one", "__earlier", inclusive=False)
+        found = cut_lineage(counted.filter(F.col("pending_count") + F.col("__earlier") >= F.col("__cap"))
+                            .groupBy("package_id").agg(F.min(F.struct("__t", "id")).alias("__cut")))
+        if cuts is None:
+            moved = not found.isEmpty()
+        else:
+            both = found.join(cuts.withColumnRenamed("__cut", "__old"), "package_id", "full")
+            moved = not both.filter(~F.col("__cut").eqNullSafe(F.col("__old"))).isEmpty()
+        if not moved:
+            break
+        cuts = found
+    judged = r.join(took, "id", "left")
+    out = running(judged, ["package_id"], ["__t", "id"], "__one", "__earlier", inclusive=False)
+    return out.withColumn("__took", F.col("__one").isNotNull())
+
+
+def _spaced(open_: DataFrame, ttl: str = C.BOOKING_TTL) -> DataFrame:
+    """(id) of the requests a member gets if every one is taken that is at least ``ttl`` after the last
+    one taken.
+
+    The first request of an instant stands for it.  From each instant a pointer goes to the member's first one at
+    least ``ttl`` later (a running last value from the latest back, see ``prefix``); what the pointers reach from a member's first
+    instant is taken.  Pointers are doubled, so a member's chain takes the logarithm of its length.
+    """
+    ttl_us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'1970-01-01 00:00:00' + {ttl})")
+    slots = cut_lineage(open_.groupBy("member_user_id", "__t").agg(F.min("id").alias("id")))
+    t, member = F.col("__t"), F.col("member_user_id")
+    events = (slots.select(member, (-t).alias("at"), F.lit(0).alias("probe"), t.alias("seen"))
+              .unionByName(slots.select(member, (-(t + ttl_us)).alias("at"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("seen"))))
+    nexts = (running(events, ["member_user_id"], ["at", "probe"], "seen", "next", "last").filter("probe = 1 and next is not null")
+             .select(member, (-F.col("at") - ttl_us).alias("__t"), "next"))
+    nexts = cut_lineage(nexts)
+    reached = slots.groupBy("member_user_id").agg(F.min("__t").alias("__t"))
+    while not nexts.isEmpty():
+        ahead = reached.join(nexts, ["member_user_id", "__t"]).select("member_user_id", F.col("next").alias("__t"))
+        reached = cut_lineage(reached.unionByName(ahead))
+        further = nexts.select("member_user_id", F.col("__t").alias("next"), F.col("next").alias("__far"))
+        nexts = cut_lineage(nexts.join(further, ["member_user_id", "next"]).select("member_user_id", "__t", F.col("__far").alias("next")))
+    return slots.join(reached, ["member_user_id", "__t"], "left_semi").select("id")
+
+
 # --- M02 ---------------------------------------------------------------------------
 def transition_bookings(requests: DataFrame, booking: DataFrame, package: DataFrame,
                         place: DataFrame, place_admin: DataFrame, id_kind: str = "key") -> DataFrame:
@@ -227,7 +311,7 @@ def admit_packages(requests: DataFrame, place: DataFrame, place_admin: DataFrame
         (F.col("__bad"), C.PACKAGE_CREATE_FIELDS),
         (F.col("__pl").isNull(), C.PACKAGE_CREATE_PLACE_MISSING),
         (F.col("__adm").isNull(), C.PACKAGE_CREATE_NOT_ADMIN),
-        (F.coalesce(F.col("__used"), F.lit(0)) + F.col("capacity").try_cast("int") > F.col("__max"),
+        (~F.coalesce(F.coalesce(F.col("__used"), F.lit(0)) + F.col("capacity").try_cast("long") <= F.col("__max"), F.lit(False)),
          C.PACKAGE_CREATE_OVER_CAPACITY),
         (F.col("__pt").isNull(), C.PACKAGE_CREATE_TYPE_MISSING),
     ])
@@ -345,7 +429,12 @@ def update_places(requests: DataFrame, place: DataFrame, id_kind: str = "key",
     ``mode="strict"``: of several accepted updates giving different places the
     same name and address in one batch only the lowest id is accepted, the
     others get 1015.
+    ``mode="sequential"`` takes the updates one by one by id: a name and address can
+    be taken once all places that had it have moved away by earlier updates, through chains of any
+    length (``_free_names``).  A place has one update in a batch.
     """
+    if mode not in ("snapshot", "strict", "sequential"):
+        raise ValueError(f"unknown mode {mode!r}")
     cur = place.select("id", F.col("max_capacity").alias("__cur_max"), F.lit(True).alias("__pl"))
     by_name = (place.groupBy("name", "address")
                .agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__nid")))
@@ -359,12 +448,47 @@ def update_places(requests: DataFrame, place: DataFrame, id_kind: str = "key",
         (F.col("__bad"), C.PLACE_UPDATE_FIELDS),
         (F.col("__pl").isNull(), C.PLACE_UPDATE_NOT_FOUND),
         (F.col("max_capacity") < F.col("__cur_max"), C.PLACE_UPDATE_MAX_CAPACITY),
-        (conflict, C.PLACE_UPDATE_CONFLICT),
+        (conflict & (mode != "sequential"), C.PLACE_UPDATE_CONFLICT),
     ])
-    r, code = _batch_unique(r, code, ["name", "address"], ["id"], C.PLACE_UPDATE_CONFLICT, mode)
+    if mode == "sequential":
+        r = cut_lineage(r.withColumn("__pre", code))
+        free = _free_names(r.filter(F.col("__pre") == C.OK).select("id", "name", "address"), place)
+        r = r.join(free.withColumnRenamed("accepted", "__free"), "id", "left")
+        code = F.when((F.col("__pre") == C.OK) & ~F.col("__free"), C.PLACE_UPDATE_CONFLICT).otherwise(F.col("__pre"))
+    else:
+        r, code = _batch_unique(r, code, ["name", "address"], ["id"], C.PLACE_UPDATE_CONFLICT, mode)
     return r.select(*requests.columns, code.alias("reason_code"))
 
 
+def _free_names(updates: DataFrame, place: DataFrame) -> DataFrame:
+    """(id, accepted) of updates (id, name, address), taken one by one by id.
+
+    An update moves its place from one (name, address) to another.  It needs every other place there to
+    have moved away before, and no earlier update to have moved in.  All that leave one spot are one node more, numbered right after
+    the last of them, which needs each of them; an update needs that node.  So needs are as many
+    as updates, and ``settle`` follows the chains.
+    """
+    key = ["name", "address"]
+    moves = updates.select("id", F.col("name").alias("__name"), F.col("address").alias("__address"))
+    held = place.select("id", *key).join(moves, "id", "left")
+    leaves = F.col("__name").isNotNull() & ~((F.col("name") == F.col("__name")) & (F.col("address") == F.col("__address")))
+    held = cut_lineage(held.withColumn("leaves", F.coalesce(leaves, F.lit(False))))
+    spots = held.groupBy(*key).agg(F.count_if(~F.col("leaves")).alias("__stay"), F.min(F.when(~F.col("leaves"), F.col("id"))).alias("__stays"),
+                                   F.max(F.when(F.col("leaves"), F.col("id"))).alias("__last"))
+    # a request is number 2 id, the node of those that leave a spot 2 last + 1; spots never left free have none
+    u = cut_lineage(updates.join(spots, key, "left"))
+    taken_up = (F.col("__stay") > 1) | ((F.col("__stay") == 1) & (F.col("__stays") != F.col("id")))
+    never = F.coalesce(taken_up, F.lit(False))
+    last = held.filter("leaves").join(spots.select(*key, "__last"), key)
+    needs = (last.select((2 * F.col("__last") + 1).alias("id"), (2 * F.col("id")).alias("need"))
+             .unionByName(u.filter(F.col("__last").isNotNull() & ~never).select((2 * F.col("id")).alias("id"), (2 * F.col("__last") + 1).alias("need")))
+             .unionByName(u.filter(never).select((2 * F.col("id")).alias("id"), F.lit(-1).cast("long").alias("need"))))
+    nodes = (u.select((2 * F.col("id")).alias("id"), F.struct(*key).alias("spot"))
+             .unionByName(spots.filter("__last is not null").select((2 * F.col("__last") + 1).alias("id"), F.lit(None).cast(u.select(F.struct(*key)).schema[0].dataType).alias("spot"))))
+    return (settle(nodes, "id", ["spot"], needs).filter(F.col("id") % 2 == 0)
+            .select((F.col("id") / 2).cast("long").alias("id"), "accepted"))
+
+
 # --- M07 ---------------------------------------------------------------------------
 def upsert_place_admins(entries: DataFrame, place_admin: DataFrame,
                         id_kind: str = "key") -> DataFrame:
@@ -565,8 +689,9 @@ def import_members(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Judge sign-ups (id, fullname, gender, username, email [, password]).
 
     1001 invalid fields; 1002 the username or e-mail is taken by a stored user
-    or, in the same batch, by a request with a lower id that is valid and clashes
-    with no stored user; else a MEMBER.  Passwords are never carried into the output.
+    or by a sign-up of the batch that was accepted before (by id); else a MEMBER.  A refused sign-up takes
+    no name: the result is that of inserting them one by one (``settle``).  Passwords are never
+    carried into the output.
     """
     has_pw = "password" in requests.columns
     r = requests.withColumn("__bad", _has_errors(V.signup_rules(with_password=has_pw)))
@@ -574,11 +699,10 @@ def import_members(requests: DataFrame, users: DataFrame) -> DataFrame:
         stored = users.select(key).distinct().withColumn(f"__t{tag}", F.lit(True))
         r = r.join(stored, key, "left")
     stored = F.coalesce(F.col("__tu"), F.lit(False)) | F.coalesce(F.col("__te"), F.lit(False))
-    eligible = r.filter(~F.col("__bad") & ~stored)
-    for key, tag in (("username", "u"), ("email", "e")):
-        r = r.join(eligible.groupBy(key).agg(F.min("id").alias(f"__f{tag}")), key, "left")
-    dup = stored | (F.col("__fu") != F.col("id")) | (F.col("__fe") != F.col("id"))
-    code = _chain([(F.col("__bad"), C.SIGNUP_FIELDS), (dup, C.SIGNUP_DUPLICATE)])
+    r = cut_lineage(r.withColumn("__stored", stored).drop("password"))
+    fair = settle(r.filter(~F.col("__bad") & ~F.col("__stored")), "id", ["username", "email"])
+    r = r.join(fair, "id", "left")
+    code = _chain([(F.col("__bad"), C.SIGNUP_FIELDS), (F.col("__stored") | ~F.col("accepted"), C.SIGNUP_DUPLICATE)])
     ok = code == C.OK
     cols = [c for c in requests.columns if c != "password"]
     return r.select(*cols, code.alias("reason_code"),

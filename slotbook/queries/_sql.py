@@ -35,7 +35,8 @@ def alnum(c: str) -> str:
 
 
 def numeric(c: str) -> str:
-    return ok(f"{not_empty(c)} AND {rx(c, '(-|[+])?[0-9]+')}")
+    return ok(f"{not_empty(c)} AND {rx(c, '(-|[+])?[0-9]+')} "
+              f"AND TRY_CAST(ltrim(CAST({c} AS VARCHAR), '+') AS INTEGER) IS NOT NULL")
 
 
 def key(c: str) -> str:
