@@ -9,23 +9,25 @@
 2. Every document's words are looked up in that table (``BUCKETS`` rows); the sums a
    document give its log-likelihoods, which together with the domains' shares give
    its posterior.  Evidence counts as at most ``EVIDENCE`` words, so that long
-   texts stay soft.
-3. With rate r of each document, domain d is expected to get sum(r * tokens *
-   posterior[d]) tokens.  Of all rates r >= 0 that meet the target totals those nearest
-   to 1 are taken (by least squares over tokens): r = max(0, 1 + pull . posterior), with one
-   pull a domain.  Damped Newton steps on the pulls go on until every domain's share of
-   tokens is within ``TOLERANCE`` of its target; where targets cannot be met they end at the
-   nearest reachable totals (at most ``STEPS`` steps).  A step is one aggregate of
-   all documents to one number a domain and pair of domains; only those numbers reach the
-   driver and nothing else is kept between steps.  The reached shares are logged, as a
-   warning if a target is missed.
+   texts stay soft.  A document's own label, if it has one, is one more observation: right with probability
+   ``TRUST``, else any other domain alike.
+3. With rate r of each document, domain d is expected to get S[d] = sum(r * tokens *
+   posterior[d]) tokens.  Projected gradient steps from r = 1 fit rates of 0 to ``MAX_RATE`` by least
+   squares of S against the target totals.  A document's step length is 1 over the sum of posterior[d] *
+   tokens of d at rate 1, a separable majorant of the squares, so hot and small domains converge
+   alike; steps carry momentum, given up wherever the squares grow.  A step is one aggregate of all
+   documents to a number a domain; only those numbers reach the driver.  The steps' numbers are
+   data of one and the same plan, which goes through the last few steps again; then the rates are written and read again.
+   Steps end when every domain's share of tokens is within ``TOLERANCE`` of its target, the squares fall
+   no more, or after ``STEPS``.  The reached shares are logged, as a warning if a target is missed
+   (as with targets that rates of 0 to ``MAX_RATE`` cannot meet); ``report`` returns them.
 4. A document is taken floor(rate) times, and once more if a hash of its doc_id falls under
-   the rest.
+   the rest; no document is taken more than ``MAX_RATE`` times.
 
-Defined results: null or blank texts have 0 tokens, the domains' shares as posterior and
+Defined results: null or blank texts have 0 tokens, the domains' shares (and their label) as evidence and
 their rate by it; a null domain is a domain of its own (``?``) like any other;
 rows that share a doc_id are one document of their joint tokens and get one
-rate each (null doc_ids likewise); a doc_id with several labels has the least; missing targets are 0
+rate each (null doc_ids likewise, without a label); a doc_id with several labels has the least; missing targets are 0
 and all are scaled to sum 1; a target of a domain without tokens, or ``MAX_DOMAINS`` targets
 or more, is an error; a domain without a sampled document has the common word counts; without labels
 there is one domain, ``*``; an empty table gives an empty result; other columns are
@@ -48,9 +50,11 @@ MAX_LABELLED = 10_000
 MAX_DOMAINS = 64
 EVIDENCE = 25
 SHRINK = 50_000  # tokens by which a domain's counts are drawn to those of all domains
-STEPS = 100  # at most; a handful meets reachable targets
+TRUST = 0.9  # probability that a label is right
+MAX_RATE = 8.0
+STEPS = 100  # at most
 TOLERANCE = 1e-6  # largest miss of a domain's share of tokens
-RIDGE = 1e-9  # weight of the pulls themselves, which keeps them finite where targets cannot be met
+MEMORY = 2  # steps that a plan goes through again before the rates are written
 FLATTEN = 0.5  # default targets: shares of tokens to this power
 SPACE = r"[ \t-\r]+"
 _LOG = logging.getLogger(__name__)
@@ -86,6 +90,7 @@ class Classifier:
         asked = [d for d, t in (targets or {}).items() if t > 0 and d != "*"]
         if len(asked) >= MAX_DOMAINS:
             raise ValueError(f"{len(asked)} targets; at most {MAX_DOMAINS - 1} domains can have one")
+        self.labels = labels
         own = domain_tokens(docs, labels).persist(StorageLevel.MEMORY_AND_DISK)
         all_tokens = own.agg(F.sum("n")).first()[0] or 0
         by = (own.filter("domain <> '*'").orderBy(F.desc(F.col("domain").isin(asked)), F.desc("n"), "domain")
@@ -123,88 +128,98 @@ class Classifier:
                                         "bucket int, " + ", ".join(f"w{i} double" for i in range(k)))
         # a word less text still has its row; the token "" has no bucket
         words = docs.select("doc_id", F.explode_outer(F.split(F.lower("text"), SPACE)).alias("word"))
-        words = words.select("doc_id", F.when(F.col("word") != "", _bucket(F.col("word"))).alias("bucket"))
-        sums = (words.join(F.broadcast(weights), "bucket", "left").groupBy("doc_id")  # BUCKETS rows
-                .agg(F.count("bucket").alias("n_tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]))
+        words = words.select("doc_id", F.when(F.col("word") != "", _bucket(F.col("word"))).alias("bucket"),
+                             F.lit(None).cast("string").alias("label"), F.lit(True).alias("own"))
+        labels = self.labels.filter("doc_id is not null").select(
+            "doc_id", F.lit(None).cast("int").alias("bucket"), F.coalesce("domain", F.lit("?")).alias("label"), F.lit(False).alias("own"))
+        sums = (words.unionByName(labels).join(F.broadcast(weights), "bucket", "left").groupBy("doc_id")  # BUCKETS rows
+                .agg(F.count("bucket").alias("n_tokens"), F.min("label").alias("label"), F.max("own").alias("own"),
+                     *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).filter("own"))
         heat = F.least(F.lit(1.0), EVIDENCE / F.greatest("n_tokens", F.lit(1)))
-        logs = sums.select("doc_id", "n_tokens", *[(F.col(f"s{i}") * heat + math.log(self.shares[i])).alias(f"l{i}") for i in range(k)])
+        at = F.create_map(*[F.lit(x) for i, d in enumerate(self.domains) for x in (d, i)])
+        label = F.when(F.col("label").isNotNull(), F.coalesce(at[F.col("label")], F.lit(k - 1 if self.domains[-1] == "*" else None)))
+        right, wrong = math.log(TRUST), math.log((1 - TRUST) / max(1, k - 1))
+        told = [F.when(F.col("label") == i, right).when(F.col("label").isNotNull(), wrong).otherwise(0.0) for i in range(k)]
+        logs = sums.withColumn("label", label).select(
+            "doc_id", "n_tokens", *[(F.col(f"s{i}") * heat + math.log(self.shares[i]) + told[i]).alias(f"l{i}") for i in range(k)])
         top = F.greatest(*[F.col(f"l{i}") for i in range(k)]) if k > 1 else F.col("l0")
         logs = logs.withColumn("top", top).select("doc_id", "n_tokens", *[F.exp(F.col(f"l{i}") - F.col("top")).alias(f"e{i}") for i in range(k)])
-        whole = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
+        whole = _sum([F.col(f"e{i}") for i in range(k)])
         return logs.withColumn("whole", whole).select("doc_id", "n_tokens", *[(F.col(f"e{i}") / F.col("whole")).alias(f"p{i}") for i in range(k)])
 
 
-def _dot(numbers, k):
-    return sum((F.col(f"p{i}") * float(numbers[i]) for i in range(1, k)), F.col("p0") * float(numbers[0]))
-
-
-def _solved(m: list[list[float]], right: list[float]) -> list[float]:
-    """x of m x = right, by elimination; m is symmetric and positive."""
-    k, rows = len(m), [[*row, r] for row, r in zip(m, right)]
-    for i in range(k):
-        top = max(range(i, k), key=lambda j: abs(rows[j][i]))
-        rows[i], rows[top] = rows[top], rows[i]
-        for j in range(i + 1, k):
-            by = rows[j][i] / rows[i][i]
-            rows[j] = [x - by * y for x, y in zip(rows[j], rows[i])]
-    x = [0.0] * k
-    for i in reversed(range(k)):
-        x[i] = (rows[i][k] - sum(rows[i][j] * x[j] for j in range(i + 1, k))) / rows[i][i]
-    return x
+def _sum(columns):
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
+
+
+class Rates:
+    """Rates of ``rows`` (n_tokens, p0, p1, ...) fitted to ``targets``, which sum to 1: ``rows`` with column
+    ``rate``, the ``reached`` shares of tokens, and the number of ``steps``."""
+
+    def __init__(self, rows: DataFrame, targets: list[float], steps: int = STEPS):
+        self.k, self.targets, self.spark = len(targets), targets, rows.sparkSession
+        self.rows, self.reached, self.steps = rows.withColumn("rate", F.lit(1.0)), list(targets), 0
+        self.total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+        if self.total:
+            self._fit(steps)
+            miss = max(abs(r - t) for r, t in zip(self.reached, targets))
+            _LOG.log(logging.INFO if miss < TOLERANCE else logging.WARNING, "source mix: largest miss %.2g after %d steps; targets %s, reached %s",
+                     miss, self.steps, [round(t, 6) for t in targets], [round(r, 6) for r in self.reached])
+
+    def _reached(self, rows: DataFrame) -> list[float]:
+        tokens = F.col("n_tokens") * F.col("rate")
+        return [x / self.total for x in rows.agg(*[F.sum(tokens * F.col(f"p{i}")) for i in range(self.k)]).first()]
+
+    def _after(self, rows: DataFrame, steps: list[list[float]], room: int) -> DataFrame:
+        """``rows`` after the steps [momentum, gradient...], ``room`` at most.  The numbers are a scalar
+        subquery, so the plan and its compiled code are the same for any numbers and any number of steps."""
+        width = self.k + 1
+        flat = [0.0] * ((room - len(steps)) * width) + [x for s in steps for x in s]  # steps of zeros change nothing
+        number = self.spark.range(0, 1, 1, 1).selectExpr(f"array({', '.join(f'{x!r}D' for x in flat)}) as step").scalar()
+        names = [c for c in rows.columns if c != "rate"]
+        rows = rows.select(*names, F.col("rate").alias("rate0"), F.col("rate").alias("rate1"), number.alias("step"))
+        for j in range(room):
+            slope = " + ".join(f"p{i} * step[{j * width + 1 + i}]" for i in range(self.k))
+            ahead = f"rate1 + (rate1 - rate0) * step[{j * width}] - ({slope}) / curve"
+            rows = rows.selectExpr(*names, "step", "rate1 as rate0", f"least({MAX_RATE!r}D, greatest(0D, {ahead})) as rate1")
+        return rows.select(*names, F.col("rate1").alias("rate"))
+
+    def _fit(self, most: int) -> None:
+        share = self._reached(self.rows)  # at rate 1
+        rows = self.rows.withColumn("curve", F.greatest(F.lit(1e-12), _sum([F.col(f"p{i}") * share[i] for i in range(self.k)])))
+        room = MEMORY
+        done, age, before, now = [], 1.0, share, share
+        height = sum((r - t) ** 2 for r, t in zip(now, self.targets))
+        idle = 0
+        while self.steps < most and max(abs(r - t) for r, t in zip(now, self.targets)) >= TOLERANCE and idle < 8:
+            if len(done) == room:
+                at = scratch_path(self.spark, "rates")
+                self._after(rows, done, room).write.parquet(at)
+                rows, done, age, before = self.spark.read.parquet(at), [], 1.0, now
+            older = (1 + math.sqrt(1 + 4 * age * age)) / 2
+            push = (age - 1) / older
+            slope = [r + push * (r - b) - t for r, b, t in zip(now, before, self.targets)]
+            done.append([push, *slope])
+            before, now = now, self._reached(self._after(rows, done, room))
+            self.steps += 1
+            found = sum((r - t) ** 2 for r, t in zip(now, self.targets))
+            idle = idle + 1 if found > height * (1 - 1e-4) else 0
+            age = older if found <= height else 1.0
+            height = min(height, found)
+        self.rows, self.reached = self._after(rows, done, room).drop("curve"), now
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
     """``rows`` (n_tokens, p0, ...) with column ``rate``; targets sum to 1."""
-    k = len(targets)
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    if not total:
-        return rows.withColumn("rate", F.lit(1.0))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def rate(pull):
-        return F.greatest(F.lit(0.0), 1 + _dot(pull, k))
-
-    def measured(pull):
-        """Height of the dual at ``pull``, its slope, its curvature, and the reached shares."""
-        own = rows.select((F.col("n_tokens") / float(total)).alias("w"), rate(pull).alias("r"), *[f"p{i}" for i in range(k)])
-        live = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
-        got = list(own.agg(F.sum(F.col("w") * F.col("r") * F.col("r")),
-                           *[F.sum(F.col("w") * F.col("r") * F.col(f"p{i}")) for i in range(k)],
-                           *[F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs]).first())
-        height = got[0] / 2 + sum(RIDGE * x * x / 2 - t * x for x, t in zip(pull, targets))
-        reached = got[1:k + 1]
-        curve = [[0.0] * k for _ in range(k)]
-        for (i, j), x in zip(pairs, got[k + 1:]):
-            curve[i][j] = curve[j][i] = x + RIDGE * (i == j)
-        return height, [r - t + RIDGE * x for r, t, x in zip(reached, targets, pull)], curve, reached
-
-    pull = [0.0] * k
-    height, slope, curve, reached = measured(pull)
-    step, size, way = 0, 1.0, None
-    while step < steps and max(abs(r - t) for r, t in zip(reached, targets)) >= TOLERANCE:
-        way = way or _solved(curve, [-x for x in slope])
-        fall = sum(x * y for x, y in zip(slope, way))
-        if fall > -1e-15 or size < 1e-9:  # nothing left to gain: the targets cannot be met more closely
-            break
-        ahead = [x + size * y for x, y in zip(pull, way)]
-        found = measured(ahead)
-        step += 1
-        if found[0] <= height + 1e-4 * size * fall + 1e-15:
-            pull, (height, slope, curve, reached), size, way = ahead, found, 1.0, None
-        else:
-            size /= 2
-    miss = max(abs(r - t) for r, t in zip(reached, targets))
-    _LOG.log(logging.INFO if miss < TOLERANCE else logging.WARNING, "source mix: largest miss %.2g after %d steps; targets %s, reached %s",
-             miss, step, [round(t, 6) for t in targets], [round(r, 6) for r in reached])
-    return rows.withColumn("rate", rate(pull))
+    return Rates(rows, targets, steps).rows
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row a doc_id: doc_id, n_tokens, domain (likeliest), posterior (its
-    probability), rate, copies."""
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None):
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     model = Classifier(texts, labels, targets)
-    k = len(model.domains)
     if targets is None:
         wanted = [s**FLATTEN for s in model.shares]
     else:
@@ -212,7 +227,21 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     scale = sum(wanted) or 1.0
     at = scratch_path(docs.sparkSession, "posteriors")
     model.posteriors(texts).write.parquet(at)
-    rates = fit_rates(docs.sparkSession.read.parquet(at), [w / scale for w in wanted])
+    return model, Rates(docs.sparkSession.read.parquet(at), [w / scale for w in wanted])
+
+
+def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(domain, share, target, reached): each domain's share of tokens as it is, as wanted, and as the mix expects it."""
+    model, rates = _fitted(docs, labels, targets)
+    return docs.sparkSession.createDataFrame(list(zip(model.domains, model.shares, rates.targets, rates.reached)),
+                                             "domain string, share double, target double, reached double")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """One row a doc_id: doc_id, n_tokens, domain (likeliest), posterior (its
+    probability), rate, copies."""
+    model, fitted = _fitted(docs, labels, targets)
+    rates, k = fitted.rows, len(model.domains)
     likeliest = F.greatest(*[F.col(f"p{i}") for i in range(k)]) if k > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(f"p{i}") == F.col("posterior"), F.lit(d)) for i, d in enumerate(model.domains)])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
