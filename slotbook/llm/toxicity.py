@@ -6,7 +6,8 @@ toxic or not.
 1. ``labels.toxic`` marks documents; a training token is labelled toxic if its
    document is and its word is one that toxic documents hold far too often to be
    chance (a likelihood-ratio test on document counts over all usable labels,
-   whatever their number).
+   whatever their number; of the words that pass, the ``MAX_LEXICON`` most significant).  A Bloom filter
+   of the labels' ids, of ``BLOOM_BITS`` at most, drops nearly all unlabelled texts before texts meet their labels.
 2. The field has hashed features of the word, its beginning and end, and its neighbours, and
    transition weights.  Tasks run stochastic gradient steps on their part of at
    most ``MAX_TRAIN`` labelled documents, chosen by hash (toxic ones first up to a tenth of
@@ -41,6 +42,7 @@ KINDS = 5               # word, first letters, last letters, word before, word a
 MAX_TRAIN = 20_000      # documents
 PLAIN_PART = 5          # one in so many of the sampled documents without the label is trained on
 MAX_LEXICON = 20_000    # words
+BLOOM_BITS = 1 << 24    # the filter has 16 a label, and no more than these
 SIGNIFICANT = 10.0      # log-likelihood ratio of a word's document counts
 ROUNDS, PARTS, PASSES = 2, 12, 4
 FLOOR, THRESHOLD = 0.05, 0.5
@@ -161,10 +163,18 @@ def lexicon(rows: DataFrame, total: int, toxic: int) -> np.ndarray:
     df, tox = F.col("df"), F.col("tox")
     p = tox / df
     ratio = (tox * F.log(p / share) + F.when(tox < df, (df - tox) * F.log((1 - p) / (1 - share))).otherwise(0))
-    found = (rows.select("text", "label").mapInArrow(_lexicon_rows, "word long, df long, tox long").groupBy("word")
-             .agg(F.sum("df").alias("df"), F.sum("tox").alias("tox")).filter(p > (1 + share) / 2)
-             .withColumn("ratio", ratio).filter(F.col("ratio") > SIGNIFICANT)
-             .orderBy(F.desc("ratio"), "word").limit(MAX_LEXICON).select("word").collect())
+    at = scratch_path(rows.sparkSession, "toxic-words")
+    (rows.select("text", "label").mapInArrow(_lexicon_rows, "word long, df long, tox long").groupBy("word")
+     .agg(F.sum("df").alias("df"), F.sum("tox").alias("tox")).filter(p > (1 + share) / 2)
+     .withColumn("ratio", ratio).filter(F.col("ratio") > SIGNIFICANT).select("word", "ratio").write.parquet(at))
+    words = rows.sparkSession.read.parquet(at)
+    size, least, n = F.floor(64 * F.log2("ratio")).alias("size"), None, 0
+    for least, some in sorted(words.groupBy(size).count().collect(), reverse=True):  # a bound first: few rows are sorted
+        n += some
+        if n >= MAX_LEXICON:
+            break
+    found = (words.filter(size >= least).orderBy(F.desc("ratio"), "word").limit(MAX_LEXICON).select("word").collect()
+             if least is not None else [])
     return np.sort(np.array([r[0] for r in found], np.int64).view(W.U))
 
 
@@ -173,10 +183,25 @@ def training_labels(labels: DataFrame, total: int, toxic: int) -> DataFrame:
     the first tenth of the sample is theirs if there are so many."""
     taken = min(toxic, max(MAX_TRAIN // 10, round(MAX_TRAIN * toxic / max(1, total))))
 
-    def some(label, n):
-        return labels.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    def some(label, n, of):
+        rows = labels.filter(F.col("label") == label)
+        if of > 2 * n + 1000:  # only the least hashes can be taken: about n of them and a margin are sorted
+            room = (n + 6 * n**0.5 + 100) / of
+            rows = rows.filter(F.xxhash64("doc_id") < int((2 * room - 1) * 2.0**63))
+        return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
-    return some(1, taken).unionByName(some(0, MAX_TRAIN - taken))
+    return some(1, taken, toxic).unionByName(some(0, MAX_TRAIN - taken, total - toxic))
+
+
+def maybe_labelled(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The rows of ``texts`` whose doc_id may be among the ``n`` of ``known``: all that are, and few others
+    unless there are very many labels.  No text is moved."""
+    bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(bits))
+    held = known.groupBy(F.shiftright(place, 6).alias("bloom_at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, 'label'), {bits}) & 63 as int))")).alias("bloom_word"))
+    rows = texts.withColumn("bloom_place", place).withColumn("bloom_at", F.shiftright(F.col("bloom_place"), 6))
+    return (rows.join(F.broadcast(held), "bloom_at")  # BLOOM_BITS / 64 rows of two numbers
+            .filter("shiftright(bloom_word, cast(bloom_place & 63 as int)) & 1 = 1").select(*texts.columns))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
@@ -188,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = spark.read.parquet(at)
     n = texts.select("doc_id").join(known, "doc_id").agg(F.count("*"), F.sum("label")).first()
     total, toxic = n[0], n[1] or 0
-    toxic_words = lexicon(texts.join(known, "doc_id"), total, toxic)
+    toxic_words = lexicon(maybe_labelled(texts, known, known.count()).join(known, "doc_id"), total, toxic)
     if not len(toxic_words):
         return None
     at = scratch_path(spark, "toxic-sample")
