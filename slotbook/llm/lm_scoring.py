@@ -163,14 +163,19 @@ def probabilities(v, wide, near, cls):
 
 
 def _add_rows(target, squares, index, grad, rate):
-    """AdaGrad on the rows ``index`` of ``target``, equal rows summed first."""
+    """AdaGrad on the rows ``index`` (features, tokens) of ``target`` with each token's gradient, equal rows
+    summed first."""
+    index = index.ravel().astype(np.uint16)  # fewer than 2**16 rows: sorted by digits
     order = np.argsort(index, kind="stable")
     index = index[order]
-    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    g = np.add.reduceat(grad[order], first, axis=0)
-    rows = index[first]
-    squares[rows] += (g * g).mean(axis=1)
-    target[rows] -= rate * g / np.sqrt(squares[rows] + 1e-6)[:, None]
+    last = np.flatnonzero(np.append(index[1:] != index[:-1], True))
+    g = np.cumsum(grad[order % len(grad)], axis=0, dtype=np.float64)[last]
+    g[1:] -= g[:-1].copy()
+    g = g.astype(np.float32)
+    rows = index[last]
+    squares[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    g *= (rate / np.sqrt(squares[rows] + 1e-6))[:, None]
+    target[rows] -= g
 
 
 def fit(flat, vocabulary, slices, rate=0.1) -> np.ndarray:
@@ -188,8 +193,8 @@ def fit(flat, vocabulary, slices, rate=0.1) -> np.ndarray:
             p, q = probabilities(v, wide, near, cls)
             p[k, cls] -= 1
             q[k, slot] -= 1
-            _add_rows(v["c"], sq_c, wide.ravel(), np.tile(p, (3, 1)), rate)
-            _add_rows(s, sq_s, (cls * 2 * NEAR + near).ravel(), np.tile(q, (2, 1)), rate)
+            _add_rows(v["c"], sq_c, wide, p, rate)
+            _add_rows(s, sq_s, cls * 2 * NEAR + near, q, rate)
     return flat
 
 
@@ -216,9 +221,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count_rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The n rows of (h, c) of the largest c, then least h.  A histogram gives a bound first, so that little
+    more than n rows are sorted, however many partitions there are."""
+    size = F.floor(64 * F.log2("c")).alias("size")
+    found, least = 0, 0
+    for least, rows in sorted(counts.groupBy(size).count().collect(), reverse=True):  # a row a 64th power of two
+        found += rows
+        if found >= n:
+            break
+    return [tuple(r) for r in counts.filter(size >= least).orderBy(F.desc("c"), "h").limit(n).collect()]
+
+
 def _vocabulary(counts: DataFrame) -> Vocabulary:
     n = counts.agg(F.sum("c"), F.count("*")).first()
-    top = [tuple(r) for r in counts.orderBy(F.desc("c"), "h").limit(TOP).collect()]  # TOP rows
+    top = most_frequent(counts, TOP)
     out = _open_column(F.col("h")).alias("o")
     shared = {r[0]: (r[1], r[2]) for r in counts.groupBy(out).agg(F.sum("c"), F.count("*")).collect()}  # OPEN rows
     for h, c in top:  # the rest only
@@ -242,6 +259,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
         got = vectors.total(part.mapInArrow(update, "block int, data binary"), SIZE + 1)
         weights = weights + got[:-1] / max(got[-1], 1)
+        start.destroy()
+    words.destroy()
     return weights
 
 
