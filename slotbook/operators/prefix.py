@@ -41,34 +41,41 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
             .select(*df.columns, (F.col("__start") + F.col(_AT)).alias(name)))
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str,
-            agg: str = "sum", inclusive: bool = True) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str | Sequence[str],
+            name: str | Sequence[str], agg: str = "sum", inclusive: bool = True) -> DataFrame:
     """``df`` with the sum (or the ``last`` non-null) of ``value`` over the rows of its key up to
-    itself (before itself if not ``inclusive``), in the ascending total ``order``.
+    itself (before itself if not ``inclusive``), in the ascending total ``order``; several values
+    take several names.
 
     A sum over no rows is 0, a last value over none is null.  Rows with equal keys
     (null keys included) share a key.  ``last`` needs non-null order columns.
     """
     by, order = list(by), list(order)
+    values, names = ([value], [name]) if isinstance(value, str) else (list(value), list(name))
     dealt = cut_lineage(df.repartitionByRange(_ranges(df), *by, *order).withColumn(_RANGE, F.spark_partition_id()))
     here = (Window.partitionBy(_RANGE, *by).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    if agg == "sum":
-        own, part = F.coalesce(F.sum(value).over(here), F.lit(0)), F.sum(value)
-        carry = F.coalesce(F.sum("__part").over(earlier), F.lit(0))
-    elif agg == "last":
-        own = F.last(value, ignorenulls=True).over(here)
-        part = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
-        carry = F.last("__part", ignorenulls=True).over(earlier)
-    else:
-        raise ValueError(f"unknown aggregate {agg!r}")
+    own, part, carry, total = [], [], [], []
+    for i, v in enumerate(values):
+        p, o, c = f"__part{i}", F.col(f"__own{i}"), F.col(f"__carry{i}")
+        if agg == "sum":
+            own.append(F.coalesce(F.sum(v).over(here), F.lit(0)))
+            part.append(F.sum(v))
+            carry.append(F.coalesce(F.sum(p).over(earlier), F.lit(0)))
+            total.append(o + c)
+        elif agg == "last":
+            own.append(F.last(v, ignorenulls=True).over(here))
+            part.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*order))))
+            carry.append(F.last(p, ignorenulls=True).over(earlier))
+            total.append(F.coalesce(o, c))
+        else:
+            raise ValueError(f"unknown aggregate {agg!r}")
     # one row per key and range that holds it
-    carries = (dealt.groupBy(_RANGE, *by).agg(part.alias("__part"))
+    carries = (dealt.groupBy(_RANGE, *by).agg(*[p.alias(f"__part{i}") for i, p in enumerate(part)])
                .select(F.col(_RANGE).alias("__r"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)],
-                       carry.alias("__carry")))
+                       *[c.alias(f"__carry{i}") for i, c in enumerate(carry)]))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)],
                   F.col(_RANGE) == F.col("__r"))
-    out = dealt.withColumn("__own", own).join(carries, same)
-    total = F.col("__own") + F.col("__carry") if agg == "sum" else F.coalesce("__own", "__carry")
-    return out.select(*df.columns, total.alias(name))
+    out = dealt.select("*", *[o.alias(f"__own{i}") for i, o in enumerate(own)]).join(carries, same)
+    return out.select(*df.columns, *[t.alias(n) for t, n in zip(total, names)])

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.ids import stable_uuid
+from slotbook.functions.times import micros
 from slotbook.operators.asof import asof_count, asof_latest, unique_rank
 from slotbook.operators.prefix import running
 from slotbook.operators.settle import settle
@@ -173,12 +174,6 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
                     F.when(ok, F.lit(C.ORDER_PENDING)).alias("order_status"))
 
 
-def _micros(df: DataFrame, column: str) -> Column:
-    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
-    return F.unix_micros(F.col(column))
-
-
 def _one_by_one(r: DataFrame) -> DataFrame:
     """M01 taken one by one: ``r`` with ``__earlier``, the accepted requests for the package before
     this one, and ``__took``, whether the member could book then and the package was not full.
@@ -190,7 +185,7 @@ def _one_by_one(r: DataFrame) -> DataFrame:
     each round, so the end is the sequential result, after as many rounds as cuts depend on
     each other in a chain (two where no package fills up).
     """
-    time = F.coalesce(_micros(r, "requested_at"), F.lit(0))
+    time = F.coalesce(micros(r, "requested_at"), F.lit(0))
     timed = F.col("requested_at").isNotNull() & F.col("member_user_id").isNotNull()
     r = cut_lineage(r.withColumn("__t", time).withColumn("__timed", timed)
                     .withColumn("__could", ~F.col("__bad") & F.col("__pk").isNotNull() & ~F.col("__stored")))

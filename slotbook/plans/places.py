@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.paging import page as take_page
+from slotbook.operators.patterns import like_any
 
 
 def city_filter(city_col: Column, patterns: Sequence[str] | None) -> Column:
@@ -38,11 +39,16 @@ def _admin_counts(place_admin: DataFrame) -> DataFrame:
             .agg(F.count("admin_user_id").cast("int").alias("admin_count")))
 
 
-def _pending_capacity_per_place(package: DataFrame, booking: DataFrame) -> DataFrame:
+def _pending_capacity_per_place(package: DataFrame, booking: DataFrame | None,
+                                counts: DataFrame | None = None) -> DataFrame:
     """Per place: sum of package capacity over its PENDING bookings, and booking count."""
-    per_pkg = (booking.groupBy(F.col("package_id"))
-               .agg(F.count(F.lit(1)).alias("n_all"),
-                    F.count_if(F.col("order_status") == C.ORDER_PENDING).alias("n_pending")))
+    if counts is None:
+        per_pkg = (booking.groupBy(F.col("package_id"))
+                   .agg(F.count(F.lit(1)).alias("n_all"),
+                        F.count_if(F.col("order_status") == C.ORDER_PENDING).alias("n_pending")))
+    else:
+        pending = F.when(F.col("order_status") == C.ORDER_PENDING, F.col("n")).otherwise(0)
+        per_pkg = counts.groupBy("package_id").agg(F.sum("n").alias("n_all"), F.sum(pending).alias("n_pending"))
     pk = package.select(F.col("id").alias("package_id"), "place_id", "capacity")
     return (pk.join(per_pkg, "package_id")
             .groupBy("place_id")
@@ -70,18 +76,30 @@ def places_owner_view(place: DataFrame, place_admin: DataFrame,
     return out if page_first else take_page(out, ["id"], page, limit)
 
 
+def places_for_callers(place: DataFrame, place_admin: DataFrame, patterns: DataFrame) -> DataFrame:
+    """R10 for every caller at once: ``patterns`` (caller_id, pattern) holds each caller's city patterns, and
+    a caller sees a place once if its city matches any of them (``operators.patterns``)."""
+    city = F.col("city_id").cast("string").alias("__city")
+    seen = like_any(place.select(city), "__city", patterns, "caller_id")
+    listed = (place.select("id", "name", "max_capacity", "address", city)
+              .join(_admin_counts(place_admin).withColumnRenamed("place_id", "id"), "id"))
+    return seen.join(listed, "__city").select("caller_id", "id", "name", "max_capacity", "admin_count", "address")
+
+
 # --- R11 ---------------------------------------------------------------------------
 def places_member_view(place: DataFrame, package: DataFrame, booking: DataFrame, city: DataFrame,
                        city_patterns: Sequence[str] | None = None, page: int | None = None,
-                       limit: int = C.DEFAULT_LIMIT, page_first: bool = False) -> DataFrame:
+                       limit: int = C.DEFAULT_LIMIT, page_first: bool = False,
+                       counts: DataFrame | None = None) -> DataFrame:
     """Places with current occupancy (capacity summed once per PENDING booking).
 
-    Places without packages or bookings are kept with 0.
+    Places without packages or bookings are kept with 0.  ``counts`` (package_id, order_status, n), kept
+    up to date elsewhere (``operators.changes``), stands in for the booking table.
     """
     p = place
     if page_first and page is not None:
         p = take_page(place, ["id"], page, limit)
-    occ = _pending_capacity_per_place(package, booking).withColumnRenamed("place_id", "id")
+    occ = _pending_capacity_per_place(package, booking, counts).withColumnRenamed("place_id", "id")
     ct = city.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"))
     out = (p.filter(city_filter(F.col("city_id"), city_patterns))
            .join(ct, "city_id")

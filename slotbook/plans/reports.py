@@ -198,14 +198,16 @@ def _members(users: DataFrame) -> DataFrame:
                     F.col("created_at").alias("member_created_at")))
 
 
-def member_order_counts(users: DataFrame, booking: DataFrame, page: int | None = None,
-                        limit: int = C.DEFAULT_LIMIT) -> DataFrame:
+def member_order_counts(users: DataFrame, booking: DataFrame | None, page: int | None = None,
+                        limit: int = C.DEFAULT_LIMIT, counts: DataFrame | None = None) -> DataFrame:
     """Faithful grain: one row per member *and* order status (status not shown).
 
     A member with no booking keeps one 0/0 row.  Ordered newest member first
     (nulls first, as PostgreSQL sorts DESC), then id and status for a total order.
+    ``counts`` (member_user_id, order_status, n), kept up to date elsewhere
+    (``operators.changes``), stands in for the booking table.
     """
-    s = _per_member_status(booking)
+    s = _per_member_status(booking) if counts is None else counts
     out = (_members(users).join(s, "member_user_id", "left")
            .select("member_user_id", "member_username", "member_email",
                    F.when(F.col("order_status") == C.ORDER_EXPIRED, F.col("n")).otherwise(0)
@@ -219,12 +221,18 @@ def member_order_counts(users: DataFrame, booking: DataFrame, page: int | None =
     return out.drop("order_status")
 
 
-def member_order_rollup(users: DataFrame, booking: DataFrame, page: int | None = None,
-                        limit: int = C.DEFAULT_LIMIT) -> DataFrame:
-    """Intended grain: exactly one row per member with both counts."""
-    per_member = (booking.groupBy("member_user_id")
-                  .agg(F.count_if(F.col("order_status") == C.ORDER_EXPIRED).alias("e"),
-                       F.count_if(F.col("order_status") == C.ORDER_COMPLETED).alias("c")))
+def member_order_rollup(users: DataFrame, booking: DataFrame | None, page: int | None = None,
+                        limit: int = C.DEFAULT_LIMIT, counts: DataFrame | None = None) -> DataFrame:
+    """Intended grain: exactly one row per member with both counts.  ``counts`` as in
+    ``member_order_counts``."""
+    if counts is None:
+        per_member = (booking.groupBy("member_user_id")
+                      .agg(F.count_if(F.col("order_status") == C.ORDER_EXPIRED).alias("e"),
+                           F.count_if(F.col("order_status") == C.ORDER_COMPLETED).alias("c")))
+    else:
+        per_member = counts.groupBy("member_user_id").agg(
+            *[F.sum(F.when(F.col("order_status") == status, F.col("n")).otherwise(0)).alias(name)
+              for status, name in ((C.ORDER_EXPIRED, "e"), (C.ORDER_COMPLETED, "c"))])
     out = (_members(users).join(per_member, "member_user_id", "left")
            .select("member_user_id", "member_username", "member_email",
                    F.coalesce(F.col("e"), F.lit(0)).cast("int").alias("expired_order_count"),

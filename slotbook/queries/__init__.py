@@ -1,3 +1,3 @@
 """Query registrations, grouped like the plans they call."""
 
-from slotbook.queries import access, admission, effects, places, reports, sequences, streaming  # noqa: F401
+from slotbook.queries import access, admission, effects, places, reports, sequences, streaming, timelines  # noqa: F401
