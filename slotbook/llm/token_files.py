@@ -54,7 +54,7 @@ GROUP = 64               # blocks coded side by side
 PIECE_IDS = 1 << 20      # ids a row of the encoded texts; longer texts have several rows
 PART_IDS = 1 << 25       # ids a part, about; at most MAX_PARTS parts
 MAX_PARTS = 1 << 16
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 MAGIC = 0x31534E52       # "RNS1"
 HEAD = struct.Struct("<7I")
 _POINT = np.dtype([("word", "<u4"), ("state", "<u8", LANES)])
@@ -100,10 +100,11 @@ class Speller:
 
     Where the file's normalizer and pieces are the ones above, words of ASCII and plain letters are cut into pieces here, and only
     different pieces are given to the file's model, many in one string; an id that ends a piece shows it in
-    its spelling.  All other words go through the whole tokenizer one by one.
+    its spelling.  The ids of ``KEPT`` pieces are kept (then all are forgotten).  All other words go through the whole
+    tokenizer one by one.
     """
 
-    CHUNK = 2000
+    CHUNK, KEPT = 2000, 1 << 18
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -122,6 +123,11 @@ class Speller:
             self.strange = re.compile(rf"[^{letters}\n!-~]|<\|")
             self.pieces = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9\n]+")
             self.names = _byte_names()
+            self._forget()
+
+    def _forget(self):
+        self.known: dict[str, int] = {"\n": 0}  # piece -> its number; a line break has no ids
+        self.count, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each); words hold no white space."""
@@ -147,24 +153,27 @@ class Speller:
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         cut = pa.array(self.pieces.findall("\n".join(words).lower()), pa.string()).dictionary_encode()
-        spelt, which = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
-        line = spelt.index("\n") if len(words) > 1 else -1
-        flat, count = [], np.zeros(len(spelt), np.int64)
-        some = [k for k in range(len(spelt)) if k != line]
-        for i in range(0, len(some), self.CHUNK):
-            own = some[i:i + self.CHUNK]
-            ids = np.array(self._model_ids(" ".join([spelt[k] for k in own])), np.int64)
+        spelt = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.KEPT:
+            self._forget()
+        new = [p for p in spelt if p not in self.known]
+        flat, count = [self.flat], [self.count]
+        for i in range(0, len(new), self.CHUNK):
+            own = new[i:i + self.CHUNK]
+            ids = np.array(self._model_ids(" ".join(own)), np.int64)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(own):
                 raise ValueError("the tokenizer's ids do not show where pieces end")
-            count[own] = np.diff(last, prepend=-1)
             flat.append(ids)
-        flat = np.concatenate(flat)
-        at = np.cumsum(count) - count  # the line break has no ids
-        is_piece = which != line
+            count.append(np.diff(last, prepend=-1))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+        at = np.cumsum(self.count) - self.count
+        which = np.fromiter(map(self.known.__getitem__, spelt), np.int64, len(spelt))[cut.indices.to_numpy()]
+        is_piece = which != 0
         word = np.cumsum(~is_piece)[is_piece]
         used = which[is_piece]
-        return flat[W.ranges(at[used], count[used])], np.bincount(word, count[used], len(words)).astype(np.int64)
+        return self.flat[W.ranges(at[used], self.count[used])], np.bincount(word, self.count[used], len(words)).astype(np.int64)
 
     def _model_ids(self, line: str) -> list[int]:
         if not line.isascii():
