@@ -26,6 +26,14 @@ def q_stream_expiry(spark, sf_dir):
     return jobs.stream_expiry(spark, sf_dir)
 
 
+# What is neither emitted nor completed by then.
+@register("stream_expiry_open", _EXPIRY_SQL
+          .replace("b.created_at + INTERVAL 2 HOUR AS expired_at, 'EXPIRED' AS order_status", "'PENDING' AS order_status")
+          .replace("INTERVAL 2 HOUR < (SELECT w", "INTERVAL 2 HOUR >= (SELECT w"))
+def q_stream_expiry_open(spark, sf_dir):
+    return jobs.stream_expiry_open(spark, sf_dir)
+
+
 @register("stream_profit")
 def q_stream_profit(spark, sf_dir):
     return jobs.stream_profit(spark, sf_dir)

@@ -133,6 +133,21 @@ def run_expiry(spark: SparkSession, bookings: DataFrame, completions: DataFrame,
     return spark.read.parquet(out)
 
 
+def open_bookings(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Bookings that S01 still holds in its state: neither completed nor expired at its last watermark.
+
+    Read from the join's checkpoint by the state data source, one task a state partition, while the query
+    is stopped; the query can go on afterwards.  What was emitted, what is open here
+    and what was completed are all bookings.
+    """
+    held = (spark.read.format("statestore").option("storeName", "left-keyWithIndexToValue").load(checkpoint)
+            .filter(~F.col("value.matched")))
+    return held.select(F.col("value.id").alias("booking_id"), F.col("value.member_user_id").alias("member_user_id"),
+                       F.col("value.package_id").alias("package_id"),
+                       F.col("value.created_at").cast("timestamp_ntz").alias("created_at"),
+                       F.lit(C.ORDER_PENDING).alias("order_status"))
+
+
 def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFrame,
                package: DataFrame, out_path: str | None = None,
                checkpoint: str | None = None) -> DataFrame:
@@ -167,6 +182,16 @@ def run_profit(spark: SparkSession, orders_stream: DataFrame, first_part: DataFr
     return got.filter(F.col("epoch") == got.agg(F.max("epoch")).first()[0]).drop("epoch")
 
 
+def stream_expiry_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S01 over the events table of ``sf_dir``, then the bookings that are still open."""
+    from slotbook.registry import catalog
+    events = _read_stream(spark, sf_dir, "events")
+    out = scratch_path(spark, "expiry-out")
+    run_expiry(spark, catalog(spark, sf_dir).live_booking_of(events), completion_from(events), out)
+    with utc_session(spark):
+        return open_bookings(spark, f"{out}-checkpoint")
+
+
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered S01: the events table of ``sf_dir`` read as a stream."""
     from slotbook.registry import catalog
