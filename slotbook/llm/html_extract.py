@@ -3,10 +3,11 @@
 Each page becomes a small element tree.  Boilerplate elements (by tag, role or
 class word) are left out, unless one with a class word or a form wraps the article: it
 holds ``main`` or most of the page's unlinked text (``DOMINANT``).  Every paragraph gets points for its length and commas and
-passes them to its ancestors, fewer the farther up; an ancestor's points are
+passes them to its ``LEVELS`` nearest ancestors, fewer the farther up; an ancestor's points are
 discounted by the share of its text that is link text.  The best container is
-kept, with those of its siblings that look like more of the article, and its text
-blocks are written out in page order.
+kept, with those of its siblings that look like more of the article (headings, lists, tables and the
+like among them or beside it, whatever their points), and its text blocks are written out in page order.
+Work and memory grow with the page's length, however deep its elements are nested.
 
 Pages are independent rows: no shuffle, one page in memory at a time beyond its
 Arrow batch.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text never belongs to an article
-SKIP = frozenset("script style noscript template iframe object canvas svg math button select textarea "
+SKIP = frozenset("script style noscript template iframe canvas button select textarea "
                  "nav footer aside menu dialog head title audio video map".split())
 BLOCK = frozenset("address article blockquote body dd details div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th "
@@ -46,15 +47,19 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "pagination pager skip".split())
 DOMINANT = 0.75  # share of the page's unlinked text that no boilerplate holds
 ENOUGH = 200     # characters of unlinked text of an article that stands elsewhere
+LEVELS = 32
 SEMANTIC = frozenset(["article", "main"])
+#: elements of an article that have few points of their own
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure address details".split())
 SCORED = frozenset("p pre td blockquote div section article main li dd h2 h3 body".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "skip", "marked", "points", "text", "linked")
+    __slots__ = ("tag", "up", "kids", "skip", "marked", "inside", "points", "text", "linked")
 
     def __init__(self, tag, up, skip):
         self.tag, self.up, self.skip = tag, up, skip
+        self.inside = tag in SEMANTIC or up is not None and up.inside  # of an article
         self.marked = False  # boilerplate by its class or id words, or a form: see _unmark
         self.kids: list = []
         self.points = 0.0
@@ -67,10 +72,7 @@ def _boilerplate(tag, attrs, up) -> tuple[bool, bool]:
         return True, False
     if tag in ("html", "body", *SEMANTIC):
         return False, False
-    inside = False
-    while up is not None:
-        inside = inside or up.tag in SEMANTIC
-        up = up.up
+    inside = up.inside
     if tag == "header" and not inside:
         return True, False
     a = dict(attrs)
@@ -89,6 +91,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.open: dict[str, int] = {}  # open elements by tag
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):  # one of each; their boilerplate marks say nothing
@@ -103,6 +106,7 @@ class Tree(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,10 +118,14 @@ class Tree(HTMLParser):
             self._end({tag}, frozenset(["html"]) if tag in BLOCK else frozenset(["html", "td", "th", "article", "body"]))
 
     def _end(self, tags, scope):
+        if not any(self.open.get(t) for t in tags):
+            return
         node = self.at
         while node.up is not None:
             if node.tag in tags:
-                self.at = node.up
+                while self.at is not node.up:
+                    self.open[self.at.tag] -= 1
+                    self.at = self.at.up
                 return
             if node.tag in scope:
                 return
@@ -150,7 +158,7 @@ def _unmark(root) -> None:
         up = n.up
         linked[id(n)] = n.tag == "a" or up is not None and linked[id(up)]
         under[id(n)] = n.marked or up is not None and under[id(up)]
-    clear = []  # articles outside marked elements
+    clear = set()  # articles outside marked elements
     for n in reversed(nodes):
         kids = [k for k in n.kids if isinstance(k, Node) and not k.skip]
         own = 0 if linked[id(n)] else sum(len(k.strip()) for k in n.kids if isinstance(k, str))
@@ -158,16 +166,14 @@ def _unmark(root) -> None:
         has_main[id(n)] = n.tag == "main" or any(has_main[id(k)] for k in kids)
         inner[id(n)] = n.tag in SEMANTIC or any(inner[id(k)] for k in kids)
         if n.tag in SEMANTIC and not under[id(n)] and text[id(n)] >= ENOUGH:
-            clear.append(n)
+            clear.add(id(n))
     whole = text[id(root)]
+    above = {}  # of those, around each node or itself
     for n in nodes:
+        above[id(n)] = (above[id(n.up)] if n.up is not None else 0) + (id(n) in clear)
         if not n.marked or has_main[id(n)]:
             continue
-        above, up = set(), n.up
-        while up is not None:
-            above.add(id(up))
-            up = up.up
-        elsewhere = any(id(c) not in above for c in clear)
+        elsewhere = above[id(n)] < len(clear)
         share = text[id(n)] / whole if whole else 0.0
         n.skip = elsewhere or share < (0.5 if inner[id(n)] else DOMINANT)
 
@@ -200,6 +206,20 @@ def blocks(node) -> list[str]:
     return out
 
 
+def _own(node) -> str:
+    """Text of a node and of its inline descendants."""
+    out, todo = [], [*reversed(node.kids)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.skip and x.tag not in BLOCK:
+            if x.tag == "br":
+                out.append(" ")
+            todo += reversed(x.kids)
+    return " ".join("".join(out).split())
+
+
 def _score(root) -> list:
     nodes = list(_walk(root))
     for node in reversed(nodes):  # children first
@@ -217,7 +237,7 @@ def _score(root) -> list:
             node.points += 25
         if node.tag not in SCORED:
             continue
-        own = "".join(k if isinstance(k, str) else "" if k.tag in BLOCK else " ".join(blocks(k)) for k in node.kids).strip()
+        own = _own(node)
         if not own:
             continue
         points = 1 + own.count(",") + min(len(own) / 100, 3)
@@ -225,7 +245,7 @@ def _score(root) -> list:
         if node.tag not in ("p", "pre", "li", "h2", "h3", "dd"):  # bare text: its element is the container
             node.points += points
             level = 1
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.points += points / (1, 2, 3 * level)[min(level, 2)]
             up, level = up.up, level + 1
     for node in nodes:
@@ -252,16 +272,21 @@ def main_text(html: str | None) -> str:
         up = up.up
     if best.up is None:
         return "\n\n".join(blocks(best))
-    kept = []
-    for k in best.up.kids:
-        if k is best:
-            kept += blocks(k)
-        elif isinstance(k, Node) and not k.skip and k.text:
-            density = k.linked / k.text
-            if k.points >= max(10, best.points / 5) and density < 0.33 or k.tag == "p" and density < 0.25 and (
-                    k.text > 80 or density == 0 and re.search(r"[.!?]\s*$", " ".join(blocks(k)))):
-                kept += blocks(k)
-    return "\n\n".join(kept)
+    kept, first, last = {}, None, None
+    for n, k in enumerate(best.up.kids):
+        if isinstance(k, str):
+            continue
+        density = k.linked / k.text if k.text else 0.0
+        if k is best or not k.skip and k.text and (
+                k.points >= max(10, best.points / 5) and density < 0.33 or k.tag == "p" and density < 0.25 and (
+                    k.text > 80 or density == 0 and re.search(r"[.!?]\s*$", _own(k)))):
+            kept[n] = k
+            first, last = n if first is None else first, n
+    for n, k in enumerate(best.up.kids):  # the article's headings, lists, tables
+        if (isinstance(k, Node) and n not in kept and not k.skip and k.tag in PARTS and k.linked < 0.33 * k.text
+                and (best.up.up is not None or first < n < last)):
+            kept[n] = k
+    return "\n\n".join(t for n in sorted(kept) for t in blocks(kept[n]))
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

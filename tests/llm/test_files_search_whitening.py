@@ -272,3 +272,25 @@ def test_whitening_flat_and_large(spark):
             assert math.isclose(abs(r.whitened), abs(centred[r.vec_id, 1]) / math.sqrt(cov[1, 1]), rel_tol=1e-9) and r.explained == 1.0
         else:
             assert r.whitened is None
+
+
+# --- html -------------------------------------------------------------------------------------
+def test_html_parts_of_the_article_stay():
+    from slotbook.llm import html_extract
+
+    paragraph = "A long paragraph, with commas, and a lot of words to count, of the story."
+    story = ("<div id=story><div>" + f"<p>{paragraph}</p>" * 8 + "</div><h2>Head</h2><ul><li>one</li><li>two</li></ul>"
+             "<table><tr><td>a</td><td>b</td></tr></table></div><ul><li><a href=x>link</a></li></ul>")
+    assert html_extract.main_text(story).split("\n\n") == [paragraph] * 8 + ["Head", "one", "two", "a", "b"]
+    assert html_extract.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be one.</p></article>") == "Let x=2 be one."
+
+
+@pytest.mark.parametrize("start, end", [("<div>", "</div>"), ("<b>", "</b>"), ("<div class=ad><b>", "</b></div>"), ("<i>", "</u>")])
+def test_html_nested_deeply(start, end):
+    import time
+
+    from slotbook.llm import html_extract
+
+    began = time.process_time()
+    assert html_extract.main_text(start * 50_000 + "<p>Deep text, here.</p>" + end * 50_000) == "Deep text, here."
+    assert time.process_time() - began < 60
