@@ -282,6 +282,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, chunk
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is not contaminated."""
-    gone = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs``, all columns, that are not contaminated.  Each row is judged by its own text: rows
+    are told apart by a hash of their doc_id, null or not, and text."""
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    gone = (contamination(docs.select(own.alias("doc_id"), "text"), benchmark).filter("contaminated")
+            .select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, own == F.col("gone_id"), "left_anti")
