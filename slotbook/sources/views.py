@@ -209,19 +209,7 @@ class Catalog:
 
     @cached_property
     def member_ban(self) -> DataFrame:
-        e = self.raw("events").filter(F.col("event_type") == "error")
-        m = F.col("event_id") % 3
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("member_user_id"),
-            F.when(m == 0, C.BAN_APPROVAL_BANNED).when(m == 1, C.BAN_APPROVAL_REVOKED)
-             .otherwise(C.BAN_APPROVAL_PENDING).alias("approval_status"),
-            F.concat(F.lit("reason "), (F.col("event_id") % 7).cast("string")).alias("ban_reason"),
-            F.when(m == 0, F.col("ts") + F.expr("INTERVAL 3 DAYS"))
-             .when(m == 1, F.col("ts")).alias("ban_lifted_at"),
-            F.when(m < 2, F.col("ts")).alias("updated_at"),
-            F.col("ts").alias("created_at"),
-        )
+        return bans_from(self.raw("events"))
 
     # ---- request and event tables -----------------------------------------------
     def _events(self, *types: str) -> DataFrame:
@@ -229,12 +217,7 @@ class Catalog:
 
     @cached_property
     def access_attempt(self) -> DataFrame:
-        return self._events("view", "click").select(
-            F.col("event_id").alias("id"),
-            F.when(F.col("event_id") % 17 == 0, F.lit(-1).cast("bigint"))
-             .otherwise(F.col("user_id")).alias("user_id"),
-            F.when(F.col("event_id") % 4 == 0, C.ROLE_ADMIN).otherwise(C.ROLE_MEMBER).alias("required_role"),
-            F.col("ts").alias("attempted_at"))
+        return attempts_from(self.raw("events"))
 
     @cached_property
     def live_booking(self) -> DataFrame:
@@ -375,6 +358,33 @@ class StoredCatalog:
 
 
 # ---- event-shaped views, usable on batch and streaming DataFrames -------------------
+def bans_from(events: DataFrame) -> DataFrame:
+    """``member_ban`` over an events DataFrame, batch or stream."""
+    e = events.filter(F.col("event_type") == "error")
+    m = F.col("event_id") % 3
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("member_user_id"),
+        F.when(m == 0, C.BAN_APPROVAL_BANNED).when(m == 1, C.BAN_APPROVAL_REVOKED)
+         .otherwise(C.BAN_APPROVAL_PENDING).alias("approval_status"),
+        F.concat(F.lit("reason "), (F.col("event_id") % 7).cast("string")).alias("ban_reason"),
+        F.when(m == 0, F.col("ts") + F.expr("INTERVAL 3 DAYS"))
+         .when(m == 1, F.col("ts")).alias("ban_lifted_at"),
+        F.when(m < 2, F.col("ts")).alias("updated_at"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def attempts_from(events: DataFrame) -> DataFrame:
+    """``access_attempt`` over an events DataFrame, batch or stream."""
+    return events.filter(F.col("event_type").isin("view", "click")).select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 17 == 0, F.lit(-1).cast("bigint"))
+         .otherwise(F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 4 == 0, C.ROLE_ADMIN).otherwise(C.ROLE_MEMBER).alias("required_role"),
+        F.col("ts").alias("attempted_at"))
+
+
 def booking_from(orders: DataFrame, first_part: DataFrame) -> DataFrame:
     """Bookings from orders (batch or stream) and the static order -> package table."""
     o = orders
