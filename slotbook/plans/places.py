@@ -146,7 +146,7 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
     req = place_ids.select("place_id").join(header, "place_id", "left")
     req = req.withColumn("reason_code", _detail_code(id_kind)).drop("_found")
     if nested:
-        packed = (admins.groupBy("place_id")
+        packed = (admins.join(req.filter(F.col("reason_code") == C.OK).select("place_id").distinct(), "place_id", "left_semi").groupBy("place_id")
                   .agg(F.sort_array(F.collect_list(F.struct(
                       "admin_id", "admin_fullname", "admin_username", "admin_is_active",
                       "admin_created_at"))).alias("admins")))
@@ -162,9 +162,12 @@ def place_detail_owner(place: DataFrame, place_admin: DataFrame, users: DataFram
 # --- R13 ---------------------------------------------------------------------------
 def place_detail_member(place: DataFrame, package: DataFrame, booking: DataFrame, city: DataFrame,
                         place_ids: DataFrame, keep_empty: bool = False,
-                        id_kind: str = "key") -> DataFrame:
+                        id_kind: str = "key", nested: bool = False) -> DataFrame:
     """Header (as R11) of each requested place plus its packages, one row per package.
 
+    ``nested=True`` returns one row per place with a ``packages`` array sorted by id; use it for scoped
+    requests, it gathers each place's packages in one row (the flat form is a join).
+
     Faithful: the header uses inner joins, so a place none of whose packages has
     a booking is "not found" (1012); ``keep_empty=True`` keeps it with 0.  A
     malformed place id gives 1043.
@@ -181,6 +184,11 @@ def place_detail_member(place: DataFrame, package: DataFrame, booking: DataFrame
                         F.col("price").alias("package_price"), "package_type_id")
     req = place_ids.select("place_id").join(hdr, "place_id", "left")
     req = req.withColumn("reason_code", _detail_code(id_kind)).drop("_found")
+    if nested:
+        packed = (pk.join(req.filter(F.col("reason_code") == C.OK).select("place_id").distinct(), "place_id", "left_semi").groupBy("place_id")
+                  .agg(F.sort_array(F.collect_list(F.struct("package_id", "package_name", "package_capacity", "package_price",
+                                                            "package_type_id"))).alias("packages")))
+        return req.join(packed, "place_id", "left")
     p = pk.withColumnRenamed("place_id", "__pid")
     j = req.join(p, (F.col("place_id") == F.col("__pid")) & (F.col("reason_code") == C.OK), "left")
     return j.drop("__pid")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from slotbook.plans import places as P
-from slotbook.registry import catalog, register
+from slotbook.registry import RAW_SQL, catalog, register
 
 # City-id patterns of the listing queries: '%' and '_' wildcards plus a plain id.
 CITY_PATTERNS = ["1%", "2_", "7"]
@@ -78,6 +80,40 @@ def q_place_detail_member(spark, sf_dir):
     return P.place_detail_member(t.place, t.package, t.booking, t.city, _place_requests(t))
 
 
+# The nested forms, in the source's shape: one row a place with an array, here spelt out as text.
+def _spelt(array: str, *fields: str):
+    """The entries of an array of structs as text, in order."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";")
+
+
+def _spelt_sql(key: str, array_id: str, *fields: str) -> str:
+    entry = ", ".join(f"CAST({f} AS VARCHAR)" for f in fields)
+    return f"""
+SELECT place_id, name, reason_code, count({array_id}) AS entries,
+       string_agg(CASE WHEN {array_id} IS NOT NULL THEN concat_ws('|', {entry}) END, ';' ORDER BY {array_id}) AS entries_text
+FROM ({RAW_SQL[key]}) f GROUP BY place_id, name, reason_code"""
+
+
+_ADMIN_FIELDS = ("admin_id", "admin_fullname", "admin_username", "admin_is_active")
+_PACKAGE_FIELDS = ("package_id", "package_name", "package_capacity", "package_price", "package_type_id")
+
+
+@register("place_detail_owner_nested", _spelt_sql("place_detail_owner", "admin_id", *_ADMIN_FIELDS))
+def q_place_detail_owner_nested(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    d = P.place_detail_owner(t.place, t.place_admin, t.users, _place_requests(t), nested=True)
+    return d.select("place_id", "name", "reason_code", F.coalesce(F.size("admins"), F.lit(0)).cast("long").alias("entries"),
+                    _spelt("admins", *_ADMIN_FIELDS).alias("entries_text"))
+
+
+@register("place_detail_member_nested", _spelt_sql("place_detail_member", "package_id", *_PACKAGE_FIELDS))
+def q_place_detail_member_nested(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    d = P.place_detail_member(t.place, t.package, t.booking, t.city, _place_requests(t), nested=True)
+    return d.select("place_id", "name", "reason_code", F.coalesce(F.size("packages"), F.lit(0)).cast("long").alias("entries"),
+                    _spelt("packages", *_PACKAGE_FIELDS).alias("entries_text"))
+
+
 @register("capacity_audit", """
 SELECT p.id AS place_id, p.name, p.max_capacity,
        COALESCE(CAST(s.total AS INT), 0) AS package_capacity,
