@@ -173,43 +173,44 @@ class Rates:
         tokens = F.col("n_tokens") * F.col("rate")
         return [x / self.total for x in rows.agg(*[F.sum(tokens * F.col(f"p{i}")) for i in range(self.k)]).first()]
 
-    def _after(self, rows: DataFrame, steps: list[list[float]], room: int) -> DataFrame:
-        """``rows`` after the steps [momentum, gradient...], ``room`` at most.  The numbers are a scalar
+    def _after(self, rows: DataFrame, steps: list[list[float]]) -> DataFrame:
+        """``rows`` after the steps [1, momentum, gradient...], ``MEMORY`` at most.  The numbers are a scalar
         subquery, so the plan and its compiled code are the same for any numbers and any number of steps."""
-        width = self.k + 1
-        flat = [0.0] * ((room - len(steps)) * width) + [x for s in steps for x in s]  # steps of zeros change nothing
+        width = self.k + 2
+        flat = [0.0] * ((MEMORY - len(steps)) * width) + [x for s in steps for x in s]  # steps of zeros change nothing
         number = self.spark.range(0, 1, 1, 1).selectExpr(f"array({', '.join(f'{x!r}D' for x in flat)}) as step").scalar()
-        names = [c for c in rows.columns if c != "rate"]
-        rows = rows.select(*names, F.col("rate").alias("rate0"), F.col("rate").alias("rate1"), number.alias("step"))
-        for j in range(room):
-            slope = " + ".join(f"p{i} * step[{j * width + 1 + i}]" for i in range(self.k))
-            ahead = f"rate1 + (rate1 - rate0) * step[{j * width}] - ({slope}) / curve"
-            rows = rows.selectExpr(*names, "step", "rate1 as rate0", f"least({MAX_RATE!r}D, greatest(0D, {ahead})) as rate1")
-        return rows.select(*names, F.col("rate1").alias("rate"))
+        names = [c for c in rows.columns if c not in ("rate", "rate0")]
+        rows = rows.select(*names, "rate0", F.col("rate").alias("rate1"), number.alias("step"))
+        for j in range(MEMORY):
+            slope = " + ".join(f"p{i} * step[{j * width + 2 + i}]" for i in range(self.k))
+            ahead = f"rate1 + (rate1 - rate0) * step[{j * width + 1}] - ({slope}) / curve"
+            rows = rows.selectExpr(*names, "step", f"rate0 + (rate1 - rate0) * step[{j * width}] as rate0",
+                                   f"least({MAX_RATE!r}D, greatest(0D, {ahead})) as rate1")
+        return rows.select(*names, "rate0", F.col("rate1").alias("rate"))
 
     def _fit(self, most: int) -> None:
         share = self._reached(self.rows)  # at rate 1
-        rows = self.rows.withColumn("curve", F.greatest(F.lit(1e-12), _sum([F.col(f"p{i}") * share[i] for i in range(self.k)])))
-        room = MEMORY
+        rows = self.rows.withColumn("rate0", F.col("rate")).withColumn(
+            "curve", F.greatest(F.lit(1e-12), _sum([F.col(f"p{i}") * share[i] for i in range(self.k)])))
         done, age, before, now = [], 1.0, share, share
         height = sum((r - t) ** 2 for r, t in zip(now, self.targets))
         idle = 0
         while self.steps < most and max(abs(r - t) for r, t in zip(now, self.targets)) >= TOLERANCE and idle < 8:
-            if len(done) == room:
+            if len(done) == MEMORY:
                 at = scratch_path(self.spark, "rates")
-                self._after(rows, done, room).write.parquet(at)
-                rows, done, age, before = self.spark.read.parquet(at), [], 1.0, now
+                self._after(rows, done).write.parquet(at)
+                rows, done = self.spark.read.parquet(at), []
             older = (1 + math.sqrt(1 + 4 * age * age)) / 2
             push = (age - 1) / older
             slope = [r + push * (r - b) - t for r, b, t in zip(now, before, self.targets)]
-            done.append([push, *slope])
-            before, now = now, self._reached(self._after(rows, done, room))
+            done.append([1.0, push, *slope])
+            before, now = now, self._reached(self._after(rows, done))
             self.steps += 1
             found = sum((r - t) ** 2 for r, t in zip(now, self.targets))
             idle = idle + 1 if found > height * (1 - 1e-4) else 0
             age = older if found <= height else 1.0
             height = min(height, found)
-        self.rows, self.reached = self._after(rows, done, room).drop("curve"), now
+        self.rows, self.reached = self._after(rows, done).drop("curve", "rate0"), now
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
