@@ -4,11 +4,12 @@ Paragraphs are the lines of a text; their words are ``[a-z0-9.]+`` after
 lower-casing, features are their word 1-, 2- and 3-grams.
 
 1. **Training set**: notices of each license family, notices of other or no
-   named license (family ``unknown``), plain sentences (``none``), and a bounded,
-   documented sample of the documents' own paragraphs as ``none``, without those that hold a
-   template's wording.
+   named license (family ``unknown``), plain sentences (``none``), and as ``none`` the documents' own
+   paragraphs with a marker that hold no template's wording: ``SAMPLE`` of them at most, by hash, from
+   ``SAMPLE`` different texts, whole, by hash.
 2. **Classifier**: softmax regression over sparse features.  Only n-grams with a
-   *marker* count: a notice word that at most ``COMMON`` of those paragraphs hold.  Each gradient
+   *marker* count: a notice word that at most ``COMMON`` of the paragraphs of all documents (without a
+   template's wording) hold.  Each gradient
    step is a join of features and weights and two aggregates.
 3. **Calibration**: a temperature on the notices' own leave-one-word-out variants; below
    ``SURE`` a paragraph's family is not asserted.
@@ -73,7 +74,7 @@ NOTICES = {
              "Software engineers work in general on documentation and code",
              "The person asked for permission to use the work free of charge"],
 }
-SAMPLE = 4_000    # different texts whose first fitting paragraphs are examples of none
+SAMPLE = 4_000    # different texts, and paragraphs of theirs, that are examples of none
 COMMON = 0.01
 STEPS, RATE = 12, 4.0
 SURE, CONFIRM = 0.5, 0.75
@@ -115,22 +116,25 @@ class Model:
         notices = notices.select("family", _trimmed(_words(F.col("text"))).alias("words"))
         grams = [tuple(r) for r in notices.filter(F.col("family") != NONE).select("family", _grams(F.col("words"), 3).alias("g")).collect()]
         self.templates = [(FAMILIES[f], g) for f, g in grams if FAMILIES[f] != "unknown" and g]
-        hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
-        # hashes first: only the texts below the last one move
-        last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-        taken = (hashed.filter(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
-                 .select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("text"))
-                 .select(_trimmed(_words(F.col("text"))).alias("words")).filter(F.size("words") > 0)
-                 .persist(StorageLevel.MEMORY_AND_DISK))
         vocabulary = sorted({w for _, g in grams for x in g for w in x.split()})
+        known = F.array(*[F.lit(w) for w in vocabulary])
         wording = F.array(*[F.lit(x) for x in sorted({x for _, g in grams for x in g})])
-        other = taken.filter(~F.arrays_overlap(_grams(F.col("words"), 3), wording))
-        n = other.count()
-        seen = dict(other.select(F.explode(F.array_distinct("words")).alias("w")).filter(F.col("w").isin(vocabulary))
-                    .groupBy("w").count().collect())
+        # in how many paragraphs that hold no wording of a notice each word of the notices occurs; "" counts them all
+        own = F.array_intersect("words", known)
+        worded = F.when(F.size("own") > 0, F.arrays_overlap(_grams(F.col("words"), 3), wording)).otherwise(F.lit(False))
+        paragraphs = (docs.select(F.explode(F.split("text", "\n")).alias("text")).select(_trimmed(_words(F.col("text"))).alias("words"))
+                      .filter(F.size("words") > 0).withColumn("own", own).filter(~worded))
+        seen = dict(paragraphs.select(F.explode(F.concat(F.array(F.lit("")), "own")).alias("w")).groupBy("w").count().collect())
+        n = seen.pop("", 0)
         self.markers = [w for w in vocabulary if seen.get(w, 0) <= max(1, COMMON * n) and len(w) > 1 and not w.isdigit()]
         has = _has_marker(self.markers)
-        plain = other.filter(has(F.col("words")))
+        # examples of plain text: hashes first, so only the texts below the last one move
+        hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
+        last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+        plain = (hashed.filter(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
+                 .select(F.explode(F.split("text", "\n")).alias("text")).select(_trimmed(_words(F.col("text"))).alias("words"))
+                 .filter((F.size("words") > 0) & has(F.col("words"))).withColumn("own", own).filter(~worded).drop("own")
+                 .distinct().orderBy(F.xxhash64("words")).limit(SAMPLE))
         variants = notices.select("family", F.explode(F.transform(
             F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.filter(F.col("words"), lambda w, j: j != i))).alias("words"))
         examples = (notices.withColumn("check", F.lit(False)).unionByName(variants.withColumn("check", F.pmod(F.xxhash64("words"), F.lit(3)) == 0))
@@ -161,7 +165,6 @@ class Model:
 
         self.temperature = min([0.25 * 1.25**k for k in range(16)], key=loss) if logits else 1.0
         rows.unpersist()
-        taken.unpersist()
 
     def _table(self, spark):
         return spark.createDataFrame([(f, *w) for f, w in self.weights.items()],
