@@ -54,6 +54,15 @@ def q_admit_places_links(spark, sf_dir):
 
 
 # --- M07 ------------------------------------------------------------------------------
+# Requests in the source's shape, one row a place with its list of admins; same decisions as the flat form.
+@register("upsert_place_admins_nested", RAW_SQL["upsert_place_admins"])
+def q_upsert_place_admins_nested(spark, sf_dir):
+    t = catalog(spark, sf_dir)
+    lists = t.admin_entry.groupBy("place_id").agg(
+        F.collect_list(F.struct("admin_user_id", "fullname", "username", "is_active")).alias("admins"))
+    return M.upsert_place_admins_nested(lists, t.place_admin)
+
+
 def _place_admins(t):
     return M.apply_place_admins(M.upsert_place_admins(t.admin_entry, t.place_admin), t.users, t.place_admin)
 
