@@ -294,3 +294,67 @@ def test_html_nested_deeply(start, end):
     began = time.process_time()
     assert html_extract.main_text(start * 50_000 + "<p>Deep text, here.</p>" + end * 50_000) == "Deep text, here."
     assert time.process_time() - began < 60
+
+
+# --- mixing ------------------------------------------------------------------------------------
+def test_posteriors_by_hand(spark):
+    import xxhash
+
+    from slotbook.llm import mixing
+
+    rng = random.Random(11)
+    words = {d: [f"{d}{i}" for i in range(40)] + [f"all{i}" for i in range(20)] for d in "abc"}
+    rows = [(i, " ".join(rng.choices(words["abc"[i % 3]], k=rng.choice([3, 30, 400])))) for i in range(60)] + [(90, None), (91, " "), (92, "Unseen WORDS")]
+    labels = [(i, "abc"[i % 3]) for i in range(45)] + [(0, "z"), (90, "b"), (None, "a"), (500, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.Classifier(docs, spark.createDataFrame(labels, "doc_id long, domain string"))
+    names = model.domains
+    own = {}
+    for i, d in labels:
+        if i is not None:
+            own[i] = min(d, own.get(i, d))
+
+    def bucket(word):
+        h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+        return (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS
+
+    bags = {i: collections.Counter(bucket(w) for w in (t or "").lower().split()) for i, t in rows}
+    tokens = collections.Counter({d: 0 for d in names})
+    count = {d: collections.Counter() for d in names}
+    for i, bag in bags.items():
+        if i in own:
+            tokens[own[i]] += sum(bag.values())
+            count[own[i]] += bag
+    shares = [tokens[d] / sum(tokens.values()) for d in names]
+    assert np.allclose(model.shares, shares)
+    seen = sum((count[d] for d in names), collections.Counter())
+    common = [(seen[b] + 1) / (sum(seen.values()) + mixing.BUCKETS) for b in range(mixing.BUCKETS)]
+    got = {r.doc_id: r for r in model.posteriors(docs).collect()}
+    assert set(got) == set(bags)
+    for i, bag in bags.items():
+        n = sum(bag.values())
+        logs = []
+        for d, share in zip(names, shares):
+            likely = sum(k * math.log((count[d][b] + mixing.SHRINK * common[b]) / (sum(count[d].values()) + mixing.SHRINK)) for b, k in bag.items())
+            told = 0.0 if i not in own else math.log(mixing.TRUST) if own[i] == d else math.log((1 - mixing.TRUST) / (len(names) - 1))
+            logs.append(likely * min(1.0, mixing.EVIDENCE / max(n, 1)) + math.log(share) + told)
+        whole = sum(math.exp(x - max(logs)) for x in logs)
+        assert got[i].n_tokens == n
+        assert np.allclose([got[i][f"p{k}"] for k in range(len(names))], [math.exp(x - max(logs)) / whole for x in logs], atol=1e-12)
+
+
+def test_rates_stay_in_their_box_and_keep_documents(spark):
+    from slotbook.llm import mixing
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = mixing.source_labels(docs)
+    got = mixing.mix(docs, labels).collect()
+    assert all(0 <= r.rate <= mixing.MAX_RATE and r.copies <= mixing.MAX_RATE for r in got)
+    assert sum(r.copies > 0 for r in got) >= len(got) / 2
+    told = mixing.report(docs, labels).collect()
+    assert abs(sum(r.target for r in told) - 1) < 1e-9 and all(abs(r.reached - r.target) < 1e-3 for r in told)
+    # a target that no rate of at most MAX_RATE can meet is missed, and said so
+    rare = min(told, key=lambda r: r.share).domain
+    missed = {r.domain: r for r in mixing.report(docs, labels, {rare: 1.0}).collect()}
+    assert missed[rare].target == 1.0 and missed[rare].reached < 1.0 and math.isclose(sum(r.share for r in missed.values()), 1.0)
