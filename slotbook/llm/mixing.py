@@ -129,18 +129,19 @@ class Classifier:
         # a word less text still has its row; the token "" has no bucket
         words = docs.select("doc_id", F.explode_outer(F.split(F.lower("text"), SPACE)).alias("word"))
         words = words.select("doc_id", F.when(F.col("word") != "", _bucket(F.col("word"))).alias("bucket"),
-                             F.lit(None).cast("string").alias("label"), F.lit(True).alias("own"))
-        labels = self.labels.filter("doc_id is not null").select(
-            "doc_id", F.lit(None).cast("int").alias("bucket"), F.coalesce("domain", F.lit("?")).alias("label"), F.lit(False).alias("own"))
+                             F.lit(None).cast("int").alias("label"), F.lit(1).alias("own"))
+        # a label goes along as its domain's number: sums and numbers fold in a hash table, text would have to be sorted
+        at = F.create_map(*[F.lit(x) for i, d in enumerate(self.domains) for x in (d, i)])
+        told = (self.labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("domain", F.lit("?"))).alias("domain")))
+        labels = told.select("doc_id", F.lit(None).cast("int").alias("bucket"),
+                             F.coalesce(at[F.col("domain")], F.lit(k - 1 if self.domains[-1] == "*" else None)).alias("label"), F.lit(0).alias("own"))
         sums = (words.unionByName(labels).join(F.broadcast(weights), "bucket", "left").groupBy("doc_id")  # BUCKETS rows
-                .agg(F.count("bucket").alias("n_tokens"), F.min("label").alias("label"), F.max("own").alias("own"),
-                     *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).filter("own"))
+                .agg(F.count("bucket").alias("n_tokens"), F.max("label").alias("label"), F.max("own").alias("own"),
+                     *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).filter("own = 1"))
         heat = F.least(F.lit(1.0), EVIDENCE / F.greatest("n_tokens", F.lit(1)))
-        at = F.create_map(*[F.lit(x) for i, d in enumerate(self.domains) for x in (d, i)])
-        label = F.when(F.col("label").isNotNull(), F.coalesce(at[F.col("label")], F.lit(k - 1 if self.domains[-1] == "*" else None)))
         right, wrong = math.log(TRUST), math.log((1 - TRUST) / max(1, k - 1))
         told = [F.when(F.col("label") == i, right).when(F.col("label").isNotNull(), wrong).otherwise(0.0) for i in range(k)]
-        logs = sums.withColumn("label", label).select(
+        logs = sums.select(
             "doc_id", "n_tokens", *[(F.col(f"s{i}") * heat + math.log(self.shares[i]) + told[i]).alias(f"l{i}") for i in range(k)])
         top = F.greatest(*[F.col(f"l{i}") for i in range(k)]) if k > 1 else F.col("l0")
         logs = logs.withColumn("top", top).select("doc_id", "n_tokens", *[F.exp(F.col(f"l{i}") - F.col("top")).alias(f"e{i}") for i in range(k)])
