@@ -50,11 +50,11 @@ END_ID = 1
 SCALE = 20
 LANES, STEPS, EVERY = 32, 1024, 256
 BLOCK = LANES * STEPS
-GROUP = 64               # blocks coded side by side
+GROUP = 128              # blocks coded side by side
 PIECE_IDS = 1 << 20      # ids a row of the encoded texts; longer texts have several rows
-PART_IDS = 1 << 25       # ids a part, about; at most MAX_PARTS parts
+PART_IDS = 1 << 22       # ids a part, about; at most MAX_PARTS parts
 MAX_PARTS = 1 << 16
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 6 << 20
 MAGIC = 0x31534E52       # "RNS1"
 HEAD = struct.Struct("<7I")
 _POINT = np.dtype([("word", "<u4"), ("state", "<u8", LANES)])
@@ -233,13 +233,21 @@ def _word_ids(buf, off, speller):
     return ids, row_off
 
 
+def width(content: str) -> str:
+    """Kind of integer that holds all ids of a tokenizer file."""
+    spec = json.loads(content)
+    most = max([END_ID, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 _TEXT_IDS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("row", pa.int64()), ("seq", pa.int32()),
                        ("n", pa.int32()), ("ids", pa.binary())])
 _TEXT_IDS_DDL = "doc_id long, digest long, row long, seq int, n int, ids binary"
 
 
 def encoded(docs: DataFrame, content: str) -> DataFrame:
-    """(doc_id, digest, row, seq, n, ids): the ids (u32) of every document, at most PIECE_IDS a row."""
+    """(doc_id, digest, row, seq, n, ids): the ids (see ``width``) of every document, at most PIECE_IDS a row."""
+    kind = width(content)
     held = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches):
@@ -252,8 +260,8 @@ def encoded(docs: DataFrame, content: str) -> DataFrame:
             seq = W.ranges(np.zeros(len(rows), np.int64), pieces)
             begin = row_off[which] + seq * PIECE_IDS
             end = np.minimum(begin + PIECE_IDS, row_off[which + 1])
-            bounds = pa.py_buffer((4 * np.append(begin, end[-1])).astype(np.int32))  # pieces follow each other
-            data = pa.Array.from_buffers(pa.binary(), len(which), [None, bounds, pa.py_buffer(ids.astype("<u4"))])
+            bounds = pa.py_buffer((np.dtype(kind).itemsize * np.append(begin, end[-1])).astype(np.int32))  # pieces follow each other
+            data = pa.Array.from_buffers(pa.binary(), len(which), [None, bounds, pa.py_buffer(ids.astype(kind))])
             take = pa.array(which)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(k).take(take) for k in range(3)]
@@ -264,7 +272,7 @@ def encoded(docs: DataFrame, content: str) -> DataFrame:
     return texts.mapInArrow(run, _TEXT_IDS_DDL)
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs; every task counts its own first."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
@@ -272,7 +280,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         seen = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=len(seen))
+                c = np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=len(seen))
                 c[:len(seen)] += seen
                 seen = c
         some = np.flatnonzero(seen)
@@ -311,15 +319,17 @@ class Table:
         self.freq, self.below = f.astype(_U), (np.cumsum(f) - f).astype(_U)
         self.slot = np.repeat(np.arange(len(f), dtype=np.int32), f)
         self.likeliest = int(np.argmax(f))
+        self.place = np.zeros(int(self.ids[-1]) + 1, np.int32)
+        self.place[self.ids] = np.arange(len(f))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ids, ids)
+        return self.place[ids]
 
     def encode(self, ids: np.ndarray) -> list[bytes]:
         """A block for each row of ``ids`` (blocks, ids a block), all of the same number of ids."""
         g, n = ids.shape
         steps = -(-n // LANES)
-        k = np.full((g, steps * LANES), self.likeliest, np.int64)
+        k = np.full((g, steps * LANES), self.likeliest, np.int32)
         k[:, :n] = self.places(ids)
         k = k.reshape(g, steps, LANES)
         x = np.full((g, LANES), _LOW, _U)
@@ -429,7 +439,8 @@ def write(docs: DataFrame, content: str, path: str) -> None:
     spark = docs.sparkSession
     encoded(docs, content).write.parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
-    counts = np.array([tuple(r) for r in id_counts(ids).collect()], np.int64).reshape(-1, 2)  # a row an id of the vocabulary
+    kind = width(content)
+    counts = np.array([tuple(r) for r in id_counts(ids, kind).collect()], np.int64).reshape(-1, 2)  # a row an id of the vocabulary
     freq = scaled(counts[:, 1]) if len(counts) else counts[:, 1]
     spark.createDataFrame([(int(i), int(f)) for i, f in zip(counts[:, 0], freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(Table(counts[:, 0], freq)) if len(counts) else None
@@ -460,9 +471,9 @@ def write(docs: DataFrame, content: str, path: str) -> None:
             for i in range(0, batch.num_rows, 256):  # 256 pieces of PIECE_IDS ids at most
                 b = batch.slice(i, 256)
                 off = np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset:][:b.num_rows + 1]
-                ids = np.frombuffer(b.column(4).buffers()[2], np.uint8)[off[0]:off[-1]].view("<u4")
+                ids = np.frombuffer(b.column(4).buffers()[2], np.uint8)[off[0]:off[-1]].view(kind)
                 held.append((ids, b.column(2).to_numpy(), b.column(0).fill_null(0).to_numpy(),
-                             b.column(0).is_null().to_numpy(zero_copy_only=False), np.diff(off).astype(np.int64) // 4))
+                             b.column(0).is_null().to_numpy(zero_copy_only=False), np.diff(off).astype(np.int64) // ids.itemsize))
                 waiting += len(ids)
                 if waiting >= GROUP * BLOCK:
                     yield flushed(False)
