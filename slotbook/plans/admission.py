@@ -152,14 +152,11 @@ def admit_bookings(requests: DataFrame, package: DataFrame, state: DataFrame,
         r = first_in_batch(r, ["member_user_id", "requested_at"], ["id"], F.col("__e1"), "__member_first", unique=True)
         batch_ongoing = (F.coalesce(F.col("prev__et") + _ttl() > F.col("requested_at"), F.lit(False))
                          | (F.col("__e1") & ~F.col("__member_first")))
-        r = cut_lineage(r.withColumn("__e2", F.col("__e1") & ~batch_ongoing))
-        e2 = r.filter("__e2").select("package_id", F.col("requested_at").alias("__rt"))
-        r = asof_count(r, e2, ["package_id"], "requested_at", "__rt", name="__rank",
-                       bucket=bucket, inclusive=False)
-        instant = (Window.partitionBy("package_id", "requested_at").orderBy("id")
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        same = F.coalesce(F.sum(F.col("__e2").cast("int")).over(instant), F.lit(0))
-        r = r.withColumn("__rank", F.col("__rank") + same)
+        # earlier survivors for the package, requests of one instant by id: a running count split by
+        # range, so neither a hot package nor a hot instant is one task's work
+        counts = F.col("__e1") & ~batch_ongoing & F.col("requested_at").isNotNull()
+        r = r.withColumn("__one", counts.cast("int")).withColumn("__t", micros(r, "requested_at"))
+        r = running(r, ["package_id"], ["__t", "id"], "__one", "__rank", inclusive=False)
         full = F.col("pending_count") + F.col("__rank") >= F.col("__cap")
         ongoing = ongoing | batch_ongoing
     code = _chain([
