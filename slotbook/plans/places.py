@@ -18,6 +18,10 @@ from slotbook import constants as C
 from slotbook.functions import validate as V
 from slotbook.functions.paging import page as take_page
 from slotbook.operators.patterns import like_any
+from slotbook.session import cut_lineage
+
+#: Callers and places of one block of ``places_for_callers``, and the blocks of one task (4 Mi rows at most, about).
+SIDE, TASK_BLOCKS = 512, 16
 
 
 def city_filter(city_col: Column, patterns: Sequence[str] | None) -> Column:
@@ -78,12 +82,30 @@ def places_owner_view(place: DataFrame, place_admin: DataFrame,
 
 def places_for_callers(place: DataFrame, place_admin: DataFrame, patterns: DataFrame) -> DataFrame:
     """R10 for every caller at once: ``patterns`` (caller_id, pattern) holds each caller's city patterns, and
-    a caller sees a place once if its city matches any of them (``operators.patterns``)."""
+    a caller sees a place once if its city matches any of them (``operators.patterns``).
+
+    The result grows with callers times places, and there are few cities.  A city's callers and places are
+    therefore dealt into blocks of about ``SIDE`` by ``SIDE``, and tasks are made by the number of rows they
+    will put out: more rows give more tasks, not longer ones."""
     city = F.col("city_id").cast("string").alias("__city")
-    seen = like_any(place.select(city), "__city", patterns, "caller_id")
+    seen = cut_lineage(like_any(place.select(city), "__city", patterns, "caller_id"))
     listed = (place.select("id", "name", "max_capacity", "address", city)
               .join(_admin_counts(place_admin).withColumnRenamed("place_id", "id"), "id"))
-    return seen.join(listed, "__city").select("caller_id", "id", "name", "max_capacity", "admin_count", "address")
+    a, b = (F.ceil(F.col(n) / SIDE).cast("int") for n in ("__callers", "__places"))
+    sides = (seen.groupBy("__city").agg(F.count(F.lit(1)).alias("__callers"))
+             .join(listed.groupBy("__city").agg(F.count(F.lit(1)).alias("__places")), "__city")
+             .select("__city", a.alias("__a"), b.alias("__b")))
+    blocks = sides.agg(F.sum(F.col("__a").cast("long") * F.col("__b"))).first()[0] or 1
+    tasks = -(-blocks // TASK_BLOCKS)
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return (df.join(sides, "__city")
+                .withColumn(f"{own}k", F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+                .withColumn(f"{other}k", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .drop("__a", "__b").repartition(tasks, "__city", "__ak", "__bk"))
+
+    met = dealt(seen, "caller_id", "__a", "__b").join(dealt(listed, "id", "__b", "__a").hint("shuffle_hash"), ["__city", "__ak", "__bk"])
+    return met.select("caller_id", "id", "name", "max_capacity", "admin_count", "address")
 
 
 # --- R11 ---------------------------------------------------------------------------

@@ -274,6 +274,20 @@ def test_places_for_callers_see_each_place_once(spark, cat):
     assert {i for c, i in got if c == 1} == {i for i, c in listed if fnmatch.fnmatchcase(c, "1*") or fnmatch.fnmatchcase(c, "*1")}
 
 
+def test_places_for_callers_deal_rows_over_tasks(spark, cat, monkeypatch):
+    """Many callers of few cities: no task puts out more than a few blocks, and no pair is lost or doubled."""
+    monkeypatch.setattr(P, "SIDE", 8, raising=False)
+    monkeypatch.setattr(P, "TASK_BLOCKS", 1, raising=False)
+    place = spark.range(200).selectExpr("id", "concat('p', id) AS name", "100 AS max_capacity", "'a' AS address", "if(id % 10 = 0, 1, 0) AS city_id")
+    admins = place.selectExpr("id AS place_id", "id AS admin_user_id")
+    asked = spark.range(300).selectExpr("id AS caller_id", "if(id % 3 = 0, '%', '1%') AS pattern")
+    out = P.places_for_callers(place, admins, asked).withColumn("task", F.spark_partition_id()).collect()
+    want = {(c, p) for c in range(300) for p in range(200) if c % 3 == 0 or p % 10 == 0}
+    assert len(out) == len(want) and {(r.caller_id, r.id) for r in out} == want
+    per_task = [sum(r.task == t for r in out) for t in {r.task for r in out}]
+    assert len(per_task) > 100 and max(per_task) < len(want) / 20
+
+
 def test_emitted_open_and_completed_are_all(spark):
     from slotbook.registry import catalog
     from slotbook.streaming import jobs
