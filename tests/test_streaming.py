@@ -108,3 +108,33 @@ def test_profit_resumes_from_its_checkpoint(spark, cat):
         got = jobs.run_profit(spark, stream, cat.first_part, cat.package, out)
     want = profit_by_day(cat.booking, cat.package)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_gate_keys_are_buckets_of_users_and_rows_stay_exact(spark):
+    """State is kept by bucket, not by user; ids over 2**53, null users and null times are taken as they are."""
+    import datetime as dt
+
+    from slotbook.streaming import gate
+
+    day = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    big = 2**53 + 1
+    asked = [(big + k, big + k % 3000 * 2, day(10 + k % 2)) for k in range(6000)] + [(1, None, day(10)), (2, big, None), (3, -5, day(30))]
+    banned = [(big + k, big + k * 2, "BANNED", day(9), day(40) if k % 2 else None) for k in range(0, 3000, 3)] + \
+             [(big + 9000, big, "BANNED", day(9), day(40)), (5, None, "BANNED", day(9), day(40)), (6, big, "BANNED", None, day(40))]
+    attempts = spark.createDataFrame(asked, "id long, user_id long, attempted_at timestamp_ntz")
+    bans = spark.createDataFrame(banned, "id long, member_user_id long, approval_status string, created_at timestamp_ntz, ban_lifted_at timestamp_ntz")
+    keys = gate.gate_events(attempts, bans)
+    assert keys.select("bucket").distinct().count() <= gate.BUCKETS < attempts.select("user_id").distinct().count()
+    a, b = scratch_path(spark, "gate-attempts"), scratch_path(spark, "gate-bans")
+    attempts.write.parquet(a)
+    bans.write.parquet(b)
+    stream = lambda at, df: spark.readStream.schema(df.schema).parquet(at)
+    got = {r.id: r for r in gate.run_gate(spark, lambda: gate.gate_stream(stream(a, attempts), stream(b, bans))).collect()}
+    want = {}
+    for i, user, at in asked:
+        if at is None or at >= day(29):
+            continue
+        mine = [(made, k, lift) for k, u, _, made, lift in banned if user is not None and u == user and made is not None and made <= at]
+        _, k, lift = max(mine, key=lambda x: x[:2], default=(None, None, None))
+        want[i] = (user, at, k, lift, "9998" if lift is not None and lift > at else "0000")
+    assert {i: (r.user_id, r.attempted_at, r.latest_ban_id, r.latest_ban_lifted_at, r.reason_code) for i, r in got.items()} == want
