@@ -28,11 +28,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotbook.session import cut_lineage
+from slotbook.session import scratch_path
 
 SIMPLE_ROUNDS = 2
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder: later steps read the columns they
+    need, and their joins are planned by its size."""
+    spark = df.sparkSession
+    at = scratch_path(spark, "settle")
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def settle(requests: DataFrame, id: str, groups: Sequence[str], needs: DataFrame | None = None) -> DataFrame:
     """(id, accepted) for every row of ``requests``; ids are unique, integral and not null.
 
@@ -43,7 +52,7 @@ def settle(requests: DataFrame, id: str, groups: Sequence[str], needs: DataFrame
     open_ = requests.select(F.col(id).alias("id"), *[F.col(c).alias(n) for c, n in zip(groups, names)])
     decided = None
     if needs is not None:
-        open_ = cut_lineage(open_)
+        open_ = _stored(open_)
         known = open_.select(F.col("id").alias("need"), F.lit(True).alias("__known"))
         needs = (needs.select("id", "need").join(known, "need", "left")
                  .withColumn("met", F.when(F.col("__known").isNull() | (F.col("need") >= F.col("id")), F.lit(False))).drop("__known"))
@@ -52,10 +61,10 @@ def settle(requests: DataFrame, id: str, groups: Sequence[str], needs: DataFrame
         if needs is not None:
             if decided is not None:
                 needs = needs.drop("met").join(decided.select(F.col("id").alias("need"), F.col("accepted").alias("met")), "need", "left")
-            needs = cut_lineage(needs.select("id", "need", "met").filter("met is null or not met"))
+            needs = _stored(needs.select("id", "need", "met").filter("met is null or not met"))
         marked = _obstacles(open_, names, needs)
         fates = _fates(marked, chains=turn >= SIMPLE_ROUNDS)
-        round_ = cut_lineage(_spread(marked, fates, names))
+        round_ = _stored(_spread(marked, fates, names))
         decided = round_.filter("accepted is not null").select("id", "accepted")
         settled.append(decided)
         open_ = round_.filter("accepted is null").select("id", *names)
@@ -77,15 +86,15 @@ def _obstacles(open_: DataFrame, names, needs: DataFrame | None) -> DataFrame:
         n = F.lit(0)
     ptr, flip = F.col("need"), F.lit(False)
     for i, g in enumerate(names):
-        first = marked.filter(F.col(g).isNotNull()).groupBy(g).agg(F.min("id").alias(f"first{i}"))
-        marked = marked.join(first, g, "left")
-        second = (marked.filter(F.col("id") > F.col(f"first{i}")).groupBy(g).agg(F.min("id").alias(f"second{i}")))
-        marked = marked.join(second, g, "left")
-        behind = F.col("id") > F.col(f"first{i}")
+        held = open_.filter(F.col(g).isNotNull()).select(g, "id")
+        first = held.groupBy(g).agg(F.min("id").alias(f"first{i}"))
+        second = held.join(first, g).filter(F.col("id") > F.col(f"first{i}")).groupBy(g).agg(F.min("id").alias(f"second{i}"))
+        marked = marked.join(first.join(second, g), g, "left")   # a value that one request holds alone hinders nobody
+        behind = F.coalesce(F.col("id") > F.col(f"first{i}"), F.lit(False))
         n = n + F.when(behind, F.when(F.col("id") == F.col(f"second{i}"), 1).otherwise(2)).otherwise(0)
         ptr = F.when(behind, F.col(f"first{i}")).otherwise(ptr)
         flip = F.when(behind, F.lit(True)).otherwise(flip)
-    return cut_lineage(marked.select("id", *names, "lost", n.alias("n"), ptr.alias("ptr"), flip.alias("flip")))
+    return _stored(marked.select("id", *names, "lost", n.alias("n"), ptr.alias("ptr"), flip.alias("flip")))
 
 
 def _fates(marked: DataFrame, chains: bool) -> DataFrame:
@@ -97,11 +106,11 @@ def _fates(marked: DataFrame, chains: bool) -> DataFrame:
     one = alive.filter("n = 1").select("id", "ptr", "flip")
     # a request with no obstacle, or several, or that is lost, ends a chain
     ends = marked.filter("lost or n <> 1").select("id", F.when(F.col("lost"), F.lit(False)).when(F.col("n") == 0, F.lit(True)).alias("fate"))
-    chain = cut_lineage(one)
+    chain = _stored(one)
     while True:
         ahead = chain.select(F.col("id").alias("ptr"), F.col("ptr").alias("__ptr"), F.col("flip").alias("__flip"))
         stepped = chain.join(ahead, "ptr", "left")
-        chain = cut_lineage(stepped.select("id", F.coalesce("__ptr", "ptr").alias("ptr"),
+        chain = _stored(stepped.select("id", F.coalesce("__ptr", "ptr").alias("ptr"),
                                            F.when(F.col("__ptr").isNotNull(), F.col("flip") != F.col("__flip"))
                                            .otherwise(F.col("flip")).alias("flip"),
                                            F.col("__ptr").isNotNull().alias("moved")))
@@ -116,7 +125,7 @@ def _fates(marked: DataFrame, chains: bool) -> DataFrame:
 def _spread(marked: DataFrame, fates: DataFrame, names) -> DataFrame:
     """Open requests with ``accepted``, null for those that stay open: fates, and the refused
     ones that share a value with an accepted one."""
-    fates = cut_lineage(fates)
+    fates = _stored(fates)
     out = marked.join(fates, "id", "left")
     won = marked.join(fates.filter("accepted"), "id", "left_semi")
     for i, g in enumerate(names):

@@ -274,6 +274,15 @@ def test_places_for_callers_see_each_place_once(spark, cat):
     assert {i for c, i in got if c == 1} == {i for i, c in listed if fnmatch.fnmatchcase(c, "1*") or fnmatch.fnmatchcase(c, "*1")}
 
 
+def test_settle_writes_its_rounds_once_as_files(spark):
+    """Rounds are read again as Parquet, by column and size, not as checkpointed rows of unknown size."""
+    rows = spark.range(500).selectExpr("id", "concat('u', id div 2) AS a", "concat('e', (id + 1) div 2) AS b")
+    got = settle(rows, "id", ["a", "b"])
+    assert {r.id: r.accepted for r in got.collect()} == {i: i % 2 == 0 for i in range(500)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "parquet" in plan.lower()
+
+
 def test_places_for_callers_deal_rows_over_tasks(spark, cat, monkeypatch):
     """Many callers of few cities: no task puts out more than a few blocks, and no pair is lost or doubled."""
     monkeypatch.setattr(P, "SIDE", 8, raising=False)
