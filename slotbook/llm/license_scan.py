@@ -90,6 +90,14 @@ def _trimmed(words):
     return F.transform(words, lambda w: F.rtrim(w, F.lit(".")))
 
 
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """The words of each paragraph that has any.  They come out of the generator as a column of its own: a
+    condition on a projected column is moved below it, with the cutting of the text in each of its places,
+    so the text would be cut again for every 3-gram."""
+    cut = F.transform(F.split("text", "\n"), lambda x: _trimmed(_words(x)))
+    return docs.select(F.explode(cut).alias("words")).filter(F.size("words") > 0)
+
+
 def _grams(words, n: int):
     """Word n-grams of an array column, joined by blanks."""
     last = F.size(words) - n + 1
@@ -121,9 +129,10 @@ class Model:
         wording = F.array(*[F.lit(x) for x in sorted({x for _, g in grams for x in g})])
         # in how many paragraphs that hold no wording of a notice each word of the notices occurs; "" counts them all
         own = F.array_intersect("words", known)
-        worded = F.when(F.size("own") > 0, F.arrays_overlap(_grams(F.col("words"), 3), wording)).otherwise(F.lit(False))
-        paragraphs = (docs.select(F.explode(F.split("text", "\n")).alias("text")).select(_trimmed(_words(F.col("text"))).alias("words"))
-                      .filter(F.size("words") > 0).withColumn("own", own).filter(~worded))
+        # a 3-gram of a notice needs its words
+        least = min((len(set(x.split())) for _, g in grams for x in g), default=1)
+        worded = F.when(F.size("own") >= least, F.arrays_overlap(_grams(F.col("words"), 3), wording)).otherwise(F.lit(False))
+        paragraphs = _paragraphs(docs).withColumn("own", own).filter(~worded)
         seen = dict(paragraphs.select(F.explode(F.concat(F.array(F.lit("")), "own")).alias("w")).groupBy("w").count().collect())
         n = seen.pop("", 0)
         self.markers = [w for w in vocabulary if seen.get(w, 0) <= max(1, COMMON * n) and len(w) > 1 and not w.isdigit()]
@@ -132,8 +141,7 @@ class Model:
         hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
         last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
         plain = (hashed.filter(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
-                 .select(F.explode(F.split("text", "\n")).alias("text")).select(_trimmed(_words(F.col("text"))).alias("words"))
-                 .filter((F.size("words") > 0) & has(F.col("words"))).withColumn("own", own).filter(~worded).drop("own")
+                 .transform(_paragraphs).filter(has(F.col("words"))).withColumn("own", own).filter(~worded).drop("own")
                  .distinct().orderBy(F.xxhash64("words")).limit(SAMPLE))
         variants = notices.select("family", F.explode(F.transform(
             F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.filter(F.col("words"), lambda w, j: j != i))).alias("words"))

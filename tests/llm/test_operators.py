@@ -424,3 +424,13 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     got = out.collect()
     assert got and {r.doc_id for r in got} <= ids and all(r.mix_copies >= 1 for r in got)
+
+
+def test_license_paragraphs_are_cut_once(spark):
+    """A condition on the 3-grams of a paragraph does not cut its text again."""
+    from pyspark.sql import functions as F
+
+    p = license_scan._paragraphs(spark.createDataFrame([(1, "A b.\n\nc"), (2, None)], "doc_id long, text string"))
+    assert [r.words for r in p.collect()] == [["a", "b"], ["c"]]
+    plan = p.filter(F.array_contains(license_scan._grams(F.col("words"), 3), "x y z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "array_join" in line and "[^a-z0-9.]+" in line]
