@@ -19,7 +19,7 @@ sets overlap.
 4. Each pair's registers give the likelihood of every similarity, jointly with
    both set sizes; pairs for which the threshold is out of reach are dropped.
 5. What remains is decided on the full sets.  Links are contracted into
-   components by alternating large-star and small-star steps.
+   components within tasks, then by alternating large-star and small-star steps.
 
 Defined results: null, empty or blank texts have an empty set, no links, and
 themselves as component; repeated rows (same id and text) share a class and each
@@ -138,6 +138,9 @@ def likely(n_a, n_b, reg_a, reg_b) -> np.ndarray:
 
 _PAIR = "a long, b long"
 _PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = "u long, v long"
+_EDGE_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+HELD_EDGES = 1 << 20  # edges that a task contracts at once
 
 
 def _likely_rows(batches):
@@ -176,29 +179,55 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The components of the edges (u, v) as edges (u, v) from each node to its component's smallest."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[:len(u)], at[len(u):]
+    root = np.arange(len(node))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    far = np.flatnonzero(root != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], schema=_EDGE_ARROW)
+
+
+def _contracted_rows(batches):
+    """A task's edges (u, v) as stars, HELD_EDGES at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n >= HELD_EDGES:
+            yield _stars(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield _stars(*map(np.concatenate, zip(*held)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over the links (a, b).
 
-    Alternating large-star and small-star steps; every step is an aggregate
-    (smallest neighbour) and a join, so a hot node is never gathered.
+    Every task contracts its own edges to stars.  Where those do not agree, alternating large-star and
+    small-star steps follow; every step is an aggregate (smallest neighbour) and a join, so
+    a hot node is never gathered.
     """
-    edges = _saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .filter("u <> v").distinct(), "links")
-    mark = None
+    edges = (links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
+        edges = _saved(edges.mapInArrow(_contracted_rows, _EDGE), "star")
+        found = _saved(edges.union(edges.select("v", "v")).groupBy(F.col("u").alias("node"))
+                       .agg(F.min("v").alias("component"), F.max("v").alias("last")), "components")
+        if found.filter("component < last").isEmpty():  # every node has one root, every root is its own
+            return found.select("node", "component")
+        both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").filter("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = _saved(small, "star")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select(F.col("v"), F.col("v"))).distinct()
-        mark = now
 
 
 class _Reps:
@@ -209,8 +238,8 @@ class _Reps:
                              .filter("doc_id = rep").dropDuplicates(["rep"])
                              .select("rep", "n_shingles", "registers", "bands"), "reps")
         keyed = self.sketch.select("rep", F.explode("bands").alias("key"))
-        shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-        self.keyed = _saved(keyed.join(shared.select("key"), "key"), "buckets")
+        shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("hi")).filter("least < hi")
+        self.keyed = _saved(keyed.join(shared.select("key", "least"), "key"), "buckets")
         wanted = self.keyed.select(F.col("rep").alias("doc_id")).distinct()
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.sets = _saved(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -226,14 +255,27 @@ class _Reps:
                       .join(self.sets.select(F.col("doc_id").alias("b"), F.col("members").alias("q")), "b")
                       .select("a", "b", "p", "q").mapInArrow(_linked_rows, _PAIR), "linked")
 
-    def labelled(self, found: DataFrame | None) -> DataFrame:
-        """Buckets (key, rep, label) that still hold more than one component."""
-        if found is None:
-            return self.keyed.withColumn("label", F.col("rep"))
-        rows = (self.keyed.join(found, F.col("rep") == F.col("node"), "left")
+    def labelled(self, found: DataFrame) -> DataFrame:
+        """Rows (key, rep, label) of all buckets."""
+        return (self.keyed.join(found, F.col("rep") == F.col("node"), "left")
                 .select("key", "rep", F.coalesce("component", "rep").alias("label")))
+
+    def from_centres(self, found: DataFrame | None, turn: int) -> DataFrame:
+        """Pairs (a, b) of each bucket's centre and its members of other components; the centre is the
+        smallest member, in later turns one at random, other in each bucket."""
+        if found is None:
+            return self.keyed.filter("least <> rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+        rows = self.labelled(found)
+        centre = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                          F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("rank"), "rep", "label")).alias("at"))
+                  .filter("lo < hi").select("key", F.col("at.rep").alias("x"), F.col("at.label").alias("x_label")))
+        return rows.join(centre, "key").filter("label <> x_label").select(*_ordered(F.col("x"), F.col("rep")))
+
+    def undecided(self, found: DataFrame) -> DataFrame:
+        """(rep, label) of the members of buckets that still hold more than one component."""
+        rows = self.labelled(found)
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        return rows.join(mixed.select("key"), "key")
+        return rows.join(mixed.select("key"), "key").select("rep", "label").distinct()
 
     def sharing_rare_shingles(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) of texts (rep, label) of different labels that could be linked.
@@ -277,28 +319,19 @@ def _ordered(x, y):
 
 def link_components(reps: _Reps) -> DataFrame:
     """(node, component) of all representatives with a link."""
-    links, found, done = None, None, None
+    found, done = None, None
     for turn in range(CENTRE_ROUNDS + 1):
-        rows = reps.labelled(found)
-        if turn < CENTRE_ROUNDS:
-            # one centre a bucket; later ones at random, other in each bucket
-            rank = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
-            centre = (rows.select("key", rank.alias("rank"), "rep", "label").groupBy("key")
-                      .agg(F.min("rank").alias("rank")))
-            at = (rows.withColumn("rank", rank).join(centre, ["key", "rank"])
-                  .select("key", F.col("rep").alias("x"), F.col("label").alias("x_label")))
-            pairs = rows.join(at, "key").filter("label <> x_label").select(*_ordered(F.col("x"), F.col("rep")))
-        else:
-            pairs = reps.sharing_rare_shingles(rows.select("rep", "label").distinct())
-        pairs = _saved(pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = (reps.from_centres(found, turn) if turn < CENTRE_ROUNDS else reps.sharing_rare_shingles(reps.undecided(found))).distinct()
+        pairs = _saved(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn:
                 continue
             break
         done = pairs if done is None else done.union(pairs)
-        got = reps.linked(pairs)
-        links = got if links is None else links.union(got)
-        found = _saved(components(links), "components")
+        links = reps.linked(pairs)
+        if found is not None:  # what is known, and the new links
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        found = components(links)
     return found
 
 

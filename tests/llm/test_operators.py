@@ -121,6 +121,22 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 50: 40, 60: 40}
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_components_take_few_jobs(spark, coalesce):
+    """Every shuffle and broadcast of a loop costs the driver threads for a minute."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 400)] + [(1000, 900), (1000, 950), (950, 901)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        got = {r.node: r.component for r in near_dedup.components(links).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {k: 0 for k in range(401)} | {900: 900, 901: 900, 950: 900, 1000: 900}
+    assert coalesce == "false" or jobs <= 8
+
+
 def test_mixing(spark, corpus, nothing):
     rows, df = corpus
     got = mixing.mix(df, mixing.source_labels(df)).collect()
