@@ -80,14 +80,20 @@ STEPS, RATE = 12, 4.0
 SURE, CONFIRM = 0.5, 0.75
 FAMILIES = list(NOTICES)
 NONE = FAMILIES.index("none")
+_BREAK = r"[^a-z0-9.]+"
 
 
 def _words(text):
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+"), lambda w: (w != "") & (w != "."))
+    return F.filter(F.split(F.lower(text), _BREAK), lambda w: (w != "") & (w != "."))
+
+
+def _trim(w):
+    """A word without the dots that end it; trimming takes far longer than looking whether there are any."""
+    return F.when(w.endswith("."), F.rtrim(w, F.lit("."))).otherwise(w)
 
 
 def _trimmed(words):
-    return F.transform(words, lambda w: F.rtrim(w, F.lit(".")))
+    return F.transform(words, _trim)
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
@@ -110,8 +116,19 @@ def _features(words):
 
 
 def _has_marker(markers: list[str]):
-    known = F.array(*[F.lit(m) for m in markers])
-    return lambda words: F.arrays_overlap(words, known)
+    """A list of literals is hashed once a plan; an array of them would be hashed again for every row."""
+    return lambda words: F.exists(words, lambda w: w.isin(markers))
+
+
+def _holds(words, grams: list[str]):
+    """Whether the words hold one of the 3-grams; most places end at their first word."""
+    first, second, third = (sorted({g.split()[k] for g in grams}) for k in range(3))
+
+    def begins(w, i):
+        two, three = F.get(words, i + 1), F.get(words, i + 2)
+        return w.isin(first) & two.isin(second) & three.isin(third) & F.concat_ws(" ", w, two, three).isin(grams)
+
+    return F.size(F.filter(words, begins)) > 0
 
 
 class Model:
@@ -125,14 +142,10 @@ class Model:
         grams = [tuple(r) for r in notices.filter(F.col("family") != NONE).select("family", _grams(F.col("words"), 3).alias("g")).collect()]
         self.templates = [(FAMILIES[f], g) for f, g in grams if FAMILIES[f] != "unknown" and g]
         vocabulary = sorted({w for _, g in grams for x in g for w in x.split()})
-        known = F.array(*[F.lit(w) for w in vocabulary])
-        wording = F.array(*[F.lit(x) for x in sorted({x for _, g in grams for x in g})])
         # in how many paragraphs that hold no wording of a notice each word of the notices occurs; "" counts them all
-        own = F.array_intersect("words", known)
-        # a 3-gram of a notice needs its words
-        least = min((len(set(x.split())) for _, g in grams for x in g), default=1)
-        worded = F.when(F.size("own") >= least, F.arrays_overlap(_grams(F.col("words"), 3), wording)).otherwise(F.lit(False))
-        paragraphs = _paragraphs(docs).withColumn("own", own).filter(~worded)
+        own = F.array_distinct(F.filter(F.col("words"), lambda w: w.isin(vocabulary)))
+        worded = _holds(F.col("words"), sorted({x for _, g in grams for x in g}))
+        paragraphs = _paragraphs(docs).filter(~worded).withColumn("own", own)
         seen = dict(paragraphs.select(F.explode(F.concat(F.array(F.lit("")), "own")).alias("w")).groupBy("w").count().collect())
         n = seen.pop("", 0)
         self.markers = [w for w in vocabulary if seen.get(w, 0) <= max(1, COMMON * n) and len(w) > 1 and not w.isdigit()]
@@ -141,7 +154,7 @@ class Model:
         hashed = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
         last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
         plain = (hashed.filter(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
-                 .transform(_paragraphs).filter(has(F.col("words"))).withColumn("own", own).filter(~worded).drop("own")
+                 .transform(_paragraphs).filter(has(F.col("words"))).filter(~worded)
                  .distinct().orderBy(F.xxhash64("words")).limit(SAMPLE))
         variants = notices.select("family", F.explode(F.transform(
             F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.filter(F.col("words"), lambda w, j: j != i))).alias("words"))
@@ -196,7 +209,8 @@ class Model:
         has = _has_marker(self.markers)
         lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
         # a text without any marker word is not cut into paragraphs
-        marked = F.when(has(_trimmed(_words(F.col("text")))), F.filter(lines, lambda x: has(_trimmed(_words(x)))))
+        any_marker = F.exists(F.split(F.lower("text"), _BREAK), lambda w: _trim(w).isin(self.markers))
+        marked = F.when(any_marker, F.filter(lines, lambda x: has(_trimmed(_words(x)))))
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                            F.coalesce(F.size(lines), F.lit(0)).alias("n_paragraphs"), marked.alias("marked"))
         rows = rows.withColumn("n_paragraphs", F.greatest("n_paragraphs", F.lit(0)))

@@ -450,3 +450,20 @@ def test_license_paragraphs_are_cut_once(spark):
     assert [r.words for r in p.collect()] == [["a", "b"], ["c"]]
     plan = p.filter(F.array_contains(license_scan._grams(F.col("words"), 3), "x y z"))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "array_join" in line and "[^a-z0-9.]+" in line]
+
+
+def test_license_lists_are_hashed_once(spark):
+    """Words are looked up in lists that the plan holds hashed, with the results of comparing arrays."""
+    from pyspark.sql import functions as F
+
+    grams = ["under the mit", "the mit license", "a b c"] + [f"x{i} y z" for i in range(20)]
+    lines = ["released under the MIT. license", "the .. mit license", "a b", "a b c", "A  b\tc... d", "", "x7 y z.", "x y z", "c a b d"]
+    words = license_scan._trimmed(license_scan._words(F.col("t")))
+    df = spark.createDataFrame([(x,) for x in lines], "t string").select(words.alias("words"))
+    rows = df.select("words", license_scan._holds(F.col("words"), grams).alias("holds"),
+                     license_scan._has_marker([g.split()[0] for g in grams])(F.col("words")).alias("has"))
+    for r in rows.collect():
+        assert r.holds == any(" ".join(r.words[i:i + 3]) in grams for i in range(len(r.words) - 2)), r
+        assert r.has == bool(set(r.words) & {g.split()[0] for g in grams}), r
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "arrays_overlap" not in plan
