@@ -45,6 +45,7 @@ TOP = 1 << 16
 ROUNDS = 2
 BATCH = 4096
 SMOOTH = 0.1
+FAR = 60.0                  # 32 values of exp(FAR) sum up in float32
 END = W.U(0x2545F4914F6CDD1D)
 START = W.U(0x9E6C63D0876A9A47)
 _LN10 = float(np.log(10))
@@ -143,36 +144,48 @@ def _open_column(h):
 
 
 def _softmax(x):
-    x -= x.max(axis=1, keepdims=True)
+    if max(x.max(), -x.min()) > FAR:  # else no row comes near overflow, and the row's largest need not be sought
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
 def probabilities(v, wide, near, cls):
     """P(class | h) rows, and P(slot | class, h) rows for the given classes."""
-    c = v["c"]
-    p = c[wide[0]]
-    p += c[wide[1]]
-    p += c[wide[2]]
+    c, s = v["c"], v["s"].reshape(CLASSES * 2 * NEAR, SLOTS)
+    p = c.take(wide[0], axis=0)
+    p += c.take(wide[1], axis=0)
+    p += c.take(wide[2], axis=0)
     p += v["cb"]
-    q = v["s"][cls, near[0]]
-    q += v["s"][cls, near[1]]
-    q += v["sb"][cls]
+    row = cls * 2 * NEAR
+    q = s.take(row + near[0], axis=0)
+    q += s.take(row + near[1], axis=0)
+    q += v["sb"].take(cls, axis=0)
     return _softmax(p), _softmax(q)
 
 
+def _summed(index, grad):
+    """(rows, sums): the different values of ``index`` (sorted) and the sums of ``grad`` over each, by
+    adding neighbours of the same row in pairs, then pairs of pairs."""
+    at = np.arange(len(index))
+    while True:
+        first = np.append(True, index[1:] != index[:-1])
+        start = np.flatnonzero(first)
+        odd = (np.arange(len(index)) - start[np.cumsum(first) - 1]) & 1 == 1
+        if not odd.any():
+            return index, grad.take(at, axis=0)
+        right = np.flatnonzero(odd)
+        grad[at[right - 1]] += grad.take(at[right], axis=0)
+        index, at = index[~odd], at[~odd]
+
+
 def _add_rows(target, squares, index, grad, rate):
     """AdaGrad on the rows ``index`` (features, tokens) of ``target`` with each token's gradient, equal rows
     summed first."""
     index = index.ravel().astype(np.uint16)  # fewer than 2**16 rows: sorted by digits
     order = np.argsort(index, kind="stable")
-    index = index[order]
-    last = np.flatnonzero(np.append(index[1:] != index[:-1], True))
-    g = np.cumsum(grad[order % len(grad)], axis=0, dtype=np.float64)[last]
-    g[1:] -= g[:-1].copy()
-    g = g.astype(np.float32)
-    rows = index[last]
+    rows, g = _summed(index[order], grad.take(order % len(grad), axis=0))
     squares[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
     g *= (rate / np.sqrt(squares[rows] + 1e-6))[:, None]
     target[rows] -= g

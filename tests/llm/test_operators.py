@@ -467,3 +467,20 @@ def test_license_lists_are_hashed_once(spark):
         assert r.has == bool(set(r.words) & {g.split()[0] for g in grams}), r
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan and "arrays_overlap" not in plan
+
+
+def test_lm_gradients_of_equal_rows_are_summed():
+    rng = np.random.default_rng(1)
+    index = np.sort(rng.zipf(1.4, 5000) % 200).astype(np.uint16)
+    grad = rng.normal(size=(5000, 32)).astype(np.float32)
+    rows, sums = lm_scoring._summed(index, grad.copy())
+    assert rows.tolist() == np.unique(index).tolist()
+    for r, x in zip(rows, sums):
+        assert np.allclose(x, grad[index == r].astype(np.float64).sum(0), atol=1e-3)
+
+
+def test_lm_softmax_near_and_far():
+    for scale in (1, 50, 1000):
+        x = np.random.default_rng(2).normal(size=(64, 32)) * scale
+        e = np.exp(x - x.max(1, keepdims=True))
+        assert np.allclose(lm_scoring._softmax(x.astype(np.float32)), e / e.sum(1, keepdims=True), atol=1e-4)
