@@ -35,7 +35,8 @@ import re
 import struct
 import unicodedata
 import zlib
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ class Speller:
 
     Where the file's normalizer and pieces are the ones above, words of ASCII and plain letters are cut into pieces here, and only
     different pieces are given to the file's model, many in one string; an id that ends a piece shows it in
-    its spelling.  The ids of ``KEPT`` pieces are kept (then all are forgotten).  All other words go through the whole
+    its spelling.  The ids of ``KEPT`` pieces are kept, from task to task of a worker (then all are forgotten).  All other words go through the whole
     tokenizer one by one.
     """
 
@@ -152,24 +153,27 @@ class Speller:
     def _by_pieces(self, words):
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cut = pa.array(self.pieces.findall("\n".join(words).lower()), pa.string()).dictionary_encode()
-        spelt = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        spelt = self.pieces.findall("\n".join(words).lower())
         if len(self.known) > self.KEPT:
             self._forget()
-        new = [p for p in spelt if p not in self.known]
-        flat, count = [self.flat], [self.count]
-        for i in range(0, len(new), self.CHUNK):
-            own = new[i:i + self.CHUNK]
-            ids = np.array(self._model_ids(" ".join(own)), np.int64)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(own):
-                raise ValueError("the tokenizer's ids do not show where pieces end")
-            flat.append(ids)
-            count.append(np.diff(last, prepend=-1))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+        which = np.fromiter(map(self.known.get, spelt, repeat(-1)), np.int64, len(spelt))
+        unmet = np.flatnonzero(which < 0)
+        if len(unmet):
+            unmet_pieces = [spelt[k] for k in unmet]
+            new = list(dict.fromkeys(unmet_pieces))
+            flat, count = [self.flat], [self.count]
+            for i in range(0, len(new), self.CHUNK):
+                own = new[i:i + self.CHUNK]
+                ids = np.array(self._model_ids(" ".join(own)), np.int64)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) != len(own):
+                    raise ValueError("the tokenizer's ids do not show where pieces end")
+                flat.append(ids)
+                count.append(np.diff(last, prepend=-1))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+            which[unmet] = np.fromiter(map(self.known.__getitem__, unmet_pieces), np.int64, len(unmet))
         at = np.cumsum(self.count) - self.count
-        which = np.fromiter(map(self.known.__getitem__, spelt), np.int64, len(spelt))[cut.indices.to_numpy()]
         is_piece = which != 0
         word = np.cumsum(~is_piece)[is_piece]
         used = which[is_piece]
@@ -188,6 +192,12 @@ class Speller:
         return np.fromiter((i for x in lists for i in x), np.int64, int(count.sum())), count
 
 
+@lru_cache(maxsize=1)
+def speller(content: str) -> Speller:
+    """The speller of a worker process: its tasks share the ids of the pieces they have met."""
+    return Speller(content)
+
+
 def check_tokenizer(content: str) -> None:
     """An error unless the tokenizer's pieces never cross white space."""
     from tokenizers import Tokenizer
@@ -252,9 +262,9 @@ def encoded(docs: DataFrame, content: str) -> DataFrame:
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        speller = Speller(held.value)
+        own = speller(held.value)
         for rows, buf, off in W.slices(batches, "text", SLICE_BYTES):
-            ids, row_off = _word_ids(buf, off, speller)
+            ids, row_off = _word_ids(buf, off, own)
             pieces = -(-np.diff(row_off) // PIECE_IDS)
             which = np.repeat(np.arange(len(rows)), pieces)
             seq = W.ranges(np.zeros(len(rows), np.int64), pieces)
@@ -447,6 +457,7 @@ def write(docs: DataFrame, content: str, path: str) -> None:
     parts = int(min(MAX_PARTS, max(1, -(-counts[:, 1].sum() // PART_IDS), spark.sparkContext.defaultParallelism)))
 
     def run(batches):
+        speller.cache_clear()  # a worker that codes has no more texts to spell
         part, held, waiting, block, at = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def flushed(all_):

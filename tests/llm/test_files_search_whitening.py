@@ -358,3 +358,21 @@ def test_rates_stay_in_their_box_and_keep_documents(spark):
     rare = min(told, key=lambda r: r.share).domain
     missed = {r.domain: r for r in mixing.report(docs, labels, {rare: 1.0}).collect()}
     assert missed[rare].target == 1.0 and missed[rare].reached < 1.0 and math.isclose(sum(r.share for r in missed.values()), 1.0)
+
+
+def test_spelled_pieces_are_kept_between_tasks(monkeypatch):
+    """The tasks of a worker share a speller, and a piece goes through the model once."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        content = f.read()
+    token_files.speller.cache_clear()
+    lines = []
+    model = token_files.Speller._model_ids
+    monkeypatch.setattr(token_files.Speller, "_model_ids", lambda self, line: lines.append(line) or model(self, line))
+    words = ["Great-river", "river", "x1y", "größe", "don't", "river!"]
+    whole = [token_files.speller(content).ids(words) for _ in range(2)]
+    assert len(lines) == 1 and sorted(lines[0].split()) == sorted(set(lines[0].split()))
+    assert whole[0][0].tolist() == whole[1][0].tolist() and whole[0][1].tolist() == whole[1][1].tolist()
+    want = [token_files.speller(content).whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert whole[0][0].tolist() == sum(want, []) and whole[0][1].tolist() == [len(x) for x in want]
