@@ -484,3 +484,23 @@ def test_lm_softmax_near_and_far():
         x = np.random.default_rng(2).normal(size=(64, 32)) * scale
         e = np.exp(x - x.max(1, keepdims=True))
         assert np.allclose(lm_scoring._softmax(x.astype(np.float32)), e / e.sum(1, keepdims=True), atol=1e-4)
+
+
+@pytest.mark.parametrize("step, most", [("contexts", 150), ("phrases", 100)])
+def test_steps_of_the_pipeline_hold_little(step, most):
+    """MB that a worker holds at once, whatever the size of an Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 400)]) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = quality_classifier._contexts if step == "contexts" else substring_dedup._phrase_rows(50, 5)
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < most
