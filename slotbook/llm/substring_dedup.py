@@ -116,15 +116,15 @@ def _phrase_rows(size: int, gram: int):
 
 
 def _window_rows(size: int, gram: int):
-    """Windows of the phrases whose anchors are listed in column ``anchors``."""
+    """Windows of the phrases whose anchors are listed in the last column; doc_id comes first."""
     def run(batches):
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
+            batch = batch.filter(batch.columns[-1].is_valid())
             for rows, buf, off in W.slices([batch], "text", W.HALF_SLICE):
                 p = _Parsed(buf, off, size, gram)
                 if not len(p.at):
                     continue
-                listed = rows.column(2)
+                listed = rows.columns[-1]
                 each = np.diff(listed.offsets.to_numpy())
                 wanted = W.mix(listed.flatten().to_numpy().view(W.U)) ^ np.repeat(np.arange(len(rows)), each).astype(W.U)
                 hit = np.flatnonzero(np.isin(W.mix(p.anchor) ^ p.row.astype(W.U), wanted))
@@ -203,11 +203,16 @@ def _holders(rows: DataFrame) -> DataFrame:
 
 
 def copied(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(doc_id, version, place): windows of ``docs`` that an earlier document holds."""
+    """(doc_id, version, place): windows of ``docs`` that an earlier document holds.
+
+    All columns of ``docs`` are shuffled by doc_id, though only the text is read: a
+    caller who joins the same ``docs`` with the result has the same exchange, and
+    Spark then shuffles the texts once for both.
+    """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     at = scratch_path(spark, "phrases")
-    texts.filter("doc_id is not null and text is not null").mapInArrow(
+    docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(
         _phrase_rows(size, gram), _ddl(_PHRASE)).write.parquet(at)
     rows = spark.read.parquet(at)
     at = scratch_path(spark, "holders")
@@ -221,8 +226,7 @@ def copied(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
                  .filter("c0 < c1 and d0 < d1").select("anchor"))
     listed = (holders.join(contested, "anchor").groupBy(F.col("first").alias("doc_id"))
               .agg(F.collect_set("anchor").alias("anchors")))
-    windows = (texts.join(listed, "doc_id", "left").select("doc_id", "text", "anchors")
-               .mapInArrow(_window_rows(size, gram), _ddl(_WINDOW)))
+    windows = docs.join(listed, "doc_id", "left").mapInArrow(_window_rows(size, gram), _ddl(_WINDOW))
     firsts = _holders(windows).filter("first < last").select("anchor", "content", "first")
     return whole.unionByName(_earlier(windows, firsts))
 
@@ -231,7 +235,7 @@ def dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFra
     """One row a document: doc_id, n_words, n_removed, kept_sha256, and the removed
     word spans (``starts``, ``ends``); ``kept_text`` if ``with_text``, else null."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    spans = copied(docs, size).groupBy("doc_id").agg(F.collect_list(F.struct("version", "place")).alias("spans"))
+    spans = copied(texts, size).groupBy("doc_id").agg(F.collect_list(F.struct("version", "place")).alias("spans"))
     return (texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
             .mapInArrow(_apply(size, with_text), _ddl(_OUT)))
 
@@ -241,15 +245,16 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     stay as they are) and, if there is such a column, ``n_chars`` counted anew."""
     names = docs.columns
     at = names.index("text")
-    spans = (copied(docs, size).groupBy(F.col("doc_id").alias("span_of"))
-             .agg(F.collect_list(F.struct("version", "place")).alias("span_list")))
-    left = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    joined = left.join(spans, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("span_of"), "left").drop("span_of")
+    named = [F.col(c).alias("text" if i == at else f"c{i}") for i, c in enumerate(names)]
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named)
+    spans = copied(left, size).groupBy("doc_id").agg(F.collect_list(F.struct("version", "place")).alias("spans"))
+    joined = left.join(spans, "doc_id", "left")
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, listed in enumerate(batch.column(len(names)).to_pylist()):
+            out = list(batch.columns[1:-1])
+            texts = out[at].to_pylist()
+            for i, listed in enumerate(batch.columns[-1].to_pylist()):
                 if not listed or not texts[i]:
                     continue
                 raw = texts[i].encode()
@@ -265,9 +270,8 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     kept.append(raw[last:starts[a]])
                     last = starts[b] if b < len(starts) else len(raw)
                 texts[i] = b"".join([*kept, raw[last:]]).decode()
-            out = list(batch.columns[:len(names)])
             out[at] = pa.array(texts, out[at].type)
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[:len(names)])
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[1:-1])
 
-    out = joined.mapInArrow(cut, left.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    out = joined.mapInArrow(cut, docs.select(*named).schema).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

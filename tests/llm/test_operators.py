@@ -72,6 +72,33 @@ def test_substring_dedup_keeps_other_text_and_columns(corpus, nothing):
     assert substring_dedup.deduplicated(nothing).count() == 0
 
 
+def test_substring_dedup_shuffles_texts_once(spark, corpus, tmp_path):
+    rows, df = corpus
+    df.write.parquet(f"{tmp_path}/docs")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        out = substring_dedup.deduplicated(spark.read.parquet(f"{tmp_path}/docs"))
+        assert len(out.collect()) == len(rows)
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    scanned = r" Exchange hashpartitioning.*\n(?:.*(?:Project|ColumnarToRow).*\n)*.*FileScan parquet \[[^\]]*\btext#"
+    assert len(re.findall(scanned, plan)) == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,0)"])
+def test_substring_dedup_keeps_the_type_of_doc_id(spark, kind):
+    passage = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("x", passage, 1), ("y", f"one {passage} two", 2)], "anchors string, text string, doc_id long")
+    out = substring_dedup.deduplicated(df.withColumn("doc_id", df.doc_id.cast(kind)))
+    assert out.dtypes == [("anchors", "string"), ("text", "string"), ("doc_id", kind)]
+    assert {(r.anchors, " ".join(r.text.split()), int(r.doc_id)) for r in out.collect()} == {("x", passage, 1), ("y", "one two", 2)}
+
+
 def _shingles(t):
     w = _split(t.lower() if t else t)
     return frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
