@@ -180,7 +180,7 @@ def _result(ids, size, hit, items, longest):
 
 def _whole(tests):
     def run(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             words, word_off = _parsed(buf, off)
             mask, r, i, longest = _hits(words, word_off, tests.value)
             total = np.append(0, np.cumsum(mask))
@@ -191,7 +191,7 @@ def _whole(tests):
 
 def _found(tests):
     def run(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             words, word_off = _parsed(buf, off)
             mask, r, i, longest = _hits(words, word_off, tests.value)
             version = W.signed(W.Prefix(words, 1).window(word_off[:-1], word_off[1:]))
@@ -208,7 +208,7 @@ def _found(tests):
 
 def _merged(batches):
     for batch in batches:
-        for rows, buf, off in W.slices([batch], "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices([batch], "text", W.SMALL_SLICE):
             words, word_off = _parsed(buf, off)
             version = W.signed(W.Prefix(words, 1).window(word_off[:-1], word_off[1:]))
             hit, items, longest = [], [], []

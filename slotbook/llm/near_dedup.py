@@ -95,7 +95,7 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(batches):
-    for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+    for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
         h, set_off = shingle_sets(W.LOWER[buf], off)
         size = np.diff(set_off)
         live = np.flatnonzero(size)
@@ -155,7 +155,7 @@ def _likely_rows(batches):
 
 def _set_rows(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("members", pa.binary())])
-    for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+    for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
         h, set_off = shingle_sets(W.LOWER[buf], off)
         yield W.table(schema, doc_id=rows.column(0),
                       members=[h[set_off[i]:set_off[i + 1]].tobytes() for i in range(len(rows))])

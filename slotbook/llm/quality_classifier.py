@@ -63,7 +63,7 @@ def _buckets(h):
 
 def _contexts(batches):
     sums = np.zeros(BUCKETS * DIM)
-    for _, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+    for _, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
         starts, ends, word_off = W.spans(buf, off)
         if not len(starts):
             continue
@@ -75,7 +75,7 @@ def _contexts(batches):
             near = np.flatnonzero(row[step:] == row[:-step])
             for word, other in ((near, near + step), (near + step, near)):
                 for dim, sign in entries:
-                    sums += np.bincount(cell[word] + dim[other], sign[other], BUCKETS * DIM)
+                    np.add.at(sums, cell[word] + dim[other], sign[other])
     yield vectors.blocked(sums)
 
 
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame):
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.binary())])
 
     def features(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             x = pooled(buf, off, held.value)
             yield W.table(schema, doc_id=rows.column(0), label=rows.column(2), x=[v.tobytes() for v in x])
 
@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             got = net.score(pooled(buf, off, held.value)).astype(np.float64)
             yield W.table(schema, doc_id=rows.column(0), held_out=rows.column(2), score=got,
                           predicted=(got >= THRESHOLD).astype(np.int32))
@@ -214,7 +214,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held, net = train(docs, labels)
 
     def keep(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             yield rows.filter(pa.array(net.score(pooled(buf, off, held.value)) >= THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)

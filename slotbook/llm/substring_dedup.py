@@ -100,7 +100,7 @@ class _Parsed:
 
 def _phrase_rows(size: int, gram: int):
     def run(batches):
-        for rows, buf, off in W.slices(batches, "text", W.HALF_SLICE):
+        for rows, buf, off in W.slices(batches, "text", W.SMALL_SLICE):
             p = _Parsed(buf, off, size, gram)
             if not len(p.at):
                 continue
@@ -120,7 +120,7 @@ def _window_rows(size: int, gram: int):
     def run(batches):
         for batch in batches:
             batch = batch.filter(batch.columns[-1].is_valid())
-            for rows, buf, off in W.slices([batch], "text", W.HALF_SLICE):
+            for rows, buf, off in W.slices([batch], "text", W.SMALL_SLICE):
                 p = _Parsed(buf, off, size, gram)
                 if not len(p.at):
                     continue
@@ -161,7 +161,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 def _apply(size: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            for rows, buf, off in W.slices([batch], "text", W.HALF_SLICE):
+            for rows, buf, off in W.slices([batch], "text", W.SMALL_SLICE):
                 raw = buf.tobytes()
                 listed = rows.column(2).to_pylist()
                 out = {f.name: [] for f in _OUT}

@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 SLICE_BYTES = 4 << 20
-HALF_SLICE = 2 << 20  # for steps that hold many arrays a word and take rows one by one
+SMALL_SLICE = 256 << 10  # for steps that hold many arrays a word and take rows one by one
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U)
 _M1, _M2, _M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)

@@ -531,3 +531,30 @@ def test_steps_of_the_pipeline_hold_little(step, most):
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert peak < most
+
+
+@pytest.mark.parametrize("step", ["pooling", "contexts", "phrases", "sketches"])
+def test_steps_hold_a_small_slice(step, monkeypatch):
+    """Two workers' steps beside a full JVM: at most 40 MB each, the batch of 10 MB not counted."""
+    import tracemalloc
+    from types import SimpleNamespace as Made
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 400)]) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    table = rng.normal(size=(quality_classifier.BUCKETS, quality_classifier.DIM)).astype(np.float32)
+    net = Made(score=lambda x: x[:, 0])
+    monkeypatch.setattr(quality_classifier, "train", lambda docs, labels: (Made(value=table), net))
+    run = {"pooling": quality_classifier.accepted(Made(mapInArrow=lambda f, schema: f, schema=None), None),
+           "contexts": quality_classifier._contexts, "phrases": substring_dedup._phrase_rows(50, 5),
+           "sketches": near_dedup._sketch_rows}[step]
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    print(step, round(peak, 1))
+    assert peak < 40
